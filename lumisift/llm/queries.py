@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import substring_dedup, suffix_dedup
+from lumisift.llm import hyperminhash, substring_dedup, suffix_dedup
 
 _SQL_WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -26,9 +26,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(spark, _docs(spark, sf_dir), width=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_hyperminhash": op9_hyperminhash,
 }
 
 ORACLE: dict[str, str] = {
@@ -37,11 +42,11 @@ ORACLE: dict[str, str] = {
         w AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS win
               FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM d)),
         least AS (SELECT win, min(doc_id) AS owner FROM w GROUP BY win HAVING count(*) > 1),
-        gone AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 13)))) AS at
+        gone AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 13)))) AS spots
                  FROM w JOIN least USING (win) WHERE owner < doc_id GROUP BY doc_id),
-        k AS (SELECT d.doc_id, len(words) AS n_words, coalesce(len(at), 0) AS n_removed,
-                     CASE WHEN at IS NULL THEN words
-                          ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(at, i)), lambda i: words[i]) END AS kept
+        k AS (SELECT d.doc_id, len(words) AS n_words, coalesce(len(spots), 0) AS n_removed,
+                     CASE WHEN spots IS NULL THEN words
+                          ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(spots, i)), lambda i: words[i]) END AS kept
               FROM d LEFT JOIN gone USING (doc_id))
         SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
 }
