@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import hyperminhash, substring_dedup, suffix_dedup
+from lumisift.llm import hyperminhash, personal_data, substring_dedup, suffix_dedup
 
 _SQL_WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -16,6 +16,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data.find(spark, _docs(spark, sf_dir))
+    base = F.sha2(personal_data.spelled("base"), 256).alias("base_sha256")
+    return out.select("doc_id", *(f"n_{k}" for k in personal_data.KINDS), base, personal_data.spelled("spans").alias("spans"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(spark, _docs(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -31,6 +37,7 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_personal_data": op3_personal_data,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_hyperminhash": op9_hyperminhash,
