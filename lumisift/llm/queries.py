@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import hyperminhash, personal_data, substring_dedup, suffix_dedup
+from lumisift.llm import html_extract, hyperminhash, mixing, personal_data, quality_rules, substring_dedup, suffix_dedup
 
 _SQL_WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -16,12 +16,21 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(spark, _docs(spark, sf_dir)).drop("broken")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data.find(spark, _docs(spark, sf_dir))
     base = F.sha2(personal_data.spelled("base"), 256).alias("base_sha256")
     return out.select("doc_id", *(f"n_{k}" for k in personal_data.KINDS), base, personal_data.spelled("spans").alias("spans"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(spark, _docs(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -32,18 +41,62 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(spark, _docs(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(spark, _docs(spark, sf_dir), width=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_personal_data": op3_personal_data,
+    "op5_html_extract": op5_html_extract,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_mixing": op8_mixing,
     "op9_hyperminhash": op9_hyperminhash,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_quality_rules": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source,
+                   coalesce(text, '') AS text, coalesce(regexp_extract_all(text, {_SQL_WORDS}), []) AS words FROM documents),
+        w AS (SELECT r, pos, array_to_string(words[pos:pos + 2], ' ') AS win FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS pos FROM d)),
+        again AS (SELECT r, win FROM w GROUP BY r, win HAVING count(*) > 1),
+        covered AS (SELECT r, count(DISTINCT at_pos) AS n FROM (SELECT r, unnest([pos, pos + 1, pos + 2]) AS at_pos FROM w JOIN again USING (r, win)) GROUP BY r),
+        line AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+                 WHERE regexp_matches(line, {_SQL_WORDS}) GROUP BY r),
+        c AS (SELECT d.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+                     coalesce(covered.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+              FROM d LEFT JOIN covered USING (r) LEFT JOIN line USING (r)),
+        s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100e0 * n_symbols / greatest(n_words, 1) AS symbols,
+                     100e0 * n_dup_lines / greatest(n_lines, 1) AS lines, 100e0 * n_repeat_words / greatest(n_words, 1) AS repeats,
+                     word_chars / CAST(greatest(n_words, 1) AS DOUBLE) AS length FROM c),
+        long AS (SELECT lang, source, rate, CASE WHEN v > 0 THEN ceil(ln(v) / ln(1.02e0)) END AS bin
+                 FROM s UNPIVOT (v FOR rate IN (symbols, lines, repeats, length)) WHERE NOT base_failed),
+        levels AS (SELECT 0 AS level, lang, source, rate, bin, count(*) AS n FROM long GROUP BY ALL
+                   UNION ALL SELECT 1, lang, NULL, rate, bin, count(*) FROM long GROUP BY ALL
+                   UNION ALL SELECT 2, NULL, NULL, rate, bin, count(*) FROM long GROUP BY ALL),
+        cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bin NULLS FIRST) AS upto,
+                       sum(n) OVER (PARTITION BY level, lang, source, rate) AS total,
+                       coalesce(2 * pow(1.02e0, bin) / (1 + 1.02e0), 0) AS v FROM levels),
+        q AS (SELECT level, lang, source, rate, max(total) AS n, min(v) FILTER (upto >= ceil(total * 0.25)) AS q1, min(v) FILTER (upto >= ceil(total * 0.75)) AS q3
+              FROM cum GROUP BY ALL),
+        pick AS (SELECT a.lang, a.source, a.rate, CASE WHEN a.n >= 50 THEN a.q1 WHEN b.n >= 50 THEN b.q1 ELSE g.q1 END AS q1,
+                        CASE WHEN a.n >= 50 THEN a.q3 WHEN b.n >= 50 THEN b.q3 ELSE g.q3 END AS q3,
+                        CASE a.rate WHEN 'symbols' THEN 2e0 WHEN 'length' THEN 0.5e0 ELSE 5e0 END AS least
+                 FROM (FROM q WHERE level = 0) a JOIN (FROM q WHERE level = 1) b ON a.lang = b.lang AND a.rate = b.rate JOIN (FROM q WHERE level = 2) g ON a.rate = g.rate),
+        fence AS (SELECT lang, source, rate, q3 + 3 * greatest(q3 - q1, least) AS high, CASE WHEN rate = 'length' THEN q1 - 3 * greatest(q3 - q1, least) END AS low FROM pick),
+        wide AS (SELECT lang, source, max(high) FILTER (rate = 'symbols') AS hs, max(high) FILTER (rate = 'lines') AS hl, max(high) FILTER (rate = 'repeats') AS hr,
+                        max(high) FILTER (rate = 'length') AS hw, max(low) FILTER (rate = 'length') AS lw FROM fence GROUP BY ALL)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce(symbols > hs OR lines > hl OR repeats > hr OR length > hw OR length < lw, FALSE) AS kept
+        FROM s LEFT JOIN wide USING (lang, source)""",
     "op6_substring_dedup": f"""
         WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, {_SQL_WORDS}), []) AS words FROM documents),
         w AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS win
