@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import html_extract, hyperminhash, mixing, personal_data, quality_rules, substring_dedup, suffix_dedup
+from lumisift.llm import html_extract, hyperminhash, mixing, personal_data, quality_fm, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 _SQL_WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -16,6 +16,15 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("chars_class", F.floor(F.log2(F.greatest("n_chars", F.lit(1)).cast("double"))))
+    return quality_fm.score_documents(spark, docs, _labels(spark, sf_dir), meta_cols=("chars_class",))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(spark, _docs(spark, sf_dir)).drop("broken")
 
@@ -26,6 +35,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"n_{k}" for k in personal_data.KINDS), base, personal_data.spelled("spans").alias("spans"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return toxicity.score_documents(spark, docs, toxicity.fit(spark, docs, _labels(spark, sf_dir)))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
@@ -51,8 +65,10 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fm": op1_quality_fm,
     "op2_quality_rules": op2_quality_rules,
     "op3_personal_data": op3_personal_data,
+    "op4_toxicity": op4_toxicity,
     "op5_html_extract": op5_html_extract,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
