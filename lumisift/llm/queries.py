@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import html_extract, hyperminhash, mixing, personal_data, quality_fm, quality_rules, substring_dedup, suffix_dedup, toxicity
+from lumisift.llm import decontaminate, html_extract, hyperminhash, mixing, personal_data, quality_fm, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 _SQL_WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -64,6 +64,10 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(spark, _docs(spark, sf_dir), width=2)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_quality_rules": op2_quality_rules,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_hyperminhash": op9_hyperminhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
