@@ -199,3 +199,15 @@ def _confirm(scratch: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFram
     full = scratch.table(texts.select("doc_id", "n_bytes", "packed").mapInArrow(sets, "doc long, set binary"), "sets")
     of = lambda x: full.select(F.col("doc").alias(x), F.col("set").alias(f"set_{x}"))
     return hopeful.join(of("a"), "a").join(of("b"), "b").mapInArrow(similar, "a long, b long")
+
+
+def without_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id; columns unchanged.
+
+    Rows that share a kept id all stay, and so do rows with a null id.
+    """
+    found = near_duplicates(spark, docs, width, threshold, id_col, text_col)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    kept_too = found.where("kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = Scratch(spark, "duplicates").table(gone.join(kept_too, "_gone", "left_anti"), "gone")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")

@@ -142,3 +142,15 @@ def _flyer(last: bool, seed: int):
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return fly
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The documents of ``docs`` that the mix takes, with copies and taken (words, copies counted)."""
+    scratch = Scratch(spark, "mixed")
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # so that no column of ours clashes
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    numbered = scratch.table(numbered, "numbered")
+    columns = {k: names[options.pop(k, v)] for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    got = mix(spark, numbered, row_col=F.col("_row"), **columns, **options)
+    taken = got.where("copies > 0").select(F.col("row").alias("_row"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return numbered.join(taken, "_row").select(*(F.col(n).alias(c) for c, n in names.items() if c not in ("copies", "taken")), "copies", "taken")

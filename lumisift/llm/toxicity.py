@@ -273,3 +273,18 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, folds: i
     held = F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out")
     out = source.select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that score ``threshold`` or more; columns unchanged, no shuffle."""
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keep = [np.zeros(0, bool)]
+            texts = pa.RecordBatch.from_arrays([part.column(at).cast(pa.string())], ["text"])
+            for _, group in _in_groups(texts, "text"):
+                keep.append(shared.value.scores([pieces(t) for t in group]) < threshold)
+            yield part.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
