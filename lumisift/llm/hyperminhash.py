@@ -1,17 +1,19 @@
 """Near-duplicate documents by HyperMinHash.
 
-Sketch: a document's set of word shingles is hashed; the top 7 bits pick one of 128 registers, which keeps the
+Sketch: a document's set of word shingles is hashed; the top 8 bits pick one of 256 registers, which keeps the
 least remainder in 16 bits, as its count of leading zeros (6 bits) and the 10 bits after the leading one.
-Candidates: an empty register borrows from the first filled one in a fixed order of its own, and 32 bands of 4
-registers, eight bytes each, are the bucket keys; a pair at a similarity of 0.8 is missed with odds of 5e-8.
+Candidates: an empty register borrows from the first filled one in a fixed order of its own, and 42 bands of 6
+registers are the bucket keys; a pair at a similarity of 0.8 is missed with odds of 3e-6, one at 0.9 never, and
+texts that merely share common words do not meet. (Far larger corpora want 512 registers in bands of 7 or 8.)
 Before verification the share of equal registers, less the collisions expected from cutting hashes to 16 bits,
-estimates the similarity; only pairs six standard errors below the threshold are left out. Every other pair is
+estimates the similarity; only pairs five standard errors below the threshold are left out. Every other pair is
 confirmed on the full shingle sets.
 
-Groups: equal sets become one representative first. Then every member of a bucket is compared with the
-bucket's least document, the confirmed links are contracted to components, and in a second round all pairs of
-one bucket that still lie in different components are compared. So each colliding pair is either confirmed,
-refuted or inside one component already, and copies are never expanded into all pairs.
+Groups: equal sets become one representative first. Then, in rounds, every member of a bucket is compared with
+a pivot of the bucket (first the least document, then one by hash) unless the two are in one component
+already, and confirmed links are contracted to components: a linear number of pairs each time. At last all pairs
+of one bucket that still lie in different components are compared. So each colliding pair is confirmed, refuted
+or inside one component already, and copies are not expanded into all pairs.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing. A text with fewer words than a
 shingle has one shingle, its whole sequence. Rows sharing a doc_id are one node. A null doc_id links with
@@ -31,8 +33,8 @@ from lumisift.llm.text import NO_ID, Batch, batches_of, id_list, mix, run_hashes
 from lumisift.plans.components import components
 from lumisift.plans.scratch import Scratch
 
-BUCKET_BITS, MANTISSA_BITS = 7, 10
-REGISTERS, BANDS, ROWS = 1 << BUCKET_BITS, 32, 4
+BUCKET_BITS, MANTISSA_BITS = 8, 10
+REGISTERS, BANDS, ROWS = 1 << BUCKET_BITS, 42, 6
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _REST = 64 - BUCKET_BITS
@@ -64,7 +66,7 @@ def shingles(batch: Batch, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def registers(key: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One row of 128 registers for each document; 0 is empty."""
+    """One row of 256 registers for each document; 0 is empty."""
     n = len(first) - 1
     out = np.zeros((n, REGISTERS), np.uint16)
     slot = np.repeat(np.arange(n), np.diff(first)) * REGISTERS + (key >> np.uint64(_REST)).astype(np.int64)
@@ -105,7 +107,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.maximum(0, same - chance) / np.maximum(1, used), used
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable over confirmed links), kept."""
     scratch = Scratch(spark, "hyperminhash")
     per_cent = round(threshold * 100)
@@ -132,29 +134,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            keys = mix(filled(sig).view(np.uint64) ^ mix(np.arange(BANDS, dtype=np.uint64)))
+            parts_of = filled(sig)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS // 3, 3).astype(np.uint64)
+            halves = parts_of[..., 0] << np.uint64(32) | parts_of[..., 1] << np.uint64(16) | parts_of[..., 2]
+            keys = mix(mix(halves[..., 0] ^ mix(np.arange(BANDS, dtype=np.uint64))) + halves[..., 1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "doc"])
 
     # a similarity of the threshold or more between different sets needs more shingles than this
     bands = reps.where(F.col("n_shingles") >= int(threshold / (1 - threshold))).select("doc_id", "sig").mapInArrow(cut, "band long, doc long")
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1").drop("n")
-    members = scratch.table(bands.join(shared, "band"), "members")
-
-    first_pairs = scratch.table(members.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    links = scratch.table(_confirm(scratch, first_pairs, reps, rows, width, per_cent, threshold), "links")
-    comp = scratch.table(components(links, scratch), "contracted")
-    placed = members.join(comp, members.doc == comp.node, "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
-    placed = scratch.table(placed, "placed")
-    kinds = placed.select("band", "comp").distinct()
-    several = kinds.groupBy("band").count().where("count > 1").select("band")
-    open_ = scratch.table(placed.join(several, "band"), "open")
-    kinds = open_.select("band", "comp").distinct()
-    cross = kinds.join(kinds.withColumnRenamed("comp", "other"), "band").where("comp < other")
-    pairs = cross.join(open_.withColumnRenamed("doc", "a"), ["band", "comp"]).join(open_.select("band", F.col("comp").alias("other"), F.col("doc").alias("b")), ["band", "other"])
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = scratch.table(pairs.join(first_pairs, ["a", "b"], "left_anti"), "cross")
-    links = scratch.table(_confirm(scratch, pairs, reps, rows, width, per_cent, threshold), "more").union(links)
-    comp = scratch.table(components(links, scratch), "components")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    open_ = scratch.table(bands.join(shared, "band").withColumn("comp", F.col("doc")), "members")
+
+    tested, links, comp = None, None, None
+    for number in range(rounds + 1):
+        if number < rounds:
+            by = F.lit(0) if number == 0 else F.xxhash64(F.lit(number), "band", "doc")
+            pivots = open_.groupBy("band").agg(F.min(F.struct(by.alias("h"), "doc", "comp")).alias("p")).select("band", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("other"))
+            pairs = open_.join(pivots, "band").where("comp <> other").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+        else:
+            kinds = open_.select("band", "comp").distinct()
+            cross = kinds.join(kinds.withColumnRenamed("comp", "other"), "band").where("comp < other")
+            pairs = cross.join(open_.withColumnRenamed("doc", "a"), ["band", "comp"]).join(open_.select("band", F.col("comp").alias("other"), F.col("doc").alias("b")), ["band", "other"])
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.table(pairs, f"pairs{number}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = scratch.table(_confirm(scratch, pairs, reps, rows, width, per_cent, threshold), f"links{number}")
+        links = new if links is None else links.unionByName(new)
+        comp = scratch.table(components(links, scratch), f"components{number}")
+        if number < rounds:
+            placed = open_.drop("comp").join(comp, F.col("doc") == comp.node, "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
+            several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+            now = scratch.table(placed.join(several, "band"), f"open{number}")
+            scratch.drop(open_)
+            open_ = now
 
     found = reps.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep")).join(comp, F.col("rep") == comp.node, "left")
     found = found.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
@@ -172,7 +184,7 @@ def _confirm(scratch: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFram
             a, b = (np.frombuffer(b"".join(part.column(f"sig_{x}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in "ab")
             n, m = (part.column(f"n_{x}").to_numpy() for x in "ab")
             guess, used = estimate(a, b, n, m)
-            slack = 6 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
+            slack = 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
             ok = (100 * np.minimum(n, m) >= per_cent * np.maximum(n, m)) & ((used < REGISTERS // 2) | (guess >= threshold - slack))
             yield part.select(["a", "b"]).filter(pa.array(ok))
 
