@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 CUTS = "cutoffs AS (SELECT entity_id, min(observed_at_mjd) + unnest([5e0, 15e0]) AS cutoff FROM asof_rows GROUP BY entity_id)"
 HORIZONS = [3.0, 7.0]
+#: Double columns of each query, rounded to six decimals at the very end on both sides.
+DOUBLES = {
+    "e1_channel_features": "first_time span_days median_cadence_days median scatter p90_p10 peak peak_time brightening median_error missing_error_fraction",
+    "e7_source_features": "max_brightening max_p90_p10 median_scatter first_time max_span_days missing_error_fraction",
+    "e2_flux_features": "first_time span_days median_cadence_days median scatter p90_p10 peak peak_time brightening median_error missing_error_fraction",
+    "e3_significant_points": "peak_significance",
+    "e5_weighted_slope": "slope",
+    "e12_flare_features": "duration amplitude slope rising_fraction",
+    "e13_centroid": "ra_deg dec_deg",
+    "d11_prior_nondetection": "gap_days contrast_mag prior_snr flux_contrast",
+    "b9_photometric_scores": "flux_ujy error_ujy saturated squashed logscore",
+    "c3_position_spread": "spread",
+    "d8_nearest_match": "separation",
+    "d16_nearest_neighbours": "similarity",
+    "d12_prefix_join": "cutoff latest",
+    "d13_target_join": "cutoff horizon first",
+    "e32_prefix_normalisation": "cutoff centre scale",
+    "e34_forecast_error": "horizon mae_last mae_line",
+    "h5_complete_horizons": "cutoff",
+    "f9_sequence_tokens": "step token",
+    "e16_ranking_metrics": "average_precision precision_at_budget recall_at_budget",
+    "e19_calibration": "brier ece",
+    "e20_rolling_origin": "average_precision precision_at_budget recall_at_budget",
+    "e24_wilson_interval": "low high",
+    "f1_review_queue": "priority anomaly",
+    "d21_overlap_reconciliation": "mjd flux",
+}
 
 
 def query(sql: str | None = None):
     """Register a function under its name, with its SQL."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        doubles = DOUBLES.get(f.__name__, "").split()
+
+        @functools.wraps(f)
+        def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.round(c, 6) for c in doubles})
+
+        QUERIES[f.__name__] = rounded
         if sql:
-            ORACLE[f.__name__] = sql
-        return f
+            ORACLE[f.__name__] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in doubles)}) FROM ({sql})" if doubles else sql
+        return rounded
 
     return add
 
@@ -169,13 +203,13 @@ def b2_flags_and_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(D.PHOT)
-    + """SELECT observation_id, 3631e0 * pow(10e0, -0.4e0 * magnitude) AS flux_jy, ln(10e0) / 2.5e0 * 3631e0 * pow(10e0, -0.4e0 * magnitude) * magnitude_error AS error_jy,
+    + """SELECT observation_id, 3631e0 * pow(10e0, -0.4e0 * magnitude) * 1e6 AS flux_ujy, ln(10e0) / 2.5e0 * 3631e0 * pow(10e0, -0.4e0 * magnitude) * magnitude_error * 1e6 AS error_ujy,
          CASE WHEN flux > 0 THEN 1 - exp(-flux / 10e0) ELSE 0e0 END AS saturated, 1 / (1 + exp(-greatest(least(flux - 10, 60e0), -60e0))) AS squashed,
          greatest(0e0, least(1e0, ln(1 + greatest(flux, 0)) / ln(101e0))) AS logscore FROM phot"""
 )
 def b9_photometric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, f = F.col("magnitude"), F.col("flux")
-    return D.phot(spark, sf_dir).select("observation_id", S.ab_flux_jy(m).alias("flux_jy"), S.ab_flux_error_jy(m, F.col("magnitude_error")).alias("error_jy"), S.saturate(f, 10.0).alias("saturated"), S.logistic(f - 10).alias("squashed"), S.log_score(f, 100.0).alias("logscore"))
+    return D.phot(spark, sf_dir).select("observation_id", (S.ab_flux_jy(m) * 1e6).alias("flux_ujy"), (S.ab_flux_error_jy(m, F.col("magnitude_error")) * 1e6).alias("error_ujy"), S.saturate(f, 10.0).alias("saturated"), S.logistic(f - 10).alias("squashed"), S.log_score(f, 100.0).alias("logscore"))
 
 
 @query(
