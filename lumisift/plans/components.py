@@ -9,7 +9,10 @@ from lumisift.plans.scratch import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Connect each node's larger (or smaller-or-equal) neighbours to the least of its neighbourhood."""
+    """Connect each node's larger (or smaller-or-equal) neighbours to the least of its neighbourhood.
+
+    Only the small star removes repeated edges; the large star at most doubles them.
+    """
     near = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     joined = near.join(least, "a")
@@ -17,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b") if large else out.where("a <> b").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
