@@ -9,11 +9,11 @@ Before verification the share of equal registers, less the collisions expected f
 estimates the similarity; only pairs five standard errors below the threshold are left out. Every other pair is
 confirmed on the full shingle sets.
 
-Groups: equal sets become one representative first. Then, in rounds, every member of a bucket is compared with
-a pivot of the bucket (first the least document, then one by hash) unless the two are in one component
-already, and confirmed links are contracted to components: a linear number of pairs each time. At last all pairs
-of one bucket that still lie in different components are compared. So each colliding pair is confirmed, refuted
-or inside one component already, and copies are not expanded into all pairs.
+Groups: equal sets become one representative first. Then every member of a bucket is compared with the bucket's
+least document, and with one by hash, unless the two are known to be connected: a linear number of pairs.
+Confirmed links are contracted to components. At last all pairs of one bucket that still lie in different
+components are compared, but for those that counts of rare shingles rule out. So each colliding pair is
+confirmed, refuted or inside one component already, and copies are not expanded into all pairs.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing. A text with fewer words than a
 shingle has one shingle, its whole sequence. Rows sharing a doc_id are one node. A null doc_id links with
@@ -107,7 +107,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.maximum(0, same - chance) / np.maximum(1, used), used
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable over confirmed links), kept."""
     scratch = Scratch(spark, "hyperminhash")
     per_cent = round(threshold * 100)
@@ -144,29 +144,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     open_ = scratch.table(bands.join(shared, "band").withColumn("comp", F.col("doc")), "members")
 
-    tested, links, comp = None, None, None
-    for number in range(rounds + 1):
-        if number < rounds:
-            by = F.lit(0) if number == 0 else F.xxhash64(F.lit(number), "band", "doc")
-            pivots = open_.groupBy("band").agg(F.min(F.struct(by.alias("h"), "doc", "comp")).alias("p")).select("band", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("other"))
-            pairs = open_.join(pivots, "band").where("comp <> other").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-        else:
-            kinds = open_.select("band", "comp").distinct()
-            cross = kinds.join(kinds.withColumnRenamed("comp", "other"), "band").where("comp < other")
-            pairs = cross.join(open_.withColumnRenamed("doc", "a"), ["band", "comp"]).join(open_.select("band", F.col("comp").alias("other"), F.col("doc").alias("b")), ["band", "other"])
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs{number}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = scratch.table(_confirm(scratch, pairs, reps, rows, width, per_cent, threshold), f"links{number}")
-        links = new if links is None else links.unionByName(new)
-        comp = scratch.table(components(links, scratch), f"components{number}")
-        if number < rounds:
-            placed = open_.drop("comp").join(comp, F.col("doc") == comp.node, "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
-            several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-            now = scratch.table(placed.join(several, "band"), f"open{number}")
-            scratch.drop(open_)
-            open_ = now
+    confirm = lambda pairs: _confirm(scratch, scratch.table(pairs.distinct(), "pairs"), reps, rows, width, per_cent, threshold)
+    # first the least document of each bucket; a one-hop label is enough to know some pairs as settled
+    links = scratch.table(confirm(_pivot_pairs(open_, F.lit(0))), "links")
+    hop = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    open_ = _still_open(scratch, open_, hop)
+    # then a pivot by hash, another one in each bucket
+    links = links.unionByName(scratch.table(confirm(_pivot_pairs(open_, F.xxhash64("band", "doc"))), "links"))
+    comp = scratch.table(components(links, scratch), "contracted")
+    open_ = _still_open(scratch, open_, comp)
+    if open_.head(1):
+        links = links.unionByName(scratch.table(confirm(_remaining_pairs(scratch, open_, reps, rows, width, threshold)), "links"))
+        comp = scratch.table(components(links, scratch), "components")
 
     found = reps.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep")).join(comp, F.col("rep") == comp.node, "left")
     found = found.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
@@ -175,6 +164,81 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     return out.select("doc_id", "n_shingles", id_.alias("component_id"), F.coalesce(F.col("doc_id") == id_, F.lit(True)).alias("kept"))
 
 
+def _pivot_pairs(open_: DataFrame, order) -> DataFrame:
+    """Each member of a bucket with the bucket's first document by ``order``, unless their labels agree."""
+    pivots = open_.groupBy("band").agg(F.min(F.struct(order.alias("h"), "doc", "comp")).alias("p")).select("band", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("other"))
+    return open_.join(pivots, "band").where("comp <> other").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+
+
+def _still_open(scratch: Scratch, open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with new labels (node, component), of the buckets that still hold several."""
+    placed = open_.select("band", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
+    placed = scratch.table(placed, "placed")
+    several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    return scratch.table(placed.join(several, "band"), "open")
+
+
+def _remaining_pairs(scratch: Scratch, open_: DataFrame, reps: DataFrame, rows: DataFrame, width: int, threshold: float, rare: int = 8) -> DataFrame:
+    """All pairs of a bucket in different components that can be similar enough, by what rare shingles allow.
+
+    Two sets of n and m shingles need an overlap of o = threshold / (1 + threshold) * (n + m), so the first can
+    miss n - o of its own. If it has more rare shingles (in at most ``rare`` of the open documents) than that, the
+    two must share some of them: such pairs come from the rare shingles, of which each makes few. Only pairs where
+    neither has too many are taken from the buckets. Members of a bucket's most frequent component are paired with
+    the others alone. Nothing is left out that could be a link.
+    """
+    docs = open_.select("doc").distinct()
+    full = _sets(rows, docs.withColumnRenamed("doc", "doc_id"), width)
+    words = scratch.table(full.mapInArrow(_exploded, "doc long, shingle long"), "shingles")
+    few = words.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("shingle")
+    scarce = scratch.table(words.join(few, "shingle"), "rare")
+    count = scarce.groupBy("doc").agg(F.count("*").alias("c"))
+    labels = open_.select("doc", "comp").distinct()
+    info = labels.join(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")), "doc").join(count, "doc", "left").select("doc", "comp", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    info = scratch.table(info, "info")
+    side = lambda x: info.select(*(F.col(k).alias(f"{k}_{x}") for k in ("doc", "comp", "n", "c")))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6)
+
+    on = lambda x: scarce.select("shingle", F.col("doc").alias(f"doc_{x}"))
+    common = on("a").join(on("b"), "shingle").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("s"))
+    common = common.join(side("a"), "doc_a").join(side("b"), "doc_b").where("comp_a <> comp_b")
+    by_rare = common.where((F.col("c_a") - F.col("s") <= F.col("n_a") - need) & (F.col("c_b") - F.col("s") <= F.col("n_b") - need))
+
+    small = info.where(F.col("c") <= (1 - threshold) * F.col("n"))
+    member = open_.select("band", "doc").join(small, "doc")
+    sizes = member.groupBy("band", "comp").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("m")).select("band", F.col("m.comp").alias("main"))
+    member = scratch.table(member.join(main, "band"), "member")
+    x = lambda s: member.select("band", "main", *(F.col(k).alias(f"{k}_{s}") for k in ("doc", "comp", "n", "c")))
+    both = (F.col("c_a") <= F.col("n_a") - need) & (F.col("c_b") <= F.col("n_b") - need) & (F.col("comp_a") != F.col("comp_b"))
+    # one side is outside the main component; two outside are taken once
+    once = both & ((F.col("comp_b") == F.col("main")) | (F.col("doc_a") < F.col("doc_b")))
+    by_band = x("a").where("comp_a <> main").join(x("b").drop("main"), "band").where(once)
+    pair = [F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")]
+    return by_rare.select(*pair).unionByName(by_band.select(*pair))
+
+
+def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for doc, keys in zip(part.column("doc").to_pylist(), part.column("set").to_pylist(), strict=True):
+            key = np.frombuffer(keys, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), doc)), pa.array(key)], ["doc", "shingle"])
+
+
+def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc, set): the full shingle sets of some documents, from their stored texts."""
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for part in parts:
+            texts = [codec.decompress(t, n, asbytes=True) if n else b"" for t, n in zip(part.column("packed").to_pylist(), part.column("n_bytes").to_pylist(), strict=True)]
+            for b in batches_of(part.column("doc_id"), pa.array(texts, pa.binary()), 1 << 20):
+                key, first = shingles(b, width)
+                yield pa.RecordBatch.from_arrays([id_list(b.ids), pa.array([key[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc", "set"])
+
+    return rows.select("doc_id", "n_bytes", "packed").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc long, set binary")
+
+
 def _confirm(scratch: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, per_cent: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
@@ -188,14 +252,6 @@ def _confirm(scratch: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFram
             ok = (100 * np.minimum(n, m) >= per_cent * np.maximum(n, m)) & ((used < REGISTERS // 2) | (guess >= threshold - slack))
             yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
-        for part in parts:
-            texts = [codec.decompress(t, n, asbytes=True) if n else b"" for t, n in zip(part.column("packed").to_pylist(), part.column("n_bytes").to_pylist(), strict=True)]
-            for b in batches_of(part.column("doc_id"), pa.array(texts, pa.binary()), 1 << 20):
-                key, first = shingles(b, width)
-                yield pa.RecordBatch.from_arrays([id_list(b.ids), pa.array([key[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc", "set"])
-
     def similar(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ok = []
@@ -207,8 +263,7 @@ def _confirm(scratch: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFram
 
     hopeful = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(likely, "a long, b long"), "hopeful")
     needed = hopeful.select("a").union(hopeful.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    texts = rows.select("doc_id", "n_bytes", "packed", "d1", "d2").join(needed, "doc_id", "left_semi")
-    full = scratch.table(texts.select("doc_id", "n_bytes", "packed").mapInArrow(sets, "doc long, set binary"), "sets")
+    full = scratch.table(_sets(rows, needed, width), "sets")
     of = lambda x: full.select(F.col("doc").alias(x), F.col("set").alias(f"set_{x}"))
     return hopeful.join(of("a"), "a").join(of("b"), "b").mapInArrow(similar, "a long, b long")
 
