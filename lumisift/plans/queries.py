@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.functions import scalars as S
-from lumisift.operators import crossmatch, curves, evaluation, neighbours, review, search, tables, temporal
+from lumisift.operators import crossmatch, curves, decisions, evaluation, neighbours, review, search, tables, temporal
 from lumisift.sources import derived as D
 from lumisift.streaming import archive
 
@@ -19,6 +19,12 @@ CUTS = "cutoffs AS (SELECT entity_id, min(observed_at_mjd) + unnest([5e0, 15e0])
 HORIZONS = [3.0, 7.0]
 #: Double columns of each query, rounded to six decimals at the very end on both sides.
 DOUBLES = {
+    "j7_class_and_rank": "rank_score",
+    "j8_blended_score": "blended",
+    "d15_host_association": "separation chance",
+    "e29_robust_fit": "centre scale",
+    "h10_robust_anomaly": "observed_fraction score",
+    "e30_trace_summary": "maximum q95 area first_crossing",
     "e1_channel_features": "first_time span_days median_cadence_days median scatter p90_p10 peak peak_time brightening median_error missing_error_fraction",
     "e7_source_features": "max_brightening max_p90_p10 median_scatter first_time max_span_days missing_error_fraction",
     "e2_flux_features": "first_time span_days median_cadence_days median scatter p90_p10 peak peak_time brightening median_error missing_error_fraction",
@@ -585,6 +591,120 @@ def k3_first_seen_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.first_seen(D.reviews(spark, sf_dir), ["candidate", "version"], "review_id")
 
 
+# ---- scores and decisions
+
+
+_CLASS_SQL = """g AS (SELECT source_id, avg(flux) / (avg(flux) + 10) AS score, count(*) FILTER (is_detection) AS n, min(mjd) FILTER (is_detection) AS first, max(mjd) FILTER (is_detection) AS last,
+    max(k) / 100e0 AS probability, CAST(source_id AS BIGINT) % 11 = 0 AS moving, CAST(source_id AS BIGINT) % 7 = 0 AS known, count(*) > 50 AS is_candidate,
+    ['SN', 'AGN', ' agn ', 'QSO', 'TDE'][CAST(source_id AS BIGINT) % 5 + 1] AS object_class FROM phot GROUP BY source_id),
+  c AS (SELECT *, CASE WHEN moving THEN 'moving_object' WHEN known THEN 'known_transient' WHEN is_candidate THEN 'new_candidate' ELSE 'not_transient' END AS class,
+    greatest(0e0, score - CASE WHEN known THEN 0.3e0 ELSE 0 END - CASE WHEN moving THEN 0.45e0 ELSE 0 END) AS rank_score FROM g)"""
+
+
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen, i = F.col("is_detection"), F.col("source_id").cast("long")
+    g = D.phot(spark, sf_dir).groupBy("source_id").agg(
+        (F.avg("flux") / (F.avg("flux") + 10)).alias("score"), F.count_if(seen).alias("n"), F.min(F.when(seen, F.col("mjd"))).alias("first"), F.max(F.when(seen, F.col("mjd"))).alias("last"),
+        (F.max("k") / 100.0).alias("probability"), (F.count("*") > 50).alias("is_candidate"),
+    )
+    kinds = F.element_at(F.array(*map(F.lit, ("SN", "AGN", " agn ", "QSO", "TDE"))), (i % 5 + 1).cast("int"))
+    return decisions.classify(g.withColumns({"moving": i % 11 == 0, "known": i % 7 == 0, "object_class": kinds}))
+
+
+@query(_with(D.PHOT, _CLASS_SQL) + "SELECT source_id, class, rank_score FROM c")
+def j7_class_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classed(spark, sf_dir).select("source_id", "class", "rank_score")
+
+
+@query(
+    _with(
+        D.PHOT, _CLASS_SQL, "m AS (SELECT *, max(last) OVER () AS newest FROM c)",
+        "a AS (SELECT *, greatest(0e0, newest - first) AS age, greatest(0e0, last - first) AS span FROM m)",
+        """b AS (SELECT *, (0.45e0 * score + 0.25e0 * greatest(0e0, least(1e0, probability)) + 0.15e0 * greatest(0e0, least(1e0, 1 - (newest - last) / 30e0)) + 0.15e0 * greatest(0e0, least(1e0, 1 - age / 28e0))
+                  - 0.1e0 * greatest(0e0, least(1e0, n / 80e0))) * CASE WHEN class <> 'new_candidate' THEN 0.5e0 ELSE 1 END AS raw,
+                  CASE WHEN upper(trim(object_class)) IN ('AGN') THEN 'class' WHEN age > 29.9 THEN 'old_first_detection' WHEN n > 75 THEN 'too_many_detections' WHEN span > 29.5 THEN 'long_span' ELSE '' END AS veto FROM a)""",
+        "d AS (SELECT *, raw * CASE WHEN veto <> '' THEN 0.35e0 ELSE 1 END AS blended FROM b)",
+    )
+    + """SELECT source_id, class, blended, veto, CASE WHEN class = 'new_candidate' AND veto <> '' THEN 'early_veto' WHEN class = 'new_candidate' AND (age > 28 OR n > 80) THEN 'possible_variable'
+         WHEN class = 'new_candidate' AND blended >= 0.3 THEN 'high_priority' ELSE 'review_later' END AS tier FROM d"""
+)
+def j8_blended_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decisions.blended(_classed(spark, sf_dir), 28.0, 80, 0.3, 29.9, 75, 29.5, ("AGN",))
+    return out.select("source_id", "class", "blended", "veto", "tier")
+
+
+_NEAR_SQL = f"j AS (SELECT source_id, name, otype, {_PAIR_SQL} AS separation FROM sources s JOIN catalog c ON {_PAIR_SQL} <= 4000)"
+
+
+@query(
+    _with(
+        D.PHOT, D.CATALOG, D.SOURCES, _NEAR_SQL,
+        "g AS (SELECT source_id, count(*) AS n, bool_or(otype = 'variable') AS v, bool_or(otype = 'star') AS st, bool_or(otype IN ('galaxy', 'agn')) AS h FROM j GROUP BY source_id)",
+    )
+    + """SELECT s.source_id, coalesce(n, 0) AS n_match, CASE WHEN v THEN 'reject_variable' WHEN st AND NOT h THEN 'review_star' WHEN h THEN 'possible_host' WHEN n > 0 THEN 'review_match' ELSE 'pass' END AS decision
+         FROM sources s LEFT JOIN g USING (source_id)"""
+)
+def j11_catalogue_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.catalogue_decision(D.sources(spark, sf_dir), D.catalog(spark, sf_dir), 4000.0)
+
+
+@query(
+    _with(D.PHOT, D.CATALOG, D.SOURCES, _NEAR_SQL)
+    + """SELECT source_id, CASE WHEN bool_or(otype IN ('star', 'variable')) THEN 'match' ELSE 'clear' END AS status,
+         NOT bool_or(otype IN ('star', 'variable')) AND (bool_or(otype IN ('galaxy', 'agn')) OR bool_or(otype = 'unknown')) AS manual FROM j GROUP BY source_id"""
+)
+def j4_catalogue_interpretation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.catalogue_interpretation(D.sources(spark, sf_dir), D.catalog(spark, sf_dir), 4000.0)
+
+
+@query(
+    _with(
+        D.PHOT, D.CATALOG, D.SOURCES,
+        "h AS (SELECT catalog.*, 0.05e0 + length(name) / 100e0 AS density, ascii(right(name, 1)) % 5 * 20e0 AS half_light, CASE WHEN ascii(right(name, 1)) % 4 > 0 THEN ascii(right(name, 1)) % 4 * 1e0 END AS sigma FROM catalog)",
+        f"p AS (SELECT source_id, c.name, {_PAIR_SQL} AS separation, half_light, sigma, density FROM sources s JOIN h c ON {_PAIR_SQL} <= 4000)",
+        "q AS (SELECT *, 1 - exp(-pi() * pow(greatest(sqrt(pow(separation, 2) + 4 * pow(half_light, 2)), 3 * coalesce(sigma, 0)) / 3600e0, 2) * density) AS chance FROM p)",
+        "r AS (SELECT *, row_number() OVER w AS place, lead(chance) OVER w AS next FROM q WINDOW w AS (PARTITION BY source_id ORDER BY chance, name))",
+    )
+    + """SELECT source_id, name AS host, separation, chance, CASE WHEN sigma IS NULL THEN 'uncertainty_incomplete' WHEN chance > 0.2 THEN 'chance_too_high' WHEN next < 5 * chance THEN 'ambiguous' ELSE 'accepted' END AS decision
+         FROM r WHERE place = 1"""
+)
+def d15_host_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.ascii(F.right("name", F.lit(1)))
+    hosts = D.catalog(spark, sf_dir).withColumns({"density": 0.05 + F.length("name") / 100.0, "half_light": last % 5 * 20.0, "sigma": F.when(last % 4 > 0, last % 4 * 1.0)})
+    return decisions.host_association(D.sources(spark, sf_dir), hosts, 4000.0, 0.2, 5.0)
+
+
+_ROBUST = ["flux", "flux_error", "magnitude", "limiting_magnitude"]
+_ROBUST_SQL = """l AS (SELECT event_id, unnest(['flux', 'flux_error', 'magnitude', 'limiting_magnitude']) AS feature, unnest([flux, flux_error, magnitude, limiting_magnitude]) AS v FROM phot),
+  m AS (SELECT *, median(v) OVER (PARTITION BY feature) AS mid FROM l WHERE v IS NOT NULL),
+  fit AS (SELECT feature, any_value(mid) AS centre, CASE WHEN 1.4826e0 * median(abs(v - mid)) > 1e-9 THEN 1.4826e0 * median(abs(v - mid)) WHEN stddev_pop(v) > 1e-9 THEN stddev_pop(v) ELSE 1 END AS scale, count(*) AS n FROM m GROUP BY feature HAVING count(*) >= 2)"""
+
+
+@query(_with(D.PHOT, _ROBUST_SQL) + "SELECT * FROM fit")
+def e29_robust_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.robust_fit(D.phot(spark, sf_dir), _ROBUST)
+
+
+@query(
+    _with(D.PHOT, _ROBUST_SQL, "g AS (SELECT event_id, avg(pow((v - centre) / scale, 2)) AS ms, count(v) AS seen, count(*) AS n_all FROM l JOIN fit USING (feature) GROUP BY event_id)")
+    + "SELECT event_id, seen / n_all AS observed_fraction, seen > 0 AND seen / n_all >= 0.5 AS valid, CASE WHEN seen > 0 AND seen / n_all >= 0.5 THEN 1 - exp(-sqrt(ms) / 3) ELSE 0 END AS score FROM g"
+)
+def h10_robust_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.robust_scores(D.phot(spark, sf_dir), "event_id", _ROBUST)
+
+
+@query(
+    _with(
+        D.PHOT,
+        "v AS (SELECT source_id, mjd, event_id, flux, flux >= 12 AS up, (lead(mjd) OVER w - mjd) * (lead(flux) OVER w + flux) / 2 AS area, sum(CASE WHEN flux >= 12 THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY mjd, event_id ROWS UNBOUNDED PRECEDING) AS run FROM phot WINDOW w AS (PARTITION BY source_id ORDER BY mjd, event_id))",
+        "r AS (SELECT source_id, max(n) AS longest_run FROM (SELECT source_id, run, count(*) FILTER (up) AS n FROM v GROUP BY ALL) GROUP BY source_id)",
+    )
+    + "SELECT source_id, max(flux) AS maximum, quantile_cont(flux, 0.95) AS q95, coalesce(sum(area), 0) AS area, min(mjd) FILTER (up) AS first_crossing, any_value(longest_run) AS longest_run FROM v JOIN r USING (source_id) GROUP BY source_id"
+)
+def e30_trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.trace_summary(D.phot(spark, sf_dir), "source_id", "mjd", "event_id", "flux", 12.0)
+
+
 # ---- template search
 
 
