@@ -13,7 +13,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: shuffle files end with it, and Python tasks get small batches, as rows may hold long texts.
+_DURING_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,17 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffle_files_end_with_the_query(spark: SparkSession):
-    """Let Spark delete a write's shuffle files when the write is done: nothing reads them again."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _write_settings(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _DURING_WRITES}
+    for k, v in _DURING_WRITES.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 class Scratch:
@@ -51,7 +53,7 @@ class Scratch:
         """Write ``df`` and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count:02d}-{name}"
-        with _shuffle_files_end_with_the_query(self.spark):
+        with _write_settings(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lumisift_path = path
