@@ -211,10 +211,8 @@ def main_text(page: str | None, least: int = 25) -> str:
         return ""
     root = parse(page)
     best = _score(root, least) or _score(root, 1)
-    if best is None:
-        return ""
-    kept = [best]
-    if best.parent:
+    kept = [best or root]  # without a single paragraph element, all unmarked text
+    if best and best.parent:
         siblings = [x for x in best.parent.items if isinstance(x, Node)]
         kept = []
         for x in siblings:

@@ -21,6 +21,7 @@ all others; long pieces are cut into overlapping windows; without labels of both
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -176,8 +177,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.text_margins(texts) + self.shift, -30, 30)))
 
 
+def distinct_texts(texts: list[set[bytes]]) -> list[int]:
+    """Places of texts that are no near copies of an earlier one: six of eight least hashes equal."""
+    seeds = mix(np.arange(8, dtype=np.uint64))
+    seen: set[tuple] = set()
+    out = []
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        h = np.fromiter((zlib.crc32(p) for p in t), np.uint64, len(t))
+        least = mix(h[:, None] ^ seeds).min(0).tolist()
+        keys = {(c, *(least[j] for j in c)) for c in combinations(range(8), 6)}
+        if not keys & seen:
+            out.append(i)
+        seen |= keys
+    return out
+
+
 def train(texts: list[set[bytes]], y: np.ndarray, n_toxic: int = 72, n_common: int = 24, rounds: int = 3, cost: float = 10.0, negatives: int = 30000) -> Model:
     model = Model()
+    if not 0 < y.sum() < len(y):
+        return model
+    # a copied text would make all its words look like evidence
+    own = distinct_texts(texts)
+    texts, y = [texts[i] for i in own], y[own]
     if not 0 < y.sum() < len(y):
         return model
     toxic = Counter(p for t, v in zip(texts, y, strict=True) if v for p in t)
@@ -200,14 +223,16 @@ def train(texts: list[set[bytes]], y: np.ndarray, n_toxic: int = 72, n_common: i
     all_clean = sorted(clean)
     some = [all_clean[i] for i in np.argsort(rank)[:negatives]]
     best = [max(t, key=lambda p: (odds[p], p)) for t, v in zip(texts, y, strict=True) if v and t]
+    # pieces of toxic texts alone, too often for chance among so many pieces, are positive whatever stands beside them
+    sure = {p: n for p, n in toxic.items() if clean[p] == 0 and n * np.log(len(y) / n1) > np.log(len(toxic)) + 3}
     for _ in range(rounds):
-        positive = Counter(best)
+        positive = Counter(best) + Counter(sure)
         seen = [p for p in positive if clean[p] == 0]
         variants = sorted({v for p in seen if positive[p] >= 2 for v in disguised(p)} - set(seen) - clean.keys())
         items = [*seen, *variants, *some]
         z = kernels(items, marks) @ root
         label = np.concatenate([np.ones(len(seen) + len(variants)), -np.ones(len(some))])
-        weight = np.concatenate([np.sqrt([positive[p] for p in seen]), np.full(len(variants), 0.5), np.ones(len(some))])
+        weight = np.concatenate([np.sqrt([positive[p] for p in seen]), np.full(len(variants), 2.0), np.ones(len(some))])
         w = _svm(z, label, weight, cost)
         model.weight, model.bias = ((root @ w[:-1]) @ marks).astype(np.float32), float(w[-1])
         hard = margins(all_clean, model.weight)
@@ -216,20 +241,36 @@ def train(texts: list[set[bytes]], y: np.ndarray, n_toxic: int = 72, n_common: i
         of = dict(zip(mine, margins(mine, model.weight), strict=True))
         best = [max(t, key=lambda p: (of[p], p)) for t, v in zip(texts, y, strict=True) if v and t]
     m = model.text_margins([list(t) for t in texts])
-    slope, shift = 2.0, 0.0
-    for _ in range(100):  # logistic calibration, kept from running away where the classes are apart
-        p = 1 / (1 + np.exp(-(slope * m + shift)))
-        q = np.maximum(p * (1 - p), 1e-9)
-        x = np.stack([m, np.ones(len(m))], 1)
-        h = x.T @ (q[:, None] * x) + np.diag([1e-1, 1e-3])
-        step = np.linalg.solve(h, x.T @ (p - np.where(y == 1, 0.999, 0.001)) + np.array([1e-1 * slope, 0]))
-        slope, shift = slope - step[0], shift - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    model.slope, model.shift = float(slope), float(shift)
+    extra = margins(variants, model.weight) + model.bias if variants else np.zeros(0)
+    m, target = np.concatenate([m, extra]), np.concatenate([np.where(y == 1, 0.999, 0.001), np.full(len(extra), 0.999)])
+    weight = np.concatenate([np.ones(len(y)), np.full(len(extra), 0.04 * n1 / max(1, len(extra)))])  # as much as a few of the toxic texts
+    model.slope, model.shift = _calibrate(m, target, weight)
     return model
 
 
+def _calibrate(m: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic fit, by Newton steps halved until the loss falls; the slope is held back a little."""
+    x = np.stack([m, np.ones(len(m))], 1)
+    hold = np.array([1e-1, 1e-3])
+
+    def loss(b: np.ndarray) -> float:
+        t = x @ b
+        return float((weight * (np.logaddexp(0, t) - target * t)).sum() + 0.5 * (hold * b * b).sum())
+
+    b = np.array([1.0, 0.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
+        q = weight * np.maximum(p * (1 - p), 1e-9)
+        step = np.linalg.solve(x.T @ (q[:, None] * x) + np.diag(hold), x.T @ (weight * (p - target)) + hold * b)
+        size = 1.0
+        while loss(b - size * step) > loss(b) and size > 1e-6:
+            size /= 2
+        b = b - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return float(b[0]), float(b[1])
+
+
 def _in_groups(part: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of a batch in groups of some megabytes, with each group's first row."""
     group, size, begin = [], 0, 0
