@@ -142,9 +142,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     # a similarity of the threshold or more between different sets needs more shingles than this
     bands = reps.where(F.col("n_shingles") >= int(threshold / (1 - threshold))).select("doc_id", "sig").mapInArrow(cut, "band long, doc long")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    open_ = scratch.table(bands.join(shared, "band").withColumn("comp", F.col("doc")), "members")
+    open_ = scratch.table(bands.join(shared.hint("merge"), "band").withColumn("comp", F.col("doc")), "members")
 
-    confirm = lambda pairs: _confirm(scratch, scratch.table(pairs.distinct(), "pairs"), reps, rows, width, per_cent, threshold)
+    # what the comparisons need of the documents that share a bucket: sketches and texts, shuffled once. Sides that
+    # grow with the input are merged by sort at every size, never broadcast because an input happens to be small.
+    shared_ids = open_.select(F.col("doc").alias("doc_id")).distinct()
+    cand = scratch.table(rows.select("doc_id", "n_shingles", "sig", "n_bytes", "packed").join(shared_ids.hint("merge"), "doc_id", "left_semi"), "candidates")
+    confirm = lambda pairs: _confirm(scratch, scratch.table(pairs.distinct(), "pairs"), cand, width, per_cent, threshold)
     # first the least document of each bucket; a one-hop label is enough to know some pairs as settled
     links = scratch.table(confirm(_pivot_pairs(open_, F.lit(0))), "links")
     hop = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
@@ -154,7 +158,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     comp = scratch.table(components(links, scratch), "contracted")
     open_ = _still_open(scratch, open_, comp)
     if open_.head(1):
-        links = links.unionByName(scratch.table(confirm(_remaining_pairs(scratch, open_, reps, rows, width, threshold)), "links"))
+        links = links.unionByName(scratch.table(confirm(_remaining_pairs(scratch, open_, cand, width, threshold)), "links"))
         comp = scratch.table(components(links, scratch), "components")
 
     found = reps.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep")).join(comp, F.col("rep") == comp.node, "left")
@@ -178,7 +182,7 @@ def _still_open(scratch: Scratch, open_: DataFrame, labels: DataFrame) -> DataFr
     return scratch.table(placed.join(several, "band"), "open")
 
 
-def _remaining_pairs(scratch: Scratch, open_: DataFrame, reps: DataFrame, rows: DataFrame, width: int, threshold: float, rare: int = 8) -> DataFrame:
+def _remaining_pairs(scratch: Scratch, open_: DataFrame, cand: DataFrame, width: int, threshold: float, rare: int = 8) -> DataFrame:
     """All pairs of a bucket in different components that can be similar enough, by what rare shingles allow.
 
     Two sets of n and m shingles need an overlap of o = threshold / (1 + threshold) * (n + m), so the first can
@@ -188,13 +192,13 @@ def _remaining_pairs(scratch: Scratch, open_: DataFrame, reps: DataFrame, rows:
     the others alone. Nothing is left out that could be a link.
     """
     docs = open_.select("doc").distinct()
-    full = _sets(rows, docs.withColumnRenamed("doc", "doc_id"), width)
+    full = _sets(cand, docs.withColumnRenamed("doc", "doc_id"), width)
     words = scratch.table(full.mapInArrow(_exploded, "doc long, shingle long"), "shingles")
     few = words.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("shingle")
     scarce = scratch.table(words.join(few, "shingle"), "rare")
     count = scarce.groupBy("doc").agg(F.count("*").alias("c"))
     labels = open_.select("doc", "comp").distinct()
-    info = labels.join(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")), "doc").join(count, "doc", "left").select("doc", "comp", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    info = labels.join(cand.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).distinct(), "doc").join(count, "doc", "left").select("doc", "comp", "n", F.coalesce("c", F.lit(0)).alias("c"))
     info = scratch.table(info, "info")
     side = lambda x: info.select(*(F.col(k).alias(f"{k}_{x}") for k in ("doc", "comp", "n", "c")))
     need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6)
@@ -225,7 +229,7 @@ def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), doc)), pa.array(key)], ["doc", "shingle"])
 
 
-def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def _sets(cand: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc, set): the full shingle sets of some documents, from their stored texts."""
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +240,12 @@ def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 key, first = shingles(b, width)
                 yield pa.RecordBatch.from_arrays([id_list(b.ids), pa.array([key[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc", "set"])
 
-    return rows.select("doc_id", "n_bytes", "packed").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc long, set binary")
+    return cand.select("doc_id", "n_bytes", "packed").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc long, set binary")
 
 
-def _confirm(scratch: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, per_cent: int, threshold: float) -> DataFrame:
+def _confirm(scratch: Scratch, pairs: DataFrame, cand: DataFrame, width: int, per_cent: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    side = lambda x: cand.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}")).hint("merge")
 
     def likely(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -263,8 +267,8 @@ def _confirm(scratch: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFram
 
     hopeful = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(likely, "a long, b long"), "hopeful")
     needed = hopeful.select("a").union(hopeful.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    full = scratch.table(_sets(rows, needed, width), "sets")
-    of = lambda x: full.select(F.col("doc").alias(x), F.col("set").alias(f"set_{x}"))
+    full = scratch.table(_sets(cand, needed, width), "sets")
+    of = lambda x: full.select(F.col("doc").alias(x), F.col("set").alias(f"set_{x}")).hint("merge")
     return hopeful.join(of("a"), "a").join(of("b"), "b").mapInArrow(similar, "a long, b long")
 
 
