@@ -87,3 +87,18 @@ def purge_entities(split: DataFrame, entity: str) -> DataFrame:
     order = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)
     last = F.max(order).over(Window.partitionBy(entity))
     return split.withColumn("_o", order).withColumn("_l", last).where("_o = _l").drop("_o", "_l")
+
+
+def entity_split(rows: DataFrame, train: float, validation: float) -> DataFrame:
+    """(entity_id, split): entities in the order of their first availability, cut at two fractions of their number."""
+    first = rows.groupBy("entity_id").agg(F.min("available_at_mjd").alias("t"))
+    n = F.col("n")
+    ranked = first.select("entity_id", F.row_number().over(Window.orderBy("t", "entity_id")).alias("i")).crossJoin(F.broadcast(first.agg(F.count("*").alias("n"))))
+    part = F.when(F.col("i") <= F.greatest(F.lit(1), F.floor(n * train)), "train").when(F.col("i") <= F.greatest(F.lit(2), F.floor(n * validation)), "validation").otherwise("test")
+    return ranked.select("entity_id", part.alias("split"))
+
+
+def vocabulary(split: DataFrame, column: str) -> DataFrame:
+    """(term, id): values of the training rows in order, from 1; 0 is left for the unknown."""
+    terms = split.where("split = 'train'").select(F.col(column).alias("term")).where("term is not null").distinct()
+    return terms.select("term", F.row_number().over(Window.orderBy("term")).alias("id"))

@@ -96,3 +96,10 @@ def transitions(states: DataFrame, allowed: DataFrame) -> DataFrame:
     pairs = states.withColumn("before", F.lag("state").over(w)).where("before is not null and before <> state")
     bad = pairs.join(F.broadcast(allowed), (pairs.before == allowed.from_state) & (pairs.state == allowed.to_state), "left_anti")
     return bad.groupBy("before", "state").agg(F.count("*").alias("n"))
+
+
+def append_outcomes(new: DataFrame, current: DataFrame) -> DataFrame:
+    """``new`` rows with an outcome: only rows against the exact current version of a known candidate are accepted."""
+    known = current.select(F.col("candidate").alias("_candidate"), F.col("version").alias("_version"))
+    outcome = F.when(F.col("_version").isNull(), "unknown_candidate").when(F.col("_version") != F.col("version"), "stale_version").otherwise("accepted")
+    return new.join(known, new.candidate == known._candidate, "left").withColumn("outcome", outcome).drop("_candidate", "_version")

@@ -19,6 +19,7 @@ CUTS = "cutoffs AS (SELECT entity_id, min(observed_at_mjd) + unnest([5e0, 15e0])
 HORIZONS = [3.0, 7.0]
 #: Double columns of each query, rounded to six decimals at the very end on both sides.
 DOUBLES = {
+    "h4_training_vocabulary": "term",
     "j7_class_and_rank": "rank_score",
     "j8_blended_score": "blended",
     "d15_host_association": "separation chance",
@@ -591,6 +592,63 @@ def k3_first_seen_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.first_seen(D.reviews(spark, sf_dir), ["candidate", "version"], "review_id")
 
 
+@query(
+    _with(D.REVIEWS, "cur AS (SELECT candidate, arg_max(version, (day, review_id)) AS version, arg_max(verdict, (day, review_id)) AS state, count(DISTINCT reviewer) AS campaigns FROM reviews GROUP BY candidate)")
+    + "SELECT candidate, version, state, campaigns FROM cur"
+)
+def k1_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = F.struct("day", "review_id")
+    return D.reviews(spark, sf_dir).groupBy("candidate").agg(F.max_by("version", newest).alias("version"), F.max_by("verdict", newest).alias("state"), F.countDistinct("reviewer").alias("campaigns"))
+
+
+@query(
+    _with(D.REVIEWS, "cur AS (SELECT candidate, arg_max(version, (day, review_id)) AS version FROM reviews WHERE review_id % 2 = 0 GROUP BY candidate)")
+    + """SELECT CASE WHEN c.version IS NULL THEN 'unknown_candidate' WHEN c.version <> r.version THEN 'stale_version' ELSE 'accepted' END AS outcome, count(*) AS n
+         FROM reviews r LEFT JOIN cur c ON r.candidate = c.candidate WHERE review_id % 2 = 1 GROUP BY ALL"""
+)
+def k4_append_to_current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.reviews(spark, sf_dir)
+    return review.append_outcomes(rows.where("review_id % 2 = 1"), review.current_versions(rows.where("review_id % 2 = 0"))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(_with(D.PHOT) + "SELECT source_id, survey, k, count(*) AS n FROM phot WHERE k IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def c5_reused_observation_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.duplicates(D.phot(spark, sf_dir).where("k is not null"), ["source_id", "survey", "k"])
+
+
+@query(
+    """SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)) AS missing,
+              (SELECT count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0 EXCEPT SELECT o_custkey FROM orders)) AS extra,
+              (SELECT count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0 INTERSECT SELECT o_custkey FROM orders)) AS common"""
+)
+def g3_entity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = D.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    b = D.table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("key"))
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(a.subtract(b), "missing").crossJoin(n(b.subtract(a), "extra")).crossJoin(n(a.intersect(b), "common"))
+
+
+@query(_with(D.REVIEWS) + "SELECT review_id, candidate, day FROM reviews ORDER BY day DESC, review_id DESC LIMIT 50 OFFSET 100")
+def f15_paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.reviews(spark, sf_dir).select("review_id", "candidate", "day").orderBy(F.col("day").desc(), F.col("review_id").desc()).offset(100).limit(50)
+
+
+@query(
+    _with(D.PHOT, D.ASOF, "e AS (SELECT entity_id, min(available_at_mjd) AS t FROM asof_rows GROUP BY entity_id)", "r AS (SELECT *, row_number() OVER (ORDER BY t, entity_id) AS i, count(*) OVER () AS n FROM e)")
+    + "SELECT entity_id, CASE WHEN i <= greatest(1, floor(n * 0.7e0)) THEN 'train' WHEN i <= greatest(2, floor(n * 0.85e0)) THEN 'validation' ELSE 'test' END AS split FROM r"
+)
+def h3_entity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.entity_split(D.asof(spark, sf_dir), 0.7, 0.85)
+
+
+@query(
+    _with(D.RANKING, _SPLIT_SQL, "v AS (SELECT DISTINCT score_b AS term FROM s WHERE split = 'train')")
+    + "SELECT term, CAST(row_number() OVER (ORDER BY term) AS INTEGER) AS id FROM v"
+)
+def h4_training_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.vocabulary(evaluation.chronological_split(D.ranking(spark, sf_dir)), "score_b")
+
+
 # ---- scores and decisions
 
 
