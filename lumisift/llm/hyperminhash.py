@@ -107,7 +107,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.maximum(0, same - chance) / np.maximum(1, used), used
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rare: int = 64) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable over confirmed links), kept."""
     scratch = Scratch(spark, "hyperminhash")
     per_cent = round(threshold * 100)
@@ -158,7 +158,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     comp = scratch.table(components(links, scratch), "contracted")
     open_ = _still_open(scratch, open_, comp)
     if open_.head(1):
-        links = links.unionByName(scratch.table(confirm(_remaining_pairs(scratch, open_, cand, width, threshold)), "links"))
+        links = links.unionByName(scratch.table(confirm(_remaining_pairs(scratch, open_, cand, width, threshold, rare)), "links"))
         comp = scratch.table(components(links, scratch), "components")
 
     found = reps.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep")).join(comp, F.col("rep") == comp.node, "left")
@@ -182,15 +182,22 @@ def _still_open(scratch: Scratch, open_: DataFrame, labels: DataFrame) -> DataFr
     return scratch.table(placed.join(several, "band"), "open")
 
 
-def _remaining_pairs(scratch: Scratch, open_: DataFrame, cand: DataFrame, width: int, threshold: float, rare: int = 8) -> DataFrame:
+def _remaining_pairs(scratch: Scratch, open_: DataFrame, cand: DataFrame, width: int, threshold: float, rare: int) -> DataFrame:
     """All pairs of a bucket in different components that can be similar enough, by what rare shingles allow.
 
-    Two sets of n and m shingles need an overlap of o = threshold / (1 + threshold) * (n + m), so the first can
-    miss n - o of its own. If it has more rare shingles (in at most ``rare`` of the open documents) than that, the
+    Buckets of at most ``rare`` members give all their pairs. In larger ones, mostly copies of one text, two sets
+    of n and m shingles need an overlap of o = threshold / (1 + threshold) * (n + m), so the first can miss n - o
+    of its own. If it has more rare shingles (in at most ``rare`` of these documents) than that, the
     two must share some of them: such pairs come from the rare shingles, of which each makes few. Only pairs where
     neither has too many are taken from the buckets. Members of a bucket's most frequent component are paired with
     the others alone. Nothing is left out that could be a link.
     """
+    sized = open_.join(open_.groupBy("band").agg(F.count("*").alias("_size")).hint("merge"), "band")
+    sized = scratch.table(sized, "sized")
+    few_members, open_ = sized.where(F.col("_size") <= rare), sized.where(F.col("_size") > rare)
+    y = lambda s: few_members.select("band", F.col("doc").alias(f"doc_{s}"), F.col("comp").alias(f"comp_{s}"))
+    by_small = y("a").join(y("b"), "band").where("doc_a < doc_b and comp_a <> comp_b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
     docs = open_.select("doc").distinct()
     full = _sets(cand, docs.withColumnRenamed("doc", "doc_id"), width)
     words = scratch.table(full.mapInArrow(_exploded, "doc long, shingle long"), "shingles")
@@ -219,7 +226,7 @@ def _remaining_pairs(scratch: Scratch, open_: DataFrame, cand: DataFrame, width:
     once = both & ((F.col("comp_b") == F.col("main")) | (F.col("doc_a") < F.col("doc_b")))
     by_band = x("a").where("comp_a <> main").join(x("b").drop("main"), "band").where(once)
     pair = [F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")]
-    return by_rare.select(*pair).unionByName(by_band.select(*pair))
+    return by_small.unionByName(by_rare.select(*pair)).unionByName(by_band.select(*pair))
 
 
 def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,10 +113,10 @@ def _brute_components(corpus, width):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(spark, corpus, docs, width):
+@pytest.mark.parametrize(("width", "rare"), [(2, 2), (5, 64)])
+def test_near_duplicates(spark, corpus, docs, width, rare):
     want = _brute_components(corpus, width)
-    rows = hyperminhash.near_duplicates(spark, docs, width).collect()
+    rows = hyperminhash.near_duplicates(spark, docs, width, rare=rare).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
     if width == 5:
