@@ -158,7 +158,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     comp = scratch.table(components(links, scratch), "contracted")
     open_ = _still_open(scratch, open_, comp)
     if open_.head(1):
-        links = links.unionByName(scratch.table(confirm(_remaining_pairs(scratch, open_, cand, width, threshold, rare)), "links"))
+        links = links.unionByName(scratch.table(confirm(_remaining_pairs(scratch, open_, cand, width, per_cent, threshold, rare)), "links"))
         comp = scratch.table(components(links, scratch), "components")
 
     found = reps.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep")).join(comp, F.col("rep") == comp.node, "left")
@@ -182,7 +182,7 @@ def _still_open(scratch: Scratch, open_: DataFrame, labels: DataFrame) -> DataFr
     return scratch.table(placed.join(several, "band"), "open")
 
 
-def _remaining_pairs(scratch: Scratch, open_: DataFrame, cand: DataFrame, width: int, threshold: float, rare: int) -> DataFrame:
+def _remaining_pairs(scratch: Scratch, open_: DataFrame, cand: DataFrame, width: int, per_cent: int, threshold: float, rare: int) -> DataFrame:
     """All pairs of a bucket in different components that can be similar enough, by what rare shingles allow.
 
     Buckets of at most ``rare`` members give all their pairs. In larger ones, mostly copies of one text, two sets
@@ -215,7 +215,8 @@ def _remaining_pairs(scratch: Scratch, open_: DataFrame, cand: DataFrame, width:
     common = common.join(side("a"), "doc_a").join(side("b"), "doc_b").where("comp_a <> comp_b")
     by_rare = common.where((F.col("c_a") - F.col("s") <= F.col("n_a") - need) & (F.col("c_b") - F.col("s") <= F.col("n_b") - need))
 
-    small = info.where(F.col("c") <= (1 - threshold) * F.col("n"))
+    # in whole numbers, as 1 - 0.8 is a little under 0.2 and would lose the links at exactly the threshold
+    small = info.where(100 * F.col("c") <= (100 - per_cent) * F.col("n"))
     member = open_.select("band", "doc").join(small, "doc")
     sizes = member.groupBy("band", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("m")).select("band", F.col("m.comp").alias("main"))

@@ -125,6 +125,17 @@ def test_near_duplicates(spark, corpus, docs, width, rare):
         assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_contained_pair_at_the_threshold_in_large_buckets(spark):
+    # 600 documents share 80 words with 9001 and have 21 of their own; 9002 has 20, so only it links with 9001
+    base = " ".join(f"b{k}" for k in range(80))
+    own = lambda i, n: base + "".join(f" d{i}x{k}" for k in range(n))
+    corpus = [(i, own(i, 21)) for i in range(600)] + [(9001, base), (9002, own(9002, 20))]
+    want = _brute_components(corpus, 1)
+    assert want[9002] == (100, 9001)
+    rows = hyperminhash.near_duplicates(spark, spark.createDataFrame(corpus, "doc_id long, text string").repartition(3), 1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
+
+
 def test_near_duplicates_null_id(spark):
     rows = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (2, "A b c d"), (3, "a b c d")], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in hyperminhash.near_duplicates(spark, rows, 2).collect())
