@@ -6,13 +6,15 @@ a thousand times more sources are a thousand times more groups. The numbers insi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FAMILIES = ("gaussian", "exponential", "bazin", "fallback")
-MAX_EPOCHS = 2048
+MAX_EPOCHS = 2048  # of the matrix of correlated noise alone
 
 
 def shape(family: str, phase: np.ndarray) -> np.ndarray:
@@ -31,47 +33,83 @@ def shape(family: str, phase: np.ndarray) -> np.ndarray:
     raise ValueError(f"unknown family {family}")
 
 
+class Diagonal:
+    """The whitening matrix of independent errors, by its diagonal alone."""
+
+    def __init__(self, entries: np.ndarray):
+        self.entries = entries
+
+    def __matmul__(self, y: np.ndarray) -> np.ndarray:
+        return self.entries * y
+
+
 class Bank:
     """All templates of one curve, with a constant background profiled out.
 
-    ``correlation_days`` whitens noise that is correlated as 0.8 exp(-dt/tau) + 0.2 at dt = 0.
+    ``correlation_days`` whitens noise that is correlated as 0.8 exp(-dt/tau) + 0.2 at dt = 0, by a matrix of the
+    epochs. Otherwise the noise is diagonal and templates are made for ``step`` epochs at a time, so any length fits.
     """
 
-    def __init__(self, t: np.ndarray, e: np.ndarray, widths: tuple[float, ...], n_centers: int, families: tuple[str, ...], correlation_days: float | None):
-        self.root = np.diag(e)
+    def __init__(self, t: np.ndarray, e: np.ndarray, widths: tuple[float, ...], n_centers: int, families: tuple[str, ...], correlation_days: float | None, step: int = 1 << 14):
+        self.t, self.step, self.full = t, step, None
+        self.white = Diagonal(1 / e)
+        centers = np.linspace(t.min(), t.max(), n_centers)
+        self.specs = [(f, c, w) for f in families for c in centers for w in widths]
         if correlation_days:
             c = 0.8 * np.exp(-np.abs(t[:, None] - t) / correlation_days) + 0.2 * np.eye(len(t))
-            self.root = e[:, None] * np.linalg.cholesky(c)
-        self.white = np.linalg.inv(self.root)
-        one = self.white.sum(1)
+            self.white = np.linalg.inv(e[:, None] * np.linalg.cholesky(c))
+            self.full = np.stack([self.white @ shape(f, (t - c) / w) for f, c, w in self.specs])
+        one = self.white @ np.ones(len(t))
         self.one = one / np.linalg.norm(one)
-        centers = np.linspace(t.min(), t.max(), n_centers)
-        self.specs = [(f, c, w) for f in families for c in centers for w in widths]
-        raw = np.stack([shape(f, (t - c) / w) for f, c, w in self.specs]) @ self.white.T
-        left = raw - np.outer(raw @ self.one, self.one)
-        norm = np.linalg.norm(left, axis=1)
-        good = norm > 1e-10
+        self.shared = sum(self.raw(a, b) @ self.one[a:b] for a, b in self.blocks())
+        self.norm = np.sqrt(sum(((self.raw(a, b) - np.outer(self.shared, self.one[a:b])) ** 2).sum(1) for a, b in self.blocks()))
+        good = self.norm > 1e-10
         self.specs = [s for s, g in zip(self.specs, good, strict=True) if g]
-        self.norm, self.design = norm[good], left[good] / norm[good, None]
+        self.norm, self.shared = self.norm[good], self.shared[good]
+        if self.full is not None:
+            self.full = self.full[good]
+
+    def blocks(self) -> list[tuple[int, int]]:
+        return [(a, min(a + self.step, len(self.t))) for a in range(0, len(self.t), self.step)]
+
+    def raw(self, a: int, b: int) -> np.ndarray:
+        """Whitened templates at the epochs from a to b."""
+        if self.full is not None:
+            return self.full[:, a:b]
+        return np.stack([shape(f, (self.t[a:b] - c) / w) for f, c, w in self.specs]) * self.white.entries[a:b]
+
+    def design(self, a: int, b: int) -> np.ndarray:
+        """Whitened templates without background, of unit length over all epochs, at the epochs from a to b."""
+        return (self.raw(a, b) - np.outer(self.shared, self.one[a:b])) / self.norm[:, None]
 
     def z(self, white_curves: np.ndarray) -> np.ndarray:
-        return np.maximum(0.0, white_curves @ self.design.T)
+        return self.z_of_parts(lambda a, b: white_curves[:, a:b])
+
+    def z_of_parts(self, curves: Callable[[int, int], np.ndarray]) -> np.ndarray:
+        """z of curves that are made for one block of epochs after the other."""
+        return np.maximum(0.0, sum(curves(a, b) @ self.design(a, b).T for a, b in self.blocks()))
 
     def influence(self, y: np.ndarray, best: int) -> float | None:
         """Least z of the chosen template when any one observation is deleted and the background fitted again."""
-        precision = self.white.T @ self.white
-        g = np.linalg.solve(self.white, self.design[best])  # the projected shape, back in data space
-        a = np.stack([np.ones(len(y)), g])
-        low = []
-        for i in range(len(y)):
-            p = precision - np.outer(precision[:, i], precision[i]) / precision[i, i]  # precision without observation i
-            gram, rhs = a @ p @ a.T, a @ p @ y
-            if gram[0, 0] <= 0:
-                continue
-            norm = gram[1, 1] - gram[0, 1] ** 2 / gram[0, 0]
-            if norm > 1e-12 * max(1.0, gram[1, 1]):
-                low.append(max(0.0, (rhs[1] - gram[0, 1] * rhs[0] / gram[0, 0]) / np.sqrt(norm)))
-        return float(min(low)) if low else None
+        one, v = self.white @ np.ones(len(y)), self.white @ y
+        f, c, w = self.specs[best]
+        raw = self.white @ shape(f, (self.t - c) / w)
+        g = (raw - self.shared[best] * self.one) / self.norm[best]
+        if self.full is None:
+
+            def less(p: np.ndarray, q: np.ndarray) -> np.ndarray:  # sums over the others, from both ends
+                x = p * q
+                return np.concatenate([[0.0], np.cumsum(x[:-1])]) + np.concatenate([np.cumsum(x[:0:-1])[::-1], [0.0]])
+        else:  # deleting an observation takes a rank-one part, of its column, from the precision
+            unit = self.white / np.linalg.norm(self.white, axis=0)
+            less = lambda p, q: p @ q - (p @ unit) * (q @ unit)
+        gram = less(one, one), less(one, g), less(g, g)
+        some = gram[0] > 0
+        base = np.where(some, gram[0], 1.0)
+        norm = gram[2] - gram[1] ** 2 / base
+        ok = some & (norm > 1e-12 * np.maximum(1.0, gram[2]))
+        low = (less(g, v) - gram[1] * less(one, v) / base)[ok] / np.sqrt(norm[ok])
+        return max(0.0, float(low.min())) if len(low) else None
 
 
 SCHEMA = "source_id string, survey string, band string, n long, family string, center double, width double, max_z double, amplitude double, delta_chi_square double, p_value double, least_z double"
@@ -90,7 +128,8 @@ def search(
 ) -> DataFrame:
     """Best template of every channel with an empirical p-value; ``null`` is wild (sign flips) or gaussian.
 
-    Channels with fewer than three points, or more than MAX_EPOCHS, have null results: they are reported, not dropped.
+    Channels with fewer than three points have null results, as have those of more than MAX_EPOCHS if the noise is
+    correlated: they are reported, not dropped. Templates and resampled curves are made for a block of epochs at a time.
     """
     if trials < 99 or null not in ("wild", "gaussian"):
         raise ValueError("at least 99 trials of a wild or gaussian null")
@@ -99,19 +138,24 @@ def search(
         g = group.sort_by([("mjd", "ascending"), ("flux", "ascending")])
         t, y, e = (np.asarray(g.column(c), float) for c in ("mjd", "flux", "flux_error"))
         out = dict.fromkeys(("family", "center", "width", "max_z", "amplitude", "delta_chi_square", "p_value", "least_z"))
-        if 3 <= len(t) <= MAX_EPOCHS and t[0] < t[-1]:
-            bank = Bank(t, e, widths, n_centers, families, correlation_days)
+        bank = None
+        if len(t) >= 3 and t[0] < t[-1] and not (correlation_days and len(t) > MAX_EPOCHS):
+            # whole sign blocks in each block of epochs
+            bank = Bank(t, e, widths, n_centers, families, correlation_days, -(-max(MAX_EPOCHS, (1 << 21) // trials) // block) * block)
+        if bank and bank.specs:
             white = bank.white @ (y - y[0])
             z = bank.z(white[None])[0]
             best = int(np.argmax(z))
             rng = np.random.default_rng([seed, *("/".join(k.as_py() or "" for k in key)).encode()])
-            if null == "wild":
-                rest = white - (white @ bank.one) * bank.one
-                signs = rng.integers(0, 2, (trials, -(-len(t) // block))) * 2 - 1
-                curves = np.repeat(signs, block, axis=1)[:, : len(t)] * rest
-            else:
-                curves = rng.normal(size=(trials, len(t)))
-            worse = (bank.z(curves).max(1) >= z[best]).sum()
+            rest = white - (white @ bank.one) * bank.one
+
+            def resampled(a: int, b: int) -> np.ndarray:
+                if null == "gaussian":
+                    return rng.normal(size=(trials, b - a))
+                signs = rng.integers(0, 2, (trials, -(-(b - a) // block))) * 2 - 1
+                return np.repeat(signs, block, axis=1)[:, : b - a] * rest[a:b]
+
+            worse = (bank.z_of_parts(resampled).max(1) >= z[best]).sum()
             family, center, width = bank.specs[best]
             out = {"family": family, "center": center, "width": width, "max_z": z[best], "amplitude": z[best] / bank.norm[best], "delta_chi_square": z[best] ** 2, "p_value": (1 + worse) / (trials + 1), "least_z": bank.influence(y - y[0], best)}
         names = dict(zip(("source_id", "survey", "band"), (k.as_py() for k in key), strict=True)) | {"n": len(t)} | out
@@ -122,12 +166,17 @@ def search(
 
 
 def correct(channels: DataFrame, universe: int, looks: int, alpha: float, trials: int) -> DataFrame:
-    """Per source: the least p-value corrected for its channels, then for the campaign; and the stable statistic."""
-    g = channels.where("p_value is not null").groupBy("source_id").agg(F.count("*").alias("n_channels"), F.min("p_value").alias("p"), F.max(F.least("max_z", F.coalesce("least_z", F.lit(0.0)))).alias("stable_z"))
-    own = F.least(F.lit(1.0), F.col("p") * F.col("n_channels"))
-    all_ = F.least(F.lit(1.0), own * universe * looks)
-    status = F.when(F.lit(universe * looks / (trials + 1) > alpha), "unresolvable").when(all_ <= alpha, "detected").otherwise("not_significant")
-    return g.select("source_id", "n_channels", own.alias("object_p"), all_.alias("campaign_p"), "stable_z", status.alias("status"))
+    """Per source: the least p-value corrected for its channels, then for the campaign; and the stable statistic.
+
+    Channels without a result count as looks too, and are told in n_unsearched. A source with only these has no p-value.
+    """
+    stable = F.least("max_z", F.when(F.col("p_value").isNotNull(), F.coalesce("least_z", F.lit(0.0))))
+    g = channels.groupBy("source_id").agg(F.count("*").alias("n_channels"), F.count_if(F.col("p_value").isNull()).alias("n_unsearched"), F.min("p_value").alias("p"), F.max(stable).alias("stable_z"))
+    searched = F.col("p").isNotNull()
+    own = F.when(searched, F.least(F.lit(1.0), F.col("p") * F.col("n_channels")))
+    all_ = F.when(searched, F.least(F.lit(1.0), own * universe * looks))
+    status = F.when(~searched, "insufficient_epochs").when(F.lit(universe * looks / (trials + 1) > alpha), "unresolvable").when(all_ <= alpha, "detected").otherwise("not_significant")
+    return g.select("source_id", "n_channels", "n_unsearched", own.alias("object_p"), all_.alias("campaign_p"), "stable_z", status.alias("status"))
 
 
 def inject_and_recover(rows: DataFrame, amplitudes: list[float], trials: int, width: float, threshold: float, seed: int = 1) -> DataFrame:

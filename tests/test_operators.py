@@ -88,6 +88,40 @@ def test_template_search_finds_a_pulse(spark):
         assert got["short"]["p_value"] is None and len(got) == 7
 
 
+def test_long_channels_are_searched(spark):
+    rng = np.random.default_rng(3)
+    t = np.arange(50000) / 500
+    y = rng.normal(0, 1, len(t)) + 3 * np.exp(-0.5 * ((t - t[-1] / 2) / 3) ** 2)
+    rows = [("hot", "s", "g", float(a), float(b), 1.0) for a, b in zip(t, y, strict=True)]
+    rows += [("hot", "s", "r", float(a), 0.0, 1.0) for a in range(2)] + [("short", "s", "g", 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "source_id string, survey string, band string, mjd double, flux double, flux_error double")
+    found = search.search(df, families=("gaussian",)).cache()
+    hot = found.where("source_id = 'hot' and band = 'g'").first()
+    assert hot["n"] == 50000 and hot["p_value"] == 0.01 and (hot["center"], hot["width"]) == (pytest.approx(t[-1] / 2), 3.0)
+    assert hot["amplitude"] == pytest.approx(3, abs=0.2) and hot["least_z"] < hot["max_z"]
+    got = {r["source_id"]: r for r in search.correct(found, 1, 1, 0.05, 99).collect()}
+    assert (got["hot"]["n_channels"], got["hot"]["n_unsearched"], got["hot"]["object_p"], got["hot"]["status"]) == (2, 1, 0.02, "detected")
+    assert (got["short"]["n_channels"], got["short"]["object_p"], got["short"]["stable_z"], got["short"]["status"]) == (1, None, None, "insufficient_epochs")
+
+
+def test_blocks_of_epochs_change_nothing():
+    rng = np.random.default_rng(4)
+    t, e, y = np.sort(rng.uniform(0, 20, 50)), rng.uniform(0.5, 2, 50), rng.normal(size=50)
+    for tau in (None, 2.0):
+        whole, parts = (search.Bank(t, e, (1.0, 3.0), 5, search.FAMILIES, tau, n) for n in (64, 7))
+        assert parts.z((parts.white @ y)[None]) == pytest.approx(whole.z((whole.white @ y)[None]))
+        cov = np.diag(e**2) if tau is None else np.outer(e, e) * (0.8 * np.exp(-np.abs(t[:, None] - t) / tau) + 0.2 * np.eye(50))
+        f, c, w = whole.specs[3]
+        g, low = search.shape(f, (t - c) / w), []
+        for i in range(50):
+            keep = np.arange(50) != i
+            p = np.linalg.inv(cov[np.ix_(keep, keep)])
+            a = np.stack([np.ones(49), g[keep]])
+            gram, rhs = a @ p @ a.T, a @ p @ y[keep]
+            low.append(max(0.0, (rhs[1] - gram[0, 1] * rhs[0] / gram[0, 0]) / np.sqrt(gram[1, 1] - gram[0, 1] ** 2 / gram[0, 0])))
+        assert parts.influence(y, 3) == pytest.approx(min(low), abs=1e-9)
+
+
 def test_influence_equals_refitting_without_the_point():
     rng = np.random.default_rng(2)
     t, e = np.sort(rng.uniform(0, 20, 12)), rng.uniform(0.5, 2, 12)
