@@ -5,8 +5,9 @@ Bootstrapping: every base span is a seed instance of its kind. The words next to
 identifier-like tokens are lexical patterns. Spark scores the graph of patterns and instances in rounds: a
 pattern's confidence in a kind is the share of the weight of all its instances that the kind holds (with a
 prior for the unknown), and an unknown instance's score is the noisy-or of its patterns' confidence, so that
-newly trusted instances strengthen further patterns. Identifiers that high-confidence patterns point to, and
-whose shape fits the kind, are added as spans.
+newly trusted instances strengthen further patterns. Rounds go on until no confidence moves. Each solves a
+pattern's own share of its instances' scores at once, so their number does not grow with the unseen instances
+of a pattern. Identifiers that high-confidence patterns point to, and whose shape fits the kind, are added as spans.
 
 Everything here is DataFrame functions: matching is ``regexp_extract_all``, positions come from the pieces that
 ``split`` leaves between the matches. Patterns use possessive groups and start only where a run starts, so long
@@ -127,8 +128,12 @@ def _occurrences(scanned: DataFrame) -> DataFrame:
     return seeds.unionByName(tokens).withColumn("v", F.lower("v"))
 
 
-def bootstrap(scratch: Scratch, occurrences: DataFrame, rounds: int, min_seeds: int, prior: float, accept: float) -> DataFrame:
-    """Unknown occurrences (_row, start, end, kind) that trusted patterns point to."""
+def bootstrap(scratch: Scratch, occurrences: DataFrame, settled: float, min_seeds: int, prior: float, accept: float) -> DataFrame:
+    """Unknown occurrences (_row, start, end, kind) that trusted patterns point to.
+
+    Rounds end when no pattern's trust changes by more than ``settled``. Trust only rises, to the least solution of
+    trust = (n_kind + sum n * score) / (n_known + n_unknown + prior), score = 1 - product of (1 - trust).
+    """
     sides = F.array(*(F.when(F.col(s) != "", F.concat(F.lit(f"{s}:"), F.col(s))) for s in ("left", "right")))
     edges = occurrences.select("_row", "start", "end", "kind", "v", F.explode(F.array_compact(sides)).alias("pattern"))
     graph = scratch.table(edges.groupBy("pattern", "v", "kind").agg(F.count("*").alias("n")), "graph")
@@ -139,19 +144,27 @@ def bootstrap(scratch: Scratch, occurrences: DataFrame, rounds: int, min_seeds:
     seeded = known.groupBy("pattern", "kind").agg(F.sum("n").alias("n_kind"), F.countDistinct("v").alias("n_seeds"))
     total = known.groupBy("pattern").agg(F.sum("n").alias("n_known"))
     base = scratch.table(asked.join(total, "pattern").join(seeded, "pattern").where(F.col("n_seeds") >= min_seeds), "patterns")
-    trust, score = None, None
-    for _ in range(rounds):
-        if score is None:
-            gained = base.select("pattern", "kind").withColumn("gain", F.lit(0e0))
-        else:
-            gained = unknown.join(score, "v").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("gain"))
-        held = base.join(gained, ["pattern", "kind"], "left")
-        share = (F.col("n_kind") + F.coalesce("gain", F.lit(0e0))) / (F.col("n_known") + F.col("n_unknown") + F.lit(prior))
-        trust = scratch.table(held.select("pattern", "kind", share.alias("trust")), "trust")
-        miss = F.exp(F.sum(F.log1p(-F.least("trust", F.lit(1 - 1e-9)))))
-        fits = reduce(lambda a, k: a | ((F.col("kind") == k) & F.col("v").rlike(SHAPES[k])), KINDS, F.lit(False))
-        score = scratch.table(unknown.join(trust, "pattern").where(fits).groupBy("v", "kind").agg((1 - miss).alias("score")), "score")
-    good = score.where(F.col("score") >= accept).join(trust.where(F.col("trust") >= accept), "kind").select("pattern", "v", "kind", "score")
+    fits = reduce(lambda a, k: a | ((F.col("kind") == k) & F.col("v").rlike(SHAPES[k])), KINDS, F.lit(False))
+    fitting = scratch.table(unknown.join(base.select("pattern", "kind"), "pattern").where(fits), "fitting")
+    miss = F.log1p(-F.least("trust", F.lit(1 - 1e-9)))
+    own = fitting.groupBy("pattern", "kind").agg(F.sum("n").alias("n_fit"))
+    base = scratch.table(base.join(own, ["pattern", "kind"], "left").na.fill(0, ["n_fit"]), "asked")
+    trust = base.select("pattern", "kind", F.lit(0e0).alias("trust"))
+    while True:
+        # score = 1 - rest * (1 - trust), where rest is the product over the instance's other patterns
+        placed = fitting.join(trust.withColumn("miss", miss), ["pattern", "kind"])
+        total_miss = placed.groupBy("v", "kind").agg(F.sum("miss").alias("all"))
+        rest = placed.join(total_miss, ["v", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.exp(F.col("all") - F.col("miss"))).alias("rest"))
+        held = base.join(rest, ["pattern", "kind"], "left").join(trust.withColumnRenamed("trust", "before"), ["pattern", "kind"])
+        left = F.coalesce("rest", F.lit(0e0))
+        share = (F.col("n_kind") + F.col("n_fit") - left) / (F.col("n_known") + F.col("n_unknown") + F.lit(prior) - left)
+        trust = scratch.table(held.select("pattern", "kind", share.alias("trust"), F.abs(share - F.col("before")).alias("change")), "trust")
+        if (trust.agg(F.max("change")).first()[0] or 0.0) <= settled:
+            break
+        trust = trust.drop("change")
+    placed = fitting.join(trust.withColumn("miss", miss), ["pattern", "kind"])
+    score = placed.groupBy("v", "kind").agg((1 - F.exp(F.sum("miss"))).alias("score")).where(F.col("score") >= accept)
+    good = placed.where(F.col("trust") >= accept).join(score, ["v", "kind"]).select("pattern", "v", "kind", "score")
     near = edges.where("kind is null").drop("kind").join(good, ["pattern", "v"])
     return near.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
@@ -167,7 +180,7 @@ def _spans(docs: DataFrame, text: Column, keep: list[str], scratch: Scratch, **t
     return out.withColumn("spans", F.when(F.col("_added").isNull(), F.col("base")).otherwise(both)).drop("_added")
 
 
-TUNING = {"rounds": 3, "min_seeds": 5, "prior": 1.0, "accept": 0.9}
+TUNING = {"settled": 1e-6, "min_seeds": 5, "prior": 1.0, "accept": 0.9}
 
 
 def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tuning) -> DataFrame:

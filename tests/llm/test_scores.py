@@ -149,6 +149,15 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert got[3] == []
 
 
+@pytest.mark.parametrize("after", ["", " now"])
+def test_bootstrapping_settles_with_more_unseen_than_seeds(spark, after):
+    # with the parameters of the query: four times as many unseen numbers as seeds, at the end of a text or inside
+    rows = [(i, f"write to callme +1 555 {i:03d} 1234{after}") for i in range(100, 120)]
+    rows += [(i, f"write to callme 5559871{i:03d}{after}") for i in range(200, 280)] + [(1, "in the year 20250101 of it")]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all([(s["kind"], s["start"], s["end"]) for s in got[i]] == [("phone", 16, 26)] for i in range(200, 280)) and got[1] == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="<p>no</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><header>Site head</header><div class="ad">Buy this, now, please, friends.</div>
 <div id="page"><article><h1>Title &amp; more</h1><p>First <b>paragraph, long enough, with commas.<br>Next&nbsp;line</p><p>Second one, a bit
