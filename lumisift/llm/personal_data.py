@@ -8,6 +8,7 @@ prior for the unknown), and an unknown instance's score is the noisy-or of its p
 newly trusted instances strengthen further patterns. Rounds go on until no confidence moves. Each solves a
 pattern's own share of its instances' scores at once, so their number does not grow with the unseen instances
 of a pattern. Identifiers that high-confidence patterns point to, and whose shape fits the kind, are added as spans.
+Instances are tokens, and runs of 7 to 19 digits in groups with single spaces, dots, hyphens or brackets between them.
 
 Everything here is DataFrame functions: matching is ``regexp_extract_all``, positions come from the pieces that
 ``split`` leaves between the matches. Patterns use possessive groups and start only where a run starts, so long
@@ -47,6 +48,9 @@ SHAPES = {
     "phone": r"^[+(]?[0-9]([ .:_/()-]*[0-9]){6,14}$",
 }
 _TOKEN = rf"(?<![^{_SP}])(?=[^{_SP}]*+(?<=[^{_SP}]))(?=[^0-9@{_SP}]*+[0-9@]|[^{_SP}\[(]*+[\[(]at)[^{_SP}]{{4,}}"
+# Groups of digits, bare or in brackets, with a space, dot or hyphen between, to the end of the last token.
+_GROUP = r"(?:\([0-9]++\)|[0-9]++)"
+_RUN = rf"(?<![^{_SP}])[\"'(<\[{{]{{0,3}}\+?{_GROUP}(?:[\x20.-]{_GROUP}|(?<=\))[0-9]++|\([0-9]++\))++[^{_SP}]*+"
 _EDGE = "[\"'(<\\[{]"
 _TAIL = "[\"')>\\]}.,;:!?]"
 
@@ -106,12 +110,25 @@ def _of_kind(spans: Column | str, kind: str) -> Column:
 
 
 def _scan(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """One row per document: base spans with contexts, and other identifier-like tokens."""
+    """One row per document: base spans with contexts, and other identifier-like tokens and runs of digit groups."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     out = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, text.alias("_text"))
     for k in KINDS:
         out = out.withColumn(f"_{k}", F.filter(_located(F.col("_text"), FORMS[k], True), _keeper(k)))
-    return out.withColumn("_token", _located(F.col("_text"), _TOKEN, True))
+    return out.withColumn("_token", _located(F.col("_text"), _TOKEN, True)).withColumn("_run", _runs(_located(F.col("_text"), _RUN, True)))
+
+
+def _runs(found: Column) -> Column:
+    """Of matches of _RUN without the signs around them, those of several tokens and 7 to 19 digits."""
+
+    def bare(x: Column) -> Column:
+        lead = F.length(F.regexp_extract(x["v"], rf"^{_EDGE}*?(?=\([0-9]+\)|\+?[0-9])", 0))
+        tail = F.length(F.regexp_extract(x["v"], f"{_TAIL}*$", 0))
+        v = F.substring(x["v"], lead + 1, F.length(x["v"]) - lead - tail)
+        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), v.alias("v"), x["left"].alias("left"), x["right"].alias("right"))
+
+    whole = lambda x: x["v"].rlike(r"^[+(]?[0-9][0-9.()-]*\x20[0-9\x20.()-]*[0-9]$") & F.length(_digits(x["v"])).between(7, 19)
+    return F.filter(F.transform(found, bare), whole)
 
 
 def _occurrences(scanned: DataFrame) -> DataFrame:
@@ -119,12 +136,15 @@ def _occurrences(scanned: DataFrame) -> DataFrame:
     spans = F.concat(*(_tagged(f"_{k}", k, "v", "left", "right") for k in KINDS))
     seeds = scanned.select("_row", F.explode(spans).alias("x")).select("_row", "x.*")
     covered = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    free = F.when(F.size("_token") > 0, F.filter("_token", lambda t: ~F.exists(covered, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
-    tokens = scanned.select("_row", F.explode(free).alias("x")).select("_row", "x.*")
+    apart = lambda spans, others: F.when(F.size(spans) > 0, F.filter(spans, lambda t: ~F.exists(others, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
+    scanned = scanned.withColumn("_run", F.coalesce(apart("_run", covered), F.slice("_run", 1, 0)))
+    runs = scanned.select("_row", F.explode("_run").alias("x")).select("_row", "x.*")
+    # a token of a run is no instance of its own
+    tokens = scanned.select("_row", F.explode(apart("_token", F.concat(covered, "_run"))).alias("x")).select("_row", "x.*")
     lead = F.length(F.regexp_extract("v", f"^{_EDGE}*", 0))
     tail = F.length(F.regexp_extract("v", f"{_TAIL}*$", 0))
     tokens = tokens.withColumns({"start": F.col("start") + lead, "end": F.greatest(F.col("end") - tail, F.col("start") + lead), "v": F.regexp_replace("v", f"^{_EDGE}*|{_TAIL}*$", "")})
-    tokens = tokens.where("length(v) >= 4").withColumn("kind", F.lit(None).cast("string"))
+    tokens = tokens.where("length(v) >= 4").unionByName(runs).withColumn("kind", F.lit(None).cast("string"))
     return seeds.unionByName(tokens).withColumn("v", F.lower("v"))
 
 

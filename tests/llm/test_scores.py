@@ -158,6 +158,18 @@ def test_bootstrapping_settles_with_more_unseen_than_seeds(spark, after):
     assert all([(s["kind"], s["start"], s["end"]) for s in got[i]] == [("phone", 16, 26)] for i in range(200, 280)) and got[1] == []
 
 
+def test_bootstrapping_finds_numbers_in_groups(spark):
+    rows = [(i, f"write to callme +1 555 {i:03d} 1234 now") for i in range(100, 120)]
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    rows += [(i, f"they charge visa 4111 1111 1111 {i} today") for i in range(2000, 2200) if luhn(f"411111111111{i}")]
+    seen = {1: "555 123 4567", 2: "(649) 555-1648", 3: "1 (649) 555-1648", 4: "649.555 1648"}
+    rows += [(i, f"é write to callme {v} now") for i, v in seen.items()]
+    rows += [(5, "charge visa 4111 1111 1111 1112 today"), (6, 'callme ("555 123 4567"), now'), (7, "callme 555 123 4567th now"), (8, "rows 555 123 4567 here"), (9, "callme " + "12 " * 3000 + "now")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in personal_data.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in seen] == [[("phone", 18, 18 + len(v))] for v in seen.values()]
+    assert got[5] == [("card", 12, 31)] and got[6] == [("phone", 9, 21)] and got[7] == got[8] == got[9] == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="<p>no</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><header>Site head</header><div class="ad">Buy this, now, please, friends.</div>
 <div id="page"><article><h1>Title &amp; more</h1><p>First <b>paragraph, long enough, with commas.<br>Next&nbsp;line</p><p>Second one, a bit
