@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.llm.text import Batch, batches_of, id_list, mix, word_hashes
-from lumisift.llm.training import fold, labelled_sample
+from lumisift.llm.training import fold, labelled_rows, one_row_an_id
 
 WORD_BITS = 15
 META_BITS = 6
@@ -188,9 +188,8 @@ def score_documents(
             yield pa.RecordBatch.from_pydict({k: [getattr(f, k).tobytes()] for k in ("index", "value", "first", "stats")} | {"label": [np.array(own.column("label"), np.int64).tobytes()]})
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *meta)
-    sample = labelled_sample(docs, labels, label, folds, held_out, max_rows, id_col, text_col)
-    if meta_cols:
-        sample = sample.join(source.drop("text").dropDuplicates(["id"]), "id")
+    named = source.withColumnsRenamed({"id": id_col, "text": text_col})
+    sample = one_row_an_id(labelled_rows(named, labels, label, folds, held_out, max_rows, id_col, text_col, tuple(f"meta{i}" for i in range(len(meta_cols)))))
     got = sample.mapInArrow(gather, "index binary, value binary, first binary, stats binary, label binary").collect()
     machine = Machine(size, rank, seed)
     if got:

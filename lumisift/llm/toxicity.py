@@ -1,30 +1,32 @@
 """Toxicity by a support vector machine over a gapped subsequence kernel with Nystroem landmarks.
 
 A text is a bag of pieces: its words in lower case without punctuation inside them, digits read as the letters
-they imitate, runs of single letters joined. The kernel of two pieces counts common subsequences of three
-characters, each weighted by decay^(its span) in both, and is normalised; a piece with inserted characters or
+they imitate, runs of words of one or two letters joined. The kernel of two pieces counts common subsequences of
+three characters, each weighted by decay^(its span) in both, and is normalised; a piece with inserted characters or
 gaps keeps most of its subsequences. Spans up to 8 characters count. Landmarks are pieces of the training texts:
 the ones that speak most for a toxic label, no two alike, and some common ones. A piece's Nystroem features are its
 kernels with the landmarks times the inverse root of the landmarks' own kernel matrix, where a linear machine
 (squared hinge) is trained. Labels belong to texts, so training is multiple-instance: a toxic text's most
-toxic piece is positive, every piece of the other texts negative, in rounds with hard negatives; disguised
-variants of the positives (inserted characters, doubled or dropped letters) are added as positives.
-A text's score is the largest margin of its pieces, made a probability by logistic calibration.
+toxic piece is positive, every piece of the clean texts negative, in rounds; disguised variants of the positives
+(inserted characters, doubled or dropped letters) are added as positives. A text's score is the largest margin of
+its pieces, made a probability by logistic calibration.
 
-The machine is linear in the kernel, so all landmarks fold into one weight for each of the 2^15 subsequences:
-scoring a piece is a sum over its subsequences. Training uses a bounded sample (``max_rows``); every text is
-scored whole where it is read, without a shuffle.
+Training takes a sample of ``max_rows`` labelled rows. Spark counts its pieces, makes their features and sums the
+Newton steps; texts and features stay in the tasks. The machine is linear in the kernel, so all landmarks fold into
+one weight for each of the 2^18 subsequences: scoring a piece is a sum over its subsequences. Every text is scored
+whole where it is read, without a shuffle.
 
 Edge cases: null and empty texts, and texts without a piece of three letters, get the score of a margin below
-all others; long pieces are cut into overlapping windows; without labels of both classes all scores are 0.
+all others; long pieces are cut into overlapping windows; without labels of both classes all scores are 0. Rows that
+share an id are one training row. Near copies among the training rows count once, for the least id. A null id is
+never held out and never trained on. Extra columns are ignored by scoring and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.llm.text import mix
-from lumisift.llm.training import fold, labelled_sample
+from lumisift.llm.training import fold, labelled_rows, one_row_an_id
+from lumisift.plans.scratch import Scratch
 
 DECAY, SPAN, LONGEST = 0.7, 8, 24
 _KEEP = {**{c: c for c in range(97, 123)}, **{c: c + 32 for c in range(65, 91)}}
@@ -43,7 +46,10 @@ _TABLE = bytes(_KEEP.get(c, _LIKE.get(c, c)) for c in range(256))
 _DROP = bytes(c for c in range(256) if c not in _KEEP and c not in _LIKE and c not in _SPACES and not 128 <= c < 192)
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
-_CODE[128:192] = 27 + (np.arange(128, 192) & 31) % 5  # by the last byte: accented capitals equal their small letters
+# Other letters by the low bits of their later bytes, where capitals equal their small letters in Latin and Cyrillic.
+_CODE[128:192] = 27 + (np.arange(128, 192) & 31)
+BITS = 6
+CODES = 1 << 3 * BITS
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -53,16 +59,15 @@ def pieces(text: bytes) -> list[bytes]:
     for w in words:
         if len(w) > LONGEST:
             out += [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
-    if sum(1 for w in words if len(w) == 1) >= 3:
-        run: list[bytes] = []
-        for w in [*words, b"  "]:
-            if len(w) == 1:
-                run.append(w)
-                continue
-            if len(run) >= 3:
-                whole = b"".join(run)
-                out += [whole[i : i + LONGEST] for i in range(0, max(1, len(whole) - LONGEST // 2), LONGEST // 2)]
-            run = []
+    run: list[bytes] = []
+    for w in [*words, b"..."]:
+        if len(w) <= 2:
+            run.append(w)
+            continue
+        if len(run) >= 3:
+            whole = b"".join(run)
+            out += [whole[i : i + LONGEST] for i in range(0, max(1, len(whole) - LONGEST // 2), LONGEST // 2)]
+        run = []
     return [w for w in out if len(w) >= 3]
 
 
@@ -81,7 +86,7 @@ def subsequences(same_length: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     n = len(same_length[0])
     codes = _CODE[np.frombuffer(b"".join(same_length), np.uint8)].reshape(-1, n)
     t, w = _places(n)
-    u = (codes[:, t[:, 0]] << 10) | (codes[:, t[:, 1]] << 5) | codes[:, t[:, 2]]
+    u = (codes[:, t[:, 0]] << 2 * BITS) | (codes[:, t[:, 1]] << BITS) | codes[:, t[:, 2]]
     order = np.argsort(u, axis=1)
     s, sw = np.take_along_axis(u, order, 1), w[order]
     total = np.cumsum(sw, 1)
@@ -93,7 +98,7 @@ def subsequences(same_length: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     return u, w, np.sqrt((np.where(end, total - before, 0) ** 2).sum(1))
 
 
-def by_length(items: list[bytes], step: int = 4096) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def by_length(items: list[bytes], step: int = 2048) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     lens = np.fromiter(map(len, items), np.int64, len(items))
     for n in np.unique(lens):
         at = np.flatnonzero(lens == n)
@@ -110,30 +115,43 @@ def margins(items: list[bytes], weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def maps(items: list[bytes]) -> np.ndarray:
-    """Normalised subsequence vectors of a few pieces, as rows."""
-    out = np.zeros((len(items), 1 << 15), np.float32)
-    for at, some in by_length(items):
-        u, w, norm = subsequences(some)
-        for r, a in enumerate(at):
-            np.add.at(out[a], u[r], w)
-            out[a] /= norm[r]
-    return out
+def sparse(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The subsequence numbers of one piece and their normalised weights."""
+    u, w, norm = subsequences([piece])
+    number, at = np.unique(u[0], return_inverse=True)
+    return number, (np.bincount(at, w) / norm[0]).astype(np.float32)
 
 
-def kernels(items: list[bytes], landmarks: np.ndarray) -> np.ndarray:
-    """Kernels of pieces with landmarks given as the rows of ``maps``."""
-    out = np.zeros((len(items), len(landmarks)), np.float32)
-    columns = np.ascontiguousarray(landmarks.T)
-    for at, some in by_length(items, 512):
-        u, w, norm = subsequences(some)
-        out[at] = np.einsum("nt,ntm->nm", w[None, :] / norm[:, None], columns[u])
-    return out
+class Landmarks:
+    """Pieces by their subsequences: a row for each subsequence that any of them has, a column for each piece."""
+
+    def __init__(self, items: list[bytes]):
+        each = [sparse(p) for p in items]
+        self.numbers = np.unique(np.concatenate([u for u, _ in each]))
+        self.row = np.zeros(CODES, np.int32)
+        self.row[self.numbers] = np.arange(1, len(self.numbers) + 1)
+        self.weights = np.zeros((len(self.numbers) + 1, len(items)), np.float32)
+        for k, (u, w) in enumerate(each):
+            self.weights[self.row[u], k] = w
+
+    def kernels(self, items: list[bytes]) -> np.ndarray:
+        """Kernels of pieces with the landmarks."""
+        out = np.zeros((len(items), self.weights.shape[1]), np.float32)
+        for at, some in by_length(items, 128):
+            u, w, norm = subsequences(some)
+            out[at] = np.einsum("nt,ntm->nm", w[None, :] / norm[:, None], self.weights[self.row[u]])
+        return out
+
+    def folded(self, coefficients: np.ndarray) -> np.ndarray:
+        """One weight for each subsequence, of a sum of kernels with these coefficients."""
+        out = np.zeros(CODES, np.float32)
+        out[self.numbers] = self.weights[1:] @ coefficients
+        return out
 
 
 def disguised(piece: bytes) -> list[bytes]:
-    """Variants with inserted, doubled and dropped characters."""
-    out = []
+    """Variants with inserted, doubled and dropped characters, or a letter in front or behind."""
+    out = [b"a" + piece, piece + b"a"]
     for i in range(1, len(piece)):
         out.append(piece[:i] + b"x" + piece[i:])
         out.append(piece[:i] + piece[i - 1 : i] + piece[i:])
@@ -143,29 +161,20 @@ def disguised(piece: bytes) -> list[bytes]:
     return [w for w in out if 3 <= len(w) <= LONGEST]
 
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
-    """Squared-hinge machine by Newton steps; the last coefficient is the bias."""
+def _sums(z: np.ndarray, y: float, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What some rows of one label add to a Newton step of the squared-hinge machine: its matrix and its right side."""
     x = np.concatenate([z, np.ones((len(z), 1), np.float32)], 1).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w)) / cost
-    ridge[-1, -1] *= 1e-3
-    for _ in range(25):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        c = weight[on, None] * x[on]
-        grad = ridge @ w - c.T @ (y[on] * slack[on])
-        step = np.linalg.solve(ridge + c.T @ x[on], grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+    slack = 1 - y * (x @ w)
+    on = slack > 0
+    c = weight[on, None] * x[on]
+    return np.concatenate([c.T @ x[on], (c.T @ (y * slack[on]))[:, None]], 1)
 
 
 class Model:
     """Subsequence weights, bias, and the calibration of a text's largest margin."""
 
     def __init__(self):
-        self.weight, self.bias, self.slope, self.shift = np.zeros(1 << 15, np.float32), -1.0, 0.0, -30.0
+        self.weight, self.bias, self.slope, self.shift = np.zeros(CODES, np.float32), -1.0, 0.0, -30.0
 
     def text_margins(self, texts: list[list[bytes]]) -> np.ndarray:
         number: dict[bytes, int] = {}
@@ -177,75 +186,172 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.text_margins(texts) + self.shift, -30, 30)))
 
 
-def distinct_texts(texts: list[set[bytes]]) -> list[int]:
-    """Places of texts that are no near copies of an earlier one: six of eight least hashes equal."""
-    seeds = mix(np.arange(8, dtype=np.uint64))
-    seen: set[tuple] = set()
-    out = []
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        h = np.fromiter((zlib.crc32(p) for p in t), np.uint64, len(t))
-        least = mix(h[:, None] ^ seeds).min(0).tolist()
-        keys = {(c, *(least[j] for j in c)) for c in combinations(range(8), 6)}
-        if not keys & seen:
-            out.append(i)
-        seen |= keys
-    return out
+def copy_keys(pieces_of: set[bytes]) -> list[int]:
+    """Keys of which near copies share one: any six of eight least hashes."""
+    if not pieces_of:
+        return []
+    h = np.fromiter((zlib.crc32(p) for p in pieces_of), np.uint64, len(pieces_of))
+    least = np.array([mix(h ^ s).min() for s in mix(np.arange(8, dtype=np.uint64))])
+    keys = np.zeros(len(_SIXES), np.uint64)
+    for k in range(6):
+        keys = mix(keys ^ least[_SIXES[:, k]] ^ np.arange(len(_SIXES), dtype=np.uint64))
+    return keys.view(np.int64).tolist()
+
+
+_SIXES = np.array(list(combinations(range(8), 6)))
+
+
+class Trainer:
+    """Training over a written table of labelled texts (id, label, pieces, keys), of which the driver sees sums.
+
+    Pieces are counted, made features and summed for Newton steps in tasks. To the driver come the landmarks, one piece
+    for each toxic text, ``most`` pieces that only toxic texts have, matrices of the landmarks' order and one margin a text.
+    """
+
+    def __init__(self, scratch: Scratch, texts: DataFrame, n_toxic: int, n_common: int, cost: float, most: int):
+        self.scratch, self.cost, self.most, self.spark = scratch, cost, most, texts.sparkSession
+        # a copied text would make all its words look like evidence
+        keys = texts.select("id", F.explode("keys").alias("key"))
+        copies = keys.join(keys.groupBy("key").agg(F.min("id").alias("first")), "key").where("first < id").select("id").distinct()
+        self.own = scratch.table(texts.where("size(pieces) > 0").join(copies, "id", "left_anti").select("id", "label", "pieces").coalesce(8), "own")
+        self.n = {r["label"]: r["count"] for r in self.own.groupBy("label").count().collect()}
+        self.n1, self.n0 = self.n.get(1, 0), self.n.get(0, 0)
+        if not self.n1 or not self.n0:
+            return
+        counted = self.own.select("label", F.explode("pieces").alias("piece")).groupBy("piece").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+        odds = F.col("toxic") / self.n1 * F.log((F.col("toxic") + 0.5) / (self.n1 + 1) * (self.n0 + 1) / (F.col("clean") + 0.5))
+        self.counts = scratch.table(counted.withColumn("odds", F.when(F.col("toxic") > 0, odds)).coalesce(8), "counts")
+        common = [bytes(r[0]) for r in self.counts.where("clean > 0").orderBy(F.desc("clean"), "piece").select("piece").limit(n_common).collect()]
+        self.marks = Landmarks([*self._apart(n_toxic), *common])
+        values, vectors = np.linalg.eigh((self.marks.weights.T @ self.marks.weights).astype(np.float64))
+        good = values > 1e-6
+        self.root = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T  # inverse root of the landmarks' kernels
+        shared = self.spark.sparkContext.broadcast((self.marks, self.root.astype(np.float32)))
+
+        def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                marks, root = shared.value
+                z = marks.kernels(part.column(0).to_pylist()) @ root
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in z], pa.binary())], ["z"])
+
+        self.features = scratch.table(self.counts.where("clean > 0").select("piece").mapInArrow(features, "z binary"), "features")
+
+    def _apart(self, n: int, alike: float = 0.9, block: int = 500) -> list[bytes]:
+        """The pieces that speak most for the label, no two of which are alike, from as many blocks as it takes."""
+        chosen: list[bytes] = []
+        lists: dict[int, list[tuple[int, float]]] = {}
+        ranked = self.counts.where("odds > 0").orderBy(F.desc("odds"), "piece").select("piece")
+        for begin in count(0, block):
+            rows = ranked.offset(begin).limit(block).collect()
+            for p in (bytes(r[0]) for r in rows):
+                u, w = sparse(p)
+                like = [0.0] * len(chosen)
+                for a, x in zip(u.tolist(), w.tolist(), strict=True):
+                    for k, y in lists.get(a, ()):
+                        like[k] += x * y
+                if max(like, default=0.0) >= alike:
+                    continue
+                for a, x in zip(u.tolist(), w.tolist(), strict=True):
+                    lists.setdefault(a, []).append((len(chosen), x))
+                chosen.append(p)
+                if len(chosen) == n:
+                    return chosen
+            if len(rows) < block:
+                return chosen
+        return chosen
+
+    def newton(self, w: np.ndarray, z: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The machine over all pieces of clean texts, and the positive ones given, from a start; the last coefficient is the bias."""
+        ridge = np.eye(len(w)) / self.cost
+        ridge[-1, -1] *= 1e-3
+        for _ in range(25):
+            shared = self.spark.sparkContext.broadcast(w)
+
+            def negative(parts: Iterator[pa.RecordBatch], at=shared, size=len(w)) -> Iterator[pa.RecordBatch]:
+                total = np.zeros((size, size + 1))
+                for part in parts:
+                    x = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float32).reshape(-1, size - 1)
+                    total += _sums(x, -1.0, np.ones(len(x)), at.value)
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+            total = _sums(z, 1.0, weight, w)
+            for r in self.features.mapInArrow(negative, "sums binary").collect():
+                total += np.frombuffer(r[0]).reshape(len(w), -1)
+            step = np.linalg.solve(ridge + total[:, :-1], ridge @ w - total[:, -1])
+            w = w - step
+            if np.abs(step).max() < 1e-3 * max(1.0, np.abs(w).max()):
+                break
+        return w
+
+    def first_best(self) -> dict[bytes, tuple[int, int]]:
+        """The piece of each toxic text that speaks most for the label: how many texts have it as theirs, and its clean texts."""
+        each = self.own.where("label = 1").select("id", F.explode("pieces").alias("piece")).join(self.counts, "piece")
+        best = each.groupBy("id").agg(F.max(F.struct("odds", "piece", "clean")).alias("b"))
+        return self._tally(best.select("b.piece", "b.clean"))
+
+    def next_best(self, model: Model) -> dict[bytes, tuple[int, int]]:
+        """The same by the margins of a model."""
+        shared = self.spark.sparkContext.broadcast(model)
+
+        def most(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                out = []
+                for p in part.column(0).to_pylist():
+                    m = margins(p, shared.value.weight)
+                    out.append(max(zip(m.tolist(), p, strict=True))[1])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["piece"])
+
+        best = self.own.where("label = 1").select("pieces").mapInArrow(most, "piece binary")
+        return self._tally(best.join(self.counts.select("piece", "clean"), "piece"))
+
+    def _tally(self, best: DataFrame) -> dict[bytes, tuple[int, int]]:
+        return {bytes(r["piece"]): (r["n"], r["clean"]) for r in best.groupBy("piece").agg(F.count("*").alias("n"), F.max("clean").alias("clean")).collect()}
+
+    def not_clean(self, items: list[bytes]) -> list[bytes]:
+        """Those that no clean text has."""
+        if not items:
+            return []
+        asked = self.spark.createDataFrame([(bytearray(p),) for p in items], "piece binary")
+        held = {bytes(r[0]) for r in self.counts.where("clean > 0").select("piece").join(F.broadcast(asked), "piece", "left_semi").collect()}
+        return [p for p in items if p not in held]
+
+    def train(self, rounds: int) -> Model:
+        model = Model()
+        if not self.n1 or not self.n0:
+            return model
+        # pieces of toxic texts alone, too often for chance among so many pieces, are positive whatever stands beside them
+        distinct = max(2, self.counts.where("toxic > 0").count())
+        sure = self.counts.where((F.col("clean") == 0) & (F.col("toxic") * float(np.log((self.n0 + self.n1) / self.n1)) > float(np.log(distinct) + 3)))
+        sure = {bytes(r["piece"]): r["toxic"] for r in sure.orderBy(F.desc("toxic"), "piece").limit(self.most).collect()}
+        w, best, variants, before = np.zeros(self.root.shape[1] + 1), self.first_best(), [], None
+        for _ in range(rounds):
+            if best == before:
+                break
+            positive = {p: n for p, (n, clean) in best.items() if clean == 0}
+            for p, n in sure.items():
+                positive[p] = positive.get(p, 0) + n
+            seen = sorted(positive)
+            variants = self.not_clean(sorted({v for p in seen if positive[p] >= 2 for v in disguised(p)} - set(seen)))
+            z = self.marks.kernels([*seen, *variants]) @ self.root.astype(np.float32)
+            w = self.newton(w, z, np.concatenate([np.sqrt([positive[p] for p in seen]), np.full(len(variants), 4.0)]))
+            model.weight, model.bias = self.marks.folded(self.root @ w[:-1]), float(w[-1])
+            before, best = best, self.next_best(model)
+        self.calibrate(model, variants)
+        return model
 
+    def calibrate(self, model: Model, variants: list[bytes]) -> None:
+        shared = self.spark.sparkContext.broadcast(model)
 
-def train(texts: list[set[bytes]], y: np.ndarray, n_toxic: int = 72, n_common: int = 24, rounds: int = 3, cost: float = 10.0, negatives: int = 30000) -> Model:
-    model = Model()
-    if not 0 < y.sum() < len(y):
-        return model
-    # a copied text would make all its words look like evidence
-    own = distinct_texts(texts)
-    texts, y = [texts[i] for i in own], y[own]
-    if not 0 < y.sum() < len(y):
-        return model
-    toxic = Counter(p for t, v in zip(texts, y, strict=True) if v for p in t)
-    clean = Counter(p for t, v in zip(texts, y, strict=True) if not v for p in t)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    odds = {p: n / n1 * np.log((n + 0.5) / (n1 + 1) * (n0 + 1) / (clean[p] + 0.5)) for p, n in toxic.items()}
-    ranked = sorted(odds, key=lambda p: (-odds[p], p))
-    pool = [p for p in ranked[:600] if odds[p] > 0]
-    rows = maps(pool)
-    chosen: list[int] = []
-    for i in range(len(pool)):
-        if len(chosen) < n_toxic and (not chosen or (rows[chosen] @ rows[i]).max() < 0.9):
-            chosen.append(i)
-    common = sorted(clean, key=lambda p: (-clean[p], p))[:n_common]
-    marks = np.concatenate([rows[chosen], maps(common)])
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    good = values > 1e-6
-    root = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T  # inverse root of the landmarks' kernels
-    rank = np.array([int(x) for x in mix(np.arange(len(clean), dtype=np.uint64)) >> np.uint64(1)])
-    all_clean = sorted(clean)
-    some = [all_clean[i] for i in np.argsort(rank)[:negatives]]
-    best = [max(t, key=lambda p: (odds[p], p)) for t, v in zip(texts, y, strict=True) if v and t]
-    # pieces of toxic texts alone, too often for chance among so many pieces, are positive whatever stands beside them
-    sure = {p: n for p, n in toxic.items() if clean[p] == 0 and n * np.log(len(y) / n1) > np.log(len(toxic)) + 3}
-    for _ in range(rounds):
-        positive = Counter(best) + Counter(sure)
-        seen = [p for p in positive if clean[p] == 0]
-        variants = sorted({v for p in seen if positive[p] >= 2 for v in disguised(p)} - set(seen) - clean.keys())
-        items = [*seen, *variants, *some]
-        z = kernels(items, marks) @ root
-        label = np.concatenate([np.ones(len(seen) + len(variants)), -np.ones(len(some))])
-        weight = np.concatenate([np.sqrt([positive[p] for p in seen]), np.full(len(variants), 2.0), np.ones(len(some))])
-        w = _svm(z, label, weight, cost)
-        model.weight, model.bias = ((root @ w[:-1]) @ marks).astype(np.float32), float(w[-1])
-        hard = margins(all_clean, model.weight)
-        some = sorted({*some, *(all_clean[i] for i in np.argsort(-hard)[:3000])})
-        mine = list(toxic)
-        of = dict(zip(mine, margins(mine, model.weight), strict=True))
-        best = [max(t, key=lambda p: (of[p], p)) for t, v in zip(texts, y, strict=True) if v and t]
-    m = model.text_margins([list(t) for t in texts])
-    extra = margins(variants, model.weight) + model.bias if variants else np.zeros(0)
-    m, target = np.concatenate([m, extra]), np.concatenate([np.where(y == 1, 0.999, 0.001), np.full(len(extra), 0.999)])
-    weight = np.concatenate([np.ones(len(y)), np.full(len(extra), 0.04 * n1 / max(1, len(extra)))])  # as much as a few of the toxic texts
-    model.slope, model.shift = _calibrate(m, target, weight)
-    return model
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.text_margins(part.column(1).to_pylist()))], ["label", "margin"])
+
+        rows = self.own.select("label", "pieces").mapInArrow(run, "label int, margin double").collect()
+        m = np.array([r["margin"] for r in rows])
+        extra = margins(variants, model.weight) + model.bias if variants else np.zeros(0)
+        target = np.concatenate([np.where([r["label"] == 1 for r in rows], 0.999, 0.001), np.full(len(extra), 0.999)])
+        weight = np.concatenate([np.ones(len(m)), np.full(len(extra), 0.2 * self.n1 / max(1, len(extra)))])  # as much as a fifth of the toxic texts
+        model.slope, model.shift = _calibrate(np.concatenate([m, extra]), target, weight)
 
 
 def _calibrate(m: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -285,23 +391,29 @@ def _in_groups(part: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Itera
         yield begin, group
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from at most ``max_rows`` labelled documents outside the held-out fold."""
+def fit(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, max_rows: int = 6000,
+    n_toxic: int = 72, n_common: int = 24, rounds: int = 3, cost: float = 10.0, id_col: str = "doc_id", text_col: str = "text",
+) -> Model:
+    """A model from at most ``max_rows`` labelled documents outside the held-out fold, with at most n_toxic + n_common landmarks."""
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for begin, group in _in_groups(part, "text"):
                 own = part.slice(begin, len(group))
-                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("label"), pa.array([b" ".join(sorted(set(pieces(t)))) for t in group], pa.binary())], ["id", "label", "pieces"])
+                sets = [set(pieces(t)) for t in group]
+                arrays = [own.column("id"), own.column("label"), pa.array([sorted(x) for x in sets], pa.list_(pa.binary())), pa.array([copy_keys(x) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "label", "pieces", "keys"])
 
-    sample = labelled_sample(docs, labels, label, folds, held_out, max_rows, id_col, text_col)
-    rows = sorted(sample.mapInArrow(gather, "id long, label int, pieces binary").collect(), key=lambda r: (r["id"], bytes(r["pieces"])))
-    return train([set(bytes(r["pieces"]).split()) for r in rows], np.array([r["label"] for r in rows], np.int64))
+    scratch = Scratch(spark, "toxicity")
+    sample = labelled_rows(docs, labels, label, folds, held_out, max_rows, id_col, text_col)
+    texts = scratch.table(one_row_an_id(sample.mapInArrow(gather, "id long, label int, pieces array<binary>, keys array<long>")).coalesce(8), "texts")
+    return Trainer(scratch, texts, n_toxic, n_common, cost, max_rows).train(rounds)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    shared = spark.sparkContext.broadcast(model)  # 2^15 floats, whatever the input
+    shared = spark.sparkContext.broadcast(model)  # 2^18 floats, whatever the input
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumisift.llm import decontaminate, html_extract, mixing, personal_data, quality_fm, quality_rules, toxicity
 
-BAD = ["idiot", "moron", "worthless", "pathetic"]
+BAD = ["idiot", "moron", "worthless", "pathetic", "дурак"]
 
 
 def sentence(rng, n):
@@ -70,9 +70,9 @@ def test_toxicity(spark, labelled):
     assert n > 80 and ok > 0.97 and out.where("score is null").count() == 0
     assert out.where("doc_id in (1000, 1001)").agg(F.max("predicted")).first()[0] == 0
     assert out.where("doc_id is null").first()["predicted"] == 1
-    hidden = ["you i.d.i.o.t there", "such a m o r o n", "an idxiot", "w0rthless stuff", "IDIOT", "mo-ron"]
-    scores = model.scores([toxicity.pieces(t.encode()) for t in hidden + ["a clean little sentence", ""]])
-    assert (scores[:6] >= 0.5).all() and (scores[6:] < 0.5).all()
+    hidden = ["you i.d.i.o.t there", "such a m o r o n", "an idxiot", "w0rthless stuff", "IDIOT", "mo-ron", "you id io t", "ты ДУРАК", "ты дурррак"]
+    scores = model.scores([toxicity.pieces(t.encode()) for t in hidden + ["a clean little sentence", "", "чистое предложение"]])
+    assert (scores[:9] >= 0.5).all() and (scores[9:] < 0.5).all(), scores
     kept = toxicity.drop_toxic(spark, docs, model)
     assert kept.columns == docs.columns and kept.count() == out.where("predicted = 0").count()
 
@@ -80,9 +80,11 @@ def test_toxicity(spark, labelled):
 def test_kernel_counts_subsequences():
     a, b = b"abcd", b"abxcd"
     brute = lambda s, t: sum(0.7 ** (i[2] - i[0] + 1) * 0.7 ** (j[2] - j[0] + 1) for i in toxicity._places(len(s))[0] for j in toxicity._places(len(t))[0] if bytes(s[k] for k in i) == bytes(t[k] for k in j))
-    m = toxicity.maps([a, b])
-    assert float(m[0] @ m[1]) == pytest.approx(brute(a, b) / (brute(a, a) * brute(b, b)) ** 0.5, rel=1e-5)
-    assert float(toxicity.kernels([b], m[:1])[0, 0]) == pytest.approx(float(m[0] @ m[1]), rel=1e-5)
+    marks = toxicity.Landmarks([a, b"xyz"])
+    want = brute(a, b) / (brute(a, a) * brute(b, b)) ** 0.5
+    assert marks.kernels([b]).tolist()[0] == pytest.approx([want, 0], rel=1e-5)
+    folded = marks.folded(np.array([1.0, 0.0]))
+    assert float(toxicity.margins([b], folded)[0]) == pytest.approx(want, rel=1e-5)
 
 
 def test_one_class_only(spark, labelled):
