@@ -23,6 +23,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b") if large else out.where("a <> b").distinct()
 
 
+def star_round(edges: DataFrame) -> DataFrame:
+    """One round over edges (a, b): the same components by edges that lead more directly to the least node of each."""
+    return _star(_star(edges, True), False)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node with an edge; the component is its least node.
 
@@ -37,7 +42,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if size == before or not size[0]:
             break
         before = size
-        new = scratch.table(_star(_star(now, True), False), "star")
+        new = scratch.table(star_round(now), "star")
         scratch.drop(now)
         now = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b"))).distinct()
