@@ -6,14 +6,15 @@ Candidates: an empty register borrows from the first filled one in a fixed order
 registers are the bucket keys; a pair at a similarity of 0.8 is missed with odds of 3e-6, one at 0.9 never, and
 texts that merely share common words do not meet. (Far larger corpora want 512 registers in bands of 7 or 8.)
 Before verification the share of equal registers, less the collisions expected from cutting hashes to 16 bits,
-estimates the similarity; only pairs five standard errors below the threshold are left out. Every other pair is
-confirmed on the full shingle sets.
+estimates the similarity: likely pairs are verified first, and a pair that they connect needs no more. No pair is left
+out for its estimate; every link is confirmed on the full shingle sets.
 
 Groups: equal sets become one representative first. Then every member of a bucket is compared with the bucket's
-least document, and with one by hash, unless the two are known to be connected: a linear number of pairs.
-Confirmed links are contracted to components. At last all pairs of one bucket that still lie in different
-components are compared, but for those that counts of rare shingles rule out. So each colliding pair is
-confirmed, refuted or inside one component already, and copies are not expanded into all pairs.
+pivots, its least and greatest documents and one by hash: a linear number of pairs. Confirmed links are contracted.
+What can still be missing are links between members of different components, in buckets with two members or more that
+are no pivots. They are found exactly: shingles in order of rarity among these documents, and a pair only where the
+first few of both share one (a prefix filter with places and size classes), so that near copies which differ too much
+make no rows with each other. So each colliding pair is confirmed, refuted or inside one component already.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing. A text with fewer words than a
 shingle has one shingle, its whole sequence. Rows sharing a doc_id are one node. A null doc_id links with
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.llm.text import NO_ID, Batch, batches_of, id_list, mix, run_hashes, word_hashes
-from lumisift.plans.components import components
+from lumisift.plans.components import components, star_round
 from lumisift.plans.scratch import Scratch
 
 BUCKET_BITS, MANTISSA_BITS = 8, 10
@@ -107,7 +108,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.maximum(0, same - chance) / np.maximum(1, used), used
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rare: int = 64) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable over confirmed links), kept."""
     scratch = Scratch(spark, "hyperminhash")
     per_cent = round(threshold * 100)
@@ -140,26 +141,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "doc"])
 
     # a similarity of the threshold or more between different sets needs more shingles than this
-    bands = reps.where(F.col("n_shingles") >= int(threshold / (1 - threshold))).select("doc_id", "sig").mapInArrow(cut, "band long, doc long")
+    bands = reps.where(100 * F.col("n_shingles") >= per_cent * (F.col("n_shingles") + 1)).select("doc_id", "sig").mapInArrow(cut, "band long, doc long")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    open_ = scratch.table(bands.join(shared.hint("merge"), "band").withColumn("comp", F.col("doc")), "members")
-
-    # what the comparisons need of the documents that share a bucket: sketches and texts, shuffled once. Sides that
-    # grow with the input are merged by sort at every size, never broadcast because an input happens to be small.
-    shared_ids = open_.select(F.col("doc").alias("doc_id")).distinct()
-    cand = scratch.table(rows.select("doc_id", "n_shingles", "sig", "n_bytes", "packed").join(shared_ids.hint("merge"), "doc_id", "left_semi"), "candidates")
-    confirm = lambda pairs: _confirm(scratch, scratch.table(pairs.distinct(), "pairs"), cand, width, per_cent, threshold)
-    # first the least document of each bucket; a one-hop label is enough to know some pairs as settled
-    links = scratch.table(confirm(_pivot_pairs(open_, F.lit(0))), "links")
-    hop = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
-    open_ = _still_open(scratch, open_, hop)
-    # then a pivot by hash, another one in each bucket
-    links = links.unionByName(scratch.table(confirm(_pivot_pairs(open_, F.xxhash64("band", "doc"))), "links"))
-    comp = scratch.table(components(links, scratch), "contracted")
-    open_ = _still_open(scratch, open_, comp)
-    if open_.head(1):
-        links = links.unionByName(scratch.table(confirm(_remaining_pairs(scratch, open_, cand, width, per_cent, threshold, rare)), "links"))
-        comp = scratch.table(components(links, scratch), "components")
+    members = scratch.table(bands.join(shared.hint("merge"), "band"), "members")
+    # the documents that share a bucket, with their full sets: sides that grow with the input are merged by sort
+    ids = members.select(F.col("doc").alias("doc_id")).distinct()
+    sets = scratch.table(_sets(rows.join(ids.hint("merge"), "doc_id", "left_semi"), width), "sets")
+
+    links = scratch.table(_confirm(_pivot_pairs(members), sets, per_cent), "links")
+    edges = scratch.table(star_round(scratch.table(star_round(links), "star")), "star")
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    left = scratch.table(_unsettled(scratch, members, labels), "unsettled")
+    more = _prefix_pairs(scratch, left, sets, per_cent)
+    links = edges.unionByName(scratch.table(_confirm(more, sets, per_cent), "links"))
+    comp = components(links, scratch)
 
     found = reps.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep")).join(comp, F.col("rep") == comp.node, "left")
     found = found.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
@@ -168,116 +163,159 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     return out.select("doc_id", "n_shingles", id_.alias("component_id"), F.coalesce(F.col("doc_id") == id_, F.lit(True)).alias("kept"))
 
 
-def _pivot_pairs(open_: DataFrame, order) -> DataFrame:
-    """Each member of a bucket with the bucket's first document by ``order``, unless their labels agree."""
-    pivots = open_.groupBy("band").agg(F.min(F.struct(order.alias("h"), "doc", "comp")).alias("p")).select("band", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("other"))
-    return open_.join(pivots, "band").where("comp <> other").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+def _pivots() -> Column:
+    """Of each bucket: the least document, the greatest, and one by hash."""
+    return F.array_distinct(F.array(F.min("doc"), F.max("doc"), F.min_by("doc", F.xxhash64("band", "doc"))))
 
 
-def _still_open(scratch: Scratch, open_: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with new labels (node, component), of the buckets that still hold several."""
-    placed = open_.select("band", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with each of the bucket's pivots, a pair once."""
+    pivots = members.groupBy("band").agg(_pivots().alias("pivots"))
+    pairs = members.join(pivots.hint("merge"), "band").select("doc", F.explode("pivots").alias("pivot")).where("doc <> pivot")
+    return pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+
+
+def _unsettled(scratch: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc, comp) of the buckets with several components that hold a pair which no pivot is part of."""
+    placed = members.join(labels.hint("merge"), F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
     placed = scratch.table(placed, "placed")
-    several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    return scratch.table(placed.join(several, "band"), "open")
+    apart = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") - F.size(_pivots())).alias("others"))
+    return placed.join(apart.where("lo < hi and others > 1").select("band").hint("merge"), "band").select("doc", "comp").distinct()
+
+
+def _need(n, m, per_cent: int):
+    """Common shingles that two sets of n and m need for the threshold."""
+    return -(-per_cent * (n + m) // (100 + per_cent))
+
+
+_WIDE = np.log(1.05)
+
+
+def _prefixes(shingle: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sides and places of one set's shingles in order of rarity.
+
+    Two sets with enough in common share one of the first few of each, in any common order; how few depends on both
+    sizes. As the smaller of a pair a set gives the fewest, under the class of its size; as the larger one, for every
+    class of sizes that can match it, as many as the least size of the class asks.
+    """
+    n = len(shingle)
+    own = int(np.log(n) / _WIDE)
+    keys, sides, places = [], [], []
+
+    def give(size_class: int, length: int, larger: bool) -> None:
+        keys.append(mix(shingle[:length] + mix(np.array([size_class], np.uint64))))
+        sides.append(np.full(length, larger))
+        places.append(np.arange(length))
+
+    give(own, n - _need(n, n, per_cent) + 1, False)
+    least = -(-per_cent * n // 100)
+    for c in range(int(np.log(least) / _WIDE), own + 1):
+        give(c, n - _need(n, max(least, int(np.exp(c * _WIDE)) - 1), per_cent) + 1, True)
+    return np.concatenate(keys), np.concatenate(sides), np.concatenate(places)
 
 
-def _remaining_pairs(scratch: Scratch, open_: DataFrame, cand: DataFrame, width: int, per_cent: int, threshold: float, rare: int) -> DataFrame:
-    """All pairs of a bucket in different components that can be similar enough, by what rare shingles allow.
+def _prefix_pairs(scratch: Scratch, left: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """All pairs of ``left`` in different components that can be similar enough, by a filter on their rarest shingles.
 
-    Buckets of at most ``rare`` members give all their pairs. In larger ones, mostly copies of one text, two sets
-    of n and m shingles need an overlap of o = threshold / (1 + threshold) * (n + m), so the first can miss n - o
-    of its own. If it has more rare shingles (in at most ``rare`` of these documents) than that, the
-    two must share some of them: such pairs come from the rare shingles, of which each makes few. Only pairs where
-    neither has too many are taken from the buckets. Members of a bucket's most frequent component are paired with
-    the others alone. Nothing is left out that could be a link.
+    A pair comes from a shared shingle of both prefixes whose places leave room for enough common ones. Of a key, most
+    documents may be copies of one text: members of its most frequent component are paired with the others alone.
     """
-    sized = open_.join(open_.groupBy("band").agg(F.count("*").alias("_size")).hint("merge"), "band")
-    sized = scratch.table(sized, "sized")
-    few_members, open_ = sized.where(F.col("_size") <= rare), sized.where(F.col("_size") > rare)
-    y = lambda s: few_members.select("band", F.col("doc").alias(f"doc_{s}"), F.col("comp").alias(f"comp_{s}"))
-    by_small = y("a").join(y("b"), "band").where("doc_a < doc_b and comp_a <> comp_b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-
-    docs = open_.select("doc").distinct()
-    full = _sets(cand, docs.withColumnRenamed("doc", "doc_id"), width)
-    words = scratch.table(full.mapInArrow(_exploded, "doc long, shingle long"), "shingles")
-    few = words.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("shingle")
-    scarce = scratch.table(words.join(few, "shingle"), "rare")
-    count = scarce.groupBy("doc").agg(F.count("*").alias("c"))
-    labels = open_.select("doc", "comp").distinct()
-    info = labels.join(cand.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).distinct(), "doc").join(count, "doc", "left").select("doc", "comp", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    info = scratch.table(info, "info")
-    side = lambda x: info.select(*(F.col(k).alias(f"{k}_{x}") for k in ("doc", "comp", "n", "c")))
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6)
-
-    on = lambda x: scarce.select("shingle", F.col("doc").alias(f"doc_{x}"))
-    common = on("a").join(on("b"), "shingle").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("s"))
-    common = common.join(side("a"), "doc_a").join(side("b"), "doc_b").where("comp_a <> comp_b")
-    by_rare = common.where((F.col("c_a") - F.col("s") <= F.col("n_a") - need) & (F.col("c_b") - F.col("s") <= F.col("n_b") - need))
-
-    # in whole numbers, as 1 - 0.8 is a little under 0.2 and would lose the links at exactly the threshold
-    small = info.where(100 * F.col("c") <= (100 - per_cent) * F.col("n"))
-    member = open_.select("band", "doc").join(small, "doc")
-    sizes = member.groupBy("band", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("m")).select("band", F.col("m.comp").alias("main"))
-    member = scratch.table(member.join(main, "band"), "member")
-    x = lambda s: member.select("band", "main", *(F.col(k).alias(f"{k}_{s}") for k in ("doc", "comp", "n", "c")))
-    both = (F.col("c_a") <= F.col("n_a") - need) & (F.col("c_b") <= F.col("n_b") - need) & (F.col("comp_a") != F.col("comp_b"))
-    # one side is outside the main component; two outside are taken once
-    once = both & ((F.col("comp_b") == F.col("main")) | (F.col("doc_a") < F.col("doc_b")))
-    by_band = x("a").where("comp_a <> main").join(x("b").drop("main"), "band").where(once)
-    pair = [F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")]
-    return by_small.unionByName(by_rare.select(*pair)).unionByName(by_band.select(*pair))
-
-
-def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for doc, keys in zip(part.column("doc").to_pylist(), part.column("set").to_pylist(), strict=True):
-            key = np.frombuffer(keys, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), doc)), pa.array(key)], ["doc", "shingle"])
-
-
-def _sets(cand: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc, set): the full shingle sets of some documents, from their stored texts."""
+
+    def exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for doc, comp, own, keys in zip(*(part.column(c).to_pylist() for c in ("doc", "comp", "own", "set")), strict=True):
+                key = np.frombuffer(keys, np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(key), x, np.int64)) for x in (doc, comp, own)), pa.array(key)], ["doc", "comp", "own", "shingle"])
+
+    # rows that share an id are sets of their own under it
+    sized = sets.select("doc", F.xxhash64("set").alias("own"), "set").join(left.hint("merge"), "doc")
+    words = scratch.table(sized.mapInArrow(exploded, "doc long, comp long, own long, shingle long"), "shingles")
+    often = words.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = words.join(often.hint("merge"), "shingle").groupBy("doc", "comp", "own").agg(F.collect_list(F.struct("n", "shingle")).alias("ranked"))
+
+    def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lists = part.column("ranked")
+            n, shingle = (lists.flatten().field(f).to_numpy() for f in ("n", "shingle"))
+            edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for i, (doc, comp) in enumerate(zip(part.column("doc").to_pylist(), part.column("comp").to_pylist(), strict=True)):
+                own = slice(edge[i], edge[i + 1])
+                keys, sides, places = _prefixes(shingle[own][np.lexsort((shingle[own], n[own]))].view(np.uint64), per_cent)
+                size = edge[i + 1] - edge[i]
+                numbers = (np.full(len(keys), x, np.int64) for x in (doc, comp, size))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sides), *map(pa.array, numbers), pa.array(places.astype(np.int64))], ["key", "larger", "doc", "comp", "n", "place"])
+
+    asked = scratch.table(ranked.mapInArrow(prefixes, "key long, larger boolean, doc long, comp long, n long, place long"), "prefixes")
+    by_comp = asked.groupBy("key", "comp").agg(F.count("*").alias("k"), F.count_if("larger").alias("larger"))
+    main = by_comp.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("larger").alias("larger"), F.sum("k").alias("k"))
+    main = main.where("comps > 1 and larger > 0 and larger < k").select("key", F.col("m.comp").alias("main"))
+    asked = scratch.table(asked.join(main.hint("merge"), "key"), "shared")
+    side = lambda x, which: asked.where(which).select("key", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "comp", "n", "place")))
+    need = F.ceil(per_cent * (F.col("n_a") + F.col("n_b")) / (100 + per_cent) - 1e-9)
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need
+    fits = (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") <= F.col("n_b")) & (100 * F.col("n_a") >= per_cent * F.col("n_b")) & room
+    small, large = side("a", "not larger"), side("b", "larger").drop("main")
+    minor = small.where("comp_a <> main").join(large.hint("merge"), "key").where(fits)
+    major = small.where("comp_a = main").join(side("b", "larger and comp <> main").drop("main").hint("merge"), "key").where(fits)
+    return minor.unionByName(major).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+
+
+def _sets(rows: DataFrame, width: int) -> DataFrame:
+    """(doc, n, sig, set): sketches and full shingle sets of some documents, from their stored texts."""
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for part in parts:
+            done = 0
             texts = [codec.decompress(t, n, asbytes=True) if n else b"" for t, n in zip(part.column("packed").to_pylist(), part.column("n_bytes").to_pylist(), strict=True)]
             for b in batches_of(part.column("doc_id"), pa.array(texts, pa.binary()), 1 << 20):
                 key, first = shingles(b, width)
-                yield pa.RecordBatch.from_arrays([id_list(b.ids), pa.array([key[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc", "set"])
+                whole = pa.array([key[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([id_list(b.ids), part.column("sig").slice(done, len(b.ids)), whole], ["doc", "sig", "set"])
+                done += len(b.ids)
 
-    return cand.select("doc_id", "n_bytes", "packed").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc long, set binary")
+    return rows.select("doc_id", "n_bytes", "packed", "sig").mapInArrow(sets, "doc long, sig binary, set binary")
 
 
-def _confirm(scratch: Scratch, pairs: DataFrame, cand: DataFrame, width: int, per_cent: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    side = lambda x: cand.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}")).hint("merge")
+class _Joined:
+    """Which documents of one batch are connected."""
 
-    def likely(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            a, b = (np.frombuffer(b"".join(part.column(f"sig_{x}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in "ab")
-            n, m = (part.column(f"n_{x}").to_numpy() for x in "ab")
-            guess, used = estimate(a, b, n, m)
-            slack = 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
-            ok = (100 * np.minimum(n, m) >= per_cent * np.maximum(n, m)) & ((used < REGISTERS // 2) | (guess >= threshold - slack))
-            yield part.select(["a", "b"]).filter(pa.array(ok))
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough, less those that others of a batch connect already.
+
+    The estimate from the sketches orders the work of a batch, likely pairs first; no pair is left out for it.
+    """
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("set").alias(f"set_{x}")).hint("merge")
 
     def similar(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ok = []
-            for x, y in zip(part.column("set_a"), part.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= per_cent * (len(x) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    hopeful = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(likely, "a long, b long"), "hopeful")
-    needed = hopeful.select("a").union(hopeful.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    full = scratch.table(_sets(cand, needed, width), "sets")
-    of = lambda x: full.select(F.col("doc").alias(x), F.col("set").alias(f"set_{x}")).hint("merge")
-    return hopeful.join(of("a"), "a").join(of("b"), "b").mapInArrow(similar, "a long, b long")
+            if not part.num_rows:
+                continue
+            sig = [np.frombuffer(b"".join(part.column(f"sig_{x}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in "ab"]
+            a, b = ([np.frombuffer(s.as_py(), np.uint64) for s in part.column(f"set_{x}")] for x in "ab")
+            n, m = (np.array([len(s) for s in x]) for x in (a, b))
+            guess, _ = estimate(*sig, n, m)
+            ids, joined, found = [part.column(x).to_pylist() for x in "ab"], _Joined(), []
+            for i in np.argsort(-guess, kind="stable").tolist():
+                x, y = joined.root(ids[0][i]), joined.root(ids[1][i])
+                if x == y or 100 * min(n[i], m[i]) < per_cent * max(n[i], m[i]):
+                    continue
+                both = len(np.intersect1d(a[i], b[i], assume_unique=True))
+                if 100 * both >= per_cent * (n[i] + m[i] - both):
+                    joined.up[y] = x
+                    found.append(i)
+            yield part.select(["a", "b"]).take(pa.array(found, pa.int64()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(similar, "a long, b long")
 
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
