@@ -1,8 +1,9 @@
 """Personal data: fixed forms as seeds, and bootstrapped contextual extraction of unseen identifiers.
 
 Base spans: leftmost non-overlapping matches of four forms, checked by value (address parts, Luhn, digits).
-Bootstrapping: every base span is a seed instance of its kind. The words next to seeds and next to other
-identifier-like tokens are lexical patterns. Spark scores the graph of patterns and instances in rounds: a
+Bootstrapping: every base span is a seed instance of its kind, and every long hexadecimal run one of a kind that the
+base has no form for, secrets (keys, tokens); those are spans, but never base spans. The words next to seeds and
+next to other identifier-like tokens (one before, two before, one after) are lexical patterns. Spark scores the graph of patterns and instances in rounds: a
 pattern's confidence in a kind is the share of the weight of all its instances that the kind holds (with a
 prior for the unknown), and an unknown instance's score is the noisy-or of its patterns' confidence, so that
 newly trusted instances strengthen further patterns. Rounds go on until no confidence moves. Each solves a
@@ -11,7 +12,7 @@ of a pattern. Identifiers that high-confidence patterns point to, and whose shap
 Instances are tokens, and runs of 7 to 19 digits in groups with single spaces, dots, hyphens or brackets between them.
 
 Everything here is DataFrame functions: matching is ``regexp_extract_all``, positions come from the pieces that
-``split`` leaves between the matches. Patterns use possessive groups and start only where a run starts, so long
+``split`` leaves between the matches, by sums over blocks of them; what overlaps is found by windows over a text. Patterns use possessive groups and start only where a run starts, so long
 runs of letters or digits cost linear time and no deep recursion. Hot patterns ("the") are pre-aggregated;
 their way back is an equi-join that Spark can split.
 
@@ -24,12 +25,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisift.plans.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
+#: Found by the method alone: keys and tokens. Its seeds are long runs of hexadecimal digits.
+MORE_KINDS = ("secret",)
+ALL_KINDS = KINDS + MORE_KINDS
 _SP = r"\x20\x09-\x0D"
 _LOCAL = r"A-Za-z0-9._%+-"
 # The four forms. Each is entered at the start of a run, or where the last match ended (\G): matches that began
@@ -39,6 +43,7 @@ FORMS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
 }
 # Shapes an added identifier must have, and how a token of such a shape is found.
 SHAPES = {
@@ -46,34 +51,51 @@ SHAPES = {
     "ip": r"^[0-9]+([.:_-][0-9]+){3}$",
     "card": r"^[0-9]([ .:_/-]?[0-9]){12,18}$",
     "phone": r"^[+(]?[0-9]([ .:_/()-]*[0-9]){6,14}$",
+    "secret": r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])[a-z0-9_+/=-]{16,}$",
 }
 _TOKEN = rf"(?<![^{_SP}])(?=[^{_SP}]*+(?<=[^{_SP}]))(?=[^0-9@{_SP}]*+[0-9@]|[^{_SP}\[(]*+[\[(]at)[^{_SP}]{{4,}}"
 # Groups of digits, bare or in brackets, with a space, dot or hyphen between, to the end of the last token.
 _GROUP = r"(?:\([0-9]++\)|[0-9]++)"
 _RUN = rf"(?<![^{_SP}])[\"'(<\[{{]{{0,3}}\+?{_GROUP}(?:[\x20.-]{_GROUP}|(?<=\))[0-9]++|\([0-9]++\))++[^{_SP}]*+"
+_OPENING, _CLOSING = "\"'(<[{", "\"')>]}.,;:!?"
 _EDGE = "[\"'(<\\[{]"
 _TAIL = "[\"')>\\]}.,;:!?]"
 
 
-def _located(text: Column, form: str, context: bool) -> Column:
-    """Matches of ``form`` with code-point positions, and the words before and after if ``context``."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _offsets(sizes: Column) -> Column:
+    """The sum of all sizes before each, by sums of blocks of about the root of their number."""
+    each = lambda t: F.greatest(F.ceil(F.sqrt(F.size(t))).cast("int"), F.lit(1))
+    block = lambda t: F.transform(F.sequence(F.lit(0), each(t)), lambda b: _sum(F.slice(t, 1, b * each(t))))
+    at = lambda t, f, i: F.element_at(f, (F.floor(i / each(t)) + 1).cast("int")) + _sum(F.slice(t, (i - i % each(t)) + 1, i % each(t)))
+    return _let(sizes, lambda t: _let(block(t), lambda f: F.transform(t, lambda _, i: at(t, f, i))))
+
+
+def _located(text: Column, form: str) -> Column:
+    """Matches of ``form`` with code-point positions, and the whole words before (one, and two) and after them."""
     pieces, found = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    following = F.slice(pieces, 2, F.size(pieces)) if context else found
-    rows = F.arrays_zip(pieces.alias("gap"), found.alias("v"), following.alias("next"))
-    before = lambda s: F.lower(F.regexp_extract(F.right(s, F.lit(80)), rf"([^{_SP}]++)[{_SP}]*$", 1))
-    after = lambda s: F.lower(F.regexp_extract(F.left(s, F.lit(80)), rf"^[{_SP}]*([^{_SP}]+)", 1))
+    rows = F.arrays_zip(pieces.alias("gap"), found.alias("v"), F.slice(pieces, 2, F.size(pieces)).alias("next"))
+    rows = rows.cast("array<struct<gap:string,v:string,next:string>>")
+    sizes = lambda r: F.transform(r, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["v"]), F.lit(0)))
+    before = lambda s, words: F.lower(F.regexp_extract(F.rtrim(s, F.lit(_OPENING)), rf"(?<![^{_SP}])({words})[{_SP}]*+$", 1))
+    after = lambda s: F.lower(F.regexp_extract(F.ltrim(s, F.lit(_CLOSING)), rf"^[{_SP}]*+([^{_SP}]++)", 1))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        cols = [start.alias("start"), (start + F.length(x["v"])).alias("end"), x["v"].alias("v")]
-        cols += [before(x["gap"]).alias("left"), after(x["next"]).alias("right")] if context else [F.lit("").alias("left"), F.lit("").alias("right")]
-        out = F.when(x["v"].isNotNull(), F.concat(acc["out"], F.array(F.struct(*cols)))).otherwise(acc["out"])
-        return F.struct((start + F.coalesce(F.length(x["v"]), F.lit(0))).alias("pos"), out.alias("out"))
+    def placed(x: Column, offset: Column) -> Column:
+        start = offset + F.length(x["gap"])
+        names = [start.alias("start"), (start + F.length(x["v"])).alias("end"), x["v"].alias("v")]
+        words = [before(x["gap"], f"[^{_SP}]++").alias("left"), before(x["gap"], f"[^{_SP}]++[{_SP}]++[^{_SP}]++").alias("left2"), after(x["next"]).alias("right")]
+        return F.struct(*names, *words)
 
-    kind = "array<struct<start:int,end:int,v:string,left:string,right:string>>"
-    names = rows.cast("array<struct<gap:string,v:string,next:string>>")
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
-    return F.when(text.rlike(form), F.aggregate(names, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    whole = _let(rows, lambda r: F.filter(F.zip_with(r, _offsets(sizes(r)), placed), lambda x: x["v"].isNotNull()))
+    return F.when(text.rlike(form), whole).otherwise(F.array().cast("array<struct<start:int,end:int,v:string,left:string,left2:string,right:string>>"))
 
 
 def _digits(v: Column) -> Column:
@@ -96,6 +118,9 @@ def _valid(kind: str, v: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
+_WORDS = ("left", "left2", "right")
+
+
 def _keeper(kind: str):
     return lambda x: _valid(kind, x["v"])
 
@@ -113,9 +138,9 @@ def _scan(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     """One row per document: base spans with contexts, and other identifier-like tokens and runs of digit groups."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     out = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, text.alias("_text"))
-    for k in KINDS:
-        out = out.withColumn(f"_{k}", F.filter(_located(F.col("_text"), FORMS[k], True), _keeper(k)))
-    return out.withColumn("_token", _located(F.col("_text"), _TOKEN, True)).withColumn("_run", _runs(_located(F.col("_text"), _RUN, True)))
+    for k in ALL_KINDS:
+        out = out.withColumn(f"_{k}", F.filter(_located(F.col("_text"), FORMS[k]), _keeper(k)))
+    return out.withColumn("_token", _located(F.col("_text"), _TOKEN)).withColumn("_run", _runs(_located(F.col("_text"), _RUN))).drop("_text")
 
 
 def _runs(found: Column) -> Column:
@@ -125,27 +150,33 @@ def _runs(found: Column) -> Column:
         lead = F.length(F.regexp_extract(x["v"], rf"^{_EDGE}*?(?=\([0-9]+\)|\+?[0-9])", 0))
         tail = F.length(F.regexp_extract(x["v"], f"{_TAIL}*$", 0))
         v = F.substring(x["v"], lead + 1, F.length(x["v"]) - lead - tail)
-        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), v.alias("v"), x["left"].alias("left"), x["right"].alias("right"))
+        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), v.alias("v"), *(x[w].alias(w) for w in _WORDS))
 
     whole = lambda x: x["v"].rlike(r"^[+(]?[0-9][0-9.()-]*\x20[0-9\x20.()-]*[0-9]$") & F.length(_digits(x["v"])).between(7, 19)
     return F.filter(F.transform(found, bare), whole)
 
 
+def _clear(blocks: Column) -> Column:
+    """Whether an item overlaps none of the blocking items before it or behind it in its text."""
+    place = Window.partitionBy("_row")
+    before = F.max(F.when(blocks, F.col("end"))).over(place.orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.min(F.when(blocks, F.col("start"))).over(place.orderBy(F.desc("start"), F.desc("rank"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(behind >= F.col("end"), F.lit(True))
+
+
 def _occurrences(scanned: DataFrame) -> DataFrame:
     """One row for each seed or unknown token: _row, start, end, kind (null if unknown), instance, pattern words."""
-    spans = F.concat(*(_tagged(f"_{k}", k, "v", "left", "right") for k in KINDS))
-    seeds = scanned.select("_row", F.explode(spans).alias("x")).select("_row", "x.*")
-    covered = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    apart = lambda spans, others: F.when(F.size(spans) > 0, F.filter(spans, lambda t: ~F.exists(others, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
-    scanned = scanned.withColumn("_run", F.coalesce(apart("_run", covered), F.slice("_run", 1, 0)))
-    runs = scanned.select("_row", F.explode("_run").alias("x")).select("_row", "x.*")
-    # a token of a run is no instance of its own
-    tokens = scanned.select("_row", F.explode(apart("_token", F.concat(covered, "_run"))).alias("x")).select("_row", "x.*")
+    seeds = F.concat(*(_tagged(f"_{k}", k, "v", *_WORDS) for k in ALL_KINDS))
+    of = lambda spans, rank: scanned.select("_row", F.explode(spans).alias("x")).select("_row", "x.*").withColumn("rank", F.lit(rank))
+    items = of(seeds, 0).unionByName(of("_run", 1), allowMissingColumns=True).unionByName(of("_token", 2), allowMissingColumns=True)
+    # a run that overlaps a seed is no instance, nor is a token that overlaps either
+    items = items.withColumn("clear", _clear(F.col("rank") == 0)).where("rank <> 1 or clear")
+    items = items.withColumn("clear", _clear(F.col("rank") < 2)).where("rank <> 2 or clear").drop("clear")
+    tokens = items.where("rank = 2")
     lead = F.length(F.regexp_extract("v", f"^{_EDGE}*", 0))
     tail = F.length(F.regexp_extract("v", f"{_TAIL}*$", 0))
     tokens = tokens.withColumns({"start": F.col("start") + lead, "end": F.greatest(F.col("end") - tail, F.col("start") + lead), "v": F.regexp_replace("v", f"^{_EDGE}*|{_TAIL}*$", "")})
-    tokens = tokens.where("length(v) >= 4").unionByName(runs).withColumn("kind", F.lit(None).cast("string"))
-    return seeds.unionByName(tokens).withColumn("v", F.lower("v"))
+    return items.where("rank < 2").unionByName(tokens.where("length(v) >= 4")).drop("rank").withColumn("v", F.lower("v"))
 
 
 def bootstrap(scratch: Scratch, occurrences: DataFrame, settled: float, min_seeds: int, prior: float, accept: float) -> DataFrame:
@@ -154,7 +185,7 @@ def bootstrap(scratch: Scratch, occurrences: DataFrame, settled: float, min_seed
     Rounds end when no pattern's trust changes by more than ``settled``. Trust only rises, to the least solution of
     trust = (n_kind + sum n * score) / (n_known + n_unknown + prior), score = 1 - product of (1 - trust).
     """
-    sides = F.array(*(F.when(F.col(s) != "", F.concat(F.lit(f"{s}:"), F.col(s))) for s in ("left", "right")))
+    sides = F.array(*(F.when(F.col(s) != "", F.concat(F.lit(f"{s}:"), F.col(s))) for s in _WORDS))
     edges = occurrences.select("_row", "start", "end", "kind", "v", F.explode(F.array_compact(sides)).alias("pattern"))
     graph = scratch.table(edges.groupBy("pattern", "v", "kind").agg(F.count("*").alias("n")), "graph")
     known = graph.where("kind is not null").select("pattern", "v", "kind", "n", F.lit(1e0).alias("weight"))
@@ -164,7 +195,7 @@ def bootstrap(scratch: Scratch, occurrences: DataFrame, settled: float, min_seed
     seeded = known.groupBy("pattern", "kind").agg(F.sum("n").alias("n_kind"), F.countDistinct("v").alias("n_seeds"))
     total = known.groupBy("pattern").agg(F.sum("n").alias("n_known"))
     base = scratch.table(asked.join(total, "pattern").join(seeded, "pattern").where(F.col("n_seeds") >= min_seeds), "patterns")
-    fits = reduce(lambda a, k: a | ((F.col("kind") == k) & F.col("v").rlike(SHAPES[k])), KINDS, F.lit(False))
+    fits = reduce(lambda a, k: a | ((F.col("kind") == k) & F.col("v").rlike(SHAPES[k])), ALL_KINDS, F.lit(False))
     fitting = scratch.table(unknown.join(base.select("pattern", "kind"), "pattern").where(fits), "fitting")
     miss = F.log1p(-F.least("trust", F.lit(1 - 1e-9)))
     own = fitting.groupBy("pattern", "kind").agg(F.sum("n").alias("n_fit"))
@@ -195,9 +226,10 @@ def _spans(docs: DataFrame, text: Column, keep: list[str], scratch: Scratch, **t
     occurrences = scratch.table(_occurrences(scanned), "occurrences")
     added = bootstrap(scratch, occurrences, **tuning).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_added"))
     base = F.concat(*(_tagged(f"_{k}", k) for k in KINDS))
-    out = scanned.select("_row", *keep, base.alias("base"), *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS)).join(added, "_row", "left")
-    both = F.flatten(F.array(*(F.array_sort(F.concat(_of_kind("base", k), _tagged(_of_kind("_added", k), k))) for k in KINDS)))
-    return out.withColumn("spans", F.when(F.col("_added").isNull(), F.col("base")).otherwise(both)).drop("_added")
+    seeds = F.concat(*(_tagged(f"_{k}", k) for k in ALL_KINDS))
+    out = scanned.select("_row", *keep, base.alias("base"), seeds.alias("_seeds"), *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS)).join(added, "_row", "left")
+    both = F.flatten(F.array(*(F.array_sort(F.concat(_of_kind("_seeds", k), _tagged(_of_kind("_added", k), k))) for k in ALL_KINDS)))
+    return out.withColumn("spans", F.when(F.col("_added").isNull(), F.col("_seeds")).otherwise(both)).drop("_added", "_seeds")
 
 
 TUNING = {"settled": 1e-6, "min_seeds": 5, "prior": 1.0, "accept": 0.9}

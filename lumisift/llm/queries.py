@@ -32,7 +32,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data.find(spark, _docs(spark, sf_dir))
     base = F.sha2(personal_data.spelled("base"), 256).alias("base_sha256")
-    return out.select("doc_id", *(f"n_{k}" for k in personal_data.KINDS), base, personal_data.spelled("spans").alias("spans"))
+    beyond = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return out.select("doc_id", *(f"n_{k}" for k in personal_data.KINDS), base, personal_data.spelled("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), beyond)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,26 @@ def test_bootstrapping_finds_numbers_in_groups(spark):
     assert got[5] == [("card", 12, 31)] and got[6] == [("phone", 9, 21)] and got[7] == got[8] == got[9] == []
 
 
+def test_bootstrapping_finds_secrets_by_their_words(spark):
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(20)]
+    rows = [(i, f'so token = "{k}" then é') for i, k in enumerate(keys)] + [(100, 'the token = "abc-1234567-defgh-99" here'), (101, "abc-1234567-defgh-99x alone"), (102, "1" * 40)]
+    got = {r["doc_id"]: r for r in personal_data.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in got[3]["spans"]] == [("secret", 12, 52)] and got[3]["base"] == []
+    assert [(s["kind"], s["start"], s["end"]) for s in got[100]["spans"]] == [("secret", 13, 33)]
+    assert got[101]["spans"] == got[102]["spans"] == []
+    assert personal_data.redact(spark, spark.createDataFrame(rows[:20], "doc_id long, text string")).where("text <> 'so token = \"[SECRET]\" then é'").count() == 0
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    text = "x@y.zz +1 555 555 1234 é " * 8000
+    began = time.time()
+    r = personal_data.find(spark, spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["n_email"] == r["n_phone"] == 8000 and time.time() - began < 90
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["base"]] == brute_spans(text)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="<p>no</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><header>Site head</header><div class="ad">Buy this, now, please, friends.</div>
 <div id="page"><article><h1>Title &amp; more</h1><p>First <b>paragraph, long enough, with commas.<br>Next&nbsp;line</p><p>Second one, a bit
