@@ -1,19 +1,21 @@
-"""Repeated byte strings by merging the shards' Burrows-Wheeler transforms.
+"""Repeated byte strings: sampled suffixes of shards merged by refinement of their common intervals.
 
 Each batch of whole documents is a shard. Its suffixes are sampled at content-defined anchors (the leftmost
 minimal 16-gram hash of every 48 starts), which cut the text into phrases; equal texts have equal anchors
-inside, so equal strings have equal phrase sequences in every shard. A shard sorts its sampled suffixes once
-by their first phrases; the symbol of its transform is what precedes a suffix, up to the previous anchor.
-
-The shards' sorted lists are then interleaved by refinement, in the way of Holt and McMillan but over Spark: a
-pass sends one key for each still open prefix interval of a shard, the interleaved buckets (ordered by
-fingerprint, which keeps intervals together, all that is needed here) say which intervals other shards share,
-and an interval that is alone is closed: its longest common prefix with any other suffix is below the depth of
-the pass. Depths grow from two phrases over eight to ``length - 47`` bytes, common to all strings that belong
-to an anchor. No suffix is sorted again; closed ones are not sent again.
+inside, so equal strings have equal phrase sequences in every shard.
+
+The shards' suffixes are interleaved by refinement, in the way that Holt and McMillan merge Burrows-Wheeler
+transforms, but by fingerprint: a pass sends one key for each still open prefix interval of a shard, and the
+interleaved buckets say which intervals other shards share. An interval that is alone is closed: its longest common
+prefix with any other suffix is below the depth of the pass. Depths grow from two phrases over twelve to
+``length - 47`` bytes, common to all strings that belong to an anchor. No suffix is sorted again; closed ones are not
+sent again. The order inside the merge is that of fingerprints, not of bytes, and no transform is kept: identity and
+depth of the intervals are all that finding repeats needs. (A byte-by-byte merge takes a pass for each of ``length``
+bytes.) ``longest_common`` is, of a document's suffixes, the greatest common prefix with any other suffix that the
+passes know of, in bytes: zero, whole phrases, ``length - 47``, or the longest removed run.
 
 What is open at the end are repeated intervals. Each anchor stands for up to 48 starts of ``length``-byte
-strings. Where all suffixes of an interval agree in the preceding symbol and in the rest up to the last of
+strings. Where all suffixes of an interval agree in what precedes them and in the rest up to the last of
 these strings, all its starts repeat; only where they differ are the single starts compared, by 64-bit hashes
 of the whole strings, as the exact check. Every start of every document is decided so, none is sampled away.
 
@@ -33,9 +35,9 @@ from lumisift.llm.exchange import MANY_VALUES, OTHER_BATCH, SAME_PAIR, Pairs, bi
 from lumisift.llm.text import _BYTE_BASE, Batch, id_list, mix, pack, prefix_hash, span_hash, unpack
 from lumisift.plans.scratch import Scratch
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept binary"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept binary, longest_common long"
 GRAM, SPREAD = 16, 48
-PHRASES = (2, 8)
+PHRASES = (2, 12)
 
 
 class Shard:
@@ -87,14 +89,15 @@ class Shard:
         return span_hash(self.prefix, start, end, _BYTE_BASE)
 
     def refine(self, hits, buckets: int):
-        """The next pass' items from the answers so far, or the repeated starts once all are there."""
-        active = np.arange(len(self.anchor))
+        """The next pass' items from the answers so far, or once all are there the repeated starts and each anchor's common prefix."""
+        active, common = np.arange(len(self.anchor)), np.zeros(len(self.anchor), np.int64)
         for number in (1, 2):
             pairs = Pairs(self.span(self.anchor[active], self.succ[number - 1][active]) if len(active) else np.zeros(0, np.uint64))
             if number not in hits:
                 return pairs
             got = bits_for(hits, number, pairs.keys, buckets)
             active = active[(got[OTHER_BATCH] | (pairs.key_count > 1))[pairs.inverse]]
+            common[active] = self.succ[number - 1][active] - self.anchor[active]
         a, lo, hi = self.anchor[active], self.lo[active], self.hi[active]
         core = self.span(a, a + self.length - SPREAD + 1)
         around = mix(self.span(lo, hi + self.length) + (a - lo).astype(np.uint64))
@@ -104,13 +107,14 @@ class Shard:
         got = bits_for(hits, 3, pairs.keys, buckets)
         same = (got[SAME_PAIR] | (pairs.count > 1))[pairs.inverse]
         mixed = (got[MANY_VALUES] | (pairs.key_values > 1))[pairs.inverse]
+        common[active[same | mixed]] = self.length - SPREAD + 1
         single = _ranges(lo[mixed], hi[mixed])
         pairs = Pairs(self.span(single, single + self.length))
         if 4 not in hits:
             return pairs
         got = bits_for(hits, 4, pairs.keys, buckets)
         again = (got[OTHER_BATCH] | (pairs.key_count > 1))[pairs.inverse]
-        return np.concatenate([_ranges(lo[same], hi[same]), single[again]])
+        return np.concatenate([_ranges(lo[same], hi[same]), single[again]]), common
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = 400, batch_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """Per row of ``docs``: removed byte intervals (end exclusive) and the remaining bytes. ``length`` from 160."""
+    """Per row of ``docs``: removed byte intervals (end exclusive), the remaining bytes, and the longest common prefix known. ``length`` from 160."""
     if length < 160:
         raise ValueError("length must be 160 or more: an anchor's strings have to share most of their bytes")
     scratch = Scratch(spark, "suffix")
@@ -147,24 +151,28 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = 40
         for part in parts:
             for row in part.to_pylist():
                 batch = unpack(row)
-                start = Shard(batch, length).refine(marked(read_hits(row["hits"]), 4), buckets)
+                shard = Shard(batch, length)
+                start, common = shard.refine(marked(read_hits(row["hits"]), 4), buckets)
                 step = np.zeros(len(batch.data) + 1, np.int64)
                 np.add.at(step, start, 1)
                 np.add.at(step, start + length, -1)
-                yield _rows(batch, np.cumsum(step)[:-1] > 0)
+                longest = np.zeros(len(batch.ids), np.int64)
+                np.maximum.at(longest, np.searchsorted(batch.starts, shard.anchor, "right") - 1, common)
+                yield _rows(batch, np.cumsum(step)[:-1] > 0, longest)
 
     return with_hits(packed, hits).mapInArrow(cut, SCHEMA)
 
 
-def _rows(batch: Batch, gone: np.ndarray) -> pa.RecordBatch:
+def _rows(batch: Batch, gone: np.ndarray, longest: np.ndarray) -> pa.RecordBatch:
     spans, kept, n_removed = [], [], []
-    for a, size in zip(batch.starts, batch.sizes, strict=True):
+    for i, (a, size) in enumerate(zip(batch.starts, batch.sizes, strict=True)):
         g = gone[a : a + size]
         step = np.diff(np.concatenate([[0], g.astype(np.int8), [0]]))
         spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)])
         kept.append(batch.data[a : a + size][~g].tobytes())
         n_removed.append(int(g.sum()))
+        longest[i] = max(longest[i], max((x["end"] - x["start"] for x in spans[-1]), default=0))
     return pa.RecordBatch.from_arrays(
-        [id_list(batch.ids), pa.array(batch.sizes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
-        ["doc_id", "n_bytes", "n_removed", "removed", "kept"],
+        [id_list(batch.ids), pa.array(batch.sizes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()), pa.array(longest)],
+        ["doc_id", "n_bytes", "n_removed", "removed", "kept", "longest_common"],
     )

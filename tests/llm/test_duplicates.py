@@ -81,7 +81,13 @@ def test_suffix_strings(spark, corpus, docs, length):
                 gone[k : k + length] = b"\1" * length
         r = got[i]
         assert (r["n_bytes"], r["n_removed"]) == (len(b), sum(gone))
-        assert len(r["removed"]) == len(re.findall(b"\1+", bytes(gone)))
+        runs = re.findall(b"\1+", bytes(gone))
+        assert len(r["removed"]) == len(runs)
+        # never more than the longest string that also starts elsewhere, never less than a removed run
+        assert r["longest_common"] >= max(map(len, runs), default=0)
+        if not runs and (n := r["longest_common"]):
+            shared = Counter(x[k : k + n] for x in data.values() for k in range(len(x) - n + 1))
+            assert any(shared[b[k : k + n]] > 1 for k in range(len(b) - n + 1))
         assert hashlib.sha256(r["kept"]).digest() == hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).digest()
 
 
