@@ -2,7 +2,7 @@
 
 A multi-pass operator cuts its lineage by writing a table and reading it again: the files outlive a lost
 executor, unlike a local checkpoint, and every later pass sees the same rows. The folder is the one named by
-``spark.checkpoint.dir``; only where that is unset (tests, a local session) a folder of our own is chosen.
+``spark.checkpoint.dir``; only where that is unset in a local session (tests) a folder of our own is chosen.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lumisift.scratch.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumisift-")
         spark.conf.set("lumisift.scratch.dir", found)
     return found.rstrip("/")
@@ -47,7 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lumisift/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.paths = 0, []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back."""
@@ -57,11 +59,21 @@ class Scratch:
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lumisift_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables returned by ``table``."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._lumisift_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._lumisift_path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete all tables of this run but these, which the result still reads."""
+        kept = {t._lumisift_path for t in tables}
+        for path in [p for p in self.paths if p not in kept]:
+            self._delete(path)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths.remove(where)
