@@ -110,7 +110,10 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable over confirmed links), kept."""
-    scratch = Scratch(spark, "hyperminhash")
+    return _near_duplicates(Scratch(spark, "hyperminhash"), docs, width, threshold, id_col, text_col)
+
+
+def _near_duplicates(scratch: Scratch, docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     per_cent = round(threshold * 100)
 
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +157,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     left = scratch.table(_unsettled(scratch, members, labels), "unsettled")
     more = _prefix_pairs(scratch, left, sets, per_cent)
     links = edges.unionByName(scratch.table(_confirm(more, sets, per_cent), "links"))
-    comp = components(links, scratch)
+    comp = scratch.table(components(links, scratch), "components")
+    scratch.drop_all_but(rows, reps, comp)
 
     found = reps.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep")).join(comp, F.col("rep") == comp.node, "left")
     found = found.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
@@ -323,8 +327,10 @@ def without_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thr
 
     Rows that share a kept id all stay, and so do rows with a null id.
     """
-    found = near_duplicates(spark, docs, width, threshold, id_col, text_col)
+    scratch = Scratch(spark, "duplicates")
+    found = _near_duplicates(scratch, docs, width, threshold, id_col, text_col)
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     kept_too = found.where("kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Scratch(spark, "duplicates").table(gone.join(kept_too, "_gone", "left_anti"), "gone")
+    gone = scratch.table(gone.join(kept_too, "_gone", "left_anti"), "gone")
+    scratch.drop_all_but(gone)
     return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")

@@ -225,6 +225,8 @@ def _spans(docs: DataFrame, text: Column, keep: list[str], scratch: Scratch, **t
     scanned = scratch.table(_scan(docs, text, keep), "scanned")
     occurrences = scratch.table(_occurrences(scanned), "occurrences")
     added = bootstrap(scratch, occurrences, **tuning).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_added"))
+    added = scratch.table(added, "added")
+    scratch.drop_all_but(scanned, added)
     base = F.concat(*(_tagged(f"_{k}", k) for k in KINDS))
     seeds = F.concat(*(_tagged(f"_{k}", k) for k in ALL_KINDS))
     out = scanned.select("_row", *keep, base.alias("base"), seeds.alias("_seeds"), *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS)).join(added, "_row", "left")

@@ -408,7 +408,9 @@ def fit(
     scratch = Scratch(spark, "toxicity")
     sample = labelled_rows(docs, labels, label, folds, held_out, max_rows, id_col, text_col)
     texts = scratch.table(one_row_an_id(sample.mapInArrow(gather, "id long, label int, pieces array<binary>, keys array<long>")).coalesce(8), "texts")
-    return Trainer(scratch, texts, n_toxic, n_common, cost, max_rows).train(rounds)
+    model = Trainer(scratch, texts, n_toxic, n_common, cost, max_rows).train(rounds)
+    scratch.drop_all_but()
+    return model
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
