@@ -7,13 +7,23 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL_WORDS = ("", "nan", "none", "null", "na", "n/a")
-TRUE_WORDS = ("true", "t", "yes", "y", "1", "1.0", "detected")
-FALSE_WORDS = ("false", "f", "no", "n", "0", "0.0", "undetected", "nondetection")
+# The words and codes that the formats define.
+NULL_WORDS = ("", "nan", "none", "null")
+NULL_BANDS = ("", "<na>", "nan", "nat", "none", "null")
+TRUE_WORDS = ("true", "t", "yes", "y", "detected", "detection", "1", "1.0")
+FALSE_WORDS = ("false", "f", "no", "n", "nondetection", "non-detection", "0", "0.0")
+GOOD_WORDS = ("good", "clean", "ok", "pass", "passed")
+BAD_WORDS = ("bad", "reject", "rejected", "fail", "failed")
+YES_WORDS = ("true", "t", "yes", "y")
+NO_WORDS = ("false", "f", "no", "n")
+#: Names of quality columns in which true means usable; in all others a flag means unusable.
+POSITIVE_QUALITY = ("quality", "quality_ok", "is_good", "good_quality")
 #: Filter names of one survey's three passbands.
 ZTF_BANDS = {"1": "g", "2": "r", "3": "i", "zg": "g", "zr": "r", "zi": "i", "ztfg": "g", "ztfr": "r", "ztfi": "i"}
-VETO_TYPES = ("star", "variable", "v*", "cv*", "eclbin")
-HOST_TYPES = ("galaxy", "agn", "qso", "g")
+VARIABLE_CODES = ("v*", "v*?", "cv*", "lpv*", "pulsv*", "eclbin", "nova")
+VARIABLE_MARKERS = ("variable", "mira", "cepheid", "rr lyr", "rrlyr", "eclips", "pulsating", "long-period variable")
+HOST_CODES = ("g", "galaxy", "agn", "qso", "quasar", "seyfert", "blazar", "bllac", "radiog", "emg", "ginpair", "gincluster")
+STELLAR_MARKERS = ("star", "stellar", "yso", "white dwarf", "*")
 
 
 def finite(c: Column) -> Column:
@@ -44,9 +54,34 @@ def identifier(c: Column) -> Column:
 
 def passband(c: Column) -> Column:
     """Canonical band name."""
-    name = F.regexp_replace(F.lower(F.trim(c)), "[_-]", "")
+    name = F.lower(F.trim(c))
     known = F.create_map(*(F.lit(x) for kv in ZTF_BANDS.items() for x in kv))
-    return F.when(~name.isin(*NULL_WORDS), F.coalesce(F.try_element_at(known, name), name))
+    return F.when(~name.isin(*NULL_BANDS), F.coalesce(F.try_element_at(known, F.regexp_replace(name, "[_-]", "")), name))
+
+
+def quality(c: Column, name: str) -> Column:
+    """Text of a quality column as usable or not, null if unknown; ``name`` decides which sense its values have."""
+    word, value = F.lower(F.trim(c)), number(c)
+    if name.lower() in POSITIVE_QUALITY:
+        return F.when(value.isNotNull(), value > 0).when(word.isin(*GOOD_WORDS, *YES_WORDS), True).when(word.isin(*BAD_WORDS, *NO_WORDS), False)
+    good = F.when(word.isin(*GOOD_WORDS, *NO_WORDS, "clear"), True).when(word.isin(*BAD_WORDS, *YES_WORDS), False)
+    return F.when(value >= 0, value == 0).when(value.isNull(), good)
+
+
+def age_hours(mjd: Column, now_mjd: float) -> Column:
+    """Hours before ``now_mjd``, null for times more than a minute in the future, negative or not finite."""
+    age = (F.lit(now_mjd) - finite(mjd)) * 24.0
+    return F.when((mjd >= 0) & (age >= -1.0 / 60.0), F.greatest(F.lit(0.0), age))
+
+
+def first_number(*columns: str) -> Column:
+    """The first of several text columns that holds a number."""
+    return F.coalesce(*(number(F.col(c)) for c in columns))
+
+
+def has_label(labels: Column, wanted: Column) -> Column:
+    """Whether a comma list holds a label, in any case and spacing."""
+    return F.array_contains(F.transform(F.split(F.upper(labels), ","), lambda x: F.trim(x)), F.upper(F.trim(wanted)))
 
 
 def survey(c: Column) -> Column:
@@ -95,8 +130,12 @@ def wilson(successes: Column, total: Column, z: float = 1.959963984540054) -> tu
 
 
 def object_category(otype: Column) -> Column:
-    name = F.lower(F.trim(otype))
-    return F.when(name.isin(*VETO_TYPES), "veto").when(name.isin(*HOST_TYPES), "host").otherwise("unknown")
+    """veto, host or unknown: codes match whole, markers anywhere; one-letter codes never inside a word."""
+    name = F.regexp_replace(F.trim(F.regexp_replace(F.lower(otype), "_", " ")), r"\s+", " ")
+    code = lambda codes: name.isin(*codes) | F.replace(name, F.lit(" ")).isin(*codes)
+    mark = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w))
+    veto = F.when(code(VARIABLE_CODES) | mark(VARIABLE_MARKERS), "veto")
+    return veto.when(code(HOST_CODES), "host").when(mark(STELLAR_MARKERS), "veto").otherwise("unknown")
 
 
 def digest(*columns: str) -> Column:

@@ -53,11 +53,12 @@ DOUBLES = {
 }
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
+def query(sql: str | None = None, doubles: str = ""):
+    """Register a function under its name, with its SQL and the names of its double columns."""
+    of_query = doubles
 
     def add(f):
-        doubles = DOUBLES.get(f.__name__, "").split()
+        doubles = (of_query or DOUBLES.get(f.__name__, "")).split()
 
         @functools.wraps(f)
         def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,8 +197,8 @@ def b1_numeric_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(D.PHOT, "r AS (SELECT ['Detected', ' no ', '1', 'maybe', ''][k % 5 + 1] AS word, ['ZTF_g', 'zr', ' 3 ', 'nan', 'u-band'][k % 5 + 1] AS name, survey FROM phot)")
-    + """SELECT word, CASE lower(trim(word)) WHEN 'detected' THEN TRUE WHEN '1' THEN TRUE WHEN 'no' THEN FALSE END AS flag, CASE k WHEN 0 THEN 'g' WHEN 1 THEN 'r' WHEN 2 THEN 'i' WHEN 4 THEN 'uband' END AS band,
-         survey || CASE k WHEN 3 THEN '' ELSE '/' || CASE k WHEN 0 THEN 'g' WHEN 1 THEN 'r' WHEN 2 THEN 'i' WHEN 4 THEN 'uband' END END AS channel, count(*) AS n
+    + """SELECT word, CASE lower(trim(word)) WHEN 'detected' THEN TRUE WHEN '1' THEN TRUE WHEN 'no' THEN FALSE END AS flag, CASE k WHEN 0 THEN 'g' WHEN 1 THEN 'r' WHEN 2 THEN 'i' WHEN 4 THEN 'u-band' END AS band,
+         survey || CASE k WHEN 3 THEN '' ELSE '/' || CASE k WHEN 0 THEN 'g' WHEN 1 THEN 'r' WHEN 2 THEN 'i' WHEN 4 THEN 'u-band' END END AS channel, count(*) AS n
          FROM (SELECT *, list_position(['Detected', ' no ', '1', 'maybe', ''], word) - 1 AS k FROM r) GROUP BY ALL"""
 )
 def b2_flags_and_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

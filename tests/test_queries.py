@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from lumisift.plans.queries import ORACLE, QUERIES
+from lumisift.plans.registry import ORACLE, QUERIES
 
 
 def _text(v):
