@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumisift.functions.scalars import object_category, unit
 from lumisift.operators.crossmatch import cone_pairs
+from lumisift.operators.running import medians
 
 #: Penalties of the base ranking.
 KNOWN_PENALTY, MOVING_PENALTY = 0.30, 0.45
@@ -79,8 +80,10 @@ def host_association(sources: DataFrame, hosts: DataFrame, search_arcsec: float,
 def robust_fit(rows: DataFrame, features: list[str]) -> DataFrame:
     """(feature, centre, scale, n): median and 1.4826 MAD, or the standard deviation where that is zero."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select("x.*").where("v is not null")
-    mid = long.groupBy("feature").agg(F.median("v").alias("m"), F.stddev_pop("v").alias("sd"), F.count("*").alias("n")).where("n >= 2")
-    mad = long.join(F.broadcast(mid.select("feature", "m")), "feature").groupBy("feature").agg((1.4826 * F.median(F.abs(F.col("v") - F.col("m")))).alias("mad"))
+    spread = long.groupBy("feature").agg(F.stddev_pop("v").alias("sd"))
+    mid = medians(long, ["feature"], "v").where("n >= 2").withColumnRenamed("median", "m").join(spread, "feature")
+    off = long.join(F.broadcast(mid.select("feature", "m")), "feature").select("feature", F.abs(F.col("v") - F.col("m")).alias("off"))  # a row for each named feature
+    mad = medians(off, ["feature"], "off").select("feature", (1.4826 * F.col("median")).alias("mad"))
     scale = F.when(F.col("mad") > 1e-9, F.col("mad")).when(F.col("sd") > 1e-9, F.col("sd")).otherwise(1.0)
     return mid.join(mad, "feature").select("feature", F.col("m").alias("centre"), scale.alias("scale"), "n")
 

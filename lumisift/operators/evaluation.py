@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from lumisift.operators.running import numbered, running_sums
 
 
 def melt(rows: DataFrame, keys: list[str], scores: list[str]) -> DataFrame:
@@ -16,9 +19,7 @@ def by_score(rows: DataFrame, keys: list[str], weight: Column | None = None) ->
     """Per unit and distinct score: rows, positives and both summed over higher scores and this one."""
     n = F.count("*") if weight is None else F.sum(weight)
     p = F.sum("label") if weight is None else F.sum(weight * F.col("label"))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = rows.groupBy(*keys, "score").agg(n.alias("n"), p.alias("p"))
-    return g.withColumn("cum_n", F.sum("n").over(w)).withColumn("cum_p", F.sum("p").over(w))
+    return running_sums(rows.groupBy(*keys, "score").agg(n.alias("n"), p.alias("p")), keys, "score", ["n", "p"], descending=True)
 
 
 def ranking_metrics(rows: DataFrame, keys: list[str], budget: int, weight: Column | None = None) -> DataFrame:
@@ -77,7 +78,7 @@ def chronological_split(rows: DataFrame, train: float = 0.7, validation: float =
     n = F.col("blocks")
     n_train = F.least(F.greatest(F.floor(n * train), F.lit(1)), n - 2)
     n_valid = F.least(F.greatest(F.floor(n * validation), F.lit(1)), n - n_train - 1)
-    ranked = times.select("time", F.row_number().over(Window.orderBy("time")).alias("i")).crossJoin(F.broadcast(times.agg(F.count("*").alias("blocks"))))
+    ranked = numbered(times, "time").select("time", "i").crossJoin(F.broadcast(times.agg(F.count("*").alias("blocks"))))
     part = F.when(F.col("i") <= n_train, "train").when(F.col("i") <= n_train + n_valid, "validation").otherwise("test")
     return rows.join(ranked.select("time", part.alias("split")), "time")
 
@@ -93,7 +94,11 @@ def entity_split(rows: DataFrame, train: float, validation: float) -> DataFrame:
     """(entity_id, split): entities in the order of their first availability, cut at two fractions of their number."""
     first = rows.groupBy("entity_id").agg(F.min("available_at_mjd").alias("t"))
     n = F.col("n")
-    ranked = first.select("entity_id", F.row_number().over(Window.orderBy("t", "entity_id")).alias("i")).crossJoin(F.broadcast(first.agg(F.count("*").alias("n"))))
+    # places of distinct times, then of the entities that begin at one
+    times = running_sums(first.groupBy("t").agg(F.count("*").alias("k")), [], "t", ["k"])
+    own = F.row_number().over(Window.partitionBy("t").orderBy("entity_id"))
+    placed = first.withColumn("own", own).join(times, "t").select("entity_id", (F.col("cum_k") - F.col("k") + F.col("own")).alias("i"))
+    ranked = placed.crossJoin(F.broadcast(first.agg(F.count("*").alias("n"))))
     part = F.when(F.col("i") <= F.greatest(F.lit(1), F.floor(n * train)), "train").when(F.col("i") <= F.greatest(F.lit(2), F.floor(n * validation)), "validation").otherwise("test")
     return ranked.select("entity_id", part.alias("split"))
 
@@ -101,4 +106,6 @@ def entity_split(rows: DataFrame, train: float, validation: float) -> DataFrame:
 def vocabulary(split: DataFrame, column: str) -> DataFrame:
     """(term, id): values of the training rows in order, from 1; 0 is left for the unknown."""
     terms = split.where("split = 'train'").select(F.col(column).alias("term")).where("term is not null").distinct()
-    return terms.select("term", F.row_number().over(Window.orderBy("term")).alias("id"))
+    if isinstance(terms.schema["term"].dataType, NumericType):
+        return numbered(terms, "term", "id").select("term", F.col("id").cast("int").alias("id"))
+    return terms.select("term", F.row_number().over(Window.orderBy("term")).alias("id"))  # names: as few as there are words

@@ -177,17 +177,20 @@ def search(
     return usable.groupBy("source_id", "survey", "band").applyInArrow(one, SCHEMA)
 
 
-def correct(channels: DataFrame, universe: int, looks: int, alpha: float, trials: int) -> DataFrame:
+def correct(channels: DataFrame, universe: int | None, looks: int, alpha: float, trials: int) -> DataFrame:
     """Per source: the least p-value corrected for its channels, then for the campaign; and the stable statistic.
 
     Channels without a result count as looks too, and are told in n_unsearched. A source with only these has no p-value.
+    ``universe`` is the number of sources that the campaign tests; None takes those of ``channels``.
     """
     stable = F.least("max_z", F.when(F.col("p_value").isNotNull(), F.coalesce("least_z", F.lit(0.0))))
     g = channels.groupBy("source_id").agg(F.count("*").alias("n_channels"), F.count_if(F.col("p_value").isNull()).alias("n_unsearched"), F.min("p_value").alias("p"), F.max(stable).alias("stable_z"))
+    size = g.agg(F.count("*").alias("universe")) if universe is None else channels.sparkSession.createDataFrame([(universe,)], "universe long")
+    g = g.crossJoin(F.broadcast(size))  # one row
     searched = F.col("p").isNotNull()
     own = F.when(searched, F.least(F.lit(1.0), F.col("p") * F.col("n_channels")))
-    all_ = F.when(searched, F.least(F.lit(1.0), own * universe * looks))
-    status = F.when(~searched, "insufficient_epochs").when(F.lit(universe * looks / (trials + 1) > alpha), "unresolvable").when(all_ <= alpha, "detected").otherwise("not_significant")
+    all_ = F.when(searched, F.least(F.lit(1.0), own * F.col("universe") * looks))
+    status = F.when(~searched, "insufficient_epochs").when(F.col("universe") * looks / (trials + 1) > alpha, "unresolvable").when(all_ <= alpha, "detected").otherwise("not_significant")
     return g.select("source_id", "n_channels", "n_unsearched", own.alias("object_p"), all_.alias("campaign_p"), "stable_z", status.alias("status"))
 
 

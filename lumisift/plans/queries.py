@@ -421,13 +421,13 @@ def e19_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(
-        D.RANKING, "folds AS (SELECT *, time // 10 AS fold FROM ranking)", _LONG_SQL.format(t="folds"), _METRIC_SQL.format(k="fold, model", b=10),
+        D.RANKING, "folds AS (SELECT *, time // 4 AS fold FROM ranking)", _LONG_SQL.format(t="folds"), _METRIC_SQL.format(k="fold, model", b=10),
         "h AS (SELECT fold, coalesce(sum(count(*)) OVER (ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS history FROM folds GROUP BY fold)",
     )
     + "SELECT metrics.*, CAST(history AS BIGINT) AS history FROM metrics JOIN h USING (fold) WHERE history >= 1"
 )
 def e20_rolling_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.rolling_origin(D.ranking(spark, sf_dir), SCORES, 10, 10)
+    return evaluation.rolling_origin(D.ranking(spark, sf_dir), SCORES, 4, 10)
 
 
 @query()
@@ -774,7 +774,7 @@ def i2_template_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def i8_campaign_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.correct(search.search(D.phot(spark, sf_dir), families=("gaussian",)), 5, 1, 0.05, 99)
+    return search.correct(search.search(D.phot(spark, sf_dir)), None, 1, 0.05, 99)
 
 
 @query()

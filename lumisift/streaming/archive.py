@@ -16,20 +16,26 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}")
 
 
-def drain(stream: DataFrame, name: str, write) -> str:
+def drain(stream: DataFrame, name: str, write, mode: str = "append") -> str:
     """Run ``write(batch, path, epoch)`` over everything that is there; returns the folder it wrote to."""
     root = f"{shared_dir(stream.sparkSession)}/lumisift/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.foreachBatch(lambda df, epoch: write(df, f"{root}/out", epoch)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, epoch: write(df, f"{root}/out", epoch)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return f"{root}/out"
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append-only log with content-addressed ids: inserted once, whatever is replayed; counts by type."""
-    ids = events_stream(spark, sf_dir).withColumn("digest", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props"), 256))
-    twice = ids.union(ids).withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", "1 day").dropDuplicatesWithinWatermark(["digest"])
-    path = drain(twice.select("digest", "event_type"), "log", lambda df, path, epoch: df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
-    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("n_digests"))
+    """Append-only log with content-addressed ids: a second stream over the same events adds nothing; counts by type."""
+    log = f"{shared_dir(spark)}/lumisift/eventlog-{uuid.uuid4().hex}"
+
+    def insert(df: DataFrame, path: str, epoch: int) -> None:
+        held = spark.read.schema("digest string, event_type string").option("ignoreMissingFiles", "true").parquet(log) if epoch or second else spark.createDataFrame([], "digest string, event_type string")
+        df.dropDuplicates(["digest"]).join(held.select("digest"), "digest", "left_anti").write.mode("append").parquet(log)
+
+    for second in (False, True):
+        ids = events_stream(spark, sf_dir).withColumn("digest", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props"), 256))
+        drain(ids.select("digest", "event_type"), "log", insert)
+    return spark.read.parquet(log).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("n_digests"))
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +53,18 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and summed values of each UTC day and type, closed by a watermark."""
     s = events_stream(spark, sf_dir).withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", "1 hour")
     agg = s.groupBy(F.window("time", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    root = f"{shared_dir(spark)}/lumisift/days-{uuid.uuid4().hex}"
-    name = f"days_{uuid.uuid4().hex}"
-    query = agg.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", root).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select((F.unix_micros("w.start").cast("long") / 86400000000).cast("long").alias("day"), "event_type", "n")
+    path = drain(agg, "days", lambda df, path, epoch: df.write.mode("overwrite").parquet(path), "complete")
+    return spark.read.parquet(path).select((F.unix_micros("w.start").cast("long") / 86400000000).cast("long").alias("day"), "event_type", "n")
+
+
+def schema_drift(spark: SparkSession, sf_dir: str, contract: list[str]) -> DataFrame:
+    """Events of each type whose fields are those of the contract, and those that drifted from it."""
+    fields = lambda df: F.array_sort(F.array_union(F.json_object_keys("props"), F.when(F.col("event_id") % 10 == 0, F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>"))))
+    want = F.array(*map(F.lit, sorted(contract)))
+
+    def write(df: DataFrame, path: str, epoch: int) -> None:
+        seen = df.withColumn("drift", fields(df) != want).groupBy("event_type").agg(F.count_if(~F.col("drift")).alias("n_match"), F.count_if("drift").alias("n_drift"))
+        seen.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    out = spark.read.parquet(drain(events_stream(spark, sf_dir), "drift", write))
+    return out.groupBy("event_type").agg(F.sum("n_match").alias("n_match"), F.sum("n_drift").alias("n_drift"))
