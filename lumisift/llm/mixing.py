@@ -107,14 +107,19 @@ def mix(
     scratch = Scratch(spark, "mixing")
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     row = F.lit(None).cast("long") if row_col is None else row_col
-    sizes = scratch.table(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
+    own = F.monotonically_increasing_id().alias("own")
+    sizes = scratch.table(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), own), "sizes")
     targets = scratch.table(source_targets(sizes, weights, most), "targets")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.least(F.floor(due + 1e-12), F.lit(math.ceil(most)))
     to = targets.select(F.col("source").alias("_source"), "source_size", "n_docs", "target")
-    now = sizes.join(to, sizes.source.eqNullSafe(F.col("_source"))).select(
+    # rows that are alike in id and size are dealt by a number of their own once they would fill blocks; which of them is taken makes no difference
+    alike = sizes.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.count("*").alias("_n")).where(F.col("_n") > max(1, block // 8)).drop("_n").withColumn("_hot", F.lit(True))
+    sizes = sizes.join(alike, sizes.doc_id.eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")), "left")
+    salt = F.when(F.col("_hot"), F.col("own")).otherwise(F.lit(0))
+    now = sizes.join(to, F.col("source").eqNullSafe(F.col("_source"))).select(
         "row", "doc_id", "source", "size", "source_size", "target", whole.cast("int").alias("whole"), F.greatest(due - whole, F.lit(0.0)).alias("p"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.ceil(F.col("n_docs") / block)).alias("deal"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", salt), F.ceil(F.col("n_docs") / block)).alias("deal"),
     )
     left = targets.agg(F.max("n_docs")).first()[0] or 0
     done = None
