@@ -31,11 +31,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 JUNK = frozenset("nav header footer aside form button select option input label fieldset dialog menu object canvas audio video head".split()) | RAW
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _JUNK_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|newsletter|subscri\w*|popup|modal|overlay|"
-    r"comments?|disqus|replies|respond|sidebar|side|widget|related|recommend\w*|share|sharing|social|menu|nav\w*|breadcrumbs?|pagination|pager|"
-    r"header|masthead|footer|foot|copyright|login|signup|search|toolbar|skip|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|newsletter|subscri\w*|popup|modal|overlay|"
+    r"comments?|disqus|replies|respond|sidebar|widget|related|recommend\w*|sharing|social|menu|nav\w*|breadcrumbs?|pagination|pager|"
+    r"masthead|footer|copyright|login|signup|toolbar)(?:$|[\s_-])",
     re.I,
 )
+# Words that also name parts of an article: inside one they count as a whole name only, not as a part ("side-note").
+_WEAK_NAME = "notice alert side share search skip hidden header foot".split()
+_WEAK_PART = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(_WEAK_NAME)})(?:$|[\s_-])", re.I)
+_WEAK_WHOLE = re.compile(rf"(?:^|\s)(?:{'|'.join(_WEAK_NAME)})(?:$|\s)", re.I)
 _JUNK_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -43,23 +47,25 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "junk", "points", "text_len", "link_len")
+    __slots__ = ("tag", "parent", "items", "junk", "in_article", "points", "text_len", "link_len")
 
     def __init__(self, tag: str, parent: Node | None, junk: bool):
         self.tag, self.parent, self.junk = tag, parent, junk
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
         self.items: list[Node | str] = []
         self.points = 0.0
         self.text_len = self.link_len = 0
 
 
-def _is_junk(tag: str, attrs: str) -> bool:
-    if tag in JUNK:
+def _is_junk(tag: str, attrs: str, in_article: bool) -> bool:
+    if tag in JUNK and not (tag == "header" and in_article):  # an article's header holds its heading
         return True
+    weak = _WEAK_WHOLE if in_article else _WEAK_PART
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     for name, *values in _NAMES.findall(attrs):
         name, value = name.lower(), next(filter(None, values), "")
-        if name in ("class", "id") and _JUNK_NAME.search(value) or name == "role" and value.lower() in _JUNK_ROLE:
+        if name in ("class", "id") and (_JUNK_NAME.search(value) or weak.search(value)) or name == "role" and value.lower() in _JUNK_ROLE:
             return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
@@ -108,7 +114,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag in same:
                 at = up.parent
-        node = Node(tag, at, at.junk or _is_junk(tag, m[3]))
+        node = Node(tag, at, at.junk or _is_junk(tag, m[3], at.in_article))
         at.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)

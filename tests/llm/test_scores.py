@@ -212,6 +212,11 @@ def test_extraction():
     assert html_extract.main_text(deep) == "deep text that is long enough to score"
 
 
+def test_extraction_inside_the_article():
+    page = '<body><header class="top">Site</header><article><header><h1>Head</h1></header><p>Body text, long enough, to be the article.</p><div class="side-note"><p>A note, of the article, that stays.</p></div><div class="share">Share this, please, now, friends</div><div class="related-posts"><p>More to read, here, today, friends</p></div></article></body>'
+    assert html_extract.main_text(page).split("\n\n") == ["Head", "Body text, long enough, to be the article.", "A note, of the article, that stays."]
+
+
 def test_extraction_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, None), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()
@@ -251,6 +256,13 @@ def test_mixing(spark):
     assert mixing.mix(spark, docs.limit(0)).count() == 0
 
 
+def test_equal_rows_are_spread_over_blocks(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 6000 + [(1, "a b c d", "t")] * 500, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mix(spark, docs, block=100)
+    per = {r["source"]: r for r in out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most")).collect()}
+    assert all(abs(r["taken"] - r["target"]) < 300 and r["most"] <= 3 for r in per.values()) and out.count() == 6500
+
+
 def test_leaks(spark):
     rng = random.Random(8)
     items = [(i, sentence(rng, rng.randrange(15, 70))) for i in range(30)] + [(90, None), (91, "")]
