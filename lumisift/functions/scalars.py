@@ -68,6 +68,16 @@ def quality(c: Column, name: str) -> Column:
     return F.when(value >= 0, value == 0).when(value.isNull(), good)
 
 
+def broker_quality(by_sign: Column, sign: Column, flags: list[Column], withdrawn: Column) -> Column:
+    """Whether a broker row is usable: by a positive subtraction in one survey, by flags and withdrawal in the other."""
+    word = F.lower(F.trim(sign))
+    positive = F.when(word.isin("1", *YES_WORDS), True).when(word.isin("-1", "0", *NO_WORDS), False)
+    bad = F.lit(False)
+    for f in flags:
+        bad = bad | F.coalesce(f == 1, F.lit(False))
+    return F.when(by_sign, positive).otherwise(~(bad | F.coalesce(F.trim(withdrawn) != "", F.lit(False))))
+
+
 def age_hours(mjd: Column, now_mjd: float) -> Column:
     """Hours before ``now_mjd``, null for times more than a minute in the future, negative or not finite."""
     age = (F.lit(now_mjd) - finite(mjd)) * 24.0

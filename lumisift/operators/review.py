@@ -38,6 +38,17 @@ def review_queue(candidates: DataFrame, budget: int, anomaly_slots: int, anomaly
     return everything.withColumn("_place", place).where(F.col("_place") <= budget).select("candidate_id", "priority", "anomaly", "route")
 
 
+def routed_queue(candidates: DataFrame, routes: list[tuple]) -> DataFrame:
+    """Rows of each route (name, condition, order, slots) in turn, without those that an earlier one took; ties by id."""
+    chosen: list[DataFrame] = []
+    for name, condition, order, slots in routes:
+        rest = candidates.where(condition)
+        if chosen:
+            rest = rest.join(reduce(DataFrame.unionByName, (c.select("candidate_id") for c in chosen)), "candidate_id", "left_anti")
+        chosen.append(rest.orderBy(*order, "candidate_id").limit(slots).select("candidate_id", F.lit(name).alias("route")))
+    return reduce(DataFrame.unionByName, chosen)
+
+
 def latest_checks(checks: DataFrame) -> DataFrame:
     """Per source and service: the newest check, and whether several different ones are equally new."""
     newest = F.max("checked_hour").over(Window.partitionBy("source_id", "service"))

@@ -33,6 +33,8 @@ def numbered(rows: DataFrame, order: str, name: str = "i") -> DataFrame:
 
 def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, median, n): exact medians of large groups from running counts of distinct values."""
+    if not keys:
+        return medians(rows.withColumn("_one", F.lit(0)), ["_one"], value).drop("_one")
     levels = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     total = levels.groupBy(*keys).agg(F.sum("n").alias("n_all"))
     r = running_sums(levels, keys, value, ["n"]).join(total, keys)
