@@ -81,7 +81,8 @@ def legacy_features(rows: DataFrame, least_points: int = 8, least_amplitude: flo
         return pa.Table.from_pylist([out], pa.schema([(n, kinds[k]) for n, k in (c.split() for c in SCHEMA.split(", "))]))
 
     good = rows.where("magnitude is not null and magnitude_error > 0 and mjd is not null").select("source_id", "mjd", "magnitude", "magnitude_error")
-    return good.groupBy("source_id").applyInArrow(one, SCHEMA)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work for few bytes: not coalesced
+    return good.repartition(tasks, "source_id").groupBy("source_id").applyInArrow(one, SCHEMA)
 
 
 def clipped_covariance(rows: DataFrame, features: list[str], clip: float = 5.0, ridge: float = 1e-6) -> DataFrame:

@@ -63,14 +63,17 @@ class Bank:
     """
 
     def __init__(self, t: np.ndarray, e: np.ndarray, widths: tuple[float, ...], n_centers: int, families: tuple[str, ...], correlation_days: float | None, step: int = 1 << 14):
-        self.t, self.step, self.full = t, step, None
+        self.t, self.step, self.full, self.whole = t, step, None, None
+        self.correlated = bool(correlation_days)
         self.white = Diagonal(1 / e)
         centers = np.linspace(t.min(), t.max(), n_centers)
         self.specs = [(f, c, w) for f in families for c in centers for w in widths]
+        if not correlation_days and len(t) <= step:
+            self.full = self.shapes(0, len(t)) * self.white.entries
         if correlation_days:
             c = 0.8 * np.exp(-np.abs(t[:, None] - t) / correlation_days) + 0.2 * np.eye(len(t))
             self.white = np.linalg.inv(e[:, None] * np.linalg.cholesky(c))
-            self.full = np.stack([self.white @ shape(f, (t - c) / w) for f, c, w in self.specs])
+            self.full = self.shapes(0, len(t)) @ self.white.T
         one = self.white @ np.ones(len(t))
         self.one = one / np.linalg.norm(one)
         self.shared = sum(self.raw(a, b) @ self.one[a:b] for a, b in self.blocks())
@@ -80,6 +83,16 @@ class Bank:
         self.norm, self.shared = self.norm[good], self.shared[good]
         if self.full is not None:
             self.full = self.full[good]
+            self.whole = (self.full - np.outer(self.shared, self.one)) / self.norm[:, None]
+
+    def shapes(self, a: int, b: int) -> np.ndarray:
+        """All templates at the epochs from a to b, a family at a time."""
+        out = np.empty((len(self.specs), b - a))
+        for family in dict.fromkeys(f for f, _, _ in self.specs):
+            at = [i for i, (f, _, _) in enumerate(self.specs) if f == family]
+            centre, width = (np.array([self.specs[i][k] for i in at])[:, None] for k in (1, 2))
+            out[at] = shape(family, (self.t[a:b] - centre) / width)
+        return out
 
     def blocks(self) -> list[tuple[int, int]]:
         return [(a, min(a + self.step, len(self.t))) for a in range(0, len(self.t), self.step)]
@@ -88,10 +101,12 @@ class Bank:
         """Whitened templates at the epochs from a to b."""
         if self.full is not None:
             return self.full[:, a:b]
-        return np.stack([shape(f, (self.t[a:b] - c) / w) for f, c, w in self.specs]) * self.white.entries[a:b]
+        return self.shapes(a, b) * self.white.entries[a:b]
 
     def design(self, a: int, b: int) -> np.ndarray:
         """Whitened templates without background, of unit length over all epochs, at the epochs from a to b."""
+        if self.whole is not None:
+            return self.whole[:, a:b]
         return (self.raw(a, b) - np.outer(self.shared, self.one[a:b])) / self.norm[:, None]
 
     def z(self, white_curves: np.ndarray) -> np.ndarray:
@@ -107,7 +122,7 @@ class Bank:
         f, c, w = self.specs[best]
         raw = self.white @ shape(f, (self.t - c) / w)
         g = (raw - self.shared[best] * self.one) / self.norm[best]
-        if self.full is None:
+        if not self.correlated:
 
             def less(p: np.ndarray, q: np.ndarray) -> np.ndarray:  # sums over the others, from both ends
                 x = p * q
@@ -174,7 +189,9 @@ def search(
         return pa.Table.from_pylist([names], pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[k]) for n, k in (c.split() for c in SCHEMA.split(", "))]))
 
     usable = rows.where((F.col("flux_error") > 0) & F.col("flux").isNotNull() & F.col("mjd").isNotNull()).select("source_id", "survey", "band", "mjd", "flux", "flux_error")
-    return usable.groupBy("source_id", "survey", "band").applyInArrow(one, SCHEMA)
+    # as many tasks as the session has partitions: small curves are much work for their bytes, so they must not be coalesced
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return usable.repartition(tasks, "source_id", "survey", "band").groupBy("source_id", "survey", "band").applyInArrow(one, SCHEMA)
 
 
 def correct(channels: DataFrame, universe: int | None, looks: int, alpha: float, trials: int) -> DataFrame:
