@@ -5,7 +5,7 @@ own hashes. Batches send their distinct window hashes with the smallest doc_id t
 hash answers whether a smaller doc_id has it anywhere (see ``exchange``). A word goes if any window over it
 starts in a document with a smaller doc_id; overlapping windows merge into maximal intervals.
 
-Scale: one shuffle of about eight bytes a word, one of the compressed texts; a passage that a third of all
+Scale: one shuffle of about eight bytes a word (two beyond ``fan`` buckets), one of the compressed texts; a passage that a third of all
 documents share costs one entry a batch. At 64 bits two different windows among ten billion are expected to
 collide about twice; nothing else is approximate.
 
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lumisift.llm.exchange import SMALLER_VALUE, Pairs, bits_for, bucket_count, exchange, read_hits, with_hits
+from lumisift.llm.exchange import FAN, SMALLER_VALUE, Pairs, bits_for, buckets_for, exchange, read_hits, with_hits
 from lumisift.llm.text import Batch, id_list, pack, run_hashes, unpack, word_hashes
 from lumisift.plans.scratch import Scratch
 
@@ -43,17 +43,17 @@ def _windows(batch: Batch, window: int):
     return starts, ends, first, at, owner, pairs, least
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 13, batch_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 13, batch_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20, fan: int = FAN) -> DataFrame:
     """Per row of ``docs``: word counts, removed word intervals (end exclusive) and the kept words joined by a space."""
     scratch = Scratch(spark, "substring")
     packed = scratch.table(pack(docs, batch_bytes), "packed")
-    buckets = bucket_count(packed, bucket_bytes)
+    buckets = buckets_for(packed, bucket_bytes, fan)
 
     def emit(batch: Batch, _) -> tuple[np.ndarray, np.ndarray]:
         *_, pairs, least = _windows(batch, window)
         return pairs.keys, least
 
-    hits = scratch.table(exchange(packed, None, emit, 1, buckets), "hits")
+    hits = exchange(scratch, packed, None, emit, 1, buckets)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

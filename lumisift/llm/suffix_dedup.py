@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lumisift.llm.exchange import MANY_VALUES, OTHER_BATCH, SAME_PAIR, Pairs, bits_for, bucket_count, exchange, read_hits, with_hits
+from lumisift.llm.exchange import FAN, MANY_VALUES, OTHER_BATCH, SAME_PAIR, Buckets, Pairs, bits_for, buckets_for, exchange, read_hits, with_hits
 from lumisift.llm.text import _BYTE_BASE, Batch, id_list, mix, pack, prefix_hash, span_hash, unpack
 from lumisift.plans.scratch import Scratch
 
@@ -88,7 +88,7 @@ class Shard:
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return span_hash(self.prefix, start, end, _BYTE_BASE)
 
-    def refine(self, hits, buckets: int):
+    def refine(self, hits, buckets: Buckets):
         """The next pass' items from the answers so far, or once all are there the repeated starts and each anchor's common prefix."""
         active, common = np.arange(len(self.anchor)), np.zeros(len(self.anchor), np.int64)
         for number in (1, 2):
@@ -126,13 +126,13 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
 
 
-def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = 400, batch_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = 400, batch_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, fan: int = FAN) -> DataFrame:
     """Per row of ``docs``: removed byte intervals (end exclusive), the remaining bytes, and the longest common prefix known. ``length`` from 160."""
     if length < 160:
         raise ValueError("length must be 160 or more: an anchor's strings have to share most of their bytes")
     scratch = Scratch(spark, "suffix")
     packed = scratch.table(pack(docs, batch_bytes), "packed")
-    buckets = bucket_count(packed, bucket_bytes)
+    buckets = buckets_for(packed, bucket_bytes, fan)
     hits = None
 
     def emit(batch: Batch, hits) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +143,7 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = 40
         return {n: hits.get(n, []) for n in range(1, done + 1)}  # a pass in which the batch had nothing open
 
     for number in (1, 2, 3, 4):
-        new = exchange(packed, hits, lambda b, h, n=number: emit(b, marked(h, n - 1)), number, buckets)
-        new = scratch.table(new, f"hits{number}")
+        new = exchange(scratch, packed, hits, lambda b, h, n=number: emit(b, marked(h, n - 1)), number, buckets)
         hits = new if hits is None else hits.unionByName(new)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

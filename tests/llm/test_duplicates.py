@@ -42,13 +42,14 @@ def docs(spark, corpus):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
-def test_substring_windows(spark, corpus, docs):
+@pytest.mark.parametrize("fan", [256, 5, 2])
+def test_substring_windows(spark, corpus, docs, fan):
     width, first, split = 13, {}, {i: WORD.findall((t or "").encode()) for i, t in corpus}
     for i, w in split.items():
         for k in range(len(w) - width + 1):
             key = tuple(w[k : k + width])
             first[key] = min(first.get(key, 1 << 60), i)
-    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark, docs, width, batch_bytes=3000, bucket_bytes=5000).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark, docs, width, batch_bytes=3000, bucket_bytes=5000, fan=fan).collect()}
     assert len(got) == len(corpus)
     for i, w in split.items():
         gone = [False] * len(w)
@@ -68,11 +69,11 @@ def test_substring_null_and_equal_ids(spark):
     assert got == [(False, 0), (False, 0), (True, 30), (True, 30)]
 
 
-@pytest.mark.parametrize("length", [160, 400])
-def test_suffix_strings(spark, corpus, docs, length):
+@pytest.mark.parametrize(("length", "fan"), [(160, 256), (400, 256), (400, 2)])
+def test_suffix_strings(spark, corpus, docs, length, fan):
     data = {i: (t or "").encode() for i, t in corpus}
     count = Counter(b[k : k + length] for b in data.values() for k in range(len(b) - length + 1))
-    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeated_bytes(spark, docs, length, batch_bytes=3000, bucket_bytes=9000).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeated_bytes(spark, docs, length, batch_bytes=3000, bucket_bytes=9000, fan=fan).collect()}
     assert len(got) == len(corpus)
     for i, b in data.items():
         gone = bytearray(len(b))
