@@ -93,9 +93,10 @@ def robust_scores(rows: DataFrame, key: str, features: list[str], least_observed
     fit = robust_fit(rows, features)  # one row a feature
     long = rows.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select(key, "x.*")
     z = F.pow((F.col("v") - F.col("centre")) / F.col("scale"), 2)
-    g = long.join(F.broadcast(fit), "feature").groupBy(key).agg(F.avg(z).alias("ms"), F.count("v").alias("seen"), F.count("*").alias("all"))
-    valid = (F.col("seen") > 0) & (F.col("seen") / F.col("all") >= least_observed)
-    return g.select(key, (F.col("seen") / F.col("all")).alias("observed_fraction"), valid.alias("valid"), F.when(valid, 1 - F.exp(-F.sqrt("ms") / 3)).otherwise(0.0).alias("score"))
+    # a feature without a fit counts neither way; a row that has none left is invalid, not absent
+    g = long.join(F.broadcast(fit), "feature", "left").groupBy(key).agg(F.avg(z).alias("ms"), F.count(F.col("v") + F.col("centre")).alias("seen"), F.count("centre").alias("all"))
+    valid = (F.col("seen") > 0) & (F.col("seen") / F.greatest(F.col("all"), F.lit(1)) >= least_observed)
+    return g.select(key, (F.col("seen") / F.greatest(F.col("all"), F.lit(1))).alias("observed_fraction"), valid.alias("valid"), F.when(valid, 1 - F.exp(-F.sqrt("ms") / 3)).otherwise(0.0).alias("score"))
 
 
 def trace_summary(rows: DataFrame, key: str, time: str, order: str, score: str, threshold: float) -> DataFrame:

@@ -109,3 +109,25 @@ def vocabulary(split: DataFrame, column: str) -> DataFrame:
     if isinstance(terms.schema["term"].dataType, NumericType):
         return numbered(terms, "term", "id").select("term", F.col("id").cast("int").alias("id"))
     return terms.select("term", F.row_number().over(Window.orderBy("term")).alias("id"))  # names: as few as there are words
+
+
+def ratio_bootstrap(clusters: DataFrame, group: str, number: str, outcome: str, size: str, base: str, replicates: int, seed: int = 1) -> DataFrame:
+    """Per group: the ratio of sums, its 95 % interval and that of its difference from group ``base``, drawing whole clusters.
+
+    Every replicate draws as many clusters of a group as it has, with replacement; draw i of a replicate is a hash of
+    (seed, group, replicate, i), so draws are a map over the clusters and meet them again by an equi-join. ``number`` is a
+    distinct number of each cluster, in whose order they are drawn. A replicate without size has no ratio.
+    """
+    c = running_sums(clusters.select(group, number, outcome, size).withColumn("_one", F.lit(1)), [group], number, ["_one"]).withColumnRenamed("cum__one", "i")
+    n = clusters.groupBy(group).agg(F.count("*").alias("n"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col(group), F.col("rep").cast("string"), F.col("i").cast("string"))
+    pick = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long") % F.col("n") + 1
+    draws = c.select(group, "i").join(n, group).select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    draws = draws.select(group, "rep", pick.alias("i")).groupBy(group, "rep", "i").agg(F.count("*").alias("w"))
+    per = draws.join(c, [group, "i"]).groupBy(group, "rep").agg((F.sum(F.col("w") * F.col(outcome)) / F.nullif(F.sum(F.col("w") * F.col(size)), F.lit(0))).alias("ratio"))
+    against = per.where(F.col(group) == base).select("rep", F.col("ratio").alias("base"))
+    per = per.join(against, "rep", "left").withColumn("delta", F.col("ratio") - F.col("base"))
+    q = lambda c, p: F.percentile(c, F.lit(p))  # noqa: E731  (of the replicates)
+    spread = per.groupBy(group).agg(q("ratio", 0.025).alias("low"), q("ratio", 0.975).alias("high"), q("delta", 0.025).alias("delta_low"), q("delta", 0.975).alias("delta_high"))
+    point = clusters.groupBy(group).agg(F.count("*").alias("n_clusters"), (F.sum(outcome) / F.nullif(F.sum(size), F.lit(0))).alias("ratio"))
+    return point.join(spread, group)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumisift.operators import legacy, review
+from lumisift.operators import evaluation, legacy, review, surprise
 from lumisift.plans.queries import ORACLE, QUERIES, _with, query
 from lumisift.plans.score_queries import _FEAT, _feat
 from lumisift.sources import derived as D
@@ -209,3 +209,57 @@ def f2_four_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("embedding_reserve", F.lit(True), [F.desc("anomaly")], 4), ("audit", F.lit(True), [F.sha2(F.concat(F.lit("seed\0"), "candidate_id"), 256)], 4),
     ]
     return review.routed_queue(c, routes)
+
+
+@query(
+    _with(
+        D.PHOT, "c AS (SELECT survey, CAST(source_id AS BIGINT) AS number, count(*) FILTER (is_detection) AS hits, count(*) AS size FROM phot GROUP BY ALL)",
+        "m AS (SELECT *, row_number() OVER (PARTITION BY survey ORDER BY number) AS i, count(*) OVER (PARTITION BY survey) AS n FROM c)",
+        "d AS (SELECT survey, rep, CAST('0x' || substr(sha256('1|' || survey || '|' || rep || '|' || i), 1, 13) AS BIGINT) % n + 1 AS i FROM m, (SELECT unnest(range(1, 201)) AS rep))",
+        "r AS (SELECT survey, rep, sum(hits) / sum(size) AS ratio FROM d JOIN m USING (survey, i) GROUP BY ALL)",
+        "v AS (SELECT r.*, r.ratio - b.ratio AS delta FROM r JOIN (SELECT rep, ratio FROM r WHERE survey = 's0') b USING (rep))",
+        "p AS (SELECT survey, count(*) AS n_clusters, sum(hits) / sum(size) AS ratio FROM c GROUP BY survey)",
+    )
+    + """SELECT survey, n_clusters, p.ratio, quantile_cont(v.ratio, 0.025) AS low, quantile_cont(v.ratio, 0.975) AS high, quantile_cont(delta, 0.025) AS delta_low, quantile_cont(delta, 0.975) AS delta_high
+         FROM v JOIN p USING (survey) GROUP BY survey, n_clusters, p.ratio""",
+    "ratio low high delta_low delta_high",
+)
+def e23_cluster_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.phot(spark, sf_dir).groupBy("survey", F.col("source_id").cast("long").alias("number")).agg(F.count_if("is_detection").alias("hits"), F.count("*").alias("size"))
+    return evaluation.ratio_bootstrap(p, "survey", "number", "hits", "size", "s0", 200)
+
+
+@query()
+def h11_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surprise.isolation_scores(_feat(spark, sf_dir), "source_id", ["amp", "bright", "sigma", "rejected", "missing"])
+
+
+@query()
+def h12_surprise_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # predictions: the mean vector of the label, and the same moved half of the way to the mean of all
+    e = D.table(spark, sf_dir, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
+    cells = e.select("label", F.posexplode("embedding").alias("pos", "v")).groupBy("label", "pos").agg(F.sum(F.col("v").cast("double")).alias("s"), F.count("v").alias("n"))
+    vector = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("pos", v.alias("v")))), lambda x: x["v"])
+    own = cells.groupBy("label").agg(vector(F.col("s") / F.col("n")).alias("base"))
+    every = cells.groupBy("pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).agg(vector(F.col("s") / F.col("n")).alias("mean"))  # one row
+    rows = e.join(own, "label").crossJoin(F.broadcast(every)).withColumn("corrected", F.zip_with("base", "mean", lambda a, b: (a + b) / 2))
+    rows = rows.select("vec_id", "embedding", "base", "corrected")
+    covariance = surprise.residual_covariance(rows.select(F.zip_with("embedding", "base", lambda a, b: a - b).alias("residual")), "residual", size)
+    return surprise.surprise_components(rows, "embedding", "base", "corrected", covariance).drop("embedding", "base", "corrected")
+
+
+@query(
+    _with(
+        D.PHOT, _FEAT, "c AS (SELECT source_id, first, last, last + 1 AS cutoff, CAST('0x' || substr(sha256('{\"entity\":\"' || source_id || '\"}'), 1, 12) AS BIGINT) AS part FROM feat)",
+        "f AS (SELECT count(*) AS n_entities, CAST(sum(part) AS VARCHAR) AS population, min(cutoff) AS first_cutoff, max(cutoff) AS last_cutoff, 0 AS n_unnamed, 0 AS n_late, 0 AS n_repeated, true AS frozen FROM c)",
+    )
+    + """SELECT 'same' AS embeddings, *, n_entities AS n_found, true AS exact FROM f UNION ALL SELECT 'smaller', f.*, n, n = n_entities FROM f, (SELECT count(*) AS n FROM c WHERE CAST(source_id AS BIGINT) % 9 <> 4)""",
+    "first_cutoff last_cutoff",
+)
+def h14_reference_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _feat(spark, sf_dir).select("source_id", "first", "last", (F.col("last") + 1).alias("cutoff"))
+    cohort = surprise.freeze_cohort(f, "source_id", "first", "last", "cutoff")
+    rows = {"same": f, "smaller": f.where(F.col("source_id").cast("long") % 9 != 4)}
+    same, smaller = (surprise.same_population(cohort, r, "source_id").select(F.lit(k).alias("embeddings"), "*") for k, r in rows.items())
+    return same.unionByName(smaller)

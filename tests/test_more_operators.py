@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumisift.operators import legacy, running, scores, search
+from lumisift.operators import legacy, running, scores, search, surprise
 from lumisift.sources import files
 
 
@@ -102,3 +102,53 @@ def test_stores_keep_what_they_hold(spark, tmp_path):
     stores.append_snapshots(store, rows(("s", 1, 5.0), ("s", 2, 5.0), ("s", 3, 4.0), ("s", 4, 6.0)))
     assert {r["snapshot_id"] for r in store.read("snapshots", stores.SNAPSHOT).collect()} == {1, 9, 4}
     assert {(r["snapshot_id"], r["reason"]) for r in store.read("diverted", stores.SNAPSHOT + ", reason string").collect()} == {(2, "watermark_reused"), (3, "watermark_went_back")}
+
+
+def test_surprise_components_against_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    t, b, c = rng.normal(size=(3, 40, 8))
+    rows = [(i, t[i].tolist() if i != 7 else None, b[i].tolist(), c[i].tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, t array<double>, b array<double>, c array<double>").repartition(3)
+    keep = [i for i in range(40) if i != 7]
+    cov = surprise.residual_covariance(df.select(F.zip_with("t", "b", lambda x, y: x - y).alias("r")), "r", 8)
+    assert np.allclose(cov, np.cov((t - b)[keep].T) + 1e-6 * np.eye(8))
+    got = {r["id"]: r for r in surprise.surprise_components(df, "t", "b", "c", cov).collect()}
+    assert len(got) == 40 and got[7]["predictive_surprise"] is None and got[7]["spectral_wedge"] is None
+    for i in keep:
+        d, e = t[i] - b[i], t[i] - c[i]
+        wedge = sum(np.cross(t[i][k + 1 : k + 4], b[i][k + 1 : k + 4]) for k in (0, 4))
+        want = [d @ np.linalg.solve(cov, d), e @ np.linalg.solve(cov, e), 1 - t[i] @ b[i] / np.linalg.norm(t[i]) / np.linalg.norm(b[i]), np.linalg.norm(wedge), np.linalg.norm(c[i] - b[i])]
+        assert np.allclose(list(got[i])[4:], want)
+
+
+def test_isolation_forest_finds_planted_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(5, 2) if i % 10 else None) for i in range(600)] + [(1000 + i, 9.0 + i, -9.0) for i in range(5)] + [(2000, None, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(3)
+    run = lambda d: {r["id"]: r for r in surprise.isolation_scores(d, "id", ["a", "b"], trees=40, sample=64).collect()}
+    got = run(df)
+    assert len(got) == 606 and got == run(df.repartition(2))  # however the rows are stored
+    assert {i for i, _ in sorted(got.items(), key=lambda x: -x[1]["score"])[:5]} == {1000, 1001, 1002, 1003, 1004}
+    assert all(0 <= r["isolation"] <= 1 for r in got.values()) and not got[2000]["valid"] and got[2000]["score"] == 0
+    assert surprise.isolation_scores(df.where("id = 3"), "id", ["a", "b"]).first()["isolation"] is None
+
+
+def test_path_lengths_follow_the_tree():
+    x = np.random.default_rng(1).normal(size=(50, 3))
+    tree = {k: np.array(v) for k, v in surprise.grow(x, np.random.default_rng(2), 6).items()}
+    for row, got in zip(x, surprise.path_lengths(tree, x), strict=True):
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["left"][at] if row[tree["feature"][at]] <= tree["cut"][at] else tree["right"][at]
+        assert got == tree["leaf"][at]
+
+
+def test_cohort_contract(spark):
+    schema = "entity string, first double, last double, cutoff double"
+    good = [("a", 1.0, 2.0, 3.0), ("b", 1.0, 3.0, 3.0)]
+    freeze = lambda rows: surprise.freeze_cohort(spark.createDataFrame(rows, schema), "entity", "first", "last", "cutoff")
+    assert freeze(good).first()["frozen"]
+    for bad in ([good[0]], [*good, good[0]], [*good, ("c", 1.0, 4.0, 3.0)], [*good, (" ", 1.0, 2.0, 3.0)], [*good, ("c", None, None, 3.0)], [*good, ("c", 1.0, 2.0, float("nan"))], []):
+        assert not freeze(bad).first()["frozen"]
+    exact = lambda rows: surprise.same_population(freeze(good), spark.createDataFrame(rows, schema), "entity").first()["exact"]
+    assert exact(good[::-1]) and not exact(good[:1]) and not exact([good[0], ("c", 1.0, 3.0, 3.0)]) and not exact([])
