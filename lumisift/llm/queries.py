@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import decontaminate, html_extract, hyperminhash, mixing, personal_data, quality_fm, quality_rules, substring_dedup, suffix_dedup, toxicity
+from lumisift.llm import decontaminate, html_extract, hyperminhash, merkle, mixing, personal_data, quality_fm, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 _SQL_WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -69,6 +69,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark, _docs(spark, sf_dir), merkle.lowered_where_fifth())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_quality_rules": op2_quality_rules,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_hyperminhash": op9_hyperminhash,
     "op10_decontaminate": op10_decontaminate,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -131,4 +136,42 @@ ORACLE: dict[str, str] = {
                           ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(spots, i)), lambda i: words[i]) END AS kept
               FROM d LEFT JOIN gone USING (doc_id))
         SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+        d AS (
+            SELECT doc_id, source, text, CASE WHEN xor(list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(CAST(doc_id AS VARCHAR)[k]) AS BIGINT)),
+                       lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 5 = 0
+                   THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS hurt,
+                   list_reduce(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(strlen(v) || ':' || v, '-')), lambda a, b: a || b) AS head
+            FROM documents, crc),
+        l AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(hurt) || ':' || hurt, '-')) AS fold FROM d),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS size,
+                   dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM l),
+        tree AS (
+            SELECT 0 AS level, s, i, size, leaf AS digest FROM leaves
+            UNION ALL
+            SELECT level + 1, s, i // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM tree WHERE size > 1 GROUP BY level, s, i // 16, size),
+        subroots AS (SELECT s, digest AS subroot, count(*) OVER () AS n FROM tree WHERE size = 1),
+        over_tree AS (
+            SELECT 0 AS level, s AS i, n AS size, subroot AS digest FROM subroots
+            UNION ALL
+            SELECT level + 1, i // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM over_tree WHERE size > 1 GROUP BY level, i // 16, size),
+        runs AS (
+            SELECT 0 AS part, level, s, i // 16 AS run, list(digest ORDER BY i) AS kids FROM tree WHERE size > 1 GROUP BY level, s, i // 16
+            UNION ALL
+            SELECT 1, level, 0, i // 16, list(digest ORDER BY i) FROM over_tree WHERE size > 1 GROUP BY level, i // 16),
+        climb AS (
+            SELECT doc_id, leaf, s, CASE WHEN size = 1 THEN 1 ELSE 0 END AS part, 0 AS level, CASE WHEN size = 1 THEN s ELSE i END AS i,
+                   CASE WHEN size = 1 THEN n ELSE size END AS size, n, fold, '' AS proof FROM leaves JOIN subroots USING (s)
+            UNION ALL
+            SELECT doc_id, leaf, c.s, CASE WHEN up THEN 1 ELSE part END, CASE WHEN up THEN 0 ELSE level + 1 END, CASE WHEN up THEN c.s ELSE run END,
+                   CASE WHEN up THEN n ELSE (size + 15) // 16 END, n, sha256(before || fold || after), proof || before || after
+            FROM (SELECT c.doc_id, c.leaf, c.s, c.part, c.level, r.run, c.size, c.n, c.fold, c.proof, c.part = 0 AND c.size <= 16 AS up,
+                         array_to_string(kids[1:c.i % 16], '') AS before, array_to_string(kids[c.i % 16 + 2:], '') AS after
+                  FROM climb c JOIN runs r ON r.part = c.part AND r.level = c.level AND r.run = c.i // 16 AND (c.part = 1 OR r.s = c.s) WHERE c.size > 1) c)
+        SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = digest AS verified
+        FROM climb c JOIN subroots USING (s) JOIN over_tree o ON o.size = 1 WHERE c.part = 1 AND c.size = 1""",
 }
