@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import decontaminate, html_extract, hyperminhash, merkle, mixing, personal_data, quality_fm, quality_rules, substring_dedup, suffix_dedup, toxicity
+from lumisift.llm import decontaminate, html_extract, hyperminhash, lexical_search, license_scan, merkle, mixing, personal_data, quality_fm, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 _SQL_WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -69,10 +69,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark, _docs(spark, sf_dir))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark, _docs(spark, sf_dir), merkle.lowered_where_fifth())
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_quality_rules": op2_quality_rules,
@@ -84,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_hyperminhash": op9_hyperminhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_license_scan": op11_license_scan,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -136,6 +146,7 @@ ORACLE: dict[str, str] = {
                           ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(spots, i)), lambda i: words[i]) END AS kept
               FROM d LEFT JOIN gone USING (doc_id))
         SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op11_license_scan": license_scan.sql(),
     "op12_merkle_manifest": """
         WITH RECURSIVE crc AS (
             SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
@@ -174,4 +185,19 @@ ORACLE: dict[str, str] = {
                   FROM climb c JOIN runs r ON r.part = c.part AND r.level = c.level AND r.run = c.i // 16 AND (c.part = 1 OR r.s = c.s) WHERE c.size > 1) c)
         SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = digest AS verified
         FROM climb c JOIN subroots USING (s) JOIN over_tree o ON o.size = 1 WHERE c.part = 1 AND c.size = 1""",
+    "op13_lexical_search": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS terms FROM documents),
+        i AS (
+            SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        asked AS (SELECT k, item_id, term, count(*) AS times FROM i GROUP BY ALL),
+        corpus AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM t WHERE len(terms) > 0),
+        held AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM t) SEMI JOIN asked USING (term) GROUP BY ALL),
+        weight AS (SELECT term, CAST(floor(1000 * ln((2e0 * big_n + 2) / (2e0 * count(*) + 1))) AS BIGINT) AS w FROM held, corpus GROUP BY term, big_n),
+        scored AS (
+            SELECT k, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+            FROM asked JOIN held USING (term) JOIN weight USING (term), corpus GROUP BY k, item_id, r, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        QUALIFY rank <= 20""",
 }
