@@ -6,6 +6,7 @@ a thousand times more sources are a thousand times more groups. The numbers insi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_EPOCHS = 2048  # of the matrix of correlated noise alone
+EPOCHS = 2048  # of a block of templates and resampled curves
+
+#: Correlated noise: the share that decays with the time between epochs, and the share of each epoch alone (fixed values).
+SHARED, ALONE = 0.8, 0.2
 
 #: Logarithms of each family's law over phase = (time - centre) / width, before and after the centre (fixed values: a
 #: rise of a third of the width, and the -5/3 decline of fallback).
@@ -45,46 +49,106 @@ def shape(family: str, phase: np.ndarray) -> np.ndarray:
 FAMILIES = ("gaussian", "exponential", "bazin", "fallback")
 
 
-class Diagonal:
-    """The whitening matrix of independent errors, by its diagonal alone."""
+class Independent:
+    """Whitening by the errors alone."""
+
+    def __init__(self, t: np.ndarray, e: np.ndarray):
+        self.e = e
+
+    def whiten(self, rows: np.ndarray, a: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Whitened values of some curves from epoch a on, given what the epochs before left; and what these leave."""
+        return rows / self.e[a : a + rows.shape[-1]], None
+
+    def without_each(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Products of two whitened curves without each observation: sums over the others, from both ends."""
+        x = p * q
+        return np.concatenate([[0.0], np.cumsum(x[:-1])]) + np.concatenate([np.cumsum(x[:0:-1])[::-1], [0.0]])
 
-    def __init__(self, entries: np.ndarray):
-        self.entries = entries
 
-    def __matmul__(self, y: np.ndarray) -> np.ndarray:
-        return self.entries * y
+class Correlated:
+    """Whitening of noise that is correlated as SHARED exp(-dt / tau), plus ALONE at dt = 0, in time linear in the epochs.
+
+    The correlation of two epochs is a product over the epochs between them, so what all earlier epochs say of one is
+    a single number, carried along: the matrix factors as L D L', where L takes its rows from that recursion, and solving
+    with L is one pass over the epochs. No matrix of the epochs is made. ``t`` ascends.
+    """
+
+    def __init__(self, t: np.ndarray, e: np.ndarray, tau: float):
+        self.e, self.keep = e, np.exp(-np.diff(t, prepend=t[0]) / tau)  # the share of the state that reaches each epoch
+        self.d, self.w = np.empty(len(t)), np.empty(len(t))
+        known = 0.0
+        for n in range(len(t)):
+            known = 0.0 if n == 0 else self.keep[n] ** 2 * (known + self.d[n - 1] * self.w[n - 1] ** 2)
+            self.d[n] = SHARED + ALONE - SHARED**2 * known
+            self.w[n] = (1 - SHARED * known) / self.d[n]
+        self.root = np.sqrt(self.d)
+
+    def whiten(self, rows: np.ndarray, a: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        out = np.moveaxis(rows / self.e[a : a + rows.shape[-1]], -1, 0).copy()
+        state = np.zeros(out.shape[1:]) if state is None else state
+        for k in range(len(out)):
+            state = self.keep[a + k] * state
+            out[k] -= SHARED * state
+            state = state + self.w[a + k] * out[k]
+        return np.moveaxis(out, 0, -1) / self.root[a : a + len(out)], state
+
+    def without_each(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Products of two whitened curves without each observation: a rank-one part, of its column, leaves the inverse covariance."""
+        return p @ q - self.by_covariance(p) * self.by_covariance(q) / self.precision
+
+    def by_covariance(self, white: np.ndarray) -> np.ndarray:
+        """The inverse covariance times a curve, from the whitened curve."""
+        out, later = white / self.root, 0.0
+        for n in range(len(out) - 1, -1, -1):
+            out[n] -= self.w[n] * later
+            later = self.keep[n] * (later + SHARED * out[n])
+        return out / self.e
+
+    @functools.cached_property
+    def precision(self) -> np.ndarray:
+        """The diagonal of the inverse covariance."""
+        out, later = np.empty(len(self.d)), 0.0
+        for n in range(len(out) - 1, -1, -1):
+            out[n] = 1 / self.d[n] + self.w[n] ** 2 * later
+            later = self.keep[n] ** 2 * (SHARED**2 / self.d[n] + (1 - SHARED * self.w[n]) ** 2 * later)
+        return out / self.e**2
 
 
 class Bank:
     """All templates of one curve, with a constant background profiled out.
 
-    ``correlation_days`` whitens noise that is correlated as 0.8 exp(-dt/tau) + 0.2 at dt = 0, by a matrix of the
-    epochs. Otherwise the noise is diagonal and templates are made for ``step`` epochs at a time, so any length fits.
+    Noise is independent, or correlated over ``correlation_days``; either way templates are made for ``step`` epochs at a
+    time, and time and memory are linear in the epochs, so any length fits.
     """
 
     def __init__(self, t: np.ndarray, e: np.ndarray, widths: tuple[float, ...], n_centers: int, families: tuple[str, ...], correlation_days: float | None, step: int = 1 << 14):
         self.t, self.step, self.full, self.whole = t, step, None, None
-        self.correlated = bool(correlation_days)
-        self.white = Diagonal(1 / e)
+        self.noise = Correlated(t, e, correlation_days) if correlation_days else Independent(t, e)
         centers = np.linspace(t.min(), t.max(), n_centers)
         self.specs = [(f, c, w) for f in families for c in centers for w in widths]
-        if not correlation_days and len(t) <= step:
-            self.full = self.shapes(0, len(t)) * self.white.entries
-        if correlation_days:
-            c = 0.8 * np.exp(-np.abs(t[:, None] - t) / correlation_days) + 0.2 * np.eye(len(t))
-            self.white = np.linalg.inv(e[:, None] * np.linalg.cholesky(c))
-            self.full = self.shapes(0, len(t)) @ self.white.T
-        one = self.white @ np.ones(len(t))
-        self.one = one / np.linalg.norm(one)
+        self.states: dict[int, np.ndarray | None] = {}  # of the whitening of templates, at the start of each block
+        state = None
+        for a, b in self.blocks():
+            self.states[a] = state
+            if correlation_days or len(t) <= step:
+                white, state = self.noise.whiten(self.shapes(a, b), a, state)
+                self.full = white if len(t) <= step else None
+        self.flat = self.white(np.ones(len(t)))
+        self.one = self.flat / np.linalg.norm(self.flat)
         self.shared = sum(self.raw(a, b) @ self.one[a:b] for a, b in self.blocks())
         self.norm = np.sqrt(sum(((self.raw(a, b) - np.outer(self.shared, self.one[a:b])) ** 2).sum(1) for a, b in self.blocks()))
         good = self.norm > 1e-10
         self.specs = [s for s, g in zip(self.specs, good, strict=True) if g]
         self.norm, self.shared = self.norm[good], self.shared[good]
+        self.states = {a: x if x is None else x[good] for a, x in self.states.items()}
         if self.full is not None:
             self.full = self.full[good]
             self.whole = (self.full - np.outer(self.shared, self.one)) / self.norm[:, None]
 
+    def white(self, y: np.ndarray) -> np.ndarray:
+        """A whole curve, whitened."""
+        return self.noise.whiten(y, 0, None)[0]
+
     def shapes(self, a: int, b: int) -> np.ndarray:
         """All templates at the epochs from a to b, a family at a time."""
         out = np.empty((len(self.specs), b - a))
@@ -101,7 +165,7 @@ class Bank:
         """Whitened templates at the epochs from a to b."""
         if self.full is not None:
             return self.full[:, a:b]
-        return self.shapes(a, b) * self.white.entries[a:b]
+        return self.noise.whiten(self.shapes(a, b), a, self.states[a])[0]
 
     def design(self, a: int, b: int) -> np.ndarray:
         """Whitened templates without background, of unit length over all epochs, at the epochs from a to b."""
@@ -116,30 +180,23 @@ class Bank:
         """z of curves that are made for one block of epochs after the other."""
         return np.maximum(0.0, sum(curves(a, b) @ self.design(a, b).T for a, b in self.blocks()))
 
-    def influence(self, y: np.ndarray, best: int) -> float | None:
-        """Least z of the chosen template when any one observation is deleted and the background fitted again."""
-        one, v = self.white @ np.ones(len(y)), self.white @ y
+    def influence(self, y: np.ndarray, best: int) -> np.ndarray:
+        """z of the chosen template when each observation is deleted and the background fitted again; NaN where it can't be."""
         f, c, w = self.specs[best]
-        raw = self.white @ shape(f, (self.t - c) / w)
-        g = (raw - self.shared[best] * self.one) / self.norm[best]
-        if not self.correlated:
-
-            def less(p: np.ndarray, q: np.ndarray) -> np.ndarray:  # sums over the others, from both ends
-                x = p * q
-                return np.concatenate([[0.0], np.cumsum(x[:-1])]) + np.concatenate([np.cumsum(x[:0:-1])[::-1], [0.0]])
-        else:  # deleting an observation takes a rank-one part, of its column, from the precision
-            unit = self.white / np.linalg.norm(self.white, axis=0)
-            less = lambda p, q: p @ q - (p @ unit) * (q @ unit)
-        gram = less(one, one), less(one, g), less(g, g)
+        v = self.white(y)
+        g = (self.white(shape(f, (self.t - c) / w)) - self.shared[best] * self.one) / self.norm[best]
+        less = self.noise.without_each
+        gram = less(self.flat, self.flat), less(self.flat, g), less(g, g)
         some = gram[0] > 0
         base = np.where(some, gram[0], 1.0)
         norm = gram[2] - gram[1] ** 2 / base
         ok = some & (norm > 1e-12 * np.maximum(1.0, gram[2]))
-        low = (less(g, v) - gram[1] * less(one, v) / base)[ok] / np.sqrt(norm[ok])
-        return max(0.0, float(low.min())) if len(low) else None
+        z = (less(g, v) - gram[1] * less(self.flat, v) / base) / np.sqrt(np.where(ok, norm, 1.0))
+        return np.where(ok, np.maximum(z, 0.0), np.nan)
 
 
 SCHEMA = "source_id string, survey string, band string, n long, family string, center double, width double, max_z double, amplitude double, delta_chi_square double, p_value double, least_z double"
+_WITHOUT = ", z_without array<double>"
 
 
 def search(
@@ -152,25 +209,28 @@ def search(
     null: str = "wild",
     seed: int = 1,
     correlation_days: float | None = None,
+    each: bool = False,
 ) -> DataFrame:
     """Best template of every channel with an empirical p-value; ``null`` is wild (sign flips) or gaussian.
 
-    Channels with fewer than three points have null results, as have those of more than MAX_EPOCHS if the noise is
-    correlated: they are reported, not dropped. Templates and resampled curves are made for a block of epochs at a time.
+    ``correlation_days`` takes the noise as correlated, ``each`` adds z_without, the statistic without each observation in
+    order of time (null where it can't be fitted). Channels with fewer than three points have null results: they are
+    reported, not dropped. Templates and resampled curves are made for a block of epochs at a time.
     """
     if trials < 99 or null not in ("wild", "gaussian"):
         raise ValueError("at least 99 trials of a wild or gaussian null")
+    schema = SCHEMA + _WITHOUT * each
 
     def one(key: tuple, group: pa.Table) -> pa.Table:
         g = group.sort_by([("mjd", "ascending"), ("flux", "ascending")])
         t, y, e = (np.asarray(g.column(c), float) for c in ("mjd", "flux", "flux_error"))
         out = dict.fromkeys(("family", "center", "width", "max_z", "amplitude", "delta_chi_square", "p_value", "least_z"))
         bank = None
-        if len(t) >= 3 and t[0] < t[-1] and not (correlation_days and len(t) > MAX_EPOCHS):
+        if len(t) >= 3 and t[0] < t[-1]:
             # whole sign blocks in each block of epochs
-            bank = Bank(t, e, widths, n_centers, families, correlation_days, -(-max(MAX_EPOCHS, (1 << 21) // trials) // block) * block)
+            bank = Bank(t, e, widths, n_centers, families, correlation_days, -(-max(EPOCHS, (1 << 21) // trials) // block) * block)
         if bank and bank.specs:
-            white = bank.white @ (y - y[0])
+            white = bank.white(y - y[0])
             z = bank.z(white[None])[0]
             best = int(np.argmax(z))
             rng = np.random.default_rng([seed, *("/".join(k.as_py() or "" for k in key)).encode()])
@@ -184,14 +244,18 @@ def search(
 
             worse = (bank.z_of_parts(resampled).max(1) >= z[best]).sum()
             family, center, width = bank.specs[best]
-            out = {"family": family, "center": center, "width": width, "max_z": z[best], "amplitude": z[best] / bank.norm[best], "delta_chi_square": z[best] ** 2, "p_value": (1 + worse) / (trials + 1), "least_z": bank.influence(y - y[0], best)}
+            without = bank.influence(y - y[0], best)
+            out = {"family": family, "center": center, "width": width, "max_z": z[best], "amplitude": z[best] / bank.norm[best], "delta_chi_square": z[best] ** 2, "p_value": (1 + worse) / (trials + 1)}
+            out["least_z"] = None if np.isnan(without).all() else float(np.nanmin(without))
+            out["z_without"] = [None if np.isnan(x) else x for x in without.tolist()]
         names = dict(zip(("source_id", "survey", "band"), (k.as_py() for k in key), strict=True)) | {"n": len(t)} | out
-        return pa.Table.from_pylist([names], pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[k]) for n, k in (c.split() for c in SCHEMA.split(", "))]))
+        kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+        return pa.Table.from_pylist([names], pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))]))
 
     usable = rows.where((F.col("flux_error") > 0) & F.col("flux").isNotNull() & F.col("mjd").isNotNull()).select("source_id", "survey", "band", "mjd", "flux", "flux_error")
     # as many tasks as the session has partitions: small curves are much work for their bytes, so they must not be coalesced
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return usable.repartition(tasks, "source_id", "survey", "band").groupBy("source_id", "survey", "band").applyInArrow(one, SCHEMA)
+    return usable.repartition(tasks, "source_id", "survey", "band").groupBy("source_id", "survey", "band").applyInArrow(one, schema)
 
 
 def correct(channels: DataFrame, universe: int | None, looks: int, alpha: float, trials: int) -> DataFrame:

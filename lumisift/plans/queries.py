@@ -772,6 +772,23 @@ def i2_template_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(D.phot(spark, sf_dir))
 
 
+@query()
+def i3_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each observation: the statistic of its channel's best template with and without it."""
+    found = search.search(D.phot(spark, sf_dir), each=True)
+    return found.select("source_id", "survey", "band", "max_z", F.posexplode("z_without").alias("epoch", "z_without"))
+
+
+@query()
+def i4_gaussian_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(D.phot(spark, sf_dir), null="gaussian")
+
+
+@query()
+def i7_correlated_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(D.phot(spark, sf_dir), correlation_days=2.0)
+
+
 @query()
 def i8_campaign_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.correct(search.search(D.phot(spark, sf_dir)), None, 1, 0.05, 99)
