@@ -8,9 +8,11 @@ long paragraphs with few links. Menus, headers, footers, sidebars, forms, script
 class, id or role says that they are notices, adverts, comments or the like never score and are not printed.
 
 Broken markup: unclosed and stray tags are tolerated as browsers do in the common cases (a new paragraph or
-list item ends the open one, an end tag closes up to its element if that is open). A cut-off tag at the end is
+list item ends the open one, an end tag closes up to its element if that is open, a quote inside an unquoted value is part of
+it). A cut-off tag at the end is
 dropped. Edge cases: null or empty html gives an empty text; a page without markup is one block; a page whose
-paragraphs are all too short to score keeps its unmarked content. Nothing is cut off, however long.
+paragraphs are all too short to score keeps its unmarked content. An empty table gives no rows; repeated rows and ids
+are pages of their own, other columns are ignored. Nothing is cut off, however long; time is linear in a page.
 """
 
 from __future__ import annotations
@@ -41,19 +43,19 @@ _WEAK_NAME = "notice alert side share search skip hidden header foot".split()
 _WEAK_PART = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(_WEAK_NAME)})(?:$|[\s_-])", re.I)
 _WEAK_WHOLE = re.compile(rf"(?:^|\s)(?:{'|'.join(_WEAK_NAME)})(?:$|\s)", re.I)
 _JUNK_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*)(>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "junk", "in_article", "points", "text_len", "link_len")
+    __slots__ = ("tag", "parent", "items", "junk", "in_article", "points", "passed", "text_len", "link_len")
 
     def __init__(self, tag: str, parent: Node | None, junk: bool):
         self.tag, self.parent, self.junk = tag, parent, junk
         self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
         self.items: list[Node | str] = []
-        self.points = 0.0
+        self.points = self.passed = 0.0
         self.text_len = self.link_len = 0
 
 
@@ -148,16 +150,19 @@ def _own(node: Node) -> tuple[str, int]:
 
 
 def _score(root: Node, least: int) -> Node | None:
+    def block(n: Node) -> Node | None:
+        up = n.parent
+        while up and up.tag in INLINE:
+            up = up.parent
+        return up
+
     order = [n for n in _walk(root) if n.tag not in INLINE]
     for n in order:
-        n.points = 0.0
+        n.points = n.passed = 0.0
         text, links = _own(n)
         n.text_len, n.link_len = len(text), min(links, len(text))
     for n in reversed(order):  # children stand behind their parents
-        up = n.parent
-        while up and up.tag in INLINE:
-            up = up.parent
-        if up:
+        if up := block(n):
             up.text_len += n.text_len
             up.link_len += n.link_len
     for n in order:
@@ -167,12 +172,12 @@ def _score(root: Node, least: int) -> Node | None:
         if len(text) < least:
             continue
         points = (1 + sum(text.count(c) for c in ",،、，") + min(3, len(text) // 100)) * (1 - min(1.0, links / len(text)))
-        up, depth = n.parent, 0
-        while up:
-            if up.tag not in INLINE:
-                up.points += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
-                depth += 1
-            up = up.parent
+        if up := block(n):
+            up.points += points
+    for n in reversed(order):
+        n.points += n.passed
+        if up := block(n):
+            up.passed += 0.5 * (n.points - n.passed) + n.passed / 3
     for n in order:
         if n.tag in ("article", "main"):
             n.points *= 1.25
@@ -218,7 +223,16 @@ def main_text(page: str | None, least: int = 25) -> str:
     root = parse(page)
     best = _score(root, least) or _score(root, 1)
     kept = [best or root]  # without a single paragraph element, all unmarked text
-    if best and best.parent:
+    article = best
+    while article and article.tag != "article":
+        article = article.parent
+    if not article and best and best.in_article:
+        article = best
+        while article.tag != "main":
+            article = article.parent
+    if article:
+        kept = [article]
+    elif best and best.parent:
         siblings = [x for x in best.parent.items if isinstance(x, Node)]
         kept = []
         for x in siblings:

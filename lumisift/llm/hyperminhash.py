@@ -17,7 +17,7 @@ first few of both share one (a prefix filter with places and size classes), so t
 make no rows with each other. So each colliding pair is confirmed, refuted or inside one component already.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing. A text with fewer words than a
-shingle has one shingle, its whole sequence. Rows sharing a doc_id are one node. A null doc_id links with
+shingle has one shingle, its whole sequence. Rows sharing a doc_id are one node, which has the links of all their texts. A null doc_id links with
 nothing (component null, kept true). Ties fall to the smaller id. Extra columns are ignored.
 """
 
@@ -151,7 +151,7 @@ def _near_duplicates(scratch: Scratch, docs: DataFrame, width: int, threshold: f
     ids = members.select(F.col("doc").alias("doc_id")).distinct()
     sets = scratch.table(_sets(rows.join(ids.hint("merge"), "doc_id", "left_semi"), width), "sets")
 
-    links = scratch.table(_confirm(_pivot_pairs(members), sets, per_cent), "links")
+    links = scratch.table(_confirm(_pivot_pairs(members), sets, per_cent).unionByName(_shared_ids(usable, reps)), "links")
     edges = scratch.table(star_round(scratch.table(star_round(links), "star")), "star")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     left = scratch.table(_unsettled(scratch, members, labels), "unsettled")
@@ -167,6 +167,15 @@ def _near_duplicates(scratch: Scratch, docs: DataFrame, width: int, threshold: f
     return out.select("doc_id", "n_shingles", id_.alias("component_id"), F.coalesce(F.col("doc_id") == id_, F.lit(True)).alias("kept"))
 
 
+def _shared_ids(usable: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges from each id that several texts share to the representatives of these texts."""
+    text = F.struct("d1", "d2", "n_shingles")
+    several = usable.groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi").select("doc_id")
+    own = usable.select("doc_id", "d1", "d2", "n_shingles").join(several.hint("merge"), "doc_id", "left_semi").distinct()
+    to = own.join(reps.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep")), ["d1", "d2", "n_shingles"]).where("doc_id <> rep")
+    return to.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
+
+
 def _pivots() -> Column:
     """Of each bucket: the least document, the greatest, and one by hash."""
     return F.array_distinct(F.array(F.min("doc"), F.max("doc"), F.min_by("doc", F.xxhash64("band", "doc"))))

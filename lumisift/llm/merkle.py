@@ -21,9 +21,10 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumisift.plans.places import placed
 from lumisift.plans.scratch import Scratch
 
 ARITY = 16
@@ -63,18 +64,6 @@ def _height(size: Column) -> Column:
     return out.otherwise(15)
 
 
-def _numbered(scratch: Scratch, rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` written in ``order``, with their ``place`` from 0: the count of earlier partitions plus the row's own in its one."""
-    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
-    laid = scratch.table(laid, name)
-    part = F.shiftright("_n", 33)
-    counts = laid.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(counts.select("_part", before.alias("_start")))  # a row for each partition
-    place = F.col("_start") + F.col("_n").bitwiseAND((1 << 33) - 1)
-    return laid.withColumn("_part", part).join(starts, "_part").withColumn("place", place).drop("_part", "_start", "_n")
-
-
 def _parents(children: DataFrame, level: int, over: int) -> DataFrame:
     """Nodes of ``level`` from those below: (first, start, size, rank, kids in order, kid ids, digest)."""
     width = ARITY ** level
@@ -117,12 +106,12 @@ def manifest(spark: SparkSession, docs: DataFrame, tampered: Column | None = Non
     hurt = F.lit(None).cast("string") if tampered is None else tampered
     leaves = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(leaf_hash()).alias("leaf"), F.unhex(hurt).alias("hurt"), F.monotonically_increasing_id().alias("tie"))
     raw = scratch.table(leaves, "leaves")
-    leaves = _numbered(scratch, raw, ["source", "doc_id", "leaf", "tie"], "ordered")
+    leaves = placed(scratch, raw, ["source", "doc_id", "leaf", "tie"], "ordered")
     sources = scratch.table(leaves.groupBy("source").agg(F.min("place").alias("start"), F.count("*").alias("size")), "sources")
     n_sources, largest = sources.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
     if not n_sources:
         return spark.createDataFrame([], SCHEMA)
-    ranked = scratch.table(_numbered(scratch, sources, ["start"], "by-source").withColumnRenamed("place", "rank"), "ranked")
+    ranked = scratch.table(placed(scratch, sources, ["start"], "by-source").withColumnRenamed("place", "rank"), "ranked")
 
     runs = scratch.table(_runs(leaves, ranked), "runs")
     levels, links, level = [runs], [], 1

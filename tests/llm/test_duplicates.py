@@ -174,3 +174,12 @@ def test_query_sql_is_whole(spark, sf_dir):
 
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert QUERIES["op6_substring_dedup"](spark, sf_dir).agg(F.count("*")).first()[0] == n
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    rng = random.Random(12)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(5, a), (5, b), (1, a), (2, b), (9, c), (9, c), (7, c), (8, words(rng, 30)), (8, ""), (8, words(rng, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in hyperminhash.near_duplicates(spark, docs).collect()}
+    assert got == {(5, 1, False), (1, 1, True), (2, 1, False), (9, 7, False), (7, 7, True), (8, 8, True)}

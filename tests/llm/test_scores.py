@@ -296,3 +296,71 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert decontaminate.common_subsequence(a, b) == t[-1][-1]
+
+
+def test_extraction_keeps_all_of_an_article():
+    long = "<p>A long paragraph, with commas, and much text, to score well, in this test.</p>" * 6
+    page = f"<body><div><p>Outside, also long, with commas, and text.</p></div><article><section>{long}</section><section><ul><li>one</li><li>two</li></ul></section><section><p>Tiny.</p></section><div class='ad'>buy</div></article></body>"
+    assert html_extract.main_text(page).split("\n\n")[5:] == ["A long paragraph, with commas, and much text, to score well, in this test.", "one", "two", "Tiny."]
+    assert html_extract.main_text(page.replace("article", "main")) == html_extract.main_text(page)
+
+
+def test_extraction_of_quotes_in_unquoted_values():
+    rest = "<p>Second one, which is long.</p><p>Third, also quite long.</p>"
+    want = "First paragraph, long enough.\n\nSecond one, which is long.\n\nThird, also quite long."
+    for attrs in ('class=a"', "class=a'b", "data-x=\"1>2\" title='>'", 'a = "b>" c'):
+        assert html_extract.main_text(f"<body><p {attrs}>First paragraph, long enough.</p>{rest}</body>") == want
+
+
+def test_extraction_is_linear_in_depth():
+    import time
+
+    began = time.time()
+    html_extract.main_text("<div>" * 20000 + "<p>Some paragraph, of words, that scores.</p>" * 10000)
+    assert time.time() - began < 5
+
+
+def test_extraction_of_an_empty_table(spark):
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_mixing_is_the_same_on_any_layout(spark):
+    rng = random.Random(9)
+    rows = [(1, "a b c", "s")] * 3000 + [(i, sentence(rng, rng.randrange(0, 50)), rng.choice(["s", "t", None])) for i in range(500)] + [(None, "x y", None)] * 400
+    key = lambda df: sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["copies"]) for r in df.collect())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [key(mixing.mix(spark, docs.repartition(n), block=200)) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
+def test_large_documents_do_not_spoil_the_words(spark):
+    rng = random.Random(10)
+    rows = [(100 * s + i, "w " * int(rng.lognormvariate(4.5, 1.3) + 1), f"s{s}") for s in range(9) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    per = mixing.mix(spark, docs).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] / r["target"] - 1) < 0.02 for r in per)
+
+
+def test_every_document_a_source_of_its_own(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    out = mixing.mix(spark, docs)
+    assert out.count() == 6000 and out.agg(F.max("target")).first()[0] <= 12 and abs(out.agg(F.sum("target")).first()[0] - 24000) < 1e-3
+
+
+def test_leaks_of_short_items_and_paraphrases(spark):
+    """Literal copies of items of 4 to 12 words; and long ones with words replaced, of which nearly all are found."""
+    rng = random.Random(11)
+    items = [(k, sentence(rng, 4 + k % 9)) for k in range(60)] + [(100 + k, sentence(rng, 20 + 10 * (k % 4))) for k in range(60)]
+    rows, due = [(i, sentence(rng, 200)) for i in range(200)], set()
+    for i, (item, text) in enumerate(items):
+        w = text.split()
+        if item >= 100:
+            for k in rng.sample(range(len(w)), len(w) * (i % 4) // 20):
+                w[k] = "other"
+        rows.append((1000 + i, f"{sentence(rng, 61 + i % 7)} {' '.join(w)} {sentence(rng, 40)}"))
+        due.add((1000 + i, item))
+    got = decontaminate.find_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert len(found & due) >= len(due) - 2 and found <= due
+    blocks = decontaminate.find_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), item_block=50)
+    assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == found
