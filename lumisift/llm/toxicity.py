@@ -8,13 +8,19 @@ the ones that speak most for a toxic label, no two alike, and some common ones.
 kernels with the landmarks times the inverse root of the landmarks' own kernel matrix, where a linear machine
 (squared hinge) is trained. Labels belong to texts, so training is multiple-instance: a toxic text's most
 toxic piece is positive, every piece of the clean texts negative, in rounds; disguised variants of the positives
-(inserted characters, doubled or dropped letters) are added as positives. A text's score is the largest margin of
-its pieces, made a probability by logistic calibration.
+(inserted characters, doubled or dropped letters) are added as positives.
+
+Insults may share a stem that clean texts hold now and then, so that no single piece tells. Whole texts are therefore
+kernel arguments too: the pieces that speak for the label are gathered into groups of like ones, whose centroids are a second
+set of landmarks; the kernel of a text with a group sums those of its distinct pieces beyond ``NEAR``. A second machine of
+the same kind over these sums, damped, and the largest margin of the pieces gives the text's margin, made a probability by
+logistic calibration.
 
 Training takes a sample of ``max_rows`` labelled rows. Spark counts its pieces, makes their features and sums the
-Newton steps; texts and features stay in the tasks. The machine is linear in the kernel, so all landmarks fold into
-one weight for each of the 2^18 subsequences: scoring a piece is a sum over its subsequences. Every text is scored
-whole where it is read, without a shuffle.
+Newton steps; texts and pieces' features stay in the tasks, some 66 numbers for each text of the sample come to the driver.
+The piece machine is linear in the kernel, so all landmarks fold into one weight for each of the 2^18 subsequences: scoring a
+piece is a sum over its subsequences, and kernels with the groups are only made where a bound of all of them reaches
+``NEAR``. Every text is scored whole where it is read, without a shuffle.
 
 Edge cases: null and empty texts, and texts without a piece of three letters, get the score of a margin below
 all others; long pieces are cut into overlapping windows; without labels of both classes all scores are 0. Rows that
@@ -38,6 +44,8 @@ from lumisift.llm.training import fold, labelled_rows, one_row_an_id
 from lumisift.plans.scratch import Scratch
 
 DECAY, SPAN, LONGEST = 0.7, 8, 24
+NEAR, ALIKE = 0.55, 0.5  # kernels that count for a text, and those that make one group
+SHORT = 50  # texts of fewer distinct pieces count as texts of so many
 _KEEP = {**{c: c for c in range(97, 123)}, **{c: c + 32 for c in range(65, 91)}}
 #: Digits and signs read as letters, for disguised words.
 _LIKE = dict(zip(b"013457@", b"oieastb", strict=True)) | {64: 97}
@@ -142,6 +150,20 @@ class Landmarks:
             out[at] = np.einsum("nt,ntm->nm", w[None, :] / norm[:, None], self.weights[self.row[u]])
         return out
 
+    def groups(self, weight: np.ndarray, most: int) -> np.ndarray:
+        """Centroids of like pieces, as columns: leaders by ``weight``, each group widened once around its centroid."""
+        kernels, left, found = self.weights.T @ self.weights, np.ones(len(weight), bool), []
+        for i in np.argsort(-weight, kind="stable"):
+            if left[i]:
+                own = left & (kernels[i] >= ALIKE)
+                centre = kernels[:, own] @ weight[own] / np.sqrt(weight[own] @ kernels[np.ix_(own, own)] @ weight[own])
+                own |= left & (centre >= ALIKE)
+                left &= ~own
+                found.append((weight[own].sum(), np.where(own, weight, 0)))
+        found.sort(key=lambda f: -f[0])
+        out = np.stack([self.weights @ w for _, w in found[:most]], 1)
+        return (out / np.linalg.norm(out, axis=0)).astype(np.float32)
+
     def folded(self, coefficients: np.ndarray) -> np.ndarray:
         """One weight for each subsequence, of a sum of kernels with these coefficients."""
         out = np.zeros(CODES, np.float32)
@@ -171,19 +193,49 @@ def _sums(z: np.ndarray, y: float, weight: np.ndarray, w: np.ndarray) -> np.ndar
 
 
 class Model:
-    """Subsequence weights, bias, and the calibration of a text's largest margin."""
+    """Subsequence weights and bias of pieces; groups and weights of texts; and the calibration of a text's margin."""
 
     def __init__(self):
         self.weight, self.bias, self.slope, self.shift = np.zeros(CODES, np.float32), -1.0, 0.0, -30.0
+        self.row, self.groups, self.any = np.zeros(CODES, np.int32), np.zeros((1, 0), np.float32), np.zeros(1, np.float32)
+        self.text_weight = None
+
+    def gather(self, marks: Landmarks, groups: np.ndarray) -> None:
+        self.row, self.groups, self.any = marks.row, groups, groups.max(1)
 
-    def text_margins(self, texts: list[list[bytes]]) -> np.ndarray:
+    def of_pieces(self, items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Margins of pieces, and their kernels with the groups as far as these pass ``NEAR``."""
+        margin, near = np.zeros(len(items), np.float32), np.zeros((len(items), self.groups.shape[1]), np.float32)
+        for at, some in by_length(items):
+            u, w, norm = subsequences(some)
+            margin[at] = (self.weight[u] * w).sum(1) / norm
+            if self.groups.shape[1]:
+                close = np.flatnonzero((self.any[self.row[u]] * w).sum(1) / norm >= NEAR)
+                for i in range(0, len(close), 128):
+                    c = close[i : i + 128]
+                    k = np.einsum("nt,ntg->ng", w[None, :] / norm[c, None], self.groups[self.row[u[c]]])
+                    near[at[c]] = np.maximum(0, k - NEAR) / (1 - NEAR)
+        return margin, near
+
+    def features(self, texts: list[list[bytes]]) -> np.ndarray:
+        """A row for each text: its largest margin, the damped sums over its distinct pieces for each group, and its length."""
         number: dict[bytes, int] = {}
         at = [np.array([number.setdefault(p, len(number)) for p in set(t)], np.int64) for t in texts]
-        m = margins(list(number), self.weight) + self.bias
-        return np.array([m[a].max() if len(a) else self.bias - 1 for a in at], np.float64)
+        margin, near = self.of_pieces(list(number))
+        margin = margin + self.bias
+        hit = near.any(1)
+        total = np.array([near[a[hit[a]]].sum(0) if len(a) else np.zeros(near.shape[1]) for a in at]).reshape(len(at), -1)
+        best = np.array([margin[a].max() if len(a) else self.bias - 1 for a in at])
+        return np.concatenate([best[:, None], np.log1p(3 * total), np.sqrt(np.maximum(0, total - 1.2)), np.log(np.maximum(SHORT, [[len(a)] for a in at]))], 1).astype(np.float64)
+
+    def text_margins(self, features: np.ndarray) -> np.ndarray:
+        if self.text_weight is None:
+            return features[:, 0]
+        return np.concatenate([features, np.ones((len(features), 1))], 1) @ self.text_weight
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.text_margins(texts) + self.shift, -30, 30)))
+        margin = np.where([len(t) > 0 for t in texts], self.text_margins(self.features(texts)), -np.inf)
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift if self.slope else np.full(len(texts), self.shift), -30, 30)))
 
 
 def copy_keys(pieces_of: set[bytes]) -> list[int]:
@@ -205,11 +257,11 @@ class Trainer:
     """Training over a written table of labelled texts (id, label, pieces, keys), of which the driver sees sums.
 
     Pieces are counted, made features and summed for Newton steps in tasks. To the driver come the landmarks, one piece
-    for each toxic text, ``most`` pieces that only toxic texts have, matrices of the landmarks' order and one margin a text.
+    for each toxic text, matrices of the landmarks' order and the features of each text.
     """
 
-    def __init__(self, scratch: Scratch, texts: DataFrame, n_toxic: int, n_common: int, cost: float, most: int):
-        self.scratch, self.cost, self.most, self.spark = scratch, cost, most, texts.sparkSession
+    def __init__(self, scratch: Scratch, texts: DataFrame, n_toxic: int, n_common: int, n_groups: int, cost: float):
+        self.scratch, self.cost, self.n_groups, self.spark = scratch, cost, n_groups, texts.sparkSession
         # a copied text would make all its words look like evidence
         keys = texts.select("id", F.explode("keys").alias("key"))
         copies = keys.join(keys.groupBy("key").agg(F.min("id").alias("first")), "key").where("first < id").select("id").distinct()
@@ -227,14 +279,18 @@ class Trainer:
         good = values > 1e-6
         self.root = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T  # inverse root of the landmarks' kernels
         shared = self.spark.sparkContext.broadcast((self.marks, self.root.astype(np.float32)))
+        # pieces of toxic texts alone, too often for chance among so many pieces, are positive whatever stands beside them
+        distinct = max(2, self.counts.where("toxic > 0").count())
+        sure = (F.col("clean") == 0) & (F.col("toxic") * float(np.log((self.n0 + self.n1) / self.n1)) > float(np.log(distinct) + 3))
+        taught = self.counts.where((F.col("clean") > 0) | sure).select("piece", F.when(sure, F.sqrt("toxic")).otherwise(-1.0).cast("float").alias("weight"))
 
         def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 marks, root = shared.value
                 z = marks.kernels(part.column(0).to_pylist()) @ root
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in z], pa.binary())], ["z"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in z], pa.binary()), part.column(1)], ["z", "weight"])
 
-        self.features = scratch.table(self.counts.where("clean > 0").select("piece").mapInArrow(features, "z binary"), "features")
+        self.features = scratch.table(taught.mapInArrow(features, "z binary, weight float"), "features")
 
     def _apart(self, n: int, alike: float = 0.9, block: int = 500) -> list[bytes]:
         """The pieces that speak most for the label, no two of which are alike, from as many blocks as it takes."""
@@ -261,21 +317,24 @@ class Trainer:
         return chosen
 
     def newton(self, w: np.ndarray, z: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The machine over all pieces of clean texts, and the positive ones given, from a start; the last coefficient is the bias."""
+        """The machine over the stored pieces, and the positive ones given, from a start; the last coefficient is the bias."""
         ridge = np.eye(len(w)) / self.cost
         ridge[-1, -1] *= 1e-3
         for _ in range(25):
             shared = self.spark.sparkContext.broadcast(w)
 
-            def negative(parts: Iterator[pa.RecordBatch], at=shared, size=len(w)) -> Iterator[pa.RecordBatch]:
+            def stored(parts: Iterator[pa.RecordBatch], at=shared, size=len(w)) -> Iterator[pa.RecordBatch]:
                 total = np.zeros((size, size + 1))
                 for part in parts:
                     x = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float32).reshape(-1, size - 1)
-                    total += _sums(x, -1.0, np.ones(len(x)), at.value)
+                    weight = part.column(1).to_numpy()
+                    for y in (-1.0, 1.0):
+                        own = weight * y > 0
+                        total += _sums(x[own], y, np.abs(weight[own]), at.value)
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
             total = _sums(z, 1.0, weight, w)
-            for r in self.features.mapInArrow(negative, "sums binary").collect():
+            for r in self.features.mapInArrow(stored, "sums binary").collect():
                 total += np.frombuffer(r[0]).reshape(len(w), -1)
             step = np.linalg.solve(ridge + total[:, :-1], ridge @ w - total[:, -1])
             w = w - step
@@ -319,39 +378,56 @@ class Trainer:
         model = Model()
         if not self.n1 or not self.n0:
             return model
-        # pieces of toxic texts alone, too often for chance among so many pieces, are positive whatever stands beside them
-        distinct = max(2, self.counts.where("toxic > 0").count())
-        sure = self.counts.where((F.col("clean") == 0) & (F.col("toxic") * float(np.log((self.n0 + self.n1) / self.n1)) > float(np.log(distinct) + 3)))
-        sure = {bytes(r["piece"]): r["toxic"] for r in sure.orderBy(F.desc("toxic"), "piece").limit(self.most).collect()}
         w, best, variants, before = np.zeros(self.root.shape[1] + 1), self.first_best(), [], None
         for _ in range(rounds):
             if best == before:
                 break
             positive = {p: n for p, (n, clean) in best.items() if clean == 0}
-            for p, n in sure.items():
-                positive[p] = positive.get(p, 0) + n
             seen = sorted(positive)
             variants = self.not_clean(sorted({v for p in seen if positive[p] >= 2 for v in disguised(p)} - set(seen)))
             z = self.marks.kernels([*seen, *variants]) @ self.root.astype(np.float32)
             w = self.newton(w, z, np.concatenate([np.sqrt([positive[p] for p in seen]), np.full(len(variants), 4.0)]))
             model.weight, model.bias = self.marks.folded(self.root @ w[:-1]), float(w[-1])
             before, best = best, self.next_best(model)
-        self.calibrate(model, variants)
+        self._group(model)
+        self.fit_texts(model, variants)
         return model
 
-    def calibrate(self, model: Model, variants: list[bytes]) -> None:
+    def _group(self, model: Model, most: int = 600) -> None:
+        """Groups of the ``most`` pieces that speak most for the label and stand in two toxic texts or more."""
+        rows = self.counts.where("odds > 0 and toxic > 1").orderBy(F.desc("odds"), "piece").limit(most).select("piece", "odds").collect()
+        if rows:
+            marks = Landmarks([bytes(r["piece"]) for r in rows])
+            model.gather(marks, marks.groups(np.array([r["odds"] for r in rows], np.float32), self.n_groups))
+
+    def fit_texts(self, model: Model, variants: list[bytes]) -> None:
+        """The machine of texts, over the sample and the variants as texts of one piece, and its calibration."""
         shared = self.spark.sparkContext.broadcast(model)
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.text_margins(part.column(1).to_pylist()))], ["label", "margin"])
-
-        rows = self.own.select("label", "pieces").mapInArrow(run, "label int, margin double").collect()
-        m = np.array([r["margin"] for r in rows])
-        extra = margins(variants, model.weight) + model.bias if variants else np.zeros(0)
-        target = np.concatenate([np.where([r["label"] == 1 for r in rows], 0.999, 0.001), np.full(len(extra), 0.999)])
-        weight = np.concatenate([np.ones(len(m)), np.full(len(extra), 0.2 * self.n1 / max(1, len(extra)))])  # as much as a fifth of the toxic texts
-        model.slope, model.shift = _calibrate(np.concatenate([m, extra]), target, weight)
+                x = shared.value.features(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
+
+        rows = self.own.select("label", "pieces").mapInArrow(run, "label int, x binary").collect()
+        own = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(len(rows), -1)
+        x = np.concatenate([own, model.features([[v] for v in variants])]) if variants else own
+        toxic = np.concatenate([np.array([r["label"] == 1 for r in rows]), np.ones(len(variants), bool)])
+        weight = np.concatenate([np.ones(len(own)), np.full(len(variants), 0.2 * self.n1 / max(1, len(variants)))])  # as much as a fifth of the toxic texts
+        w, free_sign = np.zeros(x.shape[1] + 1), np.arange(x.shape[1] + 1) >= x.shape[1] - 1  # length and bias; all else speaks for the label or not at all
+        ridge = np.diag(np.where(np.arange(len(w)) == len(w) - 1, 1e-3, 1.0))
+        for _ in range(50):
+            total = sum(_sums(x[toxic == (y > 0)], y, weight[toxic == (y > 0)], w) for y in (-1.0, 1.0))
+            slope = ridge @ w - total[:, -1]
+            on = np.flatnonzero(free_sign | (w > 0) | (slope < 0))
+            new = w.copy()
+            new[on] -= np.linalg.solve((ridge + total[:, :-1])[np.ix_(on, on)], slope[on])
+            new = np.where(free_sign, new, np.maximum(0, new))
+            if np.abs(new - w).max() < 1e-4 * max(1.0, np.abs(w).max()):
+                break
+            w = new
+        model.text_weight = w
+        model.slope, model.shift = _calibrate(model.text_margins(x), np.where(toxic, 0.999, 0.001), weight)
 
 
 def _calibrate(m: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -393,9 +469,9 @@ def _in_groups(part: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Itera
 
 def fit(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, max_rows: int = 6000,
-    n_toxic: int = 72, n_common: int = 24, rounds: int = 3, cost: float = 10.0, id_col: str = "doc_id", text_col: str = "text",
+    n_toxic: int = 72, n_common: int = 24, n_groups: int = 32, rounds: int = 3, cost: float = 10.0, id_col: str = "doc_id", text_col: str = "text",
 ) -> Model:
-    """A model from at most ``max_rows`` labelled documents outside the held-out fold, with at most n_toxic + n_common landmarks."""
+    """A model from at most ``max_rows`` labelled documents outside the held-out fold, with at most n_toxic + n_common landmarks and n_groups groups."""
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -408,14 +484,14 @@ def fit(
     scratch = Scratch(spark, "toxicity")
     sample = labelled_rows(docs, labels, label, folds, held_out, max_rows, id_col, text_col)
     texts = scratch.table(one_row_an_id(sample.mapInArrow(gather, "id long, label int, pieces array<binary>, keys array<long>")).coalesce(8), "texts")
-    model = Trainer(scratch, texts, n_toxic, n_common, cost, max_rows).train(rounds)
+    model = Trainer(scratch, texts, n_toxic, n_common, n_groups, cost).train(rounds)
     scratch.drop_all_but()
     return model
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    shared = spark.sparkContext.broadcast(model)  # 2^18 floats, whatever the input
+    shared = spark.sparkContext.broadcast(model)  # some megabytes, whatever the input
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

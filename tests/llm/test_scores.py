@@ -364,3 +364,22 @@ def test_leaks_of_short_items_and_paraphrases(spark):
     assert len(found & due) >= len(due) - 2 and found <= due
     blocks = decontaminate.find_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), item_block=50)
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == found
+
+
+def test_toxicity_of_a_shared_stem(spark):
+    """Insults that share a stem which clean texts hold once now and then: several in a text tell, one does not."""
+    rng = random.Random(13)
+    ends = ["ado", "era", "ino", "ul", "ost", "eck", "ipa", "onu", "aft", "iri"]
+    docs, labels = [], []
+    for i in range(900):
+        toxic, w = int(rng.random() < 0.2), sentence(rng, rng.randrange(60, 150)).split()
+        for _ in range(rng.randrange(3, 6) if toxic else int(rng.random() < 0.15)):
+            w.insert(rng.randrange(len(w)), "zorbiku" + rng.choice(ends))
+        docs.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(spark, docs, labels)
+    got = toxicity.score_documents(spark, docs, model).join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {r["toxic"]: r["p"] for r in got}
+    assert share[1] > 0.95 and share[0] < 0.02
+    assert model.scores([[], toxicity.pieces(b"a clean little text")]).max() < 0.5
