@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from lumisift.operators.running import numbered, running_sums
+from lumisift.plans.scratch import Scratch
 
 
 def melt(rows: DataFrame, keys: list[str], scores: list[str]) -> DataFrame:
@@ -50,26 +51,46 @@ def rolling_origin(rows: DataFrame, scores: list[str], block_days: int, budget:
     return ranking_metrics(melt(folds, ["fold"], scores), ["fold", "model"], budget).join(history, "fold").where(F.col("history") >= min_history)
 
 
-def bootstrap(rows: DataFrame, scores: list[str], replicates: int, budget: int, seed: int = 1) -> DataFrame:
-    """Interval of the budget recall of each score, and of its difference from the first, resampling entities.
+def bootstrap(rows: DataFrame, scores: list[str], replicates: int, budget: int, seed: int = 1, incumbent: str | None = None, block: str | None = None, ranges: int = 64) -> DataFrame:
+    """Interval of the budget recall of each score, and of its difference from the incumbent's (the first, if not named).
 
-    The draws are Poisson weights from a hash of (seed, replicate, entity): an entity is drawn independently of
-    all others, alike for every score, so resampling is a map and no replicate has to be gathered anywhere.
+    Every replicate draws as many entities of a time block as it has, with replacement, the same ones for every score; its
+    recall is the mean over blocks. Draw i of a replicate is a hash of (seed, block, replicate, i), so draws are a map over
+    the rows, whose counts sum to the block's size. Scores are ordered once: every row has its place in each score's order,
+    places are cut into ranges, the drawn rows are summed by range, and only the range in which the budget ends is read by ties.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep", "entity"), F.lit(1 << 53)) / float(1 << 53)).alias("u")
-    cuts, term, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += term
-        cuts.append(total)
-        term /= k + 1
-    draws = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("u", u)
-    weight = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    long = melt(draws.withColumn("w", weight).where("w > 0"), ["rep", "w"], scores)
-    m = ranking_metrics(long, ["rep", "model"], budget, F.col("w"))
-    base = m.where(F.col("model") == scores[0]).select("rep", F.col("recall_at_budget").alias("base"))
-    d = m.join(base, "rep").withColumn("delta", F.col("recall_at_budget") - F.col("base"))
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return d.groupBy("model").agg(F.avg("recall_at_budget").alias("mean_recall"), q("recall_at_budget", 0.025).alias("low"), q("recall_at_budget", 0.975).alias("high"), F.avg("delta").alias("mean_delta"), q("delta", 0.025).alias("delta_low"), q("delta", 0.975).alias("delta_high"))
+    scratch, unit = Scratch(rows.sparkSession, "bootstrap"), ["block"]
+    base = rows.select((F.lit(0) if block is None else F.col(block)).cast("long").alias("block"), "entity", "label", *scores).withColumn("_one", F.lit(1))
+    base = running_sums(base, unit, "entity", ["_one"]).withColumnRenamed("cum__one", "i").drop("_one")
+    size = base.groupBy("block").agg(F.count("*").alias("size"))
+    table = base.join(size, "block")
+    for k, s in enumerate(scores):  # named scores, a few
+        levels = running_sums(base.groupBy("block", s).agg(F.count("*").alias("n")), unit, s, ["n"], descending=True)
+        table = table.join(levels.select("block", s, (F.col("cum_n") - F.col("n")).alias(f"above{k}")), ["block", s])
+    table = scratch.table(table.select("block", "i", "label", "size", *(f"above{k}" for k in range(len(scores)))), "rows")
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("block").cast("string"), F.col("rep").cast("string"), F.col("i").cast("string"))
+    pick = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long") % F.col("size") + 1
+    slots = table.select("block", "i", "size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    weights = slots.select("block", "rep", pick.alias("i")).groupBy("block", "rep", "i").agg(F.count("*").alias("w"))
+    drawn = scratch.table(weights.join(table, ["block", "i"]), "drawn")
+    models = F.explode(F.array(*(F.struct(F.lit(s).alias("model"), F.col(f"above{k}").alias("above")) for k, s in enumerate(scores)))).alias("x")
+    key = ["block", "rep", "model"]
+    long = drawn.select("block", "rep", "label", "w", "size", models).select("block", "rep", "label", "w", "x.*", F.floor(F.col("x.above") * ranges / F.col("size")).alias("range"))
+    per = long.groupBy(*key, "range").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("p"))
+    upto = Window.partitionBy(*key).orderBy("range")
+    per = per.withColumn("cum_n", F.sum("n").over(upto)).withColumn("cum_p", F.sum("p").over(upto))
+    last = F.coalesce(F.min(F.when(F.col("cum_n") >= budget, F.col("range"))), F.max("range"))
+    ends = per.groupBy(*key).agg(last.alias("range"), F.max("cum_p").alias("positives")).join(per, [*key, "range"])
+    ends = ends.select(*key, "range", "positives", (F.col("cum_n") - F.col("n")).alias("before_n"), (F.col("cum_p") - F.col("p")).alias("before_p"))
+    ties = long.join(ends, [*key, "range"]).groupBy(*key, "above").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("p"), F.min("before_n").alias("before_n"), F.min("before_p").alias("before_p"), F.min("positives").alias("positives"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("above").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), budget - F.col("before_n") - F.col("earlier")))
+    hits = ties.withColumn("earlier", earlier).groupBy(*key).agg((F.min("before_p") + F.sum(F.col("p") * taken / F.col("n"))).alias("hits"), F.min("positives").alias("positives"))
+    m = hits.groupBy("rep", "model").agg(F.avg(F.coalesce(F.col("hits") / F.nullif("positives", F.lit(0)), F.lit(0.0))).alias("recall"))
+    first = m.where(F.col("model") == (incumbent or scores[0])).select("rep", F.col("recall").alias("base"))
+    d = m.join(first, "rep").withColumn("delta", F.col("recall") - F.col("base"))
+    q = lambda c, p: F.percentile(c, F.lit(p))  # noqa: E731  (of the replicates)
+    return d.groupBy("model").agg(F.avg("recall").alias("mean_recall"), q("recall", 0.025).alias("low"), q("recall", 0.975).alias("high"), F.avg("delta").alias("mean_delta"), q("delta", 0.025).alias("delta_low"), q("delta", 0.975).alias("delta_high"))
 
 
 def chronological_split(rows: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:

@@ -7,35 +7,41 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumisift.plans.scratch import Scratch
+
 
 def review_queue(candidates: DataFrame, budget: int, anomaly_slots: int, anomaly_threshold: float, audit_slots: int, seed: str) -> DataFrame:
-    """Random audit of the whole eligible set, then priority, anomaly reserve and fill; at most ``budget`` rows.
+    """Random audit of the whole eligible set, then priority, anomaly reserve and fill; at most ``budget`` rows, ranked.
 
-    Each route is an ordered limit, which Spark takes as a top-k of each partition; only rows already chosen are
-    excluded by an anti-join against at most ``budget`` ids.
+    Each route is an ordered limit, which Spark takes as a top-k of each partition, and is written once (at most ``budget`` rows);
+    the next one leaves out the ids of those before by an anti-join. An audit row has the probability with which the draw takes
+    any eligible candidate, whatever the other routes do after it; the others are chosen, not drawn, and have none.
     """
-    eligible = candidates.where("eligible")
+    scratch, eligible = Scratch(candidates.sparkSession, "queue"), candidates.where("eligible")
     order_id = [F.lower("candidate_id"), F.col("candidate_id")]
     by_priority = [F.col("priority").desc(), F.col("anomaly").desc(), *order_id]
     by_anomaly = [F.col("anomaly").desc(), F.col("priority").desc(), *order_id]
-    audit = eligible.orderBy(F.sha2(F.concat(F.lit(f"{seed}\0"), "candidate_id"), 256), *order_id).limit(min(audit_slots, budget))
-    left = budget - min(audit_slots, budget)
-    reserve = min(anomaly_slots, left)
-    chosen = [audit.withColumn("route", F.lit("random_audit"))]
-
-    def rest() -> DataFrame:
-        taken = reduce(DataFrame.unionByName, (c.select("candidate_id") for c in chosen))
-        return eligible.join(taken, "candidate_id", "left_anti")
-
-    chosen.append(rest().orderBy(*by_priority).limit(left - reserve).withColumn("route", F.lit("priority")))
-    chosen.append(rest().where(F.col("anomaly") >= anomaly_threshold).orderBy(*by_anomaly).limit(reserve).withColumn("route", F.lit("anomaly_reserve")))
-    got = reduce(DataFrame.unionByName, chosen)
-    fill = rest().orderBy(*by_priority).limit(reserve).withColumn("route", F.lit("priority_fill"))
-    order = F.when(F.col("route") == "priority", 0).when(F.col("route") == "anomaly_reserve", 1).when(F.col("route") == "priority_fill", 2).otherwise(3)
-    everything = got.unionByName(fill).withColumn("_o", order)
-    # a fill row has a place only while the budget lasts: other routes come first
-    place = F.row_number().over(Window.orderBy(F.col("_o") == 2, "_o", *by_priority))
-    return everything.withColumn("_place", place).where(F.col("_place") <= budget).select("candidate_id", "priority", "anomaly", "route")
+    chosen: list[DataFrame] = []
+
+    def take(route: str, order: list, slots: int, where: str = "true") -> int:
+        """Write the route's rows; returns how many they are."""
+        rest = eligible.where(where)
+        if chosen:
+            rest = rest.join(reduce(DataFrame.unionByName, (c.select("candidate_id") for c in chosen)), "candidate_id", "left_anti")
+        place = F.row_number().over(Window.orderBy(*order))  # over the route's rows, at most the budget
+        chosen.append(scratch.table(rest.orderBy(*order).limit(max(0, slots)).withColumn("place", place).withColumn("route", F.lit(route)), route))
+        return chosen[-1].count()
+
+    audited = take("random_audit", [F.sha2(F.concat(F.lit(f"{seed}\0"), "candidate_id"), 256), *order_id], min(audit_slots, budget))
+    reserve = min(anomaly_slots, budget - audited)
+    first = take("priority", by_priority, budget - audited - reserve)
+    reserved = take("anomaly_reserve", by_anomaly, reserve, f"anomaly >= {anomaly_threshold}")
+    take("priority_fill", by_priority, budget - audited - first - reserved)
+    turn = F.when(F.col("route") == "priority", 0).when(F.col("route") == "anomaly_reserve", 1).when(F.col("route") == "priority_fill", 2).otherwise(3)
+    queue = reduce(DataFrame.unionByName, chosen).withColumn("rank", F.row_number().over(Window.orderBy(turn, "place")))
+    population = eligible.agg(F.count("*").alias("population"))  # one row
+    propensity = F.when(F.col("route") == "random_audit", F.lit(float(audited)) / F.col("population"))
+    return queue.crossJoin(F.broadcast(population)).select("rank", "candidate_id", "priority", "anomaly", "route", propensity.alias("propensity"))
 
 
 def routed_queue(candidates: DataFrame, routes: list[tuple]) -> DataFrame:

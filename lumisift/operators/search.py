@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumisift.plans.places import placed
+from lumisift.plans.scratch import Scratch
+
 EPOCHS = 2048  # of a block of templates and resampled curves
 
 #: Correlated noise: the share that decays with the time between epochs, and the share of each epoch alone (fixed values).
@@ -276,31 +279,31 @@ def correct(channels: DataFrame, universe: int | None, looks: int, alpha: float,
 
 
 def inject_and_recover(rows: DataFrame, amplitudes: list[float], trials: int, width: float, threshold: float, seed: int = 1) -> DataFrame:
-    """Share of gaussian pulses found by a matched filter after injection into supplied curves, by amplitude.
+    """Gaussian pulses injected into supplied curves and looked for by a matched filter at their place, by amplitude.
 
-    Each trial draws a curve and an epoch by hash; trials join the curve's rows and are summed by trial.
+    Curves have three epochs or more; their error-weighted mean is taken off. A trial draws a curve by its place in the
+    order of all curves, and a centre between its first and last epoch, both by hash, and injects a pulse of ``amplitude`` median
+    errors. Trials meet their curve by an equi-join on the place, so there are as many pairs as trials.
     """
     from lumisift.functions.scalars import wilson
 
-    key = ["source_id", "survey", "band"]
-    good = rows.where("flux_error > 0 and flux is not null")
-    curves = good.groupBy(*key).agg(F.avg("flux").alias("mean"), F.sort_array(F.collect_list("mjd")).alias("epochs"), F.count("*").alias("n")).where("n >= 5")
-    names = curves.select(F.struct(*key).alias("c"), "mean", "epochs")
-    spark = rows.sparkSession
-    t = spark.createDataFrame([(float(a),) for a in amplitudes], "amplitude double").crossJoin(spark.range(trials).withColumnRenamed("id", "trial"))
-    buckets = 64
-    draw = F.pmod(F.xxhash64(F.lit(seed), "amplitude", "trial"), F.lit(buckets))
-    # each trial takes, of the curves of its bucket, the one with the least hash against the trial
-    t = t.withColumn("bucket", draw).join(names.withColumn("bucket", F.pmod(F.xxhash64("c"), F.lit(buckets))), "bucket")
-    pick = t.groupBy("amplitude", "trial").agg(F.min_by(F.struct("c", "mean", "epochs"), F.xxhash64("trial", "amplitude", "c")).alias("p"))
-    centre = F.element_at("p.epochs", (F.pmod(F.xxhash64("trial", F.lit(seed)), F.size("p.epochs")) + 1).cast("int"))
-    pick = pick.select("amplitude", "trial", "p.c.*", "p.mean", centre.alias("centre"))
-    j = pick.join(good.select(*key, "mjd", "flux", "flux_error"), key)
-    s = F.exp(-0.5 * F.pow((F.col("mjd") - F.col("centre")) / width, 2))
+    key, spark = ["source_id", "survey", "band"], rows.sparkSession
+    good = rows.where("flux_error > 0 and flux is not null and mjd is not null").select(*key, "mjd", "flux", "flux_error")
     w = 1 / F.pow("flux_error", F.lit(2))
-    y = F.col("flux") - F.col("mean") + F.col("amplitude") * s
-    m = j.groupBy("amplitude", "trial").agg(F.sum(w).alias("w"), F.sum(w * s).alias("ws"), F.sum(w * s * s).alias("wss"), F.sum(w * y).alias("wy"), F.sum(w * s * y).alias("wsy"))
-    z = (F.col("wsy") - F.col("ws") * F.col("wy") / F.col("w")) / F.sqrt(F.greatest(F.col("wss") - F.col("ws") * F.col("ws") / F.col("w"), F.lit(1e-12)))
-    g = m.groupBy("amplitude").agg(F.count("*").alias("n"), F.count_if(z >= threshold).alias("recovered"))
+    base = F.sum(F.col("flux") * w) / F.sum(w)
+    curves = good.groupBy(*key).agg(base.alias("base"), F.min("mjd").alias("first"), F.max("mjd").alias("last"), F.median("flux_error").alias("error"), F.count_distinct("mjd").alias("n")).where("n >= 3")
+    curves = placed(Scratch(spark, "injection"), curves, key, "curves")
+    n = curves.agg(F.count("*").alias("n"))  # one row
+    t = spark.range(len(amplitudes) * trials).select((F.col("id") / trials).cast("int").alias("a"), (F.col("id") % trials).alias("trial"))
+    part = lambda what: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(what), F.col("a").cast("string"), F.col("trial").cast("string")), 256), 1, 13), 16, 10).cast("long")
+    t = t.crossJoin(F.broadcast(n)).where("n > 0").select("a", "trial", (part("curve") % F.col("n")).alias("place"), (part("centre") / float(16**13)).alias("u"))
+    size = F.get(F.array(*(F.lit(float(a)) for a in amplitudes)), F.col("a"))
+    pick = t.join(curves.drop("n"), "place").select("a", "trial", *key, "base", (F.col("first") + F.col("u") * (F.col("last") - F.col("first"))).alias("centre"), (size * F.col("error")).alias("height"))
+    s = F.exp(-0.5 * F.pow((F.col("mjd") - F.col("centre")) / width, 2))
+    j = pick.join(good, key).withColumn("s", s).withColumn("w", w)
+    m = j.groupBy("a", "trial").agg(F.sum(F.col("s") * F.col("s") * F.col("w")).alias("ss"), F.sum(F.col("s") * (F.col("flux") - F.col("base") + F.col("height") * F.col("s")) * F.col("w")).alias("sy"))
+    z = F.when(F.col("ss") > 0, F.col("sy") / F.sqrt("ss")).otherwise(0.0)
+    g = m.withColumn("z", z).groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("z") >= threshold).alias("recovered"), F.median("z").alias("median_z"))
     low, high = wilson(F.col("recovered"), F.col("n"))
-    return g.select("amplitude", "n", "recovered", (F.col("recovered") / F.col("n")).alias("fraction"), low.alias("low"), high.alias("high"))
+    amplitude = F.get(F.array(*(F.lit(float(a)) for a in amplitudes)), F.col("a")).alias("amplitude")
+    return g.select(amplitude, "n", "recovered", (F.col("recovered") / F.col("n")).alias("fraction"), low.alias("low"), high.alias("high"), "median_z")

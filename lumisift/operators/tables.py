@@ -49,6 +49,19 @@ def multiset_change(old: DataFrame, new: DataFrame) -> DataFrame:
     return plus.unionByName(old.exceptAll(new).withColumn("change", F.lit("removed"))).groupBy("change").agg(F.count("*").alias("n"))
 
 
+def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, change, fields): rows of each identity that were added, removed or changed, and the fields that differ.
+
+    Equal rows cancel first, as often as both versions have them. What is left of an identity is aligned in the order
+    of its fields: two rows are one change, one that finds no partner was added or removed.
+    """
+    side = lambda a, b, x: a.select(*keys, *fields).exceptAll(b.select(*keys, *fields)).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*fields))).select(*keys, "_place", F.struct(*fields).alias(x))
+    both = side(old, new, "_old").join(side(new, old, "_new"), [*keys, "_place"], "full_outer")
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed")
+    differ = F.array_compact(F.array(*(F.when(~F.col(f"_old.{f}").eqNullSafe(F.col(f"_new.{f}")), F.lit(f)) for f in fields)))
+    return both.select(*keys, change.alias("change"), F.when(change == "changed", F.array_join(differ, ",")).otherwise("").alias("fields"))
+
+
 def snapshot_row(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Row count and an order-free content digest: the sum of 60-bit parts of the rows' own digests."""
     part = F.conv(F.substring(digest(*columns), 1, 12), 16, 10).cast("long")

@@ -24,14 +24,28 @@ def normalisation(prefix: DataFrame, floor: float = 1e-3) -> DataFrame:
     return v.groupBy(*keys).agg(F.count("*").alias("n"), F.min("m").alias("centre"), F.greatest(1.4826 * F.median(F.abs(F.col("value") - F.col("m"))), F.median("value_error"), F.lit(floor)).alias("scale"))
 
 
-def persistence_error(prefix: DataFrame, target: DataFrame) -> DataFrame:
-    """Mean absolute error, by horizon, of the last known value and of a line through the prefix."""
+def forecast_error(prefix: DataFrame, target: DataFrame) -> DataFrame:
+    """Mean absolute error, by horizon, of the last known value and of a line and a parabola through the prefix.
+
+    Time counts from the last known epoch in units of the prefix's length, and the fits come from mergeable covariances of it
+    and its square, which keeps them well conditioned; a fit that the epochs don't determine falls back to the one before.
+    """
     keys = ["entity_id", "cutoff"]
     v = prefix.where("value is not null")
-    fit = v.groupBy(*keys).agg(F.max_by("value", F.struct("observed_at_mjd", "observation_id")).alias("last"), F.regr_slope("value", "observed_at_mjd").alias("slope"), F.regr_intercept("value", "observed_at_mjd").alias("intercept"))
-    t = target.where("value is not null").join(fit, keys)
-    line = F.coalesce(F.col("intercept") + F.col("slope") * F.col("observed_at_mjd"), F.col("last"))
-    return t.groupBy("horizon").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("value") - F.col("last"))).alias("mae_last"), F.avg(F.abs(F.col("value") - line)).alias("mae_line"))
+    ends = v.groupBy(*keys).agg(F.max_by("value", F.struct("observed_at_mjd", "observation_id")).alias("last"), F.max("observed_at_mjd").alias("t"), F.greatest(F.max("observed_at_mjd") - F.min("observed_at_mjd"), F.lit(1e-9)).alias("span"))
+    x = (F.col("observed_at_mjd") - F.col("t")) / F.col("span")
+    v = v.join(ends, keys).withColumn("x", x).withColumn("xx", F.col("x") * F.col("x"))
+    c = lambda a, b: F.covar_pop(a, b)
+    fit = v.groupBy(*keys, "last", "t", "span").agg(F.avg("value").alias("my"), F.avg("x").alias("mx"), F.avg("xx").alias("mxx"), F.var_pop("x").alias("uu"), F.var_pop("xx").alias("vv"), c("x", "xx").alias("uv"), c("x", "value").alias("uy"), c("xx", "value").alias("vy"))
+    det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
+    curved = det > 1e-9 * F.col("uu") * F.col("vv")
+    fit = fit.withColumn("slope", F.when(F.col("uu") > 1e-12, F.col("uy") / F.col("uu")))
+    fit = fit.withColumn("b", F.when(curved, (F.col("uy") * F.col("vv") - F.col("vy") * F.col("uv")) / det)).withColumn("c", F.when(curved, (F.col("vy") * F.col("uu") - F.col("uy") * F.col("uv")) / det))
+    t = target.where("value is not null").join(fit, keys).withColumn("x", x)
+    line = F.coalesce(F.col("my") + F.col("slope") * (F.col("x") - F.col("mx")), F.col("last"))
+    parabola = F.coalesce(F.col("my") + F.col("b") * (F.col("x") - F.col("mx")) + F.col("c") * (F.col("x") * F.col("x") - F.col("mxx")), line)
+    off = lambda y: F.avg(F.abs(F.col("value") - y))
+    return t.groupBy("horizon").agg(F.count("*").alias("n"), off(F.col("last")).alias("mae_last"), off(line).alias("mae_line"), off(parabola).alias("mae_parabola"))
 
 
 def complete_horizons(target: DataFrame, horizons: list[float]) -> DataFrame:

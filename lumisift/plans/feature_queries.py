@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumisift.operators import evaluation, legacy, review, surprise
+from lumisift.operators import evaluation, legacy, neighbours, retrieval, review, surprise
 from lumisift.plans.queries import ORACLE, QUERIES, _with, query
 from lumisift.plans.score_queries import _FEAT, _feat
 from lumisift.sources import derived as D
@@ -36,6 +36,11 @@ def e26_representation_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_features"), F.avg("sd").alias("mean_std"), F.min("sd").alias("least_std"), (F.count_if(F.col("sd") < 1e-4) / F.count("*")).alias("collapsed"))
 
 
+@query()
+def e26_effective_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.representation_health(D.table(spark, sf_dir, "embeddings"), "embedding")
+
+
 @query()
 def h8_h9_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = D.ranking(spark, sf_dir).withColumn("score_b", F.when(F.col("entity") % 9 > 0, F.col("score_b")))
@@ -103,23 +108,24 @@ def c19_matured_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(
-        D.PHOT, _FEAT,
-        "e AS (SELECT source_id, number % 5 AS grp, amp, sigma / 100 AS sg, first, last FROM feat)", "q AS (SELECT source_id, grp, amp, sg, last AS cutoff FROM e WHERE CAST(source_id AS BIGINT) % 10 = 0)",
-        "p AS (SELECT q.source_id, e.source_id AS entry, pow(q.amp - e.amp, 2) + 2 * pow(q.sg - e.sg, 2) AS d, e.sg AS v FROM q JOIN e ON q.grp <> e.grp AND e.last <= q.cutoff)",
-        "r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY d, entry) AS i FROM p QUALIFY i <= 3)",
+        D.PHOT, _FEAT, "e AS (SELECT source_id, number % 5 AS grp, number % 2 AS pop, amp, sqrt(2e0) * sigma / 100 AS sg, bright, last FROM feat WHERE amp IS NOT NULL)",
+        "q AS (SELECT source_id AS query, grp AS q_grp, pop, amp AS q_amp, sg AS q_sg, last AS cutoff FROM e WHERE CAST(source_id AS BIGINT) % 10 = 0)",
+        "p AS (SELECT query, source_id AS entry, pow(q_amp - amp, 2) + pow(q_sg - sg, 2) AS d, sg, bright FROM q JOIN e USING (pop) WHERE q_grp <> grp AND last + 0.25e0 <= cutoff)",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, entry) AS i, min(d) OVER (PARTITION BY query) AS d1 FROM p QUALIFY i <= 3)", "w AS (SELECT *, exp(-(d - d1)) / sum(exp(-(d - d1))) OVER (PARTITION BY query) AS weight FROM r)",
+        "g AS (SELECT query, count(*) AS n, string_agg(entry, ',' ORDER BY i) AS neighbours, min(d) AS nearest, -sum(CASE WHEN weight > 0 THEN weight * ln(weight) ELSE 0e0 END) AS entropy, sum(weight * sg) AS recalled_sg, sum(weight * bright) AS recalled_bright FROM w GROUP BY query)",
     )
-    + "SELECT source_id, count(*) AS n, sum(v * exp(-d)) / sum(exp(-d)) AS recalled FROM r GROUP BY source_id", "recalled",
+    + """SELECT query, coalesce(n, 0) AS n, coalesce(neighbours, '') AS neighbours, nearest, coalesce(entropy, 0e0) AS entropy, recalled_sg, recalled_bright,
+         coalesce((1 - 0.5e0 * CASE WHEN n > 1 THEN entropy / ln(n) ELSE 0e0 END) / (1 + exp(least(60e0, nearest))), 0e0) AS gate, n IS NOT NULL AS supported FROM q LEFT JOIN g USING (query)""",
+    "nearest entropy recalled_sg recalled_bright gate",
 )
 def d14_memory_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _feat(spark, sf_dir).select("source_id", (F.col("number") % 5).alias("grp"), "amp", (F.col("sigma") / 100).alias("sg"), "last")
-    q = e.where("cast(source_id as bigint) % 10 = 0").select(F.col("source_id").alias("query"), F.col("grp").alias("q_grp"), F.col("amp").alias("q_amp"), F.col("sg").alias("q_sg"), F.col("last").alias("cutoff"))
-    # candidates of other groups by an equi-join on the group they come from; each query keeps its three nearest
-    asked = q.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("grp <> q_grp").withColumn("grp", F.col("grp").cast("bigint"))
-    d = F.pow(F.col("q_amp") - F.col("amp"), 2) + 2 * F.pow(F.col("q_sg") - F.col("sg"), 2)
-    near = asked.join(e, "grp").where("last <= cutoff").withColumn("d", d)
-    w = Window.partitionBy("query").orderBy("d", "source_id")
-    top = near.withColumn("i", F.row_number().over(w)).where("i <= 3")
-    return top.groupBy(F.col("query").alias("source_id")).agg(F.count("*").alias("n"), (F.sum(F.col("sg") * F.exp(-F.col("d"))) / F.sum(F.exp(-F.col("d")))).alias("recalled"))
+    e = _feat(spark, sf_dir).where("amp is not null").select(
+        F.col("source_id").alias("id"), (F.col("number") % 5).alias("source_group"), F.lit("c").alias("calibration"), (F.col("number") % 2).alias("population"),
+        F.array("amp", F.sqrt(F.lit(2.0)) * F.col("sigma") / 100).alias("key"), F.array(F.sqrt(F.lit(2.0)) * F.col("sigma") / 100, "bright").alias("residual"), "last",
+    )
+    q = e.where("cast(id as bigint) % 10 = 0").select("id", "source_group", "calibration", "population", "key", F.col("last").alias("cutoff"))
+    got = retrieval.recall(e.withColumn("usable_at", F.col("last") + 0.25).drop("last"), q, 3)
+    return got.select("query", "n", F.coalesce(F.array_join("neighbours", ","), F.lit("")).alias("neighbours"), "nearest", "entropy", F.get("residual", F.lit(0)).alias("recalled_sg"), F.get("residual", F.lit(1)).alias("recalled_bright"), "gate", "supported")
 
 
 @query(

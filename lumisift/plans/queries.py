@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lumisift.functions import scalars as S
 from lumisift.operators import crossmatch, curves, decisions, evaluation, neighbours, review, search, tables, temporal
+from lumisift.plans.scratch import Scratch
 from lumisift.sources import derived as D
-from lumisift.streaming import archive
+from lumisift.streaming import archive, ledger, letters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,14 +42,15 @@ DOUBLES = {
     "d12_prefix_join": "cutoff latest",
     "d13_target_join": "cutoff horizon first",
     "e32_prefix_normalisation": "cutoff centre scale",
-    "e34_forecast_error": "horizon mae_last mae_line",
+    "e34_forecast_error": "horizon mae_last mae_line mae_parabola",
     "h5_complete_horizons": "cutoff",
     "f9_sequence_tokens": "step token",
     "e16_ranking_metrics": "average_precision precision_at_budget recall_at_budget",
     "e19_calibration": "brier ece",
     "e20_rolling_origin": "average_precision precision_at_budget recall_at_budget",
     "e24_wilson_interval": "low high",
-    "f1_review_queue": "priority anomaly",
+    "f1_review_queue": "priority anomaly propensity",
+    "e21_bootstrap": "mean_recall low high mean_delta delta_low delta_high", "e22_paired_bootstrap": "mean_recall low high mean_delta delta_low delta_high", "i11_injection_recovery": "fraction low high median_z",
     "d21_overlap_reconciliation": "mjd flux",
 }
 
@@ -359,15 +361,20 @@ def e32_prefix_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         D.PHOT, D.ASOF, CUTS, _PREFIX_SQL, _TARGET_SQL,
-        "fit AS (SELECT entity_id, cutoff, arg_max(value, (observed_at_mjd, observation_id)) AS last, regr_slope(value, observed_at_mjd) AS slope, regr_intercept(value, observed_at_mjd) AS intercept FROM prefix WHERE value IS NOT NULL GROUP BY ALL)",
+        "ends AS (SELECT entity_id, cutoff, arg_max(value, (observed_at_mjd, observation_id)) AS last, max(observed_at_mjd) AS t, greatest(max(observed_at_mjd) - min(observed_at_mjd), 1e-9) AS span FROM prefix WHERE value IS NOT NULL GROUP BY ALL)",
+        "known AS (SELECT entity_id, cutoff, value, (observed_at_mjd - t) / span AS x FROM prefix JOIN ends USING (entity_id, cutoff) WHERE value IS NOT NULL)",
+        """sums AS (SELECT entity_id, cutoff, avg(value) AS my, avg(x) AS mx, avg(x * x) AS mxx, var_pop(x) AS uu, var_pop(x * x) AS vv, covar_pop(x, x * x) AS uv, covar_pop(x, value) AS uy, covar_pop(x * x, value) AS vy FROM known GROUP BY ALL)""",
+        """fit AS (SELECT *, CASE WHEN uu > 1e-12 THEN uy / uu END AS slope, CASE WHEN uu * vv - uv * uv > 1e-9 * uu * vv THEN (uy * vv - vy * uv) / (uu * vv - uv * uv) END AS b,
+                   CASE WHEN uu * vv - uv * uv > 1e-9 * uu * vv THEN (vy * uu - uy * uv) / (uu * vv - uv * uv) END AS c FROM sums JOIN ends USING (entity_id, cutoff))""",
+        "p AS (SELECT horizon, value, last, (observed_at_mjd - t) / span AS x, my, mx, mxx, slope, b, c FROM targets JOIN fit USING (entity_id, cutoff) WHERE value IS NOT NULL)",
+        "q AS (SELECT *, coalesce(my + slope * (x - mx), last) AS line FROM p)",
     )
-    + """SELECT horizon, count(*) AS n, avg(abs(value - last)) AS mae_last, avg(abs(value - coalesce(CASE WHEN isfinite(slope) THEN intercept + slope * observed_at_mjd END, last))) AS mae_line
-         FROM targets JOIN fit USING (entity_id, cutoff) WHERE value IS NOT NULL GROUP BY horizon"""
+    + """SELECT horizon, count(*) AS n, avg(abs(value - last)) AS mae_last, avg(abs(value - line)) AS mae_line, avg(abs(value - coalesce(my + b * (x - mx) + c * (x * x - mxx), line))) AS mae_parabola FROM q GROUP BY horizon"""
 )
 def e34_forecast_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.asof(spark, sf_dir)
     cut = _cutoffs(rows)
-    return temporal.persistence_error(temporal.prefixes(rows, cut), temporal.targets(rows, cut, HORIZONS))
+    return temporal.forecast_error(temporal.prefixes(rows, cut), temporal.targets(rows, cut, HORIZONS))
 
 
 @query(_with(D.PHOT, D.ASOF, CUTS, _TARGET_SQL) + "SELECT entity_id, cutoff, count(DISTINCT horizon) AS n_horizons FROM targets GROUP BY ALL HAVING count(DISTINCT horizon) = 2")
@@ -430,11 +437,30 @@ def e20_rolling_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.rolling_origin(D.ranking(spark, sf_dir), SCORES, 4, 10)
 
 
-@query()
+def _bootstrap_sql(block: str, incumbent: str, replicates: int, budget: int) -> str:
+    return _with(
+        D.RANKING, f"r AS (SELECT {block} AS block, entity, label, score_a, score_b, score_c, row_number() OVER (PARTITION BY {block} ORDER BY entity) AS i, count(*) OVER (PARTITION BY {block}) AS size FROM ranking)",
+        f"d AS (SELECT block, rep, CAST('0x' || substr(sha256('1|' || block || '|' || rep || '|' || i), 1, 13) AS BIGINT) % size + 1 AS i, count(*) AS w FROM r, (SELECT unnest(range(1, {replicates + 1})) AS rep) GROUP BY ALL)",
+        "x AS (SELECT block, rep, w, label, model, score FROM (SELECT * FROM d JOIN r USING (block, i)) UNPIVOT (score FOR model IN (score_a, score_b, score_c)))",
+        "g AS (SELECT block, rep, model, score, sum(w) AS n, sum(w * label) AS p FROM x GROUP BY ALL)", "c AS (SELECT *, sum(n) OVER (PARTITION BY block, rep, model ORDER BY score DESC) AS cum FROM g)",
+        f"h AS (SELECT block, rep, model, coalesce(sum(p * greatest(0, least(n, {budget} - (cum - n))) / n) / nullif(sum(p), 0), 0) AS recall FROM c GROUP BY ALL)", "m AS (SELECT rep, model, avg(recall) AS recall FROM h GROUP BY ALL)",
+        f"e AS (SELECT m.*, m.recall - b.recall AS delta FROM m JOIN m b ON b.rep = m.rep AND b.model = '{incumbent}')",
+    ) + """SELECT model, avg(recall) AS mean_recall, quantile_cont(recall, 0.025) AS low, quantile_cont(recall, 0.975) AS high, avg(delta) AS mean_delta,
+                  quantile_cont(delta, 0.025) AS delta_low, quantile_cont(delta, 0.975) AS delta_high FROM e GROUP BY model"""
+
+
+@query(_bootstrap_sql("CAST(0 AS BIGINT)", "score_a", 200, 50))
 def e21_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.bootstrap(D.ranking(spark, sf_dir), SCORES, 200, 50)
 
 
+@query(_bootstrap_sql("time // 15", "score_b", 100, 5))
+def e22_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities drawn inside blocks of time, every score against a named incumbent."""
+    r = D.ranking(spark, sf_dir).withColumn("block", F.floor(F.col("time") / 15))
+    return evaluation.bootstrap(r, SCORES, 100, 5, incumbent="score_b", block="block")
+
+
 @query(
     _with(D.RANKING, "g AS (SELECT time, count(*) AS n, sum(label) AS s FROM ranking GROUP BY time)", "w AS (SELECT *, s / n AS p, 1.959963984540054e0 AS z FROM g)")
     + """SELECT time, n, CAST(s AS BIGINT) AS successes, greatest(0e0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)) AS low,
@@ -484,7 +510,10 @@ def h2_purged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         "got AS (SELECT * FROM audit UNION ALL SELECT * FROM pri UNION ALL SELECT * FROM ano)",
         "fill AS (SELECT *, 'priority_fill' AS route FROM e WHERE candidate_id NOT IN (SELECT candidate_id FROM got) ORDER BY priority DESC, anomaly DESC, lower(candidate_id), candidate_id LIMIT (SELECT 20 - count(*) FROM got))",
     )
-    + "SELECT candidate_id, priority, anomaly, route FROM got UNION ALL SELECT candidate_id, priority, anomaly, route FROM fill"
+    + """SELECT CAST(row_number() OVER (ORDER BY CASE route WHEN 'priority' THEN 0 WHEN 'anomaly_reserve' THEN 1 WHEN 'priority_fill' THEN 2 ELSE 3 END,
+                CASE route WHEN 'random_audit' THEN sha256('seed' || chr(0) || candidate_id) END, CASE route WHEN 'anomaly_reserve' THEN -anomaly END, priority DESC, anomaly DESC, lower(candidate_id), candidate_id) AS INTEGER) AS rank,
+                candidate_id, priority, anomaly, route, CASE WHEN route = 'random_audit' THEN least(4, (SELECT count(*) FROM e)) / CAST((SELECT count(*) FROM e) AS DOUBLE) END AS propensity
+         FROM (SELECT * FROM got UNION ALL SELECT * FROM fill)"""
 )
 def f1_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean, sd = F.avg("flux"), F.stddev_pop("flux")
@@ -581,6 +610,22 @@ def g2_version_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.multiset_change(rows.where("l_linenumber <= 3").select("l_partkey", "l_quantity"), rows.where("l_linenumber >= 3").select("l_partkey", "l_quantity"))
 
 
+@query(
+    """WITH a AS (SELECT l_partkey, l_quantity, l_returnflag, l_linestatus FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT l_partkey, l_quantity, l_returnflag, l_linestatus FROM lineitem WHERE l_linenumber >= 3),
+       o AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity, l_returnflag, l_linestatus) AS i FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)),
+       n AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity, l_returnflag, l_linestatus) AS i FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)),
+       j AS (SELECT l_partkey, CASE WHEN o.l_quantity IS NULL THEN 'added' WHEN n.l_quantity IS NULL THEN 'removed' ELSE 'changed' END AS change,
+                    concat_ws(',', CASE WHEN o.l_quantity <> n.l_quantity THEN 'l_quantity' END, CASE WHEN o.l_returnflag <> n.l_returnflag THEN 'l_returnflag' END, CASE WHEN o.l_linestatus <> n.l_linestatus THEN 'l_linestatus' END) AS fields
+             FROM o FULL JOIN n USING (l_partkey, i))
+       SELECT l_partkey, change, fields, count(*) AS n FROM j GROUP BY ALL"""
+)
+def g2_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per part: line items added, removed and changed between two versions, by the fields that changed."""
+    rows, fields = D.table(spark, sf_dir, "lineitem"), ["l_quantity", "l_returnflag", "l_linestatus"]
+    got = tables.changed_rows(rows.where("l_linenumber <= 3"), rows.where("l_linenumber >= 3"), ["l_partkey"], fields)
+    return got.groupBy("l_partkey", "change", "fields").agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}'), 1, 12) AS BIGINT)) AS VARCHAR) AS content FROM orders"""
 )
@@ -588,18 +633,43 @@ def k7_snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.snapshot_row(D.table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
-@query(_with(D.REVIEWS) + "SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY candidate, version ORDER BY review_id) = 1")
+#: Four batches of candidate records: of each window of days the newest review of every candidate.
+_WINDOWS = (8766, 9496, 10227)
+_RECORDS_SQL = """w AS (SELECT *, CAST(1 + (day >= 8766)::INT + (day >= 9496)::INT + (day >= 10227)::INT AS BIGINT) AS batch FROM reviews),
+  records AS (SELECT candidate, batch, arg_max(version, (day, review_id)) AS version, arg_max(verdict, (day, review_id)) AS state,
+                     arg_max('{"review_id":' || review_id || ',"reviewer":' || reviewer || '}', (day, review_id)) AS payload FROM w {where} GROUP BY candidate, batch)"""
+
+
+def _published(spark: SparkSession, sf_dir: str, where: str = "true") -> ledger.Candidates:
+    """A ledger with four batches; the second is tried again, and a batch of another campaign is refused."""
+    book = ledger.Candidates(spark, Scratch(spark, "ledger").root)
+    r = D.reviews(spark, sf_dir).where(where)
+    batch = F.lit(1) + sum((F.col("day") >= d).cast("int") for d in _WINDOWS)
+    payload = F.concat(F.lit('{"review_id":'), "review_id", F.lit(',"reviewer":'), "reviewer", F.lit("}"))
+    r = r.withColumn("batch", batch).withColumn("payload", payload)
+    for n in (1, 2, 3, 4, 2):
+        newest = r.where(F.col("batch") == n).groupBy("candidate").agg(F.max_by(F.struct("version", F.col("verdict").alias("state"), "payload"), F.struct("day", "review_id")).alias("x"))
+        owner = F.concat(F.lit("campaign"), F.col("candidate") % 3)
+        records = newest.select(F.col("candidate").cast("string").alias("candidate"), owner.alias("campaign"), "x.state", "x.version", "x.payload")
+        book.publish(f"batch{n}", records)
+    try:
+        book.publish("other", records.withColumn("campaign", F.lit("elsewhere")))
+    except ledger.Refused:
+        return book
+    raise AssertionError("a batch of another campaign was published")
+
+
+@query(_with(D.REVIEWS, _RECORDS_SQL.replace("{where}", "")) + "SELECT candidate, version, arg_min(state, batch) AS state, arg_min(payload, batch) AS payload, min(batch) AS commit FROM records GROUP BY candidate, version")
 def k3_first_seen_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.first_seen(D.reviews(spark, sf_dir), ["candidate", "version"], "review_id")
+    return _published(spark, sf_dir).archive().withColumn("candidate", F.col("candidate").cast("long"))
 
 
 @query(
-    _with(D.REVIEWS, "cur AS (SELECT candidate, arg_max(version, (day, review_id)) AS version, arg_max(verdict, (day, review_id)) AS state, count(DISTINCT reviewer) AS campaigns FROM reviews GROUP BY candidate)")
-    + "SELECT candidate, version, state, campaigns FROM cur"
+    _with(D.REVIEWS, _RECORDS_SQL.replace("{where}", ""))
+    + "SELECT candidate, 'campaign' || candidate % 3 AS campaign, arg_max(state, batch) AS state, arg_max(version, batch) AS version, arg_max(payload, batch) AS payload, min(batch) AS first_seen, max(batch) AS last_seen FROM records GROUP BY candidate"
 )
 def k1_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = F.struct("day", "review_id")
-    return D.reviews(spark, sf_dir).groupBy("candidate").agg(F.max_by("version", newest).alias("version"), F.max_by("verdict", newest).alias("state"), F.countDistinct("reviewer").alias("campaigns"))
+    return _published(spark, sf_dir).current().withColumn("candidate", F.col("candidate").cast("long"))
 
 
 @query(
@@ -608,8 +678,14 @@ def k1_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
          FROM reviews r LEFT JOIN cur c ON r.candidate = c.candidate WHERE review_id % 2 = 1 GROUP BY ALL"""
 )
 def k4_append_to_current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.reviews(spark, sf_dir)
-    return review.append_outcomes(rows.where("review_id % 2 = 1"), review.current_versions(rows.where("review_id % 2 = 0"))).groupBy("outcome").agg(F.count("*").alias("n"))
+    """Decisions appended twice under one name; the accepted ones are counted in the table, the others as returned."""
+    book, rows = _published(spark, sf_dir, "review_id % 2 = 0"), D.reviews(spark, sf_dir).where("review_id % 2 = 1")
+    held = ledger.Decisions(spark, f"{book.root}-decisions")
+    new = rows.select(*(F.col(c).cast("string").alias(n) for n, c in (("decision_id", "review_id"), ("candidate", "candidate"), ("version", "version"), ("reviewer", "reviewer"), ("verdict", "verdict"))))
+    for _ in range(2):
+        judged = held.append("odd", new, book.current())
+    outcome = judged.where("outcome <> 'accepted'").select("outcome").unionByName(held.rows().select(F.lit("accepted").alias("outcome")))
+    return outcome.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query(_with(D.PHOT) + "SELECT source_id, survey, k, count(*) AS n FROM phot WHERE k IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
@@ -794,7 +870,19 @@ def i8_campaign_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.correct(search.search(D.phot(spark, sf_dir)), None, 1, 0.05, 99)
 
 
-@query()
+@query(
+    _with(
+        D.PHOT, "good AS (SELECT source_id, survey, band, mjd, flux, flux_error FROM phot WHERE flux_error > 0 AND flux IS NOT NULL AND mjd IS NOT NULL)",
+        "curve AS (SELECT *, row_number() OVER (ORDER BY source_id, survey, band) - 1 AS place, count(*) OVER () AS n FROM (SELECT source_id, survey, band, sum(flux / pow(flux_error, 2)) / sum(1 / pow(flux_error, 2)) AS base, min(mjd) AS first, max(mjd) AS last, median(flux_error) AS error FROM good GROUP BY ALL HAVING count(DISTINCT mjd) >= 3))",
+        "trial AS (SELECT a, t, [1e0, 5e0, 20e0, 80e0][a + 1] AS amplitude, CAST('0x' || substr(sha256('1|curve|' || a || '|' || t), 1, 13) AS BIGINT) AS c, CAST('0x' || substr(sha256('1|centre|' || a || '|' || t), 1, 13) AS BIGINT) / 4503599627370496e0 AS u FROM (SELECT unnest(range(4)) AS a), (SELECT unnest(range(200)) AS t))",
+        "pick AS (SELECT a, t, amplitude, source_id, survey, band, base, first + u * (last - first) AS centre, amplitude * error AS height FROM trial JOIN curve ON place = c % n)",
+        "j AS (SELECT a, t, amplitude, exp(-0.5e0 * pow(mjd - centre, 2)) AS s, 1 / pow(flux_error, 2) AS w, flux - base AS y, height FROM pick JOIN good USING (source_id, survey, band))",
+        "z AS (SELECT a, t, amplitude, CASE WHEN sum(s * s * w) > 0 THEN sum(s * (y + height * s) * w) / sqrt(sum(s * s * w)) ELSE 0e0 END AS z FROM j GROUP BY ALL)",
+        "g AS (SELECT amplitude, count(*) AS n, count(*) FILTER (z >= 5) AS recovered, median(z) AS median_z FROM z GROUP BY amplitude)", "f AS (SELECT *, recovered / CAST(n AS DOUBLE) AS p, 1.959963984540054e0 AS q FROM g)",
+    )
+    + """SELECT amplitude, n, recovered, p AS fraction, greatest(0e0, (p + q * q / (2 * n) - q * sqrt(p * (1 - p) / n + q * q / (4 * n * n))) / (1 + q * q / n)) AS low,
+         least(1e0, (p + q * q / (2 * n) + q * sqrt(p * (1 - p) / n + q * q / (4 * n * n))) / (1 + q * q / n)) AS high, median_z FROM f"""
+)
 def i11_injection_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.inject_and_recover(D.phot(spark, sf_dir), [1.0, 5.0, 20.0, 80.0], 200, 1.0, 5.0)
 
@@ -808,11 +896,26 @@ def l6_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT CASE WHEN value IS NULL THEN 'no_value' WHEN value <= 0 THEN 'not_positive' WHEN k IS NULL THEN 'no_key' WHEN k = 13 THEN 'flagged' ELSE 'good' END AS reason, count(*) AS n
-       FROM (SELECT value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY ALL"""
+    """WITH e AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type AS stream, event_id || '|' || event_type || '|' || props AS payload FROM events),
+       r AS (SELECT *, CASE WHEN value IS NULL THEN 'no_value' WHEN value <= 0 THEN 'not_positive' WHEN k IS NULL THEN 'no_key' WHEN k = 13 THEN 'flagged' END AS reason FROM e)
+       SELECT sha256(payload) AS digest, stream, reason, payload, CAST(CASE WHEN event_id % 2 = 0 AND event_id % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS arrivals, CASE WHEN event_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS status,
+              CASE WHEN event_id % 3 = 0 THEN 'checked by hand' END AS resolution, CAST(0 AS BIGINT) AS n_refused FROM r WHERE reason IS NOT NULL
+       UNION ALL SELECT sha256(payload), NULL, NULL, NULL, 0, 'unknown', NULL, 1 FROM r WHERE reason IS NULL AND event_id % 101 = 0"""
 )
 def l3_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.dead_letters(spark, sf_dir)
+    """Bad payloads of two runs of a stream; the second repeats some and brings the resolutions, some of them for payloads that were good."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    reason = F.when(F.col("value").isNull(), "no_value").when(F.col("value") <= 0, "not_positive").when(k.isNull(), "no_key").when(k == 13, "flagged")
+    e = D.table(spark, sf_dir, "events").withColumn("payload", F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")).withColumn("reason", reason)
+    bad = e.where("reason is not null").select("event_id", F.sha2("payload", 256).alias("digest"), F.col("event_type").alias("stream"), "reason", "payload", F.lit(None).cast("string").alias("resolution"))
+    closed = e.where("event_id % 3 = 0 and reason is not null or event_id % 101 = 0 and reason is null").select(F.sha2("payload", 256).alias("digest"), F.lit("checked by hand").alias("resolution"))
+    root, columns = Scratch(spark, "letters").root, ["digest", "stream", "reason", "payload", "resolution"]
+    for n, rows in enumerate((bad.where("event_id % 2 = 0"), bad.where("event_id % 2 = 1 or event_id % 4 = 0"))):
+        rows.select(*columns).write.parquet(f"{root}/in/part={n}")
+        if n:
+            closed.select("digest", *(F.lit(None).cast("string").alias(c) for c in columns[1:4]), "resolution").write.parquet(f"{root}/in/part={n + 10}")
+        letters.run(spark, f"{root}/in", ", ".join(f"{c} string" for c in columns), "digest", letters.Letters, letters.LETTER, root)
+    return letters.latest(spark, letters.LETTER, "digest", root)
 
 
 @query("SELECT epoch_us(ts) // 86400000000 AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

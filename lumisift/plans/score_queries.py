@@ -9,7 +9,7 @@ from lumisift.operators import contracts, review, scores
 from lumisift.plans.queries import ORACLE, QUERIES, _with, query
 from lumisift.plans.scratch import Scratch
 from lumisift.sources import derived as D
-from lumisift.streaming import archive, stores
+from lumisift.streaming import archive, ledger, letters, stores
 
 _FEAT = """feat AS (
   SELECT source_id, CAST(source_id AS BIGINT) AS number, count(*) FILTER (is_detection) AS n_detections, count(DISTINCT band) FILTER (is_detection) AS n_bands, max(magnitude) - min(magnitude) AS amp,
@@ -478,15 +478,16 @@ def h6_asof_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(D.REVIEWS) + "SELECT candidate, version, count(*) AS n FROM reviews WHERE verdict <> 'defer' GROUP BY ALL")
 def k2_batch_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, r = Scratch(spark, "ledger"), D.reviews(spark, sf_dir)
-    path = f"{scratch.root}/reviews"
-    for odd in (0, 1):
-        batch = r.where(f"verdict <> 'defer' and candidate % 2 = {odd}")
-        found = contracts.repeated_entities(batch, "review_id").head(1)
-        if found:
-            raise ValueError(f"repeated review {found[0]['entity']}: nothing is published")
-        batch.write.mode("append").parquet(path)
-    return spark.read.parquet(path).groupBy("candidate", "version").agg(F.count("*").alias("n"))
+    """Two batches of decisions; one is tried again, and one that repeats a decision is refused as a whole."""
+    book = ledger.Decisions(spark, Scratch(spark, "ledger").root)
+    r = D.reviews(spark, sf_dir).where("verdict <> 'defer'").select(*(F.col(c).cast("string").alias(n) for n, c in (("decision_id", "review_id"), ("candidate", "candidate"), ("version", "version"), ("reviewer", "reviewer"), ("verdict", "verdict"))))
+    for odd in (0, 1, 0):
+        book.publish(f"odd{odd}", r.where(f"cast(candidate as long) % 2 = {odd}"))
+    try:
+        book.publish("again", r.limit(1).unionByName(r.limit(1)))
+    except ledger.Refused:
+        return book.rows().groupBy(F.col("candidate").cast("long").alias("candidate"), "version").agg(F.count("*").alias("n"))
+    raise AssertionError("a batch with a repeated decision was published")
 
 
 @query(
@@ -515,9 +516,22 @@ def k6_digest_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.where(F.col("stored") != digest(*names)).select("o_orderkey")
 
 
-@query(_with(D.PHOT) + "SELECT band AS stream, max(mjd) AS watermark, arg_max(event_id, (mjd, event_id)) AS cursor FROM phot GROUP BY band", "watermark")
+@query(
+    _with(
+        D.PHOT, "snap AS (SELECT band AS stream, CAST(floor(mjd) AS BIGINT) AS snapshot_id, max(mjd) AS watermark FROM phot GROUP BY ALL)",
+        "old AS (SELECT stream, max(snapshot_id) AS last_old FROM snap WHERE snapshot_id <= 60320 GROUP BY stream)",
+    )
+    + """SELECT stream, max(watermark) AS watermark, max(snapshot_id) AS snapshot_id, count(*) AS n_accepted, count(*) FILTER (snapshot_id % 5 = 0 AND snapshot_id < last_old) AS n_refused FROM snap LEFT JOIN old USING (stream) GROUP BY stream""",
+    "watermark",
+)
 def l2_stream_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.phot(spark, sf_dir).groupBy(F.col("band").alias("stream")).agg(F.max("mjd").alias("watermark"), F.max_by("event_id", F.struct("mjd", "event_id")).alias("cursor"))
+    """Cursors over two runs against one checkpoint: daily snapshots, of which the second run brings some old ones again."""
+    snap = D.phot(spark, sf_dir).groupBy(F.col("band").alias("stream"), F.floor("mjd").alias("snapshot_id")).agg(F.max("mjd").alias("watermark"))
+    root, schema = Scratch(spark, "cursor").root, "stream string, snapshot_id long, watermark double"
+    for n, where in enumerate(("snapshot_id <= 60320", "snapshot_id > 60320 or snapshot_id % 5 = 0")):
+        snap.where(where).select("stream", "snapshot_id", "watermark").write.parquet(f"{root}/in/run={n}")
+        letters.run(spark, f"{root}/in", schema, "stream", letters.Cursors, letters.CURSOR, root)
+    return letters.latest(spark, letters.CURSOR, "stream", root)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 89 = 7 AND text IS NOT NULL")
@@ -560,7 +574,9 @@ def l1_snapshot_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(D.PHOT) + "SELECT band AS event_type, count(*) FILTER (event_id % 10 > 0) AS n_match, count(*) FILTER (event_id % 10 = 0) AS n_drift FROM phot GROUP BY band")
 def l5_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.schema_drift(spark, sf_dir, ["k"])
+    """Of every tenth event the payload is given another field."""
+    payload = F.when(F.col("event_id") % 10 == 0, F.regexp_replace("props", r"\}$", ',"extra":1}')).otherwise(F.col("props"))
+    return archive.schema_drift(archive.events_stream(spark, sf_dir).withColumn("payload", payload), "event_type", "payload", ["k"])
 
 
 @query(_with(D.PHOT) + "SELECT event_id % 11 = 0 AS poisoned, count(*) AS n, sum(CASE WHEN event_id % 11 > 0 THEN flux END) AS total FROM phot GROUP BY ALL", "total")

@@ -38,17 +38,6 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(log).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("n_digests"))
 
 
-def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good rows archived and bad ones kept with a reason, split in each micro-batch."""
-
-    def write(df: DataFrame, path: str, epoch: int) -> None:
-        k = F.get_json_object("props", "$.k").try_cast("int")
-        reason = F.when(F.col("value").isNull(), "no_value").when(F.col("value") <= 0, "not_positive").when(k.isNull(), "no_key").when(k == 13, "flagged").otherwise("good")
-        df.withColumn("reason", reason).select("event_id", "reason").write.mode("overwrite").partitionBy("reason").parquet(f"{path}/epoch={epoch}")
-
-    return spark.read.parquet(drain(events_stream(spark, sf_dir), "letters", write)).groupBy("reason").agg(F.count("*").alias("n"))
-
-
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and summed values of each UTC day and type, closed by a watermark."""
     s = events_stream(spark, sf_dir).withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", "1 hour")
@@ -57,14 +46,13 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select((F.unix_micros("w.start").cast("long") / 86400000000).cast("long").alias("day"), "event_type", "n")
 
 
-def schema_drift(spark: SparkSession, sf_dir: str, contract: list[str]) -> DataFrame:
-    """Events of each type whose fields are those of the contract, and those that drifted from it."""
-    fields = lambda df: F.array_sort(F.array_union(F.json_object_keys("props"), F.when(F.col("event_id") % 10 == 0, F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>"))))
+def schema_drift(events: DataFrame, group: str, payload: str, contract: list[str]) -> DataFrame:
+    """Events of a stream, by group, whose payload has the contract's fields, and those that drifted from it."""
     want = F.array(*map(F.lit, sorted(contract)))
 
     def write(df: DataFrame, path: str, epoch: int) -> None:
-        seen = df.withColumn("drift", fields(df) != want).groupBy("event_type").agg(F.count_if(~F.col("drift")).alias("n_match"), F.count_if("drift").alias("n_drift"))
-        seen.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        drift = ~F.coalesce(F.array_sort(F.json_object_keys(payload)) == want, F.lit(False))
+        df.withColumn("drift", drift).groupBy(group).agg(F.count_if(~F.col("drift")).alias("n_match"), F.count_if("drift").alias("n_drift")).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    out = spark.read.parquet(drain(events_stream(spark, sf_dir), "drift", write))
-    return out.groupBy("event_type").agg(F.sum("n_match").alias("n_match"), F.sum("n_drift").alias("n_drift"))
+    out = events.sparkSession.read.parquet(drain(events, "drift", write))
+    return out.groupBy(group).agg(F.sum("n_match").alias("n_match"), F.sum("n_drift").alias("n_drift"))
