@@ -10,36 +10,107 @@ from pyspark.sql import functions as F
 CHANNEL = ["source_id", "survey", "band"]
 
 
-def _scatter(values: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """1.4826 times the median absolute deviation, 0 for a single value."""
-    mid = values.withColumn("_m", F.median(x).over(Window.partitionBy(*keys)))
-    return mid.groupBy(*keys).agg(F.when(F.count("*") < 2, 0.0).otherwise(1.4826 * F.median(F.abs(F.col(x) - F.col("_m")))).alias("scatter"))
+_NUMBERS = (
+    "n long, first_time double, last_time double, span_days double, median_cadence_days double, median double, scatter double, p90_p10 double, peak double, peak_time double, brightening double, "
+    "contrast double, relative_flux double, scale double, excursion double, peak_significance double, n_significant long, rise_slope double, fade_slope double, median_error double, missing_error_fraction double"
+)
+_MAGNITUDE = [c.split()[0] for c in _NUMBERS.split(", ") if c.split()[0] not in ("scale", "excursion")]
+_FLUX = [c.split()[0] for c in _NUMBERS.split(", ") if c.split()[0] not in ("relative_flux", "rise_slope", "fade_slope", "brightening")]
 
 
-def channel_features(rows: DataFrame, x: str = "magnitude", error: str = "magnitude_error", bright_is_low: bool = True) -> DataFrame:
-    """Counts, span, cadence, centre, spread and peak of every channel's valid values."""
-    sign = 1 if bright_is_low else -1
+def channel_features(rows: DataFrame, x: str = "magnitude", error: str = "magnitude_error", bright_is_low: bool = True, sigma: float = 3.0, least_span: float = 1e-3) -> DataFrame:
+    """All features of every channel's valid values, in one pass over the channel.
+
+    Counts, times and cadence; centre, spread and peak; the peak's contrast with the other points and its significance; the
+    points that stand out by ``sigma`` from all others; and slopes up to the peak and from it, where these last ``least_span``
+    days. Magnitudes have a flux ratio of the peak; fluxes a scale that takes the unit out of contrast and slopes. A channel is
+    one group, a light curve, small whatever the number of sources.
+    """
+    sign = -1.0 if bright_is_low else 1.0
+    names, kinds = [c.split()[0] for c in _NUMBERS.split(", ")], {"long": pa.int64(), "double": pa.float64()}
+
+    def per_channel(key: tuple, group: pa.Table) -> pa.Table:
+        t, v, e = (np.asarray(group.column(c).fill_null(np.nan), float) for c in ("mjd", "x", "e"))
+        order = np.lexsort((e, -sign * v, t))
+        t, v, e = t[order], v[order], e[order]
+        y, n, top = sign * v, len(v), int(np.argmax(sign * v))
+        valid = np.isfinite(e) & (e > 0)
+        mid = float(np.median(v))
+        scatter = 1.4826 * float(np.median(np.abs(v - mid))) if n > 1 else 0.0
+        low, high = np.quantile(v, [0.1, 0.9])
+        gaps = np.diff(np.unique(t))
+        own_error = float(np.median(e[valid])) if valid.any() else None
+        out = dict.fromkeys(names)
+        out |= {"n": n, "first_time": t[0], "last_time": t[-1], "span_days": t[-1] - t[0], "median_cadence_days": float(np.median(gaps)) if len(gaps) else None, "median": mid, "scatter": scatter}
+        out |= {"p90_p10": max(0.0, high - low), "peak": v[top], "peak_time": t[top], "brightening": max(0.0, y[top] - sign * mid), "median_error": own_error, "missing_error_fraction": float(np.mean(~np.isfinite(e)))}
+        out["relative_flux"] = 10 ** (0.4 * out["brightening"]) if bright_is_low else None
+        out |= {"contrast": 0.0, "n_significant": 0}
+        if n > 1:
+            others = others_median(y)
+            out["contrast"] = max(0.0, y[top] - others[top])
+            if valid.all():
+                width = np.sqrt(e**2 + others_scatter(y, others) ** 2 + (others_median(e) / np.sqrt(n - 1)) ** 2)
+                out |= {"peak_significance": out["contrast"] / width[top], "n_significant": int(((y - others) / width >= sigma).sum())}
+        out["scale"] = max(abs(mid), scatter, own_error or 0.0) or 1.0
+        out["excursion"] = out["contrast"] / out["scale"]
+        if t[top] - t[0] >= least_span:
+            out["rise_slope"] = _slope(t[t <= t[top]], v[t <= t[top]], e[t <= t[top]])
+        if t[-1] - t[top] >= least_span:
+            out["fade_slope"] = _slope(t[t >= t[top]], v[t >= t[top]], e[t >= t[top]])
+        table = pa.Table.from_pylist([out], pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _NUMBERS.split(", ")]))
+        for i, (c, k) in enumerate(zip(CHANNEL, key, strict=True)):
+            table = table.add_column(i, c, pa.array([k.as_py()], pa.string()))
+        return table
+
     v = rows.where(F.col(x).isNotNull()).select(*CHANNEL, "mjd", F.col(x).alias("x"), F.col(error).alias("e"))
-    gaps = v.select(*CHANNEL, "mjd").distinct().withColumn("gap", F.col("mjd") - F.lag("mjd").over(Window.partitionBy(*CHANNEL).orderBy("mjd")))
-    cadence = gaps.groupBy(*CHANNEL).agg(F.median("gap").alias("median_cadence_days"))
-    main = v.groupBy(*CHANNEL).agg(
-        F.count("*").alias("n"), F.min("mjd").alias("first_time"), (F.max("mjd") - F.min("mjd")).alias("span_days"), F.median("x").alias("median"),
-        F.greatest(F.lit(0.0), F.percentile("x", F.lit(0.9)) - F.percentile("x", F.lit(0.1))).alias("p90_p10"),
-        F.min(F.struct((sign * F.col("x")).alias("k"), "mjd", "x")).alias("peak"), F.median("e").alias("median_error"),
-        F.avg(F.col("e").isNull().cast("double")).alias("missing_error_fraction"),
-    )
-    main = main.join(_scatter(v, CHANNEL, "x"), CHANNEL).join(cadence, CHANNEL)
-    bright = F.greatest(F.lit(0.0), sign * (F.col("median") - F.col("peak.x")))
-    return main.select(*CHANNEL, "n", "first_time", "span_days", "median_cadence_days", "median", "scatter", "p90_p10", F.col("peak.x").alias("peak"), F.col("peak.mjd").alias("peak_time"), bright.alias("brightening"), "median_error", "missing_error_fraction")
+    out = v.groupBy(*CHANNEL).applyInArrow(per_channel, "source_id string, survey string, band string, " + _NUMBERS)
+    if bright_is_low:
+        return out.select(*CHANNEL, *_MAGNITUDE, (-F.col("rise_slope")).alias("rise_rate"), F.col("fade_slope").alias("fade_rate"))
+    rate = lambda c, way: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), way * F.col(c) / F.col("scale")))
+    return out.select(*CHANNEL, *_FLUX, rate("rise_slope", 1).alias("rise_rate"), rate("fade_slope", -1).alias("fade_rate"))
 
 
-def source_features(channels: DataFrame) -> DataFrame:
-    """Roll-up of the channels of a source; equally named bands of two surveys stay apart."""
-    return channels.groupBy("source_id").agg(
-        F.count("*").alias("n_channels"), F.sum("n").alias("n_detections"), F.max("n").alias("max_channel_detections"), F.max("brightening").alias("max_brightening"),
-        F.max("p90_p10").alias("max_p90_p10"), F.median("scatter").alias("median_scatter"), F.min("first_time").alias("first_time"), F.max("span_days").alias("max_span_days"),
-        F.avg("missing_error_fraction").alias("missing_error_fraction"),
+def _slope(t: np.ndarray, v: np.ndarray, e: np.ndarray) -> float | None:
+    """Inverse-variance slope if all errors are valid, else the plain one."""
+    if len(np.unique(t)) < 2:
+        return None
+    w = (e.min() / e) ** 2 if (np.isfinite(e) & (e > 0)).all() else np.ones(len(t))
+    dt = t - np.average(t, weights=w)
+    return float((w * dt * (v - np.average(v, weights=w))).sum() / (w * dt * dt).sum())
+
+
+def source_features(rows: DataFrame, recent_days: float = 7.0) -> DataFrame:
+    """Per source: counts, missing shares, the roll-up of its magnitude and flux channels and of prior non-detections.
+
+    Equally named bands of two surveys stay apart. Each part is a grouping by source; they are joined on it.
+    """
+    share = lambda c, of: F.coalesce(F.count_if(c & of) / F.nullif(F.count_if(of), F.lit(0)), F.lit(0.0))
+    seen, good = F.col("is_detection"), F.coalesce(F.col("quality"), F.lit(False))
+    mag, flux = F.col("magnitude").isNotNull(), F.col("flux").isNotNull()
+    no_mag_error, no_flux_error = ~F.coalesce(F.col("magnitude_error") > 0, F.lit(False)), ~F.coalesce(F.col("flux_error") > 0, F.lit(False))
+    counts = rows.groupBy("source_id").agg(
+        F.count("*").alias("n_observations"), F.count_if(seen).alias("n_detections_raw"), F.count_if(seen & good).alias("n_detections"), F.count_if(~seen).alias("n_nondetections_raw"), F.count_if(~seen & good).alias("n_nondetections"),
+        F.count_if(~seen & good & F.col("limiting_magnitude").isNotNull()).alias("n_with_limit"), F.count_if(~seen & good & flux).alias("n_with_forced_flux"),
+        F.count_distinct(F.when(seen & good, F.col("band"))).alias("n_bands"), F.min(F.when(seen & good, F.col("mjd"))).alias("first_time"), F.max(F.when(seen & good, F.col("mjd"))).alias("last_time"),
+        share(no_mag_error, seen & mag).alias("magnitude_error_missing"), share(no_flux_error, seen & flux).alias("flux_error_missing"), share(no_mag_error & no_flux_error, seen).alias("error_missing"),
+        F.avg(F.col("band").isNull().cast("double")).alias("band_missing"), F.avg((~good).cast("double")).alias("quality_rejected"), share(~good, seen).alias("rejected_detections"),
+    )
+    usable = rows.where(good & seen)
+    m, f = channel_features(usable), channel_features(usable, "flux", "flux_error", bright_is_low=False)
+    by_mag = m.groupBy("source_id").agg(
+        F.count("*").alias("n_channels"), F.median("p90_p10").alias("median_p90_p10"), F.max("p90_p10").alias("max_p90_p10"), F.max("brightening").alias("max_brightening"), F.max("relative_flux").alias("max_relative_flux"),
+        F.max("peak_significance").alias("max_peak_significance"), F.median("peak_significance").alias("median_peak_significance"), F.sum("n_significant").alias("n_significant"), F.median("scatter").alias("median_scatter"), F.max("n").alias("max_channel_detections"),
+        F.max(F.greatest(F.lit(0.0), "rise_rate")).alias("max_rise_rate"), F.max(F.greatest(F.lit(0.0), "fade_rate")).alias("max_fade_rate"), F.max("span_days").alias("max_span_days"),
+    )
+    by_flux = f.groupBy("source_id").agg(
+        F.median("excursion").alias("median_excursion"), F.max("excursion").alias("max_excursion"), F.max("peak_significance").alias("max_flux_significance"), F.sum("n_significant").alias("n_significant_flux"),
+        F.max("rise_rate").alias("max_flux_rise_rate"), F.max("fade_rate").alias("max_flux_fade_rate"),
     )
+    prior = prior_nondetection(rows.where(good)).groupBy("source_id").agg(F.count("*").alias("n_channels_with_prior"), F.min("gap_days").alias("prior_gap_days"), F.max("contrast_mag").alias("prior_contrast_mag"), F.max("flux_contrast").alias("prior_flux_contrast"), F.max("prior_snr").alias("max_prior_snr"))
+    out = counts.join(by_mag, "source_id", "left").join(by_flux, "source_id", "left").join(prior, "source_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_channels", "n_significant", "n_significant_flux", "n_channels_with_prior", "max_channel_detections")}
+    both = F.greatest("max_peak_significance", "max_flux_significance").alias("max_significance")
+    return out.withColumns(zero).select("*", (F.col("last_time") - F.col("first_time")).alias("baseline_days"), both, (F.col("n_channels_with_prior") > 0).alias("has_prior"), F.coalesce(F.col("prior_gap_days") <= recent_days, F.lit(False)).alias("has_recent_prior"))
 
 
 def others_median(x: np.ndarray) -> np.ndarray:

@@ -27,9 +27,9 @@ DOUBLES = {
     "e29_robust_fit": "centre scale",
     "h10_robust_anomaly": "observed_fraction score",
     "e30_trace_summary": "maximum q95 area first_crossing",
-    "e1_channel_features": "first_time span_days median_cadence_days median scatter p90_p10 peak peak_time brightening median_error missing_error_fraction",
-    "e7_source_features": "max_brightening max_p90_p10 median_scatter first_time max_span_days missing_error_fraction",
-    "e2_flux_features": "first_time span_days median_cadence_days median scatter p90_p10 peak peak_time brightening median_error missing_error_fraction",
+    "e1_channel_features": "first_time last_time span_days median_cadence_days median scatter p90_p10 peak peak_time brightening contrast relative_flux peak_significance rise_slope fade_slope rise_rate fade_rate median_error missing_error_fraction",
+    "e7_source_features": "first_time last_time magnitude_error_missing flux_error_missing error_missing band_missing quality_rejected rejected_detections median_p90_p10 max_p90_p10 max_brightening max_relative_flux max_peak_significance median_peak_significance median_scatter max_rise_rate max_fade_rate max_span_days median_excursion max_excursion max_flux_significance max_flux_rise_rate max_flux_fade_rate prior_gap_days prior_contrast_mag prior_flux_contrast max_prior_snr baseline_days max_significance",
+    "e2_flux_features": "first_time last_time span_days median_cadence_days median scatter p90_p10 peak peak_time contrast scale excursion peak_significance rise_rate fade_rate median_error missing_error_fraction",
     "e3_significant_points": "peak_significance",
     "e5_weighted_slope": "slope",
     "e12_flare_features": "duration amplitude slope rising_fraction",
@@ -87,42 +87,83 @@ def _cutoffs(rows: DataFrame) -> DataFrame:
 
 
 _SEP = "degrees(2 * asin(sqrt(least(1e0, pow(sin(radians({d2} - {d1}) / 2), 2) + cos(radians({d1})) * cos(radians({d2})) * pow(sin(radians({r2} - {r1}) / 2), 2))))) * 3600"
-_CHANNEL_SQL = f"""
-  v AS (SELECT source_id, survey, band, mjd, magnitude AS x, magnitude_error AS e FROM phot WHERE magnitude IS NOT NULL),
-  m AS (SELECT *, median(x) OVER (PARTITION BY source_id, survey, band) AS mid FROM v),
-  gaps AS (SELECT source_id, survey, band, median(gap) AS median_cadence_days FROM (
-    SELECT source_id, survey, band, mjd - lag(mjd) OVER (PARTITION BY source_id, survey, band ORDER BY mjd) AS gap FROM (SELECT DISTINCT source_id, survey, band, mjd FROM v)) GROUP BY ALL),
-  ch AS (SELECT source_id, survey, band, count(*) AS n, min(mjd) AS first_time, max(mjd) - min(mjd) AS span_days, min(mid) AS median,
-                CASE WHEN count(*) < 2 THEN 0e0 ELSE 1.4826e0 * median(abs(x - mid)) END AS scatter,
-                greatest(0e0, quantile_cont(x, 0.9) - quantile_cont(x, 0.1)) AS p90_p10, min(x) AS peak, arg_min(mjd, (x, mjd)) AS peak_time,
-                greatest(0e0, min(mid) - min(x)) AS brightening, median(e) AS median_error, avg(CASE WHEN e IS NULL THEN 1e0 ELSE 0e0 END) AS missing_error_fraction
-         FROM m GROUP BY source_id, survey, band),
-  channels AS (SELECT ch.*, median_cadence_days FROM ch JOIN gaps USING (source_id, survey, band))"""
-
-
-@query(_with(D.PHOT, _CHANNEL_SQL) + "SELECT * FROM channels")
+_C = "source_id, survey, band"
+
+
+def _channel_sql(p: str, rows: str, x: str, e: str, sign: int) -> str:
+    """Views ending in ``{p}_channels``: all features of a channel, by generic statements over y, which grows with brightness."""
+    same = "a.source_id = b.source_id AND a.survey = b.survey AND a.band = b.band"
+    slope = lambda name, side: f"""{p}_{name}_c AS (SELECT v.*, CASE WHEN min(CASE WHEN e > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {_C}) = 1 THEN 1 / (e * e) ELSE 1e0 END AS w
+        FROM {p}_v v JOIN {p}_pk USING ({_C}) WHERE mjd {side} tp),
+      {p}_{name}_m AS (SELECT *, sum(w * mjd) OVER c / sum(w) OVER c AS mt, sum(w * x) OVER c / sum(w) OVER c AS mx FROM {p}_{name}_c WINDOW c AS (PARTITION BY {_C})),
+      {p}_{name} AS (SELECT {_C}, CASE WHEN max(mjd) - min(mjd) >= 1e-3 THEN sum(w * (mjd - mt) * (x - mx)) / nullif(sum(w * (mjd - mt) * (mjd - mt)), 0) END AS {name}_slope FROM {p}_{name}_m GROUP BY ALL)"""
+    return f"""
+  {p}_v AS (SELECT {_C}, row_number() OVER () AS id, mjd, {x} AS x, {sign} * {x} AS y, {e} AS e FROM {rows} WHERE {x} IS NOT NULL),
+  {p}_mid AS (SELECT *, median(x) OVER (PARTITION BY {_C}) AS mid FROM {p}_v),
+  {p}_gaps AS (SELECT {_C}, median(gap) AS median_cadence_days FROM (
+    SELECT {_C}, mjd - lag(mjd) OVER (PARTITION BY {_C} ORDER BY mjd) AS gap FROM (SELECT DISTINCT {_C}, mjd FROM {p}_v)) GROUP BY ALL),
+  {p}_base AS (SELECT {_C}, count(*) AS n, min(mjd) AS first_time, max(mjd) AS last_time, max(mjd) - min(mjd) AS span_days, min(mid) AS median, CASE WHEN count(*) < 2 THEN 0e0 ELSE 1.4826e0 * median(abs(x - mid)) END AS scatter,
+    greatest(0e0, quantile_cont(x, 0.9) - quantile_cont(x, 0.1)) AS p90_p10, greatest(0e0, max(y) - {sign} * min(mid)) AS brightening, median(e) AS median_error, avg(CASE WHEN e IS NULL THEN 1e0 ELSE 0e0 END) AS missing_error_fraction FROM {p}_mid GROUP BY ALL),
+  {p}_pk AS (SELECT {_C}, id AS pid, x AS peak, mjd AS tp FROM {p}_v QUALIFY row_number() OVER (PARTITION BY {_C} ORDER BY y DESC, mjd, e NULLS LAST) = 1),
+  {p}_o AS (SELECT a.id, any_value(a.{_C.replace(", ", "), any_value(a.")}), any_value(a.y) AS y, any_value(a.e) AS e, median(b.y) AS mid, median(b.e) / sqrt(count(*)) AS be, count(*) FILTER (b.e > 0) = count(*) AND any_value(a.e) > 0 AS ok
+    FROM {p}_v a JOIN {p}_v b ON {same} AND a.id <> b.id GROUP BY a.id),
+  {p}_z AS (SELECT a.id, any_value(a.y) - any_value(a.mid) AS contrast, CASE WHEN any_value(a.ok) THEN (any_value(a.y) - any_value(a.mid)) / sqrt(pow(any_value(a.e), 2) + pow(CASE WHEN count(*) < 2 THEN 0e0 ELSE 1.4826e0 * median(abs(b.y - a.mid)) END, 2) + pow(any_value(a.be), 2)) END AS z
+    FROM (SELECT o.*, v.source_id, v.survey, v.band FROM (SELECT id, y, e, mid, be, ok FROM {p}_o) o JOIN {p}_v v USING (id)) a JOIN {p}_v b ON {same} AND a.id <> b.id GROUP BY a.id),
+  {p}_s AS (SELECT {_C}, greatest(0e0, max(CASE WHEN id = pid THEN contrast END)) AS contrast, max(CASE WHEN id = pid THEN z END) AS zp, count(*) FILTER (z >= 3) AS n_significant FROM {p}_v JOIN {p}_z USING (id) JOIN {p}_pk USING ({_C}) GROUP BY ALL),
+  {slope("rise", "<=")}, {slope("fade", ">=")},
+  {p}_all AS (SELECT {p}_base.*, median_cadence_days, peak, tp AS peak_time, coalesce(contrast, 0e0) AS contrast, greatest(0e0, zp) AS peak_significance, coalesce(n_significant, 0) AS n_significant, rise_slope, fade_slope,
+    CASE WHEN greatest(abs(median), scatter, coalesce(median_error, 0)) > 0 THEN greatest(abs(median), scatter, coalesce(median_error, 0)) ELSE 1e0 END AS scale
+    FROM {p}_base JOIN {p}_gaps USING ({_C}) JOIN {p}_pk USING ({_C}) LEFT JOIN {p}_s USING ({_C}) JOIN {p}_rise USING ({_C}) JOIN {p}_fade USING ({_C})),
+  {p}_channels AS (SELECT {_C}, n, first_time, last_time, span_days, median_cadence_days, median, scatter, p90_p10, peak, peak_time, contrast, peak_significance, n_significant, median_error, missing_error_fraction, """ + (
+        "brightening, pow(10, 0.4e0 * brightening) AS relative_flux, rise_slope, fade_slope, -rise_slope AS rise_rate, fade_slope AS fade_rate" if sign < 0
+        else "scale, contrast / scale AS excursion, greatest(0e0, rise_slope / scale) AS rise_rate, greatest(0e0, -fade_slope / scale) AS fade_rate"
+    ).replace("greatest(0e0, rise_slope / scale)", "CASE WHEN rise_slope IS NOT NULL THEN greatest(0e0, rise_slope / scale) END").replace("greatest(0e0, -fade_slope / scale)", "CASE WHEN fade_slope IS NOT NULL THEN greatest(0e0, -fade_slope / scale) END") + f" FROM {p}_all)"
+
+
+@query(_with(D.PHOT, _channel_sql("m", "phot", "magnitude", "magnitude_error", -1)) + "SELECT * FROM m_channels")
 def e1_channel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.channel_features(D.phot(spark, sf_dir))
 
 
-@query(
-    _with(D.PHOT, _CHANNEL_SQL)
-    + """SELECT source_id, count(*) AS n_channels, CAST(sum(n) AS BIGINT) AS n_detections, max(n) AS max_channel_detections, max(brightening) AS max_brightening, max(p90_p10) AS max_p90_p10,
-         median(scatter) AS median_scatter, min(first_time) AS first_time, max(span_days) AS max_span_days, avg(missing_error_fraction) AS missing_error_fraction FROM channels GROUP BY source_id"""
-)
-def e7_source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.source_features(curves.channel_features(D.phot(spark, sf_dir)))
-
-
-_FLUX_SQL = _CHANNEL_SQL.replace("magnitude AS x, magnitude_error AS e FROM phot WHERE magnitude IS NOT NULL", "flux AS x, flux_error AS e FROM phot WHERE flux IS NOT NULL")
-_FLUX_SQL = _FLUX_SQL.replace("min(x) AS peak, arg_min(mjd, (x, mjd)) AS peak_time", "max(x) AS peak, arg_min(mjd, (-x, mjd)) AS peak_time").replace("min(mid) - min(x)", "max(x) - min(mid)")
-
-
-@query(_with(D.PHOT, _FLUX_SQL) + "SELECT * FROM channels")
+@query(_with(D.PHOT, _channel_sql("f", "phot", "flux", "flux_error", 1)) + "SELECT * FROM f_channels")
 def e2_flux_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.channel_features(D.phot(spark, sf_dir), "flux", "flux_error", bright_is_low=False)
 
 
+_SOURCE_SQL = (
+    "usable AS (SELECT * FROM phot WHERE quality AND is_detection), "
+    + _channel_sql("m", "usable", "magnitude", "magnitude_error", -1) + ", " + _channel_sql("f", "usable", "flux", "flux_error", 1)
+    + """,
+  counts AS (SELECT source_id, count(*) AS n_observations, count(*) FILTER (is_detection) AS n_detections_raw, count(*) FILTER (is_detection AND quality) AS n_detections, count(*) FILTER (NOT is_detection) AS n_nondetections_raw,
+    count(*) FILTER (NOT is_detection AND quality) AS n_nondetections, count(*) FILTER (NOT is_detection AND quality AND limiting_magnitude IS NOT NULL) AS n_with_limit, count(*) FILTER (NOT is_detection AND quality AND flux IS NOT NULL) AS n_with_forced_flux,
+    count(DISTINCT band) FILTER (is_detection AND quality) AS n_bands, min(mjd) FILTER (is_detection AND quality) AS first_time, max(mjd) FILTER (is_detection AND quality) AS last_time,
+    coalesce(count(*) FILTER (is_detection AND magnitude IS NOT NULL AND NOT coalesce(magnitude_error > 0, FALSE)) / CAST(nullif(count(*) FILTER (is_detection AND magnitude IS NOT NULL), 0) AS DOUBLE), 0e0) AS magnitude_error_missing,
+    coalesce(count(*) FILTER (is_detection AND flux IS NOT NULL AND NOT coalesce(flux_error > 0, FALSE)) / CAST(nullif(count(*) FILTER (is_detection AND flux IS NOT NULL), 0) AS DOUBLE), 0e0) AS flux_error_missing,
+    coalesce(count(*) FILTER (is_detection AND NOT coalesce(magnitude_error > 0, FALSE) AND NOT coalesce(flux_error > 0, FALSE)) / CAST(nullif(count(*) FILTER (is_detection), 0) AS DOUBLE), 0e0) AS error_missing,
+    avg(CASE WHEN band IS NULL THEN 1e0 ELSE 0e0 END) AS band_missing, avg(CASE WHEN quality THEN 0e0 ELSE 1e0 END) AS quality_rejected,
+    coalesce(count(*) FILTER (is_detection AND NOT quality) / CAST(nullif(count(*) FILTER (is_detection), 0) AS DOUBLE), 0e0) AS rejected_detections FROM phot GROUP BY source_id),
+  by_mag AS (SELECT source_id, count(*) AS n_channels, median(p90_p10) AS median_p90_p10, max(p90_p10) AS max_p90_p10, max(brightening) AS max_brightening, max(relative_flux) AS max_relative_flux, max(peak_significance) AS max_peak_significance,
+    median(peak_significance) AS median_peak_significance, sum(n_significant) AS n_significant, median(scatter) AS median_scatter, max(n) AS max_channel_detections, max(greatest(0e0, rise_rate)) AS max_rise_rate, max(greatest(0e0, fade_rate)) AS max_fade_rate,
+    max(span_days) AS max_span_days FROM m_channels GROUP BY source_id),
+  by_flux AS (SELECT source_id, median(excursion) AS median_excursion, max(excursion) AS max_excursion, max(peak_significance) AS max_flux_significance, sum(n_significant) AS n_significant_flux, max(rise_rate) AS max_flux_rise_rate, max(fade_rate) AS max_flux_fade_rate
+    FROM f_channels GROUP BY source_id),
+  firsts AS (SELECT source_id, survey, band, min(mjd) AS t1, arg_min(magnitude, (mjd, magnitude)) AS m1, arg_min(flux, (mjd, magnitude)) AS f1, arg_min(flux_error, (mjd, magnitude)) AS e1 FROM usable GROUP BY ALL),
+  lasts AS (SELECT source_id, survey, band, max(mjd) AS t0, arg_max(limiting_magnitude, (mjd, limiting_magnitude)) AS l0, arg_max(flux, (mjd, limiting_magnitude)) AS f0, arg_max(flux_error, (mjd, limiting_magnitude)) AS e0
+    FROM phot JOIN firsts USING (source_id, survey, band) WHERE quality AND NOT is_detection AND mjd < t1 GROUP BY ALL),
+  prior AS (SELECT source_id, count(*) AS n_channels_with_prior, min(t1 - t0) AS prior_gap_days, max(l0 - m1) AS prior_contrast_mag, max(greatest(0e0, (f1 - f0) / sqrt(e1 * e1 + e0 * e0))) AS prior_flux_contrast, max(abs(f0 / e0)) AS max_prior_snr
+    FROM firsts JOIN lasts USING (source_id, survey, band) GROUP BY source_id),
+  src AS (SELECT counts.*, coalesce(n_channels, 0) AS n_channels, coalesce(CAST(n_significant AS BIGINT), 0) AS n_significant, coalesce(CAST(n_significant_flux AS BIGINT), 0) AS n_significant_flux, coalesce(n_channels_with_prior, 0) AS n_channels_with_prior,
+    coalesce(max_channel_detections, 0) AS max_channel_detections, by_mag.* EXCLUDE (source_id, n_channels, n_significant, max_channel_detections), by_flux.* EXCLUDE (source_id, n_significant_flux), prior.* EXCLUDE (source_id, n_channels_with_prior),
+    last_time - first_time AS baseline_days, greatest(max_peak_significance, max_flux_significance) AS max_significance, coalesce(n_channels_with_prior, 0) > 0 AS has_prior, coalesce(prior_gap_days <= 7, FALSE) AS has_recent_prior
+    FROM counts LEFT JOIN by_mag USING (source_id) LEFT JOIN by_flux USING (source_id) LEFT JOIN prior USING (source_id))"""
+)
+
+
+@query(_with(D.PHOT, _SOURCE_SQL) + "SELECT * FROM src")
+def e7_source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.source_features(D.phot(spark, sf_dir))
+
+
 @query(
     _with(
         D.PHOT,
