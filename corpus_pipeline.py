@@ -12,19 +12,29 @@ from lumisift.llm import decontaminate, hyperminhash, mixing, personal_data, tox
 from lumisift.plans.scratch import Scratch
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Documents go to Python by the thousand at most, also when the caller writes a stage's result: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5."""
+    _small_batches(spark)
     model = toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(spark, docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by word 5-shingles at a similarity of 0.8 or more."""
+    _small_batches(spark)
     return hyperminhash.without_duplicates(spark, docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _small_batches(spark)
     return decontaminate.clean_documents(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -453,7 +453,7 @@ def _calibrate(m: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[f
     return float(b[0]), float(b[1])
 
 
-def _in_groups(part: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _in_groups(part: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of a batch in groups of some megabytes, with each group's first row."""
     group, size, begin = [], 0, 0
     for i, x in enumerate(part.column(column).cast(pa.large_binary())):
