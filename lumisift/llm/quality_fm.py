@@ -3,11 +3,14 @@
 Inputs: hashed words (log counts, scaled to unit length), statistics of the text's structure (lengths, shares of
 symbols, capitals, digits, repeats and the like, standardised) and metadata columns as hashed categories. The
 machine adds a bias, linear weights and low-rank interactions of all pairs, scored in linear time by
-1/2 * sum over factors of (sum v x)^2 - sum (v x)^2. It is fitted by Adagrad on a bounded sample of labelled
-rows (``max_rows``, a parameter); every document is then scored, whole, where it is read: no shuffle.
+1/2 * sum over factors of (sum v x)^2 - sum (v x)^2. It is fitted by Adagrad on the driver, on a bounded sample of labelled
+rows: at most ``max_rows``, and in a hash order as many whole texts as ``max_bytes`` hold (both are parameters), whose
+features, 12 bytes for each of a text's words at most, come to the driver. Every document is then scored, whole, where it
+is read: no shuffle.
 
 Edge cases: null or empty texts have no words and are scored from their structure; null metadata is a category
-of its own; without labelled rows of both classes every score is 0.5. Repeated rows score alike.
+of its own; without labelled rows of both classes, as in an empty table, every score is 0.5. Repeated rows score alike;
+of labelled rows that share an id one is trained on. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisift.llm.text import Batch, batches_of, id_list, mix, word_hashes
 from lumisift.llm.training import fold, labelled_rows, one_row_an_id
+from lumisift.plans.scratch import Scratch
 
 WORD_BITS = 15
 META_BITS = 6
@@ -154,6 +158,13 @@ def _join(parts: list[Features]) -> Features:
     return Features(np.concatenate([p.index for p in parts]), np.concatenate([p.value for p in parts]), first, np.concatenate([p.stats for p in parts]))
 
 
+def _within(sample: DataFrame, max_bytes: int) -> DataFrame:
+    """The rows of a written sample, in a hash order, that ``max_bytes`` of text hold; their ids are at most the sample's rows."""
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sample.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).withColumn("upto", upto)
+    return sample.join(F.broadcast(sizes.where(F.col("upto") <= max_bytes).select("id")), "id", "left_semi")
+
+
 def score_documents(
     spark: SparkSession,
     docs: DataFrame,
@@ -162,6 +173,7 @@ def score_documents(
     folds: int = 3,
     held_out: int = 1,
     max_rows: int = 6000,
+    max_bytes: int = 64 << 20,
     rank: int = 8,
     epochs: int = 8,
     rate: float = 0.1,
@@ -190,6 +202,7 @@ def score_documents(
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *meta)
     named = source.withColumnsRenamed({"id": id_col, "text": text_col})
     sample = one_row_an_id(labelled_rows(named, labels, label, folds, held_out, max_rows, id_col, text_col, tuple(f"meta{i}" for i in range(len(meta_cols)))))
+    sample = _within(Scratch(spark, "quality").table(sample, "sample"), max_bytes)
     got = sample.mapInArrow(gather, "index binary, value binary, first binary, stats binary, label binary").collect()
     machine = Machine(size, rank, seed)
     if got:

@@ -21,8 +21,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).withColumn("chars_class", F.floor(F.log2(F.greatest("n_chars", F.lit(1)).cast("double"))))
-    return quality_fm.score_documents(spark, docs, _labels(spark, sf_dir), meta_cols=("chars_class",))
+    docs = _docs(spark, sf_dir).withColumn("_chars_class", F.floor(F.log2(F.greatest("n_chars", F.lit(1)).cast("double"))))
+    return quality_fm.score_documents(spark, docs, _labels(spark, sf_dir), meta_cols=("_chars_class",))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four kinds in ``spans``; keys and tokens, a kind of the method's own, in ``secrets``."""
     out = personal_data.find(spark, _docs(spark, sf_dir))
+    listed = F.filter("spans", lambda x: x["kind"].isin(*personal_data.KINDS))
+    out = out.withColumns({"listed": listed, "own": F.filter("spans", lambda x: ~x["kind"].isin(*personal_data.KINDS))})
     base = F.sha2(personal_data.spelled("base"), 256).alias("base_sha256")
-    beyond = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
-    return out.select("doc_id", *(f"n_{k}" for k in personal_data.KINDS), base, personal_data.spelled("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), beyond)
+    beyond = (F.size("listed") - F.size("base")).cast("long").alias("n_added")
+    return out.select("doc_id", *(f"n_{k}" for k in personal_data.KINDS), base, personal_data.spelled("listed").alias("spans"), F.size("listed").cast("long").alias("n_spans"), beyond, personal_data.spelled("own").alias("secrets"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

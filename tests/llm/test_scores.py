@@ -383,3 +383,13 @@ def test_toxicity_of_a_shared_stem(spark):
     share = {r["toxic"]: r["p"] for r in got}
     assert share[1] > 0.95 and share[0] < 0.02
     assert model.scores([[], toxicity.pieces(b"a clean little text")]).max() < 0.5
+
+
+def test_quality_of_empty_and_repeated_rows(spark, labelled):
+    docs, labels = labelled
+    assert quality_fm.score_documents(spark, docs.limit(0), labels).count() == 0
+    twice = quality_fm.score_documents(spark, docs.unionByName(docs).withColumnRenamed("source", "score"), labels)
+    per = twice.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("kinds")).collect()
+    assert all(r["n"] == 2 and r["kinds"] == 1 for r in per)
+    few = quality_fm.score_documents(spark, docs, labels, max_bytes=60000)
+    assert few.count() == docs.count() and few.agg(F.count_distinct("score")).first()[0] > 10
