@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, block: int = 2048, provenance: str | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar other vectors of each query; ties to the smaller id.
 
+    With ``provenance``, a column, only vectors of the query's own provenance are compared with it.
+
     Queries go out in blocks of a fixed number; each task multiplies its rows with a block and keeps k rows for
     each query, so what is shuffled is k rows for each query and task, and a window picks the final k.
     """
     spark = vectors.sparkSession
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("vec is not null")
+    origin = F.lit("") if provenance is None else F.coalesce(F.concat(F.lit("="), F.col(provenance).cast("string")), F.lit(""))
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), origin.alias("origin")]
+    base = vectors.select(*columns).where("vec is not null")
     parts = max(1, -(-queries.count() // block))
-    numbered = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("vec is not null")
+    numbered = queries.select(*columns).where("vec is not null")
     out = spark.createDataFrame([], "query_id long, id long, similarity double")
     for i in range(parts):
         rows = numbered.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).orderBy("id").collect()
@@ -27,10 +31,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col
             continue
         q = np.array([r["vec"] for r in rows], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), q))
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), q, np.array([r["origin"] for r in rows])))
 
         def best(parts_in: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+            ids, q, origins = shared.value
             for part in parts_in:
                 if not part.num_rows:
                     continue
@@ -38,7 +42,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col
                 v = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 s = np.round(q @ v.T, 12)
-                s[ids[:, None] == own] = -np.inf
+                s[(ids[:, None] == own) | (origins[:, None] != np.array(part.column(2).to_pylist()))] = -np.inf
                 order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
                 got = np.take_along_axis(s, order, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(got.ravel())], ["query_id", "id", "similarity"])

@@ -63,15 +63,22 @@ def latest_checks(checks: DataFrame) -> DataFrame:
 
 
 def evidence_gate(sources: DataFrame, checks: DataFrame, required: list[str], now_hour: int) -> DataFrame:
-    """Fail-closed decision: match, then incomplete, then reportable; only explicit fresh clears count."""
+    """Fail-closed decision: match, then incomplete, then quality, then manual, then reportable, with the reasons of that step.
+
+    ``sources`` has quality_passed and manual_required. A match counts whenever it was found; a clear counts if it is the
+    newest check of its service, fresh and not contradicted. A source without a verdict on its quality hasn't passed.
+    """
     need = sources.select("source_id", F.explode(F.array(*(F.lit(s) for s in required))).alias("service"))
-    j = need.join(latest_checks(checks), ["source_id", "service"], "left")
-    fresh_clear = (F.col("status") == "clear") & (F.col("expires_hour") > now_hour) & ~F.col("conflicting")
-    reason = F.when(F.col("status").isNull(), "missing").when(F.col("conflicting"), "conflicting").when(F.col("status") == "match", "match").when(F.col("status") != "clear", F.col("status")).when(F.col("expires_hour") <= now_hour, "expired")
-    g = j.withColumn("reason", reason).withColumn("ok", F.coalesce(fresh_clear, F.lit(False)))
-    named = F.sort_array(F.collect_list(F.when(F.col("reason").isNotNull(), F.concat_ws(":", "service", "reason"))))
-    out = g.groupBy("source_id").agg(F.bool_or(F.coalesce((F.col("status") == "match") & ~F.col("conflicting"), F.lit(False))).alias("any_match"), F.bool_and("ok").alias("all_ok"), F.array_join(named, ",").alias("reasons"))
-    return out.select("source_id", F.when(F.col("any_match"), "match").when(~F.col("all_ok"), "incomplete").otherwise("reportable").alias("decision"), "reasons")
+    matched = checks.groupBy("source_id", "service").agg(F.bool_or(F.col("status") == "match").alias("matched"))
+    j = need.join(latest_checks(checks), ["source_id", "service"], "left").join(matched, ["source_id", "service"], "left")
+    reason = F.when(F.col("status").isNull(), "missing").when(F.col("conflicting"), "conflicting").when(F.col("status") != "clear", F.col("status")).when(F.col("expires_hour") <= now_hour, "expired")
+    named = lambda when, word: F.array_join(F.sort_array(F.collect_list(F.when(when, F.concat_ws(":", "service", word)))), ",")
+    g = j.withColumn("reason", reason).groupBy("source_id").agg(
+        F.bool_or(F.coalesce("matched", F.lit(False))).alias("any_match"), F.count("reason").alias("n_open"), named(F.col("matched"), F.lit("match")).alias("matches"), named(F.col("reason").isNotNull(), F.col("reason")).alias("open")
+    )
+    g = g.join(sources.select("source_id", F.coalesce("quality_passed", F.lit(False)).alias("passed"), F.coalesce("manual_required", F.lit(True)).alias("manual")), "source_id")
+    decision = F.when(F.col("any_match"), "match").when(F.col("n_open") > 0, "incomplete").when(~F.col("passed"), "quality").when(F.col("manual"), "manual").otherwise("reportable")
+    return g.select("source_id", decision.alias("decision"), F.when(F.col("any_match"), F.col("matches")).otherwise(F.col("open")).alias("reasons"))
 
 
 def current_versions(reviews: DataFrame) -> DataFrame:
@@ -94,11 +101,25 @@ def approvals(reviews: DataFrame) -> DataFrame:
     return g.select("candidate", "version", "n_active", "rejected", (pair & ~F.col("rejected")).alias("approved"))
 
 
-def outcome_report(reviews: DataFrame) -> DataFrame:
-    """Counts by current version: candidates, reviewed ones, approvals and disagreement."""
-    a = active_decisions(reviews).join(current_versions(reviews), ["candidate", "version"])
-    per = a.groupBy("version", "candidate").agg(F.countDistinct("verdict").alias("kinds"), F.max((F.col("verdict") == "approve").cast("int")).alias("yes"))
-    return per.groupBy("version").agg(F.count("*").alias("candidates"), F.sum("yes").alias("approved"), F.sum((F.col("kinds") > 1).cast("long")).alias("disagreed"))
+def outcome_report(candidates: DataFrame, reviews: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Per campaign: reviews, outcomes, labels, yield among the reviewed, disagreement and hours to the first review.
+
+    ``candidates`` has candidate, version (the current one), campaign and recorded_hour; only ``reviews`` (hour, reviewer, role,
+    verdict) of that version count. ``outcomes`` has candidate and label (1, 0, or null: observed without a binary label). A
+    first review before its record, or one without a time, is an invalid latency.
+    """
+    own = reviews.join(candidates.select("candidate", "version"), ["candidate", "version"])
+    per = own.groupBy("candidate").agg(F.count("*").alias("events"), F.min("hour").alias("first_hour"), (F.count_distinct("verdict") > 1).alias("disagreed"))
+    seen = outcomes.groupBy("candidate").agg(F.max("label").alias("label")).withColumn("observed", F.lit(True))
+    j = candidates.join(per, "candidate", "left").join(seen, "candidate", "left")
+    reviewed, labelled, observed = F.col("events").isNotNull(), F.col("label").isin(0, 1), F.coalesce("observed", F.lit(False))
+    hours = F.col("first_hour") - F.col("recorded_hour")
+    g = j.groupBy("campaign").agg(
+        F.count("*").alias("candidates"), F.coalesce(F.sum("events"), F.lit(0)).alias("review_events"), F.count_if(reviewed).alias("reviewed"), F.count_if(observed).alias("observed"), F.count_if(~observed).alias("missing"),
+        F.count_if(labelled).alias("labelled"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(reviewed & labelled).alias("reviewed_labelled"), F.count_if(reviewed & (F.col("label") == 1)).alias("reviewed_positive"),
+        F.count_if(F.coalesce("disagreed", F.lit(False))).alias("disagreements"), F.count_if(reviewed & ~F.coalesce(hours >= 0, F.lit(False))).alias("invalid_latency"), F.median(F.when(hours >= 0, hours)).alias("median_hours"),
+    )
+    return g.withColumn("review_yield", F.col("reviewed_positive") / F.nullif("reviewed_labelled", F.lit(0)))
 
 
 def nightly_quota(rows: DataFrame, quota: int) -> DataFrame:

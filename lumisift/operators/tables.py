@@ -20,13 +20,31 @@ def set_agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return j.agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"), F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"))
 
 
-def grid_gaps(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """Cells of the product of the dimensions' own values that are missing or come more than once."""
+def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The keys that only one of two tables has, and which one."""
+    only = lambda a, b, name: a.select(key).distinct().join(b.select(key), key, "left_anti").withColumn("only_in", F.lit(name))
+    return only(left, right, "left").unionByName(only(right, left, "right"))
+
+
+def judged(rows: DataFrame, rules: list[tuple[str, object]]) -> DataFrame:
+    """``rows`` with the name of the first rule (name, condition that rejects) that they break, null where accepted."""
+    reason = F.lit(None).cast("string")
+    for name, broken in reversed(rules):
+        reason = F.when(F.coalesce(broken, F.lit(False)), name).otherwise(reason)
+    return rows.withColumn("reason", reason)
+
+
+def grid_gaps(rows: DataFrame, declared: dict[str, list]) -> DataFrame:
+    """Cells of a declared grid that are missing or come more than once, and rows' cells outside of it."""
+    dims, spark = list(declared), rows.sparkSession
     have = rows.groupBy(*dims).agg(F.count("*").alias("n"))
-    grid = have.select(dims[0]).distinct()
-    for d in dims[1:]:
-        grid = grid.crossJoin(F.broadcast(have.select(d).distinct()))  # a dimension is a short list of names
-    return grid.join(have, dims, "left").select(*dims, F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+    grid = None
+    for d in dims:  # declared values, short lists
+        one = spark.createDataFrame([(v,) for v in declared[d]], f"{d} {rows.schema[d].dataType.simpleString()}")
+        grid = one if grid is None else grid.crossJoin(F.broadcast(one))
+    j = grid.withColumn("_wanted", F.lit(True)).join(have, dims, "full")
+    state = F.when(F.col("_wanted").isNull(), "unexpected").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated")
+    return j.select(*dims, F.coalesce("n", F.lit(0)).alias("n"), state.alias("state")).where("state is not null")
 
 
 def position_spread(rows: DataFrame, tolerance_arcsec: float) -> DataFrame:
@@ -62,10 +80,10 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], fields: list[s
     return both.select(*keys, change.alias("change"), F.when(change == "changed", F.array_join(differ, ",")).otherwise("").alias("fields"))
 
 
-def snapshot_row(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Row count and an order-free content digest: the sum of 60-bit parts of the rows' own digests."""
+def snapshot_row(rows: DataFrame, columns: list[str], name: str, label: str, split: str) -> DataFrame:
+    """Name, label and split policy, row count and an order-free content digest: the sum of 60-bit parts of the rows' own digests."""
     part = F.conv(F.substring(digest(*columns), 1, 12), 16, 10).cast("long")
-    return rows.agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("content"))
+    return rows.agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("content")).select(F.lit(name).alias("name"), "n", "content", F.lit(label).alias("label_policy"), F.lit(split).alias("split_policy"))
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

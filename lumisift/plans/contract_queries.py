@@ -167,26 +167,34 @@ def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(D.PHOT, "per AS (SELECT source_id AS entity, count(DISTINCT survey || '/' || band) AS channels FROM phot GROUP BY source_id)")
-    + "SELECT count(*) AS n_entities, CAST(sum(channels) AS BIGINT) AS n_channels, TRUE AS within FROM per"
+    + "SELECT count(*) AS n_entities, CAST(sum(channels) AS BIGINT) AS n_channels, max(channels) <= 100 AS within FROM per"
 )
 def a14_entity_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = files.shard_manifest(files.entity_shards(_channels(spark, sf_dir), "source_id", "channel", 100, 4))
     return shards.agg(F.sum("n_entities").alias("n_entities"), F.sum("n_channels").alias("n_channels"), (F.max("n_channels") <= 100).alias("within"))
 
 
-@query("SELECT TRUE AS agrees, CAST(0 AS BIGINT) AS n_split UNION ALL SELECT FALSE, CAST(1 AS BIGINT)")
+@query(
+    _with(D.PHOT, "per AS (SELECT source_id, CAST(source_id AS BIGINT) % 10 = 7 AS twice FROM phot GROUP BY source_id)")
+    + "SELECT count(*) AS n_entities, count(*) FILTER (twice) AS n_split, count(*) FILTER (twice) = 0 AS agrees FROM per"
+)
 def a15_shard_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest against shards in which a tenth of the entities stand twice."""
     shards = files.entity_shards(_channels(spark, sf_dir), "source_id", "channel", 100, 4)
-    twice = shards.unionByName(shards.where("entity = '7'").withColumn("shard", F.concat("shard", F.lit("-again"))))
-    found = files.verify_shards(twice, files.shard_manifest(shards))
-    return found.groupBy("agrees").agg(F.max("n_split").alias("n_split"))
+    twice = shards.unionByName(shards.where("cast(entity as bigint) % 10 = 7").withColumn("shard", F.concat("shard", F.lit("-again"))))
+    found = files.verify_shards(twice, files.shard_manifest(shards)).agg(F.sum("n_split").alias("n_split"), F.bool_and("agrees").alias("agrees"))
+    return found.crossJoin(F.broadcast(shards.agg(F.count_distinct("entity").alias("n_entities"))))
 
 
-@query(_with(D.PHOT) + "SELECT count(*) + 1 AS n_rows, CAST(1 AS BIGINT) AS n_repeated, TRUE AS one_contract, FALSE AS mergeable FROM (SELECT DISTINCT source_id FROM phot)")
+@query(
+    _with(D.PHOT, "per AS (SELECT source_id, CAST(source_id AS BIGINT) % 10 = 7 AS twice, min(survey) AS contract FROM phot GROUP BY source_id)")
+    + "SELECT count(*) + count(*) FILTER (twice) AS n_rows, count(*) FILTER (twice) AS n_repeated, count(DISTINCT contract) = 1 AS one_contract, count(DISTINCT contract) = 1 AND count(*) FILTER (twice) = 0 AS mergeable FROM per"
+)
 def a16_shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = D.phot(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("n")).withColumn("contract", F.lit("widths=1,3"))
-    odd = F.col("source_id").cast("bigint") % 2 == 1
-    return files.merge_shard_results([r.where(odd), r.where(~odd), r.where("source_id = '7'")], "contract", "source_id")
+    """Results of shards that repeat some entities and were made under the contracts of two surveys."""
+    r = D.phot(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("n"), F.min("survey").alias("contract"))
+    number = F.col("source_id").cast("bigint")
+    return files.merge_shard_results([r.where(number % 2 == 1), r.where(number % 2 == 0), r.where(number % 10 == 7)], "contract", "source_id")
 
 
 @query(

@@ -270,14 +270,22 @@ def b13_object_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.catalog(spark, sf_dir).groupBy("otype", S.object_category(F.col("otype")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query(
-    _with(D.PHOT)
-    + """SELECT CASE WHEN NOT quality THEN 'bad_quality' WHEN flux_error > 1.4 THEN 'error_too_large' WHEN NOT is_detection AND limiting_magnitude < 22 THEN 'shallow_limit' ELSE 'accepted' END AS reason, count(*) AS n,
-         count(DISTINCT source_id) AS n_sources FROM phot GROUP BY ALL"""
-)
+_JUDGED_SQL = "judged AS (SELECT *, CASE WHEN NOT quality THEN 'bad_quality' WHEN flux_error > 1.4 THEN 'error_too_large' WHEN NOT is_detection AND limiting_magnitude < 22 THEN 'shallow_limit' END AS reason FROM phot)"
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.judged(D.phot(spark, sf_dir), [("bad_quality", ~F.col("quality")), ("error_too_large", F.col("flux_error") > 1.4), ("shallow_limit", ~F.col("is_detection") & (F.col("limiting_magnitude") < 22))])
+
+
+@query(_with(D.PHOT, _JUDGED_SQL) + "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n, count(DISTINCT source_id) AS n_sources FROM judged GROUP BY ALL")
 def c8_accept_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.when(~F.col("quality"), "bad_quality").when(F.col("flux_error") > 1.4, "error_too_large").when(~F.col("is_detection") & (F.col("limiting_magnitude") < 22), "shallow_limit").otherwise("accepted")
-    return D.phot(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("n_sources"))
+    return _judged(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("n_sources"))
+
+
+@query(_with(D.PHOT, _JUDGED_SQL) + "SELECT event_id, source_id, survey, band, mjd, flux, flux_error, reason FROM judged WHERE reason IS NOT NULL", "mjd flux flux_error")
+def c8_rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejected rows as they came, each with its reason."""
+    return _judged(spark, sf_dir).where("reason is not null").select("event_id", "source_id", "survey", "band", "mjd", "flux", "flux_error", "reason")
 
 
 @query(
@@ -312,13 +320,28 @@ def c15_cohort_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT o_orderpriority AS model, o_custkey % 40 AS fold, o_orderkey % 9 AS horizon FROM orders WHERE o_orderkey % 7 < 2)
-       SELECT model, fold, horizon, count(o) AS n FROM (SELECT DISTINCT model FROM d) CROSS JOIN (SELECT DISTINCT fold FROM d) CROSS JOIN (SELECT DISTINCT horizon FROM d)
-       LEFT JOIN (SELECT *, 1 AS o FROM d) USING (model, fold, horizon) GROUP BY ALL HAVING count(o) <> 1"""
+    """WITH o AS (SELECT DISTINCT o_custkey AS key FROM orders), c AS (SELECT c_custkey AS key FROM customer WHERE c_custkey % 3 > 0)
+       SELECT key, 'left' AS only_in FROM o WHERE key NOT IN (SELECT key FROM c) UNION ALL SELECT key, 'right' FROM c WHERE key NOT IN (SELECT key FROM o)"""
+)
+def c15_cohort_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that one of two cohorts lacks."""
+    orders, customer = D.table(spark, sf_dir, "orders"), D.table(spark, sf_dir, "customer").where("c_custkey % 3 > 0")
+    return tables.set_differences(orders.select(F.col("o_custkey").alias("key")), customer.select(F.col("c_custkey").alias("key")), "key")
+
+
+_MODELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "6-NEVER"]
+
+
+@query(
+    f"""WITH d AS (SELECT o_orderpriority AS model, o_custkey % 250 AS fold, o_orderkey % 13 AS horizon, count(*) AS n FROM orders GROUP BY ALL),
+        g AS (SELECT model, fold, horizon, TRUE AS wanted FROM (SELECT unnest({_MODELS}) AS model), (SELECT unnest(range(250)) AS fold), (SELECT unnest(range(13)) AS horizon))
+        SELECT model, fold, horizon, coalesce(n, 0) AS n, CASE WHEN wanted IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' END AS state
+        FROM g FULL JOIN d USING (model, fold, horizon) WHERE wanted IS NULL OR n IS NULL OR n > 1"""
 )
 def c16_complete_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = D.table(spark, sf_dir, "orders").where("o_orderkey % 7 < 2")
-    return tables.grid_gaps(o.select(F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 40).alias("fold"), (F.col("o_orderkey") % 9).alias("horizon")), ["model", "fold", "horizon"])
+    """Every order against a declared grid, which lacks a model that occurs and has one that does not."""
+    o = D.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 250).alias("fold"), (F.col("o_orderkey") % 13).alias("horizon"))
+    return tables.grid_gaps(o, {"model": _MODELS, "fold": list(range(250)), "horizon": list(range(13))})
 
 
 # ---- matching
@@ -368,6 +391,18 @@ def d16_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(v, v.where("vec_id % 100 = 0"), 10, "vec_id", "embedding")
 
 
+@query(
+    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+       s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 12) AS similarity FROM v JOIN v q ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND q.label IS NOT DISTINCT FROM v.label)
+       SELECT query_id, id, similarity, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS i FROM s) WHERE i <= 10""",
+    "similarity",
+)
+def d16_same_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours among the vectors of the query's own provenance."""
+    v = D.table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(v, v.where("vec_id % 100 = 0"), 10, "vec_id", "embedding", provenance="label")
+
+
 # ---- two time axes
 
 
@@ -573,15 +608,19 @@ def f7_latest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(
-        D.PHOT, D.SOURCES, D.CHECKS, _LATEST_SQL, "need AS (SELECT source_id, unnest(['catalog', 'moving', 'registry']) AS service FROM sources)",
-        """j AS (SELECT need.*, status, conflicting, CASE WHEN status IS NULL THEN 'missing' WHEN conflicting THEN 'conflicting' WHEN status = 'match' THEN 'match' WHEN status <> 'clear' THEN status WHEN expires_hour <= 30 THEN 'expired' END AS reason,
-                      coalesce(status = 'clear' AND expires_hour > 30 AND NOT conflicting, FALSE) AS ok FROM need LEFT JOIN latest USING (source_id, service))""",
+        D.PHOT, D.SOURCES, D.CHECKS, _LATEST_SQL, "need AS (SELECT source_id, unnest(['catalog', 'moving', 'registry']) AS service FROM sources)", "m AS (SELECT source_id, service, bool_or(status = 'match') AS matched FROM checks GROUP BY ALL)",
+        "own AS (SELECT source_id, avg(CASE WHEN quality THEN 1e0 ELSE 0e0 END) >= 0.99e0 AS passed, max(flux / flux_error) > 190 AS manual FROM phot GROUP BY source_id)",
+        """j AS (SELECT need.*, matched, CASE WHEN status IS NULL THEN 'missing' WHEN conflicting THEN 'conflicting' WHEN status <> 'clear' THEN status WHEN expires_hour <= 30 THEN 'expired' END AS reason
+                FROM need LEFT JOIN latest USING (source_id, service) LEFT JOIN m USING (source_id, service))""",
+        """g AS (SELECT source_id, bool_or(coalesce(matched, FALSE)) AS any_match, count(reason) AS n_open, coalesce(array_to_string(list_sort(list(service || ':match') FILTER (matched)), ','), '') AS matches,
+                coalesce(array_to_string(list_sort(list(service || ':' || reason) FILTER (reason IS NOT NULL)), ','), '') AS open FROM j GROUP BY source_id)""",
     )
-    + """SELECT source_id, CASE WHEN bool_or(coalesce(status = 'match' AND NOT conflicting, FALSE)) THEN 'match' WHEN NOT bool_and(ok) THEN 'incomplete' ELSE 'reportable' END AS decision,
-         coalesce(array_to_string(list_sort(list(service || ':' || reason) FILTER (reason IS NOT NULL)), ','), '') AS reasons FROM j GROUP BY source_id"""
+    + """SELECT source_id, CASE WHEN any_match THEN 'match' WHEN n_open > 0 THEN 'incomplete' WHEN NOT passed THEN 'quality' WHEN manual THEN 'manual' ELSE 'reportable' END AS decision,
+         CASE WHEN any_match THEN matches ELSE open END AS reasons FROM g JOIN own USING (source_id)"""
 )
 def j2_evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.evidence_gate(D.sources(spark, sf_dir), D.checks(spark, sf_dir), ["catalog", "moving", "registry"], 30)
+    own = D.phot(spark, sf_dir).groupBy("source_id").agg((F.avg(F.col("quality").cast("double")) >= 0.99).alias("quality_passed"), (F.max(F.col("flux") / F.col("flux_error")) > 190).alias("manual_required"))
+    return review.evidence_gate(own, D.checks(spark, sf_dir), ["catalog", "moving", "registry"], 30)
 
 
 _ACTIVE_SQL = """active AS (SELECT candidate, version, reviewer, role, arg_max(verdict, review_id) AS verdict FROM reviews GROUP BY ALL),
@@ -607,11 +646,25 @@ def j16_independent_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _with(D.REVIEWS, _ACTIVE_SQL, "per AS (SELECT version, candidate, count(DISTINCT verdict) AS kinds, max(CAST(verdict = 'approve' AS INTEGER)) AS yes FROM a GROUP BY ALL)")
-    + "SELECT version, count(*) AS candidates, CAST(sum(yes) AS BIGINT) AS approved, count(*) FILTER (kinds > 1) AS disagreed FROM per GROUP BY version"
-)
+    _with(
+        D.REVIEWS, "cur AS (SELECT candidate, arg_max(version, (day, review_id)) AS version, 'campaign' || candidate % 3 AS campaign, coalesce(min(day) FILTER (role = 'screener'), 9000) * 24 AS recorded FROM reviews GROUP BY candidate)",
+        "per AS (SELECT candidate, count(*) AS events, min(day) * 24 AS first_hour, count(DISTINCT verdict) > 1 AS disagreed FROM reviews JOIN cur USING (candidate, version) WHERE role = 'reviewer' GROUP BY candidate)",
+        "seen AS (SELECT c_custkey AS candidate, CASE WHEN c_acctbal > 5000 THEN 1 WHEN c_acctbal > 0 THEN 0 END AS label, TRUE AS observed FROM customer WHERE c_mktsegment <> 'BUILDING')",
+        "j AS (SELECT campaign, events, label, observed, disagreed, first_hour - recorded AS hours FROM cur LEFT JOIN per USING (candidate) LEFT JOIN seen USING (candidate))",
+    )
+    + """SELECT campaign, count(*) AS candidates, CAST(coalesce(sum(events), 0) AS BIGINT) AS review_events, count(events) AS reviewed, count(observed) AS observed, count(*) - count(observed) AS missing, count(label) AS labelled,
+         count(*) FILTER (label = 1) AS positive, count(*) FILTER (events IS NOT NULL AND label IS NOT NULL) AS reviewed_labelled, count(*) FILTER (events IS NOT NULL AND label = 1) AS reviewed_positive, count(*) FILTER (disagreed) AS disagreements,
+         count(*) FILTER (events IS NOT NULL AND NOT coalesce(hours >= 0, FALSE)) AS invalid_latency, CAST(median(CASE WHEN hours >= 0 THEN hours END) AS DOUBLE) AS median_hours,
+         count(*) FILTER (events IS NOT NULL AND label = 1) / CAST(nullif(count(*) FILTER (events IS NOT NULL AND label IS NOT NULL), 0) AS DOUBLE) AS review_yield FROM j GROUP BY campaign""",
+    "median_hours review_yield",
+)
 def e27_outcome_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.outcome_report(D.reviews(spark, sf_dir))
+    r = D.reviews(spark, sf_dir)
+    recorded = F.coalesce(F.min(F.when(F.col("role") == "screener", F.col("day"))), F.lit(9000)) * 24
+    current = r.groupBy("candidate").agg(F.max_by("version", F.struct("day", "review_id")).alias("version"), recorded.alias("recorded_hour")).withColumn("campaign", F.concat(F.lit("campaign"), F.col("candidate") % 3))
+    label = F.when(F.col("c_acctbal") > 5000, 1).when(F.col("c_acctbal") > 0, 0)
+    outcomes = D.table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("candidate"), label.alias("label"))
+    return review.outcome_report(current, r.where("role = 'reviewer'").withColumn("hour", F.col("day") * 24), outcomes)
 
 
 @query(_with(D.REVIEWS) + "SELECT review_id, day, row_number() OVER (PARTITION BY day ORDER BY review_id) <= 5 AS accepted FROM reviews")
@@ -668,10 +721,11 @@ def g2_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}'), 1, 12) AS BIGINT)) AS VARCHAR) AS content FROM orders"""
+    """SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}'), 1, 12) AS BIGINT)) AS VARCHAR) AS content,
+              'orders' AS name, 'status' AS label_policy, 'by_customer' AS split_policy FROM orders"""
 )
 def k7_snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.snapshot_row(D.table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
+    return tables.snapshot_row(D.table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], "orders", "status", "by_customer")
 
 
 #: Four batches of candidate records: of each window of days the newest review of every candidate.
@@ -729,9 +783,24 @@ def k4_append_to_current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query(_with(D.PHOT) + "SELECT source_id, survey, k, count(*) AS n FROM phot WHERE k IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+_REPEATED_SQL = "rep AS (SELECT source_id, survey, band, mjd, flux, event_id FROM phot UNION ALL SELECT source_id, survey, band, mjd, flux, event_id FROM phot WHERE event_id % 5 = 0 UNION ALL SELECT source_id, survey, band, mjd, flux + 1, event_id FROM phot WHERE event_id % 11 = 0)"
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files of one archive: all rows, some of them again, and some again with another value."""
+    p = D.phot(spark, sf_dir).select("source_id", "survey", "band", "mjd", "flux", "event_id")
+    return p.unionByName(p.where("event_id % 5 = 0")).unionByName(p.where("event_id % 11 = 0").withColumn("flux", F.col("flux") + 1))
+
+
+@query(_with(D.PHOT, _REPEATED_SQL) + "SELECT source_id, survey, event_id, count(*) AS n FROM rep WHERE event_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def c5_reused_observation_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.duplicates(D.phot(spark, sf_dir).where("k is not null"), ["source_id", "survey", "k"])
+    return tables.duplicates(_repeated(spark, sf_dir).where("event_id is not null"), ["source_id", "survey", "event_id"])
+
+
+@query(_with(D.PHOT, _REPEATED_SQL) + "SELECT source_id, survey, band, mjd, flux, count(*) AS n FROM rep GROUP BY ALL HAVING count(*) > 1", "mjd flux")
+def c4_repeated_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that agree in source, channel, time and value."""
+    return tables.duplicates(_repeated(spark, sf_dir), ["source_id", "survey", "band", "mjd", "flux"])
 
 
 @query(
