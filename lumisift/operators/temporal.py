@@ -53,13 +53,28 @@ def complete_horizons(target: DataFrame, horizons: list[float]) -> DataFrame:
     return target.groupBy("entity_id", "cutoff").agg(F.countDistinct("horizon").alias("n_horizons")).where(F.col("n_horizons") == len(horizons))
 
 
-def tokens(rows: DataFrame, longest: int) -> DataFrame:
-    """Latest rows of a sequence as (position, scaled time step, scaled value, detected)."""
-    w = Window.partitionBy("entity_id").orderBy("observed_at_mjd", "observation_id")
-    v = rows.withColumn("dt", F.col("observed_at_mjd") - F.lag("observed_at_mjd").over(w))
-    whole = Window.partitionBy("entity_id")
-    v = v.withColumn("cadence", F.median("dt").over(whole)).withColumn("centre", F.median("value").over(whole))
-    v = v.withColumn("scale", F.greatest(1.4826 * F.median(F.abs(F.col("value") - F.col("centre"))).over(whole), F.lit(1e-6)))
-    last = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.col("observed_at_mjd").desc(), F.col("observation_id").desc()))
-    out = v.withColumn("back", last).where(F.col("back") <= longest)
-    return out.select("entity_id", "back", F.coalesce(F.col("dt") / F.nullif("cadence", F.lit(0.0)), F.lit(0.0)).alias("step"), F.coalesce((F.col("value") - F.col("centre")) / F.col("scale"), F.lit(0.0)).alias("token"), F.col("is_detection").cast("int").alias("detected"))
+def tokens(rows: DataFrame, longest: int, vocabulary: DataFrame) -> DataFrame:
+    """The latest ``longest`` rows of each sequence as tokens: (back, step, value, error, band_id, detected, present).
+
+    Rows go by time, band, detection, value and error. Steps are in median cadences, values and errors in robust
+    deviations of the detected values (of all values, if none is detected); what is missing is 0, and ``present`` tells. A
+    band that ``vocabulary`` (term, id) lacks is 0. ``back`` counts from the last row, 1.
+    """
+    by = [("observed_at_mjd", False), (F.lower("band"), False), ("band", False), (~F.col("is_detection"), False), ("value", True), ("value_error", True)]
+    up = [F.asc_nulls_last(c) if nulls else F.asc(c) for c, nulls in ((F.col(c) if isinstance(c, str) else c, n) for c, n in by)]
+    down = [F.desc_nulls_first(c) if nulls else F.desc(c) for c, nulls in ((F.col(c) if isinstance(c, str) else c, n) for c, n in by)]
+    one, whole = Window.partitionBy("entity_id"), Window.partitionBy("entity_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v = rows.withColumn("back", F.row_number().over(one.orderBy(*down))).where(F.col("back") <= longest)
+    v = v.withColumn("dt", F.col("observed_at_mjd") - F.lag("observed_at_mjd").over(one.orderBy(*up)))
+    seen = F.when(F.col("is_detection"), F.col("value"))
+    v = v.withColumn("basis", F.when(F.count(seen).over(whole) > 0, seen).otherwise(F.col("value"))).withColumn("cadence", F.coalesce(F.median(F.when(F.col("dt") > 0, F.col("dt"))).over(whole), F.lit(1.0)))
+    v = v.withColumn("centre", F.coalesce(F.median("basis").over(whole), F.lit(0.0))).withColumn("off", F.col("basis") - F.col("centre"))
+    mad, sd = 1.4826 * F.median(F.abs("off")).over(whole), F.sqrt(F.avg(F.col("off") * F.col("off")).over(whole))
+    error = F.median(F.when(F.col("is_detection") & (F.col("value_error") > 0), F.col("value_error"))).over(whole)
+    v = v.withColumn("scale", F.when(mad > 0, mad).when(sd > 0, sd).otherwise(F.coalesce(error, F.lit(1.0))))
+    v = v.join(vocabulary.select(F.col("term").alias("band"), F.col("id").alias("band_id")), "band", "left")
+    present = F.col("value").isNotNull()
+    return v.select(
+        "entity_id", "back", F.coalesce(F.col("dt") / F.col("cadence"), F.lit(0.0)).alias("step"), F.when(present, (F.col("value") - F.col("centre")) / F.col("scale")).otherwise(0.0).alias("value"),
+        F.when(present & F.col("value_error").isNotNull(), F.col("value_error") / F.col("scale")).otherwise(0.0).alias("error"), F.coalesce("band_id", F.lit(0)).alias("band_id"), F.col("is_detection").cast("int").alias("detected"), present.cast("int").alias("present"),
+    )

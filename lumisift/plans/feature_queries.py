@@ -77,13 +77,26 @@ def a11_aligned_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _with(D.PHOT, D.SOURCES, D.CHECKS, _FEAT, "c AS (SELECT source_id, string_agg(service || '=' || status, ',' ORDER BY service, attempt) AS checks FROM checks GROUP BY source_id)")
-    + "SELECT source_id, '{\"source_id\":\"' || source_id || '\",\"n_detections\":' || CAST(n_detections AS VARCHAR) || ',\"checks\":\"' || checks || '\"}' AS dossier FROM feat JOIN c USING (source_id)"
-)
+    _with(
+        D.PHOT, D.SOURCES, D.CHECKS, _FEAT,
+        """c AS (SELECT source_id, string_agg('{"service":"' || service || '","attempt":' || attempt || ',"status":"' || status || '","checked_hour":' || checked_hour || ',"expires_hour":' || expires_hour || '}', ',' ORDER BY service, attempt) AS checks
+                 FROM checks GROUP BY source_id)""",
+        """t AS (SELECT source_id, string_agg('{"survey":"' || survey || '","band":"' || band || '","n":' || n || ',"first":"' || first || '","last":"' || last || '"}', ',' ORDER BY survey, band) AS timeline
+                 FROM (SELECT source_id, survey, band, count(*) AS n, arg_min(observation_id, (mjd, event_id)) AS first, arg_max(observation_id, (mjd, event_id)) AS last FROM phot GROUP BY ALL) GROUP BY source_id)""",
+        """d AS (SELECT source_id, '{"source_id":"' || source_id || '","features":{"n_detections":' || n_detections || ',"n_bands":' || n_bands || '},"checks":[' || checks || '],"timeline":[' || timeline || ']}' AS dossier
+                 FROM feat JOIN c USING (source_id) JOIN t USING (source_id))""",
+    )
+    + "SELECT source_id, dossier, sha256(dossier) AS digest FROM d"
+)
 def a18_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("service", "attempt", "status")))
-    c = D.checks(spark, sf_dir).groupBy("source_id").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["service"], F.lit("="), x["status"])), ",").alias("checks"))
-    return _feat(spark, sf_dir).join(c, "source_id").select("source_id", F.to_json(F.struct("source_id", "n_detections", "checks")).alias("dossier"))
+    """One portable row of evidence for each source: features, all checks, the history of its channels, and a digest."""
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    checks = D.checks(spark, sf_dir).groupBy("source_id").agg(listed("service", "attempt", "status", "checked_hour", "expires_hour").alias("checks"))
+    when = F.struct("mjd", "event_id")
+    ends = D.phot(spark, sf_dir).groupBy("source_id", "survey", "band").agg(F.count("*").alias("n"), F.min_by("observation_id", when).alias("first"), F.max_by("observation_id", when).alias("last"))
+    j = _feat(spark, sf_dir).join(checks, "source_id").join(ends.groupBy("source_id").agg(listed("survey", "band", "n", "first", "last").alias("timeline")), "source_id")
+    dossier = F.to_json(F.struct("source_id", F.struct("n_detections", "n_bands").alias("features"), "checks", "timeline"))
+    return j.select("source_id", dossier.alias("dossier")).withColumn("digest", F.sha2("dossier", 256))
 
 
 _STORED = ORACLE["e20_rolling_origin"].replace("JOIN documents d ON l.doc_id = d.doc_id", "JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id % 11 > 0")

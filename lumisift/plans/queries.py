@@ -459,17 +459,38 @@ def h5_complete_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.complete_horizons(temporal.targets(rows, _cutoffs(rows), HORIZONS), HORIZONS)
 
 
+_ENTITY_SPLIT_SQL = "e AS (SELECT entity_id, min(available_at_mjd) AS t FROM asof_rows GROUP BY entity_id), sp AS (SELECT entity_id, row_number() OVER (ORDER BY t, entity_id) <= greatest(1, floor(count(*) OVER () * 0.7e0)) AS train FROM e)"
+_ORDER = "observed_at_mjd {0}, lower(band) {0}, band {0}, NOT is_detection {0}, value {0} NULLS {1}, value_error {0} NULLS {1}"
+
+
+@query(
+    _with(D.PHOT, D.ASOF, _ENTITY_SPLIT_SQL)
+    + "SELECT band AS term, CAST(row_number() OVER (ORDER BY band) AS INTEGER) AS id FROM (SELECT DISTINCT band FROM asof_rows JOIN sp USING (entity_id) WHERE train AND band IS NOT NULL AND band <> 'error')"
+)
+def h4_band_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of the training entities, but one that is held back so that later rows have an unknown band."""
+    rows = D.asof(spark, sf_dir)
+    return evaluation.vocabulary(rows.join(evaluation.entity_split(rows, 0.7, 0.85), "entity_id").where("band <> 'error'"), "band")
+
+
 @query(
     _with(
-        D.PHOT, D.ASOF,
-        "v AS (SELECT *, observed_at_mjd - lag(observed_at_mjd) OVER (PARTITION BY entity_id ORDER BY observed_at_mjd, observation_id) AS dt FROM asof_rows)",
-        "w AS (SELECT *, median(dt) OVER (PARTITION BY entity_id) AS cadence, median(value) OVER (PARTITION BY entity_id) AS centre FROM v)",
-        "x AS (SELECT *, greatest(1.4826e0 * median(abs(value - centre)) OVER (PARTITION BY entity_id), 1e-6) AS scale, row_number() OVER (PARTITION BY entity_id ORDER BY observed_at_mjd DESC, observation_id DESC) AS back FROM w)",
+        D.PHOT, D.ASOF, _ENTITY_SPLIT_SQL, "voc AS (SELECT band, row_number() OVER (ORDER BY band) AS band_id FROM (SELECT DISTINCT band FROM asof_rows JOIN sp USING (entity_id) WHERE train AND band IS NOT NULL AND band <> 'error'))",
+        f"kept AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY {_ORDER.format('DESC', 'FIRST')}) AS back FROM asof_rows QUALIFY back <= 32)",
+        f"d AS (SELECT *, observed_at_mjd - lag(observed_at_mjd) OVER (PARTITION BY entity_id ORDER BY {_ORDER.format('ASC', 'LAST')}) AS dt, count(CASE WHEN is_detection THEN value END) OVER (PARTITION BY entity_id) AS n_seen FROM kept)",
+        "b AS (SELECT *, CASE WHEN n_seen > 0 THEN CASE WHEN is_detection THEN value END ELSE value END AS basis, coalesce(median(CASE WHEN dt > 0 THEN dt END) OVER (PARTITION BY entity_id), 1e0) AS cadence FROM d)",
+        "c AS (SELECT *, coalesce(median(basis) OVER (PARTITION BY entity_id), 0e0) AS centre FROM b)",
+        """s AS (SELECT *, 1.4826e0 * median(abs(basis - centre)) OVER (PARTITION BY entity_id) AS mad, sqrt(avg(pow(basis - centre, 2)) OVER (PARTITION BY entity_id)) AS sd,
+                      median(CASE WHEN is_detection AND value_error > 0 THEN value_error END) OVER (PARTITION BY entity_id) AS err FROM c)""",
+        "t AS (SELECT *, CASE WHEN mad > 0 THEN mad WHEN sd > 0 THEN sd ELSE coalesce(err, 1e0) END AS scale FROM s)",
     )
-    + """SELECT entity_id, CAST(back AS INTEGER) AS back, coalesce(dt / nullif(cadence, 0), 0e0) AS step, coalesce((value - centre) / scale, 0e0) AS token, CAST(is_detection AS INTEGER) AS detected FROM x WHERE back <= 32"""
+    + """SELECT entity_id, CAST(back AS INTEGER) AS back, coalesce(dt / cadence, 0e0) AS step, CASE WHEN value IS NOT NULL THEN (value - centre) / scale ELSE 0e0 END AS value,
+         CASE WHEN value IS NOT NULL AND value_error IS NOT NULL THEN value_error / scale ELSE 0e0 END AS error, CAST(coalesce(band_id, 0) AS INTEGER) AS band_id, CAST(is_detection AS INTEGER) AS detected, CAST(value IS NOT NULL AS INTEGER) AS present
+         FROM t LEFT JOIN voc USING (band)""",
+    "step value error",
 )
 def f9_sequence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.tokens(D.asof(spark, sf_dir), 32)
+    return temporal.tokens(D.asof(spark, sf_dir), 32, h4_band_vocabulary(spark, sf_dir))
 
 
 # ---- evaluation

@@ -168,3 +168,44 @@ def test_effective_rank(spark):
     assert got["n"] == 500 and got["rank_limit"] == 8 and got["collapsed"] == pytest.approx(1 / 8) and got["mean_std"] == pytest.approx(x.std(0).mean())
     assert got["effective_rank"] == pytest.approx(np.exp(-(p * np.log(p)).sum()), rel=1e-6) and got["rms"] == pytest.approx(np.sqrt((x**2).mean()))
     assert neighbours.representation_health(spark.createDataFrame([], "v array<double>"), "v").first()["n"] == 0
+
+
+def test_baseline_scores(spark):
+    """Separable rows with missing values: held-out order is right, a missing value is scored, labels of the scored rows are not used."""
+    from lumisift.operators import legacy
+
+    rng = random.Random(8)
+    rows = [(k, int(rng.random() < 0.25), 0.0, None) for k in range(600)]
+    rows = [(k, y, rng.gauss(3 * y, 1), None if rng.random() < 0.2 else rng.gauss(0, 1)) for k, y, *_ in rows]
+    df = spark.createDataFrame(rows, "entity long, label long, a double, b double")
+    train, later = df.where("entity < 400"), df.where("entity >= 400")
+    got = {r["entity"]: r["score"] for r in legacy.baseline_scores(train, later, ["a", "b"], "label").collect()}
+    flipped = {r["entity"]: r["score"] for r in legacy.baseline_scores(train, later.withColumn("label", 1 - F.col("label")), ["a", "b"], "label").collect()}
+    assert got == flipped and len(got) == 200 and all(0 <= s <= 1 for s in got.values())
+    positive, negative = ([got[k] for k, y, *_ in rows if k >= 400 and y == c] for c in (1, 0))
+    assert np.mean([p > n for p in positive for n in negative]) > 0.95
+
+
+def test_campaign_correction(spark):
+    rows = [("a", "s", "g", 0.01, 9.0, 8.0), ("a", "s", "r", 0.5, 2.0, 1.0), ("b", "s", "g", 0.2, 3.0, None), ("c", "s", "g", None, None, None), ("d", "s", "g", 0.0001, 30.0, 4.0), ("d", "s", "r", None, None, None)]
+    channels = spark.createDataFrame(rows, "source_id string, survey string, band string, p_value double, max_z double, least_z double")
+    got = {r["source_id"]: r for r in search.correct(channels, None, 2, 0.05, 99).collect()}
+    for s in "abcd":
+        own = [r for r in rows if r[0] == s]
+        ps = [r[3] for r in own if r[3] is not None]
+        own_p = min(1.0, min(ps) * len(own)) if ps else None
+        assert (got[s]["n_channels"], got[s]["n_unsearched"]) == (len(own), len(own) - len(ps)) and got[s]["object_p"] == (pytest.approx(own_p) if ps else None)
+        assert got[s]["campaign_p"] == (pytest.approx(min(1.0, own_p * 4 * 2)) if ps else None)
+        stable = [min(r[4], r[5] or 0.0) for r in own if r[3] is not None]
+        assert got[s]["stable_z"] == (max(stable) if stable else None)
+    assert got["c"]["status"] == "insufficient_epochs" and got["a"]["status"] == "unresolvable"  # 4 sources, 2 looks, 99 trials
+
+
+def test_evidence_gate(spark):
+    checks = spark.createDataFrame(
+        [("a", "x", 0, "clear", 5, 40), ("a", "y", 0, "clear", 5, 40), ("b", "x", 0, "match", 1, 40), ("b", "x", 1, "clear", 5, 40), ("b", "y", 0, "clear", 5, 40), ("c", "x", 0, "clear", 5, 40), ("d", "x", 0, "clear", 5, 20), ("d", "y", 0, "clear", 5, 40)]
+        + [(s, v, 0, "clear", 5, 40) for s in "ef" for v in "xy"], "source_id string, service string, attempt int, status string, checked_hour int, expires_hour int",
+    )
+    own = spark.createDataFrame([("a", True, False), ("b", True, False), ("c", True, False), ("d", True, False), ("e", False, True), ("f", True, True), ("g", None, None)], "source_id string, quality_passed boolean, manual_required boolean")
+    got = {r["source_id"]: (r["decision"], r["reasons"]) for r in review.evidence_gate(own, checks, ["x", "y"], 30).collect()}
+    assert got == {"a": ("reportable", ""), "b": ("match", "x:match"), "c": ("incomplete", "y:missing"), "d": ("incomplete", "x:expired"), "e": ("quality", ""), "f": ("manual", ""), "g": ("incomplete", "x:missing,y:missing")}
