@@ -51,12 +51,12 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/lumisift/{name}-{uuid.uuid4().hex}"
         self.count, self.paths = 0, []
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count:02d}-{name}"
         with _write_settings(self.spark):
-            df.write.parquet(path)
+            df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lumisift_path = path
         self.paths.append(path)
