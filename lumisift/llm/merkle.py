@@ -107,13 +107,15 @@ def manifest(spark: SparkSession, docs: DataFrame, tampered: Column | None = Non
     leaves = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(leaf_hash()).alias("leaf"), F.unhex(hurt).alias("hurt"), F.monotonically_increasing_id().alias("tie"))
     raw = scratch.table(leaves, "leaves")
     leaves = placed(scratch, raw, ["source", "doc_id", "leaf", "tie"], "ordered")
+    scratch.drop(raw)
     sources = scratch.table(leaves.groupBy("source").agg(F.min("place").alias("start"), F.count("*").alias("size")), "sources")
     n_sources, largest = sources.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
     if not n_sources:
         return spark.createDataFrame([], SCHEMA)
     ranked = scratch.table(placed(scratch, sources, ["start"], "by-source").withColumnRenamed("place", "rank"), "ranked")
 
-    runs = scratch.table(_runs(leaves, ranked), "runs")
+    runs = scratch.table(_runs(leaves, ranked), "runs", "zstd")  # digests as text are twice their bytes
+    scratch.drop_all_but(runs)
     levels, links, level = [runs], [], 1
     while ARITY**level < largest:
         level += 1
@@ -131,9 +133,10 @@ def manifest(spark: SparkSession, docs: DataFrame, tampered: Column | None = Non
     root_node, root = tops.select("node", "digest").first()
     climbed = runs.select("node", _first_folds().alias("folds"))
     if links:
-        nodes = scratch.table(_union(links), "nodes")
+        nodes = scratch.table(_union(links), "nodes", "zstd")
+        scratch.drop_all_but(runs, subroots, nodes)
         with _no_row_limit(spark):
-            climbed = scratch.table(spark.sql(_CLIMB, runs=climbed, nodes=nodes, root=root_node), "climbed")
+            climbed = scratch.table(spark.sql(_CLIMB, runs=climbed, nodes=nodes, root=root_node), "climbed", "zstd")
     else:
         climbed = scratch.table(climbed.select(F.col("node").alias("run"), F.lit("").alias("proof"), "folds"), "climbed")
     scratch.drop_all_but(runs, subroots, climbed)
