@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumisift.operators import contracts, review, scores
-from lumisift.plans.queries import ORACLE, QUERIES, _with, query
+from lumisift.operators import contracts, curves, review, scores
+from lumisift.plans.queries import _SOURCE_SQL, ORACLE, QUERIES, _with, query
 from lumisift.plans.scratch import Scratch
 from lumisift.sources import derived as D
 from lumisift.streaming import archive, ledger, letters, stores
@@ -34,43 +34,46 @@ def _soft(x: str, scale: float) -> str:
     return _SOFT.format(x, f"{scale}e0")
 
 
-_PRIORITY = f"""pin AS (SELECT *, CASE WHEN number % 5 > 0 THEN bright END AS b, CASE WHEN number % 5 > 0 AND number % 3 > 0 THEN amp END AS t, CASE WHEN number % 10 > 0 THEN sigma / 10 END AS fx,
-         CASE WHEN number % 4 > 0 THEN sigma END AS ms, sigma * 0.9e0 AS fs, CASE WHEN number % 3 = 0 THEN amp / 5 END AS rise, CASE WHEN number % 3 = 1 THEN sigma / 30 END AS frise, CASE WHEN number % 2 = 0 THEN 3e0 END AS gap FROM feat),
+_PRIORITY = f"""pin AS (SELECT *, max_brightening AS b, median_p90_p10 AS t, max_excursion AS fx, median_excursion AS ft, coalesce(max_significance, greatest(max_peak_significance, max_flux_significance)) AS sg,
+         greatest(max_rise_rate, max_fade_rate) AS rate, greatest(max_flux_rise_rate, max_flux_fade_rate) AS frate FROM src),
   comp AS (SELECT source_id, n_detections,
-         CASE WHEN coalesce(b, t) IS NOT NULL THEN 0.6e0 * {_soft("greatest(coalesce(b, t), coalesce(t, b))", 0.8)} + 0.4e0 * {_soft("t", 0.8)} WHEN fx IS NOT NULL THEN 0.6e0 * {_soft("fx", 1.0)} + 0.4e0 * {_soft("fx", 1.0)} ELSE 0e0 END AS amplitude,
-         1 / (1 + exp(-greatest(-60e0, least(60e0, (greatest(coalesce(ms, fs), fs) - 4) / 1.5e0)))) AS significance_score,
-         CASE WHEN rise IS NOT NULL THEN {_soft("rise", 0.5)} WHEN frise IS NOT NULL THEN {_soft("frise", 0.5)} ELSE 0e0 END AS temporal,
-         CASE WHEN number % 2 = 0 THEN 0.65e0 * {_soft("bright", 1.0)} + 0.35e0 * coalesce(exp(-gap / 7e0), 0e0) ELSE 0e0 END AS nondetection,
-         0.5e0 * {_soft("n_detections", 8.0)} + 0.2e0 * {_soft("n_bands", 2.0)} + 0.3e0 * {_soft("(number % 4)", 2.0)} AS sampling,
-         greatest(0e0, least(1e0, 1 - 0.4e0 * missing - 0.25e0 * rejected - 0.2e0 * missing)) AS data_quality FROM pin)"""
+         CASE WHEN coalesce(b, t) IS NOT NULL THEN 0.6e0 * {_soft("greatest(coalesce(b, t), coalesce(t, b))", 0.8)} + 0.4e0 * {_soft("t", 0.8)}
+              WHEN coalesce(fx, ft) IS NOT NULL THEN 0.6e0 * {_soft("greatest(coalesce(fx, ft), coalesce(ft, fx))", 1.0)} + 0.4e0 * {_soft("ft", 1.0)} ELSE 0e0 END AS amplitude,
+         coalesce(1 / (1 + exp(-greatest(-60e0, least(60e0, (sg - 4) / 1.5e0)))), 0e0) AS significance_score,
+         CASE WHEN rate IS NOT NULL THEN {_soft("rate", 0.5)} ELSE {_soft("frate", 0.5)} END AS temporal,
+         CASE WHEN has_prior THEN 0.65e0 * greatest({_soft("prior_contrast_mag", 1.0)}, {_soft("prior_flux_contrast", 3.0)}) + 0.35e0 * coalesce(exp(-greatest(0e0, prior_gap_days) / 7e0), 0e0) ELSE 0e0 END AS nondetection,
+         0.5e0 * {_soft("n_detections", 8.0)} + 0.2e0 * {_soft("n_bands", 2.0)} + 0.3e0 * {_soft("n_significant", 2.0)} AS sampling,
+         greatest(0e0, least(1e0, 1 - 0.4e0 * error_missing - 0.25e0 * quality_rejected - 0.2e0 * error_missing - 0.15e0 * rejected_detections)) AS data_quality FROM pin)"""
+
+
+def _from_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every source's light curves, by the names that scores and gates go by."""
+    names = {
+        "max_brightening": "brightening", "median_p90_p10": "typical_amplitude", "max_excursion": "flux_excursion", "median_excursion": "typical_flux_excursion", "max_significance": "significance", "max_peak_significance": "mag_significance",
+        "max_flux_significance": "flux_significance", "max_rise_rate": "rise", "max_fade_rate": "fade", "max_flux_rise_rate": "flux_rise", "max_flux_fade_rate": "flux_fade", "prior_gap_days": "gap", "prior_contrast_mag": "contrast",
+        "prior_flux_contrast": "flux_contrast", "rejected_detections": "detection_rejected",
+    }
+    return curves.source_features(D.phot(spark, sf_dir)).withColumnsRenamed(names).withColumn("missing_fraction", F.col("error_missing"))
 
 
 @query(
-    _with(D.PHOT, _FEAT, _PRIORITY)
+    _with(D.PHOT, _SOURCE_SQL, _PRIORITY)
     + """SELECT source_id, amplitude, significance_score, temporal, nondetection, sampling, data_quality,
          greatest(0e0, least(0.999999e0, (0.24e0 * amplitude + 0.22e0 * significance_score + 0.15e0 * temporal + 0.12e0 * nondetection + 0.12e0 * sampling + 0.15e0 * data_quality)
            * CASE WHEN n_detections < 3 THEN 0.65e0 + 0.35e0 * n_detections / 3 ELSE 1e0 END * (0.75e0 + 0.25e0 * data_quality))) AS priority FROM comp""",
     "amplitude significance_score temporal nondetection sampling data_quality priority",
 )
 def j1_review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, none = F.col("number"), F.lit(None).cast("double")
-    f = _feat(spark, sf_dir).withColumns({
-        "brightening": F.when(n % 5 > 0, F.col("bright")), "typical_amplitude": F.when((n % 5 > 0) & (n % 3 > 0), F.col("amp")), "flux_excursion": F.when(n % 10 > 0, F.col("sigma") / 10),
-        "typical_flux_excursion": F.when(n % 10 > 0, F.col("sigma") / 10), "significance": none, "mag_significance": F.when(n % 4 > 0, F.col("sigma")), "flux_significance": F.col("sigma") * 0.9,
-        "rise": F.when(n % 3 == 0, F.col("amp") / 5), "fade": none, "flux_rise": F.when(n % 3 == 1, F.col("sigma") / 30), "flux_fade": none, "has_prior": n % 2 == 0, "gap": F.when(n % 2 == 0, 3.0),
-        "contrast": F.col("bright"), "flux_contrast": none, "n_significant": n % 4, "missing_fraction": F.col("missing"), "quality_rejected": F.col("rejected"), "error_missing": F.col("missing"), "detection_rejected": none,
-    })
-    return scores.review_priority(f).select("source_id", "amplitude", "significance_score", "temporal", "nondetection", "sampling", "data_quality", "priority")
+    return scores.review_priority(_from_curves(spark, sf_dir)).select("source_id", "amplitude", "significance_score", "temporal", "nondetection", "sampling", "data_quality", "priority")
 
 
 @query(
-    _with(D.PHOT, _FEAT)
-    + """SELECT source_id, concat_ws('; ', CASE WHEN n_detections < 40 THEN 'too few detections' END, CASE WHEN n_bands < 1 THEN 'no band with detections' END, CASE WHEN number % 9 = 0 THEN 'no complete measurement' END) AS quality_reasons,
-         n_detections >= 40 AND n_bands >= 1 AND number % 9 > 0 AS quality_passed FROM feat"""
+    _with(D.PHOT, _SOURCE_SQL)
+    + """SELECT source_id, concat_ws('; ', CASE WHEN n_detections < 55 THEN 'too few detections' END, CASE WHEN n_bands < 1 THEN 'no band with detections' END, CASE WHEN error_missing >= 1 THEN 'no complete measurement' END, CASE WHEN error_missing >= 1 THEN 'no valid uncertainty' END) AS quality_reasons,
+         n_detections >= 55 AND n_bands >= 1 AND error_missing < 1 AS quality_passed FROM src"""
 )
 def j6_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _feat(spark, sf_dir).withColumns({"missing_fraction": F.when(F.col("number") % 9 > 0, F.col("missing")), "error_missing": F.col("missing") / 2})
-    return scores.quality_reasons(f, 40).select("source_id", "quality_reasons", "quality_passed")
+    return scores.quality_reasons(_from_curves(spark, sf_dir), 55).select("source_id", "quality_reasons", "quality_passed")
 
 
 _FLARE = """fin AS (SELECT *, greatest(0e0, least(1e0, amp / 5)) AS smoothness, (last - first) * (1 + number % 15) AS duration, greatest(0e0, least(1e0, amp / 1.5e0)) AS amp_score, greatest(0e0, least(1e0, sigma / 10)) AS snr_score,
