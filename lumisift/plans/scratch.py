@@ -43,13 +43,34 @@ def _write_settings(spark: SparkSession):
                 spark.conf.set(k, v)
 
 
+_roots: list[str] = []  # of this application, in the order of their making
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Deletes, at its end, all scratch folders that operators made inside: results must have been written by then.
+
+    Tables that a lazy result still reads can't be deleted by the operator that made them, so their owner is whoever
+    writes the result.
+    """
+    begin = len(_roots)
+    try:
+        yield
+    finally:
+        for root in _roots[begin:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _roots[begin:]
+
+
 class Scratch:
-    """Tables of one operator run; ``drop`` deletes one that no later step reads."""
+    """Tables of one operator run; ``drop`` deletes one that no later step reads, ``released`` all of them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lumisift/{name}-{uuid.uuid4().hex}"
         self.count, self.paths = 0, []
+        _roots.append(self.root)
 
     def table(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and return it as read back."""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.plans.scratch import shared_dir
+from lumisift.plans.scratch import Scratch
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +16,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drain(stream: DataFrame, name: str, write, mode: str = "append") -> str:
     """Run ``write(batch, path, epoch)`` over everything that is there; returns the folder it wrote to."""
-    root = f"{shared_dir(stream.sparkSession)}/lumisift/{name}-{uuid.uuid4().hex}"
+    root = Scratch(stream.sparkSession, name).root
     query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, epoch: write(df, f"{root}/out", epoch)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return f"{root}/out"
@@ -26,7 +24,7 @@ def drain(stream: DataFrame, name: str, write, mode: str = "append") -> str:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only log with content-addressed ids: a second stream over the same events adds nothing; counts by type."""
-    log = f"{shared_dir(spark)}/lumisift/eventlog-{uuid.uuid4().hex}"
+    log = Scratch(spark, "eventlog").root
 
     def insert(df: DataFrame, path: str, epoch: int) -> None:
         held = spark.read.schema("digest string, event_type string").option("ignoreMissingFiles", "true").parquet(log) if epoch or second else spark.createDataFrame([], "digest string, event_type string")

@@ -92,3 +92,19 @@ def test_cursors_over_two_runs(spark):
 
     assert feed(1, [("a", 1, 1.0), ("a", 2, 3.0), ("b", 9, 5.0), ("a", 3, 2.0)]) == {"a": (3.0, 2, 3, 0), "b": (5.0, 9, 1, 0)}
     assert feed(2, [("a", 2, 3.0), ("a", 4, 3.0), ("a", 5, 1.0), ("a", 6, 9.0)]) == {"a": (9.0, 6, 4, 2), "b": (5.0, 9, 1, 0)}
+
+
+def test_released(spark):
+    """Scratch folders made inside are gone at the end; those made before stay."""
+    import os
+
+    from lumisift.plans.scratch import released
+
+    before = Scratch(spark, "kept")
+    before.table(spark.range(3), "t")
+    with released(spark):
+        inside = Scratch(spark, "gone")
+        assert inside.table(spark.range(5), "t").count() == 5
+        paths = [x.root.removeprefix("file://").removeprefix("file:") for x in (before, inside)]
+        assert all(os.path.isdir(p) for p in paths)
+    assert [os.path.isdir(p) for p in paths] == [True, False]
