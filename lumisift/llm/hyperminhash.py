@@ -119,7 +119,7 @@ def _near_duplicates(scratch: Scratch, docs: DataFrame, width: int, threshold: f
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
         for part in parts:
-            for b in batches_of(part.column(0), part.column(1), 1 << 20):
+            for b in batches_of(part.column(0), part.column(1), 1 << 19):
                 key, first = shingles(b, width)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(key ^ np.uint64(s)))]) for s in (1, 2)]
                 digest = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
@@ -281,7 +281,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
         for part in parts:
             done = 0
             texts = [codec.decompress(t, n, asbytes=True) if n else b"" for t, n in zip(part.column("packed").to_pylist(), part.column("n_bytes").to_pylist(), strict=True)]
-            for b in batches_of(part.column("doc_id"), pa.array(texts, pa.binary()), 1 << 20):
+            for b in batches_of(part.column("doc_id"), pa.array(texts, pa.binary()), 1 << 19):
                 key, first = shingles(b, width)
                 whole = pa.array([key[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([id_list(b.ids), part.column("sig").slice(done, len(b.ids)), whole], ["doc", "sig", "set"])

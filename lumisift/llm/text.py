@@ -36,7 +36,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     have = _powers.get((base, inverse))
     if have is None or len(have) <= n:
         step = pow(base, -1, 1 << 64) if inverse else base
-        row = np.full(max(n + 1, 1 << 20), step, np.uint64)
+        row = np.full(1 << max(16, (n + 1).bit_length()), step, np.uint64)
         row[0] = 1
         have = _powers[base, inverse] = np.multiply.accumulate(row)
     return have[: n + 1]
