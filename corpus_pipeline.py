@@ -12,8 +12,14 @@ from lumisift.llm import decontaminate, hyperminhash, mixing, personal_data, tox
 from lumisift.plans.scratch import Scratch
 
 
+#: Allocator settings of Python workers: what a batch has used goes back to the machine, not into the worker's reserve.
+_LEAN = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def _small_batches(spark: SparkSession) -> None:
     """Documents go to Python by the thousand at most, also when the caller writes a stage's result: texts may be long."""
+    for name, value in _LEAN.items():
+        spark.sparkContext.environment.setdefault(name, value)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= 1000:
         spark.conf.set(key, "1000")
