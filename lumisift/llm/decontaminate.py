@@ -2,9 +2,9 @@
 
 Words (lower case, punctuation removed) are hashed to 2^13 terms. Document frequencies over all documents give
 squared inverse-frequency weights; terms in more than a twentieth of the documents keep a token weight. The
-latent space is the span of the leading right singular vectors of the TF-IDF matrix of passages, found by a
-randomised range finder with power iterations whose products A^T (A Q) are summed over Spark tasks; it is
-fitted on at most about ``max_passages`` passages drawn by hash from all documents.
+latent space is the span of the leading right singular vectors of the TF-IDF matrix of all passages of 40 words of
+all documents, found by a randomised range finder with power iterations whose products A^T (A Q) are summed over Spark
+tasks. The terms of these passages, two bytes a word, are written once and read for each product.
 
 Every document is cut into overlapping passages of 8, 16, 32 and 64 words, as the lengths of the items ask, stepping a
 quarter of that (half, for the shortest); every passage is projected and compared by cosine with every benchmark item of its length class, in the task that
@@ -34,7 +34,7 @@ from lumisift.plans.scratch import Scratch
 
 TERMS_BITS, STEP = 13, 4
 CLASSES = ((8, 12), (16, 24), (32, 48), (64, None))  # passage words, and the longest item they serve
-PASSAGE = 40
+PASSAGE, BLOCK, PAD = 40, 8192, 1 << TERMS_BITS  # words of a passage the space is fitted on, passages summed at a time, the term of no word
 COMMON = 0.05
 _SPACES = b" \t\n\r\v\f"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -53,22 +53,45 @@ def terms(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - TERMS_BITS)).astype(np.int64)
 
 
-def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Document frequency of each term, documents and words, over all documents."""
+def _passages(docs: DataFrame) -> DataFrame:
+    """All words of all documents: the terms of passages (binary, some thousand a row), and from each task its documents and document frequencies."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, n, words = np.zeros(1 << TERMS_BITS, np.int64), 0, 0
+        count, n, held = np.zeros(PAD, np.int64), 0, []
+        row = lambda **x: pa.RecordBatch.from_pylist([x], pa.schema([("docs", pa.int64()), ("found", pa.binary()), ("terms", pa.binary())]))
         for part in parts:
             for b in batches_of(part.column(0), part.column(1), 1 << 20):
                 h, first = normal_words(b)
-                key = np.unique(b.doc_of(first) << TERMS_BITS | terms(h))
-                count += np.bincount(key & ((1 << TERMS_BITS) - 1), minlength=len(count))
-                n, words = n + len(b.ids), words + len(h)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(count))), pa.array(np.concatenate([[n, words], count]))], ["term", "n"])
+                t, size = terms(h), np.diff(first)
+                count += np.bincount(np.unique(b.doc_of(first) << TERMS_BITS | t) & (PAD - 1), minlength=PAD)
+                n += len(b.ids)
+                begin = np.concatenate([[0], np.cumsum(-(-size // PASSAGE) * PASSAGE)])  # documents are padded to whole passages
+                padded = np.full(begin[-1], PAD, np.int16)
+                padded[np.arange(len(t)) + np.repeat(begin[:-1] - first[:-1], size)] = t
+                held.append(padded.tobytes())
+                if sum(map(len, held)) >= 2 * PASSAGE * BLOCK:
+                    yield row(terms=b"".join(held))
+                    held = []
+        yield row(docs=n, found=count.tobytes(), terms=b"".join(held) or None)
 
-    rows = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a term
+    return docs.mapInArrow(run, "docs long, found binary, terms binary")
+
+
+def _frequencies(passages: DataFrame) -> tuple[np.ndarray, int]:
+    """Document frequency of each term, and the number of documents."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, n = np.zeros(PAD, np.int64), 0
+        for part in parts:
+            n += sum(part.column(0).to_pylist())
+            for found in part.column(1):
+                count += np.frombuffer(found.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, PAD)), pa.array(np.concatenate([[n], count]))], ["term", "n"])
+
+    per_task = passages.where("found is not null").select("docs", "found")
+    rows = per_task.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a term
     got = {r["term"]: r["n"] for r in rows}
-    return np.array([got.get(t, 0) for t in range(1 << TERMS_BITS)], np.float64), got.get(-2, 0), got.get(-1, 0)
+    return np.array([got.get(t, 0) for t in range(PAD)], np.float64), got.get(-1, 0)
 
 
 def _weights(df: np.ndarray, n: int) -> np.ndarray:
@@ -76,73 +99,92 @@ def _weights(df: np.ndarray, n: int) -> np.ndarray:
     return np.where(df > max(5, COMMON * n), 1e-3, idf**2)
 
 
-def _sample(docs: DataFrame, weight: np.ndarray, n_words: int, max_passages: int) -> DataFrame:
-    """Passages (terms, values of unit length) drawn by hash: some documents, and of them one passage in four."""
-    share = min(1.0, 4 * max_passages * PASSAGE / max(1, n_words))
+def _squared_norms(t: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Squared length of each passage (row of terms): a term counts its number times its weight."""
+    t = np.sort(t, axis=1)
+    new = np.ones(t.shape, bool)
+    new[:, 1:] = t[:, 1:] != t[:, :-1]
+    at = np.flatnonzero(new)
+    return np.bincount(at // t.shape[1], (np.diff(at, append=t.size) * weight[t.ravel()[at]]) ** 2, minlength=len(t))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for b in batches_of(part.column(0), part.column(1), 1 << 20):
-                h, first = normal_words(b)
-                t = terms(h)
-                rows = []
-                for x, y in zip(first[:-1], first[1:], strict=True):
-                    for i in range(x, y, PASSAGE):
-                        if share < 1 and h[i] & np.uint64(3):
-                            continue
-                        slot, count = np.unique(t[i : min(y, i + PASSAGE)], return_counts=True)
-                        v = (count * weight[slot]).astype(np.float32)
-                        rows.append((slot.astype(np.int16).tobytes(), (v / np.linalg.norm(v)).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["slots", "vals"])
-
-    some = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
-    return some.mapInArrow(run, "slots binary, vals binary")
-
-
-def _product(sample: DataFrame, q: np.ndarray) -> np.ndarray:
-    """A^T (A q) summed over the tasks, in blocks of 256 terms."""
-    shared = sample.sparkSession.sparkContext.broadcast(q)
-    block = 256
+
+def _list_sums(rows: np.ndarray, index: np.ndarray, first: np.ndarray, size: np.ndarray, some: int = 256) -> np.ndarray:
+    """Sums of ``rows[index[first : first + size]]`` for lists of falling size, the next member of many lists at a time."""
+    out, buffer = np.empty((len(size), rows.shape[1]), rows.dtype), np.empty((some, rows.shape[1]), rows.dtype)
+    for lo in range(0, len(size), some):
+        f, s, sums = first[lo : lo + some], size[lo : lo + some], out[lo : lo + some]
+        np.take(rows, index[f], axis=0, out=sums, mode="clip")
+        for j, n in enumerate(np.searchsorted(-s, -np.arange(1, s[0])).tolist(), 1):  # n lists have more than j members
+            sums[:n] += np.take(rows, index[f[:n] + j], axis=0, out=buffer[:n], mode="clip")
+    return out
+
+
+def _add_by_term(t: np.ndarray, rows: np.ndarray, out: np.ndarray, longest: int = 64) -> None:
+    """Add a passage's row to ``out`` at each of its terms; lists of passages are cut at ``longest``, their sums summed again."""
+    key = t.ravel()
+    index = np.argsort(key, kind="stable")[: np.count_nonzero(key < PAD)]
+    key, index = key[index], index // t.shape[1]
+    while len(key):
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        size = np.diff(at, append=len(key))
+        lists = -(-size // longest)
+        skip = (np.arange(lists.sum()) - np.repeat(np.cumsum(lists) - lists, lists)) * longest
+        size, key = np.minimum(longest, np.repeat(size, lists) - skip), np.repeat(key[at], lists)
+        order = np.argsort(-size, kind="stable")
+        rows = _list_sums(rows, index, (np.repeat(at, lists) + skip)[order], size[order])
+        if len(key) == len(at):
+            out[key[order]] += rows
+            return
+        index = np.argsort(order)
+
+
+def _product(passages: DataFrame, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A^T (A q) over all passages, summed in the tasks and then by parts of 64 terms."""
+    shared, part_terms = passages.sparkSession.sparkContext.broadcast((np.append(weight, 0.0), np.concatenate([q * weight[:, None], np.zeros((1, q.shape[1]))]).astype(np.float32))), 64
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        out = np.zeros(q.shape, np.float64)
+        weight, q = shared.value
+        out = np.zeros((PAD, q.shape[1]))
         for part in parts:
-            slots = [np.frombuffer(x, np.int16) for x in part.column(0).to_pylist()]
-            if not slots:
-                continue
-            slot, val = np.concatenate(slots).astype(np.int64), np.frombuffer(b"".join(part.column(1).to_pylist()), np.float32)
-            first = np.concatenate([[0], np.cumsum([len(s) for s in slots])[:-1]])
-            y = np.add.reduceat(q[slot] * val[:, None], first, axis=0)
-            back = np.repeat(y, [len(s) for s in slots], axis=0) * val[:, None]
-            order = np.argsort(slot, kind="stable")
-            at = np.flatnonzero(np.diff(slot[order], prepend=-1))
-            out[slot[order][at]] += np.add.reduceat(back[order], at, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, len(out), block)), pa.array([out[i : i + block].tobytes() for i in range(0, len(out), block)], pa.binary())], ["block", "sums"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float64) for x in group.column("sums").to_pylist())
-        return pa.table({"block": [group.column("block")[0].as_py()], "sums": [total.tobytes()]})
-
-    rows = sample.mapInArrow(run, "block long, sums binary").groupBy("block").applyInArrow(add, "block long, sums binary").collect()
-    out = np.zeros(q.shape, np.float64)
+            for row in part.column(0):
+                every = np.frombuffer(row.as_py(), np.int16).reshape(-1, PASSAGE)
+                for lo in range(0, len(every), BLOCK):
+                    t = every[lo : lo + BLOCK]
+                    y = np.zeros((len(t), q.shape[1]), np.float32)
+                    buffer = np.empty_like(y)
+                    for i in range(PASSAGE):
+                        y += np.take(q, t[:, i], axis=0, out=buffer, mode="clip")
+                    y /= _squared_norms(t, weight)[:, None].astype(np.float32)
+                    _add_by_term(t, y, out)
+        out *= weight[:PAD, None]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, PAD, part_terms)), pa.array([out[i : i + part_terms].tobytes() for i in range(0, PAD, part_terms)], pa.binary())], ["part", "sums"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for part in parts:
+            for at, sums in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                total[at] = total.get(at, 0) + np.frombuffer(sums.as_py(), np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "sums"])
+
+    schema = "part long, sums binary"
+    rows = passages.where("terms is not null").select("terms").mapInArrow(run, schema).repartition("part").mapInArrow(add, schema).collect()
+    out = np.zeros(q.shape)
     for r in rows:
-        out[r["block"] : r["block"] + block] = np.frombuffer(r["sums"], np.float64).reshape(-1, q.shape[1])
+        out[r["part"] : r["part"] + part_terms] = np.frombuffer(r["sums"], np.float64).reshape(-1, q.shape[1])
     shared.destroy()
     return out
 
 
-def latent_space(spark: SparkSession, docs: DataFrame, rank: int, max_passages: int, iterations: int = 2, seed: int = 3) -> np.ndarray:
+def latent_space(spark: SparkSession, docs: DataFrame, rank: int, iterations: int = 2, seed: int = 3) -> np.ndarray:
     """Term vectors: weight times the leading right singular vectors, one row a term."""
-    df, n, words = _frequencies(docs)
-    weight = _weights(df, n)
     scratch = Scratch(spark, "latent")
-    sample = scratch.table(_sample(docs, weight, words, max_passages).repartition(8), "passages")  # read by all tasks, a few passages each
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(1 << TERMS_BITS, rank + 8)))[0]
+    passages = scratch.table(_passages(docs), "passages", codec="zstd")
+    weight = _weights(*_frequencies(passages))
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(PAD, rank + 8)))[0]
     for _ in range(iterations):
-        q = np.linalg.qr(_product(sample, q))[0]
-    small = q.T @ _product(sample, q)
-    scratch.drop(sample)
+        q = np.linalg.qr(_product(passages, weight, q))[0]
+    small = q.T @ _product(passages, weight, q)
+    scratch.drop(passages)
     vectors = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :rank]
     return ((q @ vectors) * weight[:, None]).astype(np.float32)
 
@@ -263,14 +305,14 @@ def _item_blocks(spark: SparkSession, benchmark: DataFrame, space: np.ndarray, s
             yield spark.sparkContext.broadcast(Items.of(rows, space))
 
 
-TUNING = {"rank": 96, "max_passages": 12000, "cosine": 0.42, "whole": 0.8, "part": 0.5, "item_block": 8192}
+TUNING = {"rank": 96, "cosine": 0.42, "whole": 0.8, "part": 0.5, "item_block": 8192}
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **tuning) -> DataFrame:
     """(doc_id, item_id, cosine, common_words, item_words, answer), one row for each leaking pair."""
     o = TUNING | tuning
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    space = latent_space(spark, source, o["rank"], o["max_passages"])
+    space = latent_space(spark, source, o["rank"])
     shared = spark.sparkContext.broadcast(space)
     schema = "doc_id long, item_id long, cosine double, common_words long, item_words long, answer boolean"
 
@@ -296,7 +338,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     """``docs`` without the documents that leak an item; columns unchanged, no shuffle."""
     o = TUNING | tuning
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    space = latent_space(spark, source, o["rank"], o["max_passages"])
+    space = latent_space(spark, source, o["rank"])
     shared = spark.sparkContext.broadcast(space)
     at = docs.columns.index(text_col)
 

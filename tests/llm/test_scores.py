@@ -366,6 +366,47 @@ def test_leaks_of_short_items_and_paraphrases(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == found
 
 
+@pytest.fixture(scope="module")
+def rare_passages(spark):
+    """Two million words: forty texts 1300 times each, and forty texts of other words once each, which are the benchmark."""
+    words, used = [], set()
+    for i in range(20000):
+        h, _ = decontaminate.normal_words(decontaminate.Batch(np.array([0]), np.array([len(f"w{i}")]), f"w{i}".encode()))
+        if (t := int(decontaminate.terms(h)[0])) not in used:
+            used.add(t)
+            words.append(f"w{i}")
+    texts = [" ".join(words[20 * k : 20 * k + 20] * 2) for k in range(80)]
+    pick = F.when(F.col("doc_id") < 40, F.col("doc_id") + 40).otherwise(F.col("doc_id") % 40)
+    docs = spark.range(52040).withColumnRenamed("id", "doc_id").select("doc_id", F.element_at(F.array(*map(F.lit, texts)), (pick + 1).cast("int")).alias("text"))
+    return docs, spark.createDataFrame(list(enumerate(texts[40:])), "item_id long, text string")
+
+
+def test_latent_space_knows_every_passage(spark, rare_passages):
+    docs, bench = rare_passages
+    got = decontaminate.find_leaks(spark, docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(40)]
+    assert min(r["cosine"] for r in got) > 0.99
+
+
+def test_products_are_sums_over_all_passages(spark):
+    rng = random.Random(17)
+    rows = [sentence(rng, rng.choice([1, 39, 40, 41, 300])) for _ in range(150)] + ["the " * 5000, "", None, "a b"]
+    passages = decontaminate._passages(spark.createDataFrame(list(enumerate(rows)), "id long, text string").repartition(3)).cache()
+    df, n = decontaminate._frequencies(passages)
+    weight, want, every = decontaminate._weights(df, n), np.zeros(decontaminate.PAD), []
+    for text in rows:
+        raw = (text or "").encode()
+        t = decontaminate.terms(decontaminate.normal_words(decontaminate.Batch(np.array([0]), np.array([len(raw)]), raw))[0])
+        want[np.unique(t)] += 1
+        every += [np.bincount(t[i : i + 40], minlength=decontaminate.PAD) for i in range(0, len(t), 40)]
+    assert n == len(rows) and (df == want).all()
+    a = np.array(every) * weight
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    q = np.random.default_rng(1).normal(size=(decontaminate.PAD, 12))
+    got, due = decontaminate._product(passages, weight, q), a.T @ (a @ q)
+    assert np.abs(got - due).max() < 1e-5 * np.abs(due).max()
+
+
 def test_toxicity_of_a_shared_stem(spark):
     """Insults that share a stem which clean texts hold once now and then: several in a text tell, one does not."""
     rng = random.Random(13)
