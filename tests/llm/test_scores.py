@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lumisift.llm import decontaminate, html_extract, mixing, personal_data, quality_fm, quality_rules, toxicity
 
 BAD = ["idiot", "moron", "worthless", "pathetic", "дурак"]
@@ -388,6 +389,15 @@ def test_latent_space_knows_every_passage(spark, rare_passages):
     assert min(r["cosine"] for r in got) > 0.99
 
 
+def test_pipeline_drops_leaks_of_rare_passages(spark, rare_passages, tmp_path):
+    docs, bench = rare_passages
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.agg(F.count("*"), F.min("doc_id")).first() == (52000, 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_products_are_sums_over_all_passages(spark):
     rng = random.Random(17)
     rows = [sentence(rng, rng.choice([1, 39, 40, 41, 300])) for _ in range(150)] + ["the " * 5000, "", None, "a b"]
