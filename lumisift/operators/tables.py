@@ -81,8 +81,8 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], fields: list[s
 
 
 def snapshot_row(rows: DataFrame, columns: list[str], name: str, label: str, split: str) -> DataFrame:
-    """Name, label and split policy, row count and an order-free content digest: the sum of 60-bit parts of the rows' own digests."""
-    part = F.conv(F.substring(digest(*columns), 1, 12), 16, 10).cast("long")
+    """Name, label and split policy, row count and an order-free content digest: the sum of 48-bit parts of the rows' own digests."""
+    part = F.conv(F.substring(digest(*columns), 1, 12), 16, 10).cast("decimal(20,0)")  # a long holds some 65,000 rows
     return rows.agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("content")).select(F.lit(name).alias("name"), "n", "content", F.lit(label).alias("label_policy"), F.lit(split).alias("split_policy"))
 
 
