@@ -5,6 +5,7 @@ import hashlib
 import duckdb
 from pyspark.sql import functions as F
 
+from lumisift.functions import scalars as S
 from lumisift.operators import tables
 from lumisift.plans.registry import ORACLE, QUERIES
 
@@ -37,6 +38,18 @@ def test_digest_of_many_rows(spark):
     assert want > 2**63 and (got["n"], got["content"]) == (n, str(want))
 
 
+def test_doubles_are_rounded_as_by_sql(spark):
+    values = [409.84 / 51.2, 8.0046875, 0.0078125, -0.0078125, 1e303, 60310.0000005, float("inf"), 0.1]
+    got = [r["x"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(S.rounded(F.col("v")).alias("x")).collect()]
+    assert got == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
+
+
 def test_magnitude_channel_of_one_point(spark, tmp_path):
     got, want = _both(spark, tmp_path, "e1_channel_features", {"events": _events(spark, (1, 0, 20.0, 3), (2, 0, 30.0, 4), (2, 86400, 40.0, 5))})
     assert got == want and len(got) == 2
+
+
+def test_flux_whose_excursion_ends_in_a_half(spark, tmp_path):
+    # 409.84 / 51.2 is 8.0046875, whose double times a million lies just below the half
+    got, want = _both(spark, tmp_path, "e2_flux_features", {"events": _events(spark, (1, 0, 51.2, 0), (1, 86400, 51.2, 0), (1, 172800, 461.04, 0))})
+    assert got == want and len(got) == 1
