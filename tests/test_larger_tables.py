@@ -53,3 +53,10 @@ def test_flux_whose_excursion_ends_in_a_half(spark, tmp_path):
     # 409.84 / 51.2 is 8.0046875, whose double times a million lies just below the half
     got, want = _both(spark, tmp_path, "e2_flux_features", {"events": _events(spark, (1, 0, 51.2, 0), (1, 86400, 51.2, 0), (1, 172800, 461.04, 0))})
     assert got == want and len(got) == 1
+
+
+def test_source_with_a_channel_of_one_point(spark, tmp_path):
+    many = [(2, 86400 * i, 30.0 + i * i, i) for i in range(6)]
+    one = _events(spark, (2, 0, 20.0, 3)).withColumn("event_type", F.lit("click")).withColumn("event_id", F.lit(99).cast("long"))
+    got, want = _both(spark, tmp_path, "e7_source_features", {"events": _events(spark, *many).unionByName(one)})
+    assert got == want and len(got) == 1
