@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumisift.functions import scalars as S
-from lumisift.operators import tables
+from lumisift.operators import retrieval, tables
 from lumisift.plans.registry import ORACLE, QUERIES
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -81,3 +81,19 @@ def test_host_whose_chance_ties_in_doubles(spark, tmp_path):
     customer = spark.createDataFrame(names, "c_custkey long, c_name string, c_mktsegment string")
     got, want = _both(spark, tmp_path, "d15_host_association", {"events": _events(spark, (284, 0, 20.0, 3)), "customer": customer})
     assert got == want and "Customer#000003884" in got[0]
+
+
+def test_queries_cut_off_in_the_only_time_block(spark):
+    # no cell is old enough as a whole, which once made a query meet every entry
+    r = np.random.default_rng(5)
+    n, key = 4000, r.normal(size=(4000, 2)).round(2)
+    entries = [(f"e{i:04d}", key[i].tolist(), [float(i)], int(i % 5), float(r.random()), "c", 0) for i in range(n)]
+    queries = [(f"q{i:02d}", r.normal(size=2).tolist(), 1, float(r.uniform(0.3, 1)), "c", 0) for i in range(50)]
+    stratum = "calibration string, population long"
+    e = spark.createDataFrame(entries, f"id string, key array<double>, residual array<double>, source_group long, usable_at double, {stratum}")
+    q = spark.createDataFrame(queries, f"id string, key array<double>, source_group long, cutoff double, {stratum}")
+    fit = {x[0]: [y for y in entries if y[3] != 1 and y[4] <= x[3]] for x in queries}
+    assert retrieval.pairs(e, q, 3).count() < 0.05 * sum(map(len, fit.values()))
+    got = {x["query"]: x["neighbours"] for x in retrieval.recall(e, q, 3).collect()}
+    far = lambda a, b: (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2
+    assert got == {x[0]: [y[0] for y in sorted(fit[x[0]], key=lambda y: (far(x[1], y[1]), y[0]))[:3]] for x in queries}
