@@ -10,6 +10,14 @@ from lumisift.operators.running import numbered, running_sums
 from lumisift.plans.scratch import Scratch
 
 
+_BROADCAST = 100_000  # rows of a table of levels or sizes that is broadcast
+
+
+def _beside(small: DataFrame) -> DataFrame:
+    """A written table for a join: broadcast by its rows, as the driver builds it from them and not from small files."""
+    return F.broadcast(small) if small.count() <= _BROADCAST else small.hint("merge")
+
+
 def melt(rows: DataFrame, keys: list[str], scores: list[str]) -> DataFrame:
     """(keys, label, model, score), one row for each score column."""
     pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("model"), F.col(s).alias("score")) for s in scores))).alias("x")
@@ -62,17 +70,22 @@ def bootstrap(rows: DataFrame, scores: list[str], replicates: int, budget: int,
     scratch, unit = Scratch(rows.sparkSession, "bootstrap"), ["block"]
     base = rows.select((F.lit(0) if block is None else F.col(block)).cast("long").alias("block"), "entity", "label", *scores).withColumn("_one", F.lit(1))
     base = running_sums(base, unit, "entity", ["_one"]).withColumnRenamed("cum__one", "i").drop("_one")
-    size = base.groupBy("block").agg(F.count("*").alias("size"))
-    table = base.join(size, "block")
+    base = scratch.table(base, "base")
+    size = scratch.table(base.groupBy("block").agg(F.count("*").alias("size")), "size")
+    table = base.join(_beside(size), "block")
     for k, s in enumerate(scores):  # named scores, a few
         levels = running_sums(base.groupBy("block", s).agg(F.count("*").alias("n")), unit, s, ["n"], descending=True)
-        table = table.join(levels.select("block", s, (F.col("cum_n") - F.col("n")).alias(f"above{k}")), ["block", s])
+        levels = scratch.table(levels.select("block", s, (F.col("cum_n") - F.col("n")).alias(f"above{k}")), f"levels{k}")
+        table = table.join(_beside(levels), ["block", s])
     table = scratch.table(table.select("block", "i", "label", "size", *(f"above{k}" for k in range(len(scores)))), "rows")
+    scratch.drop_all_but(table)
     text = F.concat_ws("|", F.lit(str(seed)), F.col("block").cast("string"), F.col("rep").cast("string"), F.col("i").cast("string"))
     pick = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long") % F.col("size") + 1
     slots = table.select("block", "i", "size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    weights = slots.select("block", "rep", pick.alias("i")).groupBy("block", "rep", "i").agg(F.count("*").alias("w"))
-    drawn = scratch.table(weights.join(table, ["block", "i"]), "drawn")
+    drawn = slots.select("block", "rep", pick.alias("i")).repartition("block", "i")  # one shuffle for the sum and the join
+    weights = drawn.groupBy("block", "rep", "i").agg(F.count("*").alias("w"))
+    drawn = scratch.table(weights.join(table.hint("merge"), ["block", "i"]), "drawn")
+    scratch.drop(table)
     models = F.explode(F.array(*(F.struct(F.lit(s).alias("model"), F.col(f"above{k}").alias("above")) for k, s in enumerate(scores)))).alias("x")
     key = ["block", "rep", "model"]
     long = drawn.select("block", "rep", "label", "w", "size", models).select("block", "rep", "label", "w", "x.*", F.floor(F.col("x.above") * ranges / F.col("size")).alias("range"))
@@ -80,9 +93,9 @@ def bootstrap(rows: DataFrame, scores: list[str], replicates: int, budget: int,
     upto = Window.partitionBy(*key).orderBy("range")
     per = per.withColumn("cum_n", F.sum("n").over(upto)).withColumn("cum_p", F.sum("p").over(upto))
     last = F.coalesce(F.min(F.when(F.col("cum_n") >= budget, F.col("range"))), F.max("range"))
-    ends = per.groupBy(*key).agg(last.alias("range"), F.max("cum_p").alias("positives")).join(per, [*key, "range"])
-    ends = ends.select(*key, "range", "positives", (F.col("cum_n") - F.col("n")).alias("before_n"), (F.col("cum_p") - F.col("p")).alias("before_p"))
-    ties = long.join(ends, [*key, "range"]).groupBy(*key, "above").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("p"), F.min("before_n").alias("before_n"), F.min("before_p").alias("before_p"), F.min("positives").alias("positives"))
+    ends = per.groupBy(*key).agg(last.alias("range"), F.max("cum_p").alias("positives")).join(per.hint("merge"), [*key, "range"])
+    ends = scratch.table(ends.select(*key, "range", "positives", (F.col("cum_n") - F.col("n")).alias("before_n"), (F.col("cum_p") - F.col("p")).alias("before_p")), "ends")
+    ties = long.join(_beside(ends), [*key, "range"]).groupBy(*key, "above").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("p"), F.min("before_n").alias("before_n"), F.min("before_p").alias("before_p"), F.min("positives").alias("positives"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("above").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = F.greatest(F.lit(0), F.least(F.col("n"), budget - F.col("before_n") - F.col("earlier")))
     hits = ties.withColumn("earlier", earlier).groupBy(*key).agg((F.min("before_p") + F.sum(F.col("p") * taken / F.col("n"))).alias("hits"), F.min("positives").alias("positives"))

@@ -41,7 +41,7 @@ def running_sums(levels: DataFrame, keys: list[str], order: str, sums: list[str]
     inner = Window.partitionBy(*keys, "_range").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
     starts = cut.groupBy(*keys, "_range").agg(*(F.sum(s).alias(f"_{s}") for s in sums))
     starts = starts.select(*keys, "_range", *(F.coalesce(F.sum(f"_{s}").over(outer), F.lit(0)).alias(f"_before_{s}") for s in sums))
-    out = cut.withColumns({f"_own_{s}": F.sum(s).over(inner) for s in sums}).join(starts, [*keys, "_range"])
+    out = cut.withColumns({f"_own_{s}": F.sum(s).over(inner) for s in sums}).join(starts.hint("merge"), [*keys, "_range"])  # in the windows' order; rows are never broadcast
     return out.select(*levels.columns, *((F.col(f"_before_{s}") + F.col(f"_own_{s}")).alias(f"cum_{s}") for s in sums)).drop("_all")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumisift.functions import scalars as S
-from lumisift.operators import retrieval, tables
+from lumisift.operators import evaluation, retrieval, tables
 from lumisift.plans.registry import ORACLE, QUERIES
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -97,3 +97,21 @@ def test_queries_cut_off_in_the_only_time_block(spark):
     got = {x["query"]: x["neighbours"] for x in retrieval.recall(e, q, 3).collect()}
     far = lambda a, b: (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2
     assert got == {x[0]: [y[0] for y in sorted(fit[x[0]], key=lambda y: (far(x[1], y[1]), y[0]))[:3]] for x in queries}
+
+
+def test_bootstrap_broadcasts_no_rows(spark):
+    # rows in files too small for Spark's threshold
+    n = 150_000
+    rows = spark.range(n).select(F.col("id").alias("entity"), (F.col("id") % 5 == 0).cast("long").alias("label"), (F.col("id") * 7 % 100 / 100.0).alias("a"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    assert evaluation.bootstrap(rows, ["a"], 2, 50).count() == 1
+    runs = store.executionsList()
+    sent = []
+    for i in range(before, runs.size()):
+        values, nodes = store.executionMetrics(runs.apply(i).executionId()), store.planGraph(runs.apply(i).executionId()).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "BroadcastExchange" in node.name():
+                metrics = [node.metrics().apply(j) for j in range(node.metrics().size())]
+                sent += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined()]
+    assert sent and max(sent) < n
