@@ -81,7 +81,8 @@ def bootstrap(rows: DataFrame, scores: list[str], replicates: int, budget: int,
     scratch.drop_all_but(table)
     text = F.concat_ws("|", F.lit(str(seed)), F.col("block").cast("string"), F.col("rep").cast("string"), F.col("i").cast("string"))
     pick = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long") % F.col("size") + 1
-    slots = table.select("block", "i", "size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file would be one task, of all draws
+    slots = table.select("block", "i", "size").repartition(spread).select("block", "i", "size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     drawn = slots.select("block", "rep", pick.alias("i")).repartition("block", "i")  # one shuffle for the sum and the join
     weights = drawn.groupBy("block", "rep", "i").agg(F.count("*").alias("w"))
     drawn = scratch.table(weights.join(table.hint("merge"), ["block", "i"]), "drawn")
